@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts may hold 100 KB, so a batch stays within some tens of MB.
-BATCH_ROWS = 512
+BATCH_ROWS = 1024
 #: Entries a worker keeps in a word table before it starts anew; this bounds a worker's memory.
 TABLE_ENTRIES = 1 << 19
 
@@ -83,6 +84,49 @@ class WordTable(dict):
         return value
 
 
+class ChunkTable:
+    """Values of the chunks of texts between blanks and line feeds, gathered for whole Arrow batches.
+
+    Most chunks repeat. Arrow splits a batch's texts and numbers their distinct chunks; `learn` computes the
+    values (fixed-width items, as bytes) of those that the table doesn't know; numpy puts the items of all
+    chunks together in order. `learn` must give for a text what its chunks give one after another.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], dtype: str, entries: int = TABLE_ENTRIES, parted: Callable[[pa.Array], pa.Array] | None = None):
+        self.learn, self.dtype, self.entries, self.known = learn, np.dtype(dtype), entries, {}
+        #: Gives the texts with one blank between chunks.
+        self.parted = parted or (lambda texts: pc.replace_substring(texts, "\n", " "))
+
+    def values(self, chunks: list[str]) -> list[bytes]:
+        known = self.known
+        found = list(map(known.get, chunks))
+        at = [i for i, v in enumerate(found) if v is None]
+        if at:
+            missing = [chunks[i] for i in at]
+            fresh = self.learn(missing)
+            if len(known) + len(missing) > self.entries:
+                known.clear()
+            known.update(zip(missing, fresh, strict=True))
+            for i, v in zip(at, fresh, strict=True):
+                found[i] = v
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The items of all texts, and where each text's items begin and end (one number more than texts)."""
+        if not len(texts):
+            return np.empty(0, self.dtype), np.zeros(1, np.int64)
+        parts = pc.split_pattern(self.parted(texts.cast(pa.large_string()).fill_null("")), " ")
+        coded = parts.flatten().dictionary_encode()
+        codes, blobs = coded.indices.to_numpy(), self.values(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        pool = np.frombuffer(b"".join(blobs), self.dtype)
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
+        begins, sizes = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        ends = np.cumsum(sizes)
+        places = np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        offsets = parts.offsets.to_numpy()
+        return pool[places], np.concatenate([[0], ends])[offsets - offsets[0]]
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 

@@ -19,13 +19,14 @@ repeat a doc_id are one document.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, mix64, over_batches, prepare, settle, words
+from .common import ChunkTable, WordTable, mix64, over_batches, prepare, settle, words
 from .components import components
 
 WIDTH, BANDS, ROWS, THRESHOLD, ROUNDS = 5, 28, 5, 0.8, 3
@@ -40,18 +41,34 @@ def _word_hash(word: str) -> int:
 _table = WordTable(_word_hash)
 
 
-def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of a text as 64-bit hashes, and how often each occurs."""
-    found = words(text or "")
-    if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    w = np.fromiter(map(_table.__getitem__, found), np.uint64, len(found))
-    width = min(WIDTH, len(w))
-    h = np.zeros(len(w) - width + 1, np.uint64)
+_chunks = ChunkTable(lambda chunks: [array("Q", map(_table.__getitem__, words(c))).tobytes() for c in chunks], "u8")
+
+
+def _hashes(w: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the `width` words from each place on."""
+    n = max(0, len(w) - width + 1)
+    h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(width):
-            h = mix64(h + w[i : len(w) - width + 1 + i] + _STEP)
-    return np.unique(h, return_counts=True)
+            h = mix64(h + w[i : i + n] + _STEP)
+    return h
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = np.sort(h)
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    return h[first], np.diff(np.append(first, len(h)))
+
+
+def shingle_sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of each text as 64-bit hashes, and how often each occurs."""
+    w, at = _chunks.encode(texts)
+    h = _hashes(w, WIDTH)
+    return [_distinct(h[i : j - WIDTH + 1] if j - i >= WIDTH else _hashes(w[i:j], int(j - i)) if j > i else w[:0]) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    return shingle_sets(pa.array([text], pa.string()))[0]
 
 
 def prob_minhash(elements: np.ndarray, weights: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -95,8 +112,7 @@ def similarity(a: str, b: str) -> float:
     return probability_jaccard(shingles(a), shingles(b))
 
 
-def band_keys(text: str | None) -> list[int] | None:
-    elements, weights = shingles(text)
+def band_keys(elements: np.ndarray, weights: np.ndarray) -> list[int] | None:
     if not len(elements):
         return None
     rows = prob_minhash(elements, weights).reshape(BANDS, ROWS)
@@ -113,12 +129,10 @@ def sketches(documents: DataFrame) -> DataFrame:
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_key"), "text")
 
     def sketch(batch: pa.RecordBatch) -> dict:
-        keys = batch["text_key"].to_pylist()
-        known: dict[str, list | None] = {}
-        for k, t in zip(keys, batch["text"].to_pylist(), strict=True):
-            if k not in known:
-                known[k] = band_keys(t)
-        return {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "bands": pa.array([known[k] for k in keys], pa.list_(pa.int64()))}
+        keys = batch["text_key"].dictionary_encode()
+        first = np.unique(keys.indices.to_numpy(), return_index=True)[1]  # equal texts once
+        bands = pa.array([band_keys(*s) for s in shingle_sets(batch["text"].take(pa.array(first)))], pa.list_(pa.int64()))
+        return {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "bands": bands.take(keys.indices)}
 
     return over_batches(rows, sketch, "doc_id long, text_key string, bands array<long>")
 

@@ -24,10 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TABLE_ENTRIES, over_batches, prepare
+from .common import TABLE_ENTRIES, ChunkTable, over_batches, prepare
 
 MARK = "▁"
 #: Fixed values of the format: piece types and model types.
@@ -122,25 +123,27 @@ class Rebuilt:
         ordinary = [x for x, _, t in p.pieces if t in (NORMAL, USER)]
         self.separable = not any("\n" in x or re.search(f"[^{MARK}]{MARK}", x) for x in ordinary)
         self.bytes = [bytes([int(x[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else x.encode() for x, _, t in p.pieces]
-        self.entries, self.known = entries, {}
-        self.chunk = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        normal = self.normalizer.normalize_str(text)
-        chunks = self.chunk.findall(normal) if self.separable else [normal]
-        missing = [c for c in set(chunks) if c not in self.known]
-        if missing:
-            if len(self.known) + len(missing) > self.entries:
-                self.known.clear()
-                missing = list(set(chunks))
-            for i in range(0, len(missing), 2048):
-                part = missing[i : i + 2048]
-                for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[c] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, chunks))
+        self.simple = not p.charsmap and not p.remove_extra and p.escape and p.dummy_prefix
+        self.table = ChunkTable(self._learn, "<u4", entries, self._parted)
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(chunks), 2048):
+            out += [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks[i : i + 2048], add_special_tokens=False)]
+        return out
+
+    def _parted(self, texts: pa.Array) -> pa.Array:
+        """Normalised texts with a blank behind each chunk; a model whose pieces forbid cuts keeps them whole."""
+        if self.simple:
+            marked = pc.replace_substring(texts, " ", MARK)
+            normal = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), marked, pa.scalar("", pa.large_string())))
+        else:
+            normal = pa.array([self.normalizer.normalize_str(t) if t else "" for t in texts.to_pylist()], pa.large_string())
+        return pc.replace_substring_regex(normal, f"({MARK}*[^{MARK}\n]+|{MARK}+|\n)", "\\1 ") if self.separable else normal
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's ids begin and end."""
+        return self.table.encode(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
@@ -171,14 +174,15 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = [t or "" for t in batch["text"].to_pylist()]
-        mine = [np.frombuffer(rebuilt(path).encode(t), "<u4").astype(np.int32) for t in texts]
-        theirs = _other(path).encode(texts, num_threads=1)
-        decoded = [rebuilt(path).decode(m) for m in mine]
-        same = [len(m) == len(o) and bool((m == np.array(o, np.int32)).all()) for m, o in zip(mine, theirs, strict=True)]
-        ends = np.concatenate([[0], np.cumsum([len(m) for m in mine])]).astype(np.int32)
-        flat = np.concatenate(mine) if mine else np.empty(0, np.int32)
-        return {"doc_id": batch["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "decoded": pa.array(decoded, pa.string()), "round_trip": pa.array([d == t for d, t in zip(decoded, texts, strict=True)]), "parity": pa.array(same, pa.bool_())}
+        model = rebuilt(path)
+        texts = batch["text"].fill_null("")
+        ids, at = model.encode(texts)
+        ids = ids.view(np.int32)
+        plain = texts.to_pylist()
+        decoded = [model.decode(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        theirs = _other(path).encode(plain, num_threads=1)
+        same = [np.array_equal(ids[i:j], o) for i, j, o in zip(at[:-1], at[1:], theirs, strict=True)]
+        return {"doc_id": batch["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), "decoded": pa.array(decoded, pa.string()), "round_trip": pa.array([d == t for d, t in zip(decoded, plain, strict=True)], pa.bool_()), "parity": pa.array(same, pa.bool_())}
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return over_batches(rows, run, "doc_id long, ids array<int>, decoded string, round_trip boolean, parity boolean")

@@ -16,14 +16,16 @@ whole. Null and empty texts have no segment and get the score of no evidence.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from array import array
+from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, over_batches, prepare, words
+from .common import ChunkTable, id_crc, over_batches, prepare, words
 
 SAMPLE, TOKENS = 20_000, 100_000
 PRIOR, Z, DRIFT = 0.5, 1.64, 0.5
@@ -59,22 +61,32 @@ class Model:
     scale: float = 1.0
     weights: tuple[float, float, float] = (-3.0, 1.0, 0.0)
 
-    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        tokens = words(text or "")
+    table: ChunkTable | None = field(default=None, repr=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}  # each worker fills its own
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
         get = self.scores.get
-        return len(tokens), segments(np.array([get(t, -DRIFT) for t in tokens], np.float64)) if tokens else []
+        return [array("d", [get(w, -DRIFT) for w in words(c)]).tobytes() for c in chunks]
+
+    def passages(self, texts: pa.Array) -> list[tuple[int, list[tuple[int, int, float]]]]:
+        """The number of tokens and the segments of each text."""
+        self.table = self.table or ChunkTable(self._learn, "f8")
+        scores, at = self.table.encode(texts)
+        return [(int(j - i), segments(scores[i:j])) for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def standard(self, score: float, n: int) -> float:
         return (score - self.location[0] - self.location[1] * math.log(n + 1)) / self.scale
 
-    def evidence(self, text: str | None) -> tuple[float, float, list[tuple[int, int, float]]]:
-        """The largest x, the sum of the significant ones, and those segments as (start, end, x)."""
-        n, found = self.passages(text)
-        if not found:
-            return 0.0, 0.0, []
-        x = [(a, b, self.standard(s, n)) for a, b, s in found]
-        kept = [s for s in x if s[2] >= SIGNIFICANT]
-        return max(0.0, max(s[2] for s in x)), math.log1p(sum(s[2] for s in kept)), kept
+    def evidence(self, texts: pa.Array) -> list[tuple[float, float, list[tuple[int, int, float]]]]:
+        """For each text the largest x, that of all significant segments, and those as (start, end, x)."""
+        out = []
+        for n, found in self.passages(texts):
+            x = [(a, b, self.standard(s, n)) for a, b, s in found]
+            kept = [s for s in x if s[2] >= SIGNIFICANT]
+            out.append((max([0.0, *(s[2] for s in x)]), math.log1p(sum(s[2] for s in kept)), kept))
+        return out
 
     def score(self, best: float, total: float) -> float:
         z = self.weights[0] + self.weights[1] * min(best, 30.0) + self.weights[2] * total
@@ -106,8 +118,8 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     def counted(batch: pa.RecordBatch) -> dict:
         by: dict[str, list[int]] = {}
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            for w in words(text):
-                by.setdefault(w, [0, 0])[toxic > 0] += 1
+            for w, n in Counter(words(text)).items():
+                by.setdefault(w, [0, 0])[toxic > 0] += n
         return {"token": pa.array(list(by), pa.string()), "clean": pa.array([v[0] for v in by.values()], pa.int64()), "toxic": pa.array([v[1] for v in by.values()], pa.int64())}
 
     counts = over_batches(marked, counted, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
@@ -126,7 +138,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     held = spark.sparkContext.broadcast(model)
 
     def maxima(batch: pa.RecordBatch) -> dict:
-        found = [held.value.passages(t) for t in batch["text"].to_pylist()]
+        found = held.value.passages(batch["text"])
         return {"toxic": batch["toxic"], "n": pa.array([n for n, _ in found], pa.int64()), "best": pa.array([max((s[2] for s in x), default=0.0) for _, x in found], pa.float64())}
 
     # At most `sample` rows of three numbers.
@@ -141,7 +153,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     held = spark.sparkContext.broadcast(model)
 
     def evidence(batch: pa.RecordBatch) -> dict:
-        found = [held.value.evidence(t)[:2] for t in batch["text"].to_pylist()]
+        found = held.value.evidence(batch["text"])
         return {"toxic": batch["toxic"], "best": pa.array([min(f[0], 30.0) for f in found], pa.float64()), "total": pa.array([f[1] for f in found], pa.float64())}
 
     fit = np.array([tuple(r) for r in over_batches(marked, evidence, "toxic int, best double, total double").collect()], np.float64)
@@ -163,7 +175,7 @@ def score(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = held.value
-        found = [m.evidence(t) for t in batch["_text"].to_pylist()]
+        found = m.evidence(batch["_text"])
         spans = [[{"start": a, "end": b, "x": x} for a, b, x in f[2]] for f in found]
         arrays = [batch[c] for c in columns] + [pa.array([m.score(*f[:2]) for f in found], pa.float64()), pa.array(spans, pa.list_(passage))]
         return pa.RecordBatch.from_arrays(arrays, names=[*columns, "score", "passages"])
