@@ -1,0 +1 @@
+"""Filters, statistics, search, index maintenance and message identity over DataFrames."""

@@ -1,0 +1 @@
+"""Views of the driver's tables in the mail shape, and the registered queries with their SQL."""

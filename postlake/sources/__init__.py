@@ -1,0 +1 @@
+"""Readers of mail containers."""
