@@ -81,16 +81,15 @@ def pieces(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece of every document."""
     prepare(documents.sparkSession)
     path = path or vocabulary()
-    end = np.array([END], "<u4").tobytes()
 
     def cut(batch: pa.RecordBatch) -> dict:
+        ids, bounds = encoder(path).with_end(batch["text"], END)
+        raw, bounds = ids.tobytes(), bounds.tolist()
         at, rows = [], []
-        for i, text in enumerate(batch["text"].to_pylist()):
-            ids = encoder(path).encode(text) + end
-            n = len(ids) // 4
-            for start, length in cuts(n):
+        for i, (first, last) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            for start, length in cuts(last - first):
                 at.append(i)
-                rows.append((start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
+                rows.append((start, length, zlib.crc32(raw[4 * (first + start) : 4 * (first + start + length)]), last - first))
         start, length, crc, n = zip(*rows, strict=True) if rows else ([], [], [], [])
         return {"doc_id": batch["doc_id"].take(pa.array(at, pa.int64())), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(n, pa.int64())}
 

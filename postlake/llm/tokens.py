@@ -1,9 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded table of whitespace-free chunks.
+"""Token ids of whole texts by the tokenizers library, with a bounded table of white-space-free chunks.
 
 The pre-tokenizer of ``word_bpe_49k.json`` drops white space and never joins across it, and its normaliser
 works within white-space-free runs. So a text's ids are those of its chunks between blanks and line feeds,
-one after another. Most chunks repeat, and each worker keeps the ids of those it has seen, as little-endian
-unsigned 32-bit bytes, in a table of at most TABLE_ENTRIES entries.
+one after another. Unknown chunks are encoded by the library. A chunk of letters with one mark behind it is
+the two in a row, as the pre-tokenizer parts letters from marks; words of letters alone go through the library's
+normaliser, byte alphabet and model one step after another; everything else passes through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-from .common import TABLE_ENTRIES
+from .common import ChunkTable
 
-#: Texts of one call to the library.
-CALL = 2048
+#: Chunks that a worker keeps, at about 250 bytes each.
+ENTRIES = 1 << 19
+MARKS = ".,;:!?"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -26,31 +29,47 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, entries: int = TABLE_ENTRIES):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.entries, self.known = Tokenizer.from_file(path), entries, {}
-
-    def _learn(self, missing: list[str]) -> None:
-        for i in range(0, len(missing), CALL):
-            part = missing[i : i + CALL]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.asarray(found.ids, "<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """All ids of the text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        chunks = text.replace("\n", " ").split(" ")
-        known = self.known
-        missing = [c for c in set(chunks) if c not in known]
-        if missing:
-            if len(known) + len(missing) > self.entries:
-                known.clear()
-                missing = list(set(chunks))
-            self._learn(missing)
-        return b"".join(map(known.__getitem__, chunks))
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = ChunkTable(self._learn, "<u4", ENTRIES)
+        self.marks = dict(zip(MARKS, self._each(list(MARKS)), strict=True))
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are letters after normalisation: one word each to the pre-tokenizer."""
+        tokenize, spell = self.tokenizer.model.tokenize, self.alphabet.pre_tokenize_str
+        return {w: np.array([t.id for t in tokenize(n if n.isascii() else spell(n)[0][0])], "<u4").tobytes() for w in words if (n := self._normal(w)).isalpha()}
+
+    def _normal(self, word: str) -> str:
+        return word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        base = [c[:-1] if len(c) > 1 and c[-1] in self.marks and c[:-1].isalpha() else c for c in chunks]
+        base = [b.lower() if b.isascii() and b.isalpha() else b for b in base]
+        known = self.table.known
+        letters = {b: known[b] for b in set(base) if b in known}
+        letters |= self._letters(list({b for b in base if b not in letters and b.isalpha()}))
+        other = list({b for b in base if b not in letters})
+        letters.update(zip(other, self._each(other), strict=True))
+        return [letters[b] + (self.marks[c[-1]] if len(b) < len(c) else b"") for b, c in zip(base, chunks, strict=True)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's ids begin and end."""
+        return self.table.encode(texts)
+
+    def encode_one(self, text: str | None) -> np.ndarray:
+        return self.encode(pa.array([text], pa.string()))[0]
+
+    def with_end(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same with an end id behind each text."""
+        ids, at = self.encode(texts)
+        return np.insert(ids, at[1:], np.uint32(end)).astype("<u4"), at + np.arange(len(at))
 
 
 @lru_cache(maxsize=2)
