@@ -11,18 +11,25 @@ from postlake.llm import langid, minhash, packing, toxicity
 from postlake.llm.common import new_path, prepare, table
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The same columns under names that no stage uses, and the text's."""
+    return docs.toDF(*[f"column{i}" for i in range(len(docs.columns))]), f"column{docs.columns.index('text')}"
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: no letters, or n-grams that no learned profile has."""
+    """Drops documents of no language: without a letter, or with n-grams that no learned profile has."""
     prepare(spark)
-    found = langid.identify(docs, langid.trained(docs), docs.columns)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    rows, text = _numbered(docs)
+    found = langid.identify(rows, langid.trained(docs), rows.columns, text)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(rows.columns).toDF(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score is 0.5 or more."""
     prepare(spark)
+    rows, text = _numbered(docs)
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns).where("score < 0.5").select(docs.columns)
+    return toxicity.score(rows, model, rows.columns, text).where("score < 0.5").select(rows.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

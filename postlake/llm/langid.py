@@ -110,19 +110,19 @@ def learn(documents: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     return {k: np.array(v, np.uint64) for k, v in profiles.items()}
 
 
-def identify(documents: DataFrame, profiles: dict[str, np.ndarray], columns: list[str]) -> DataFrame:
-    """The columns, lang_pred and score of every row; columns mustn't include the text itself unless it's wanted."""
+def identify(documents: DataFrame, profiles: dict[str, np.ndarray], columns: list[str], text: str = "text") -> DataFrame:
+    """The columns, lang_pred and score of every row."""
     prepare(documents.sparkSession)
     ranker = Ranker(profiles)
-    wanted = documents.select(*columns, F.col("text").alias("_text"))
+    wanted = documents.select(*columns, *[text] * (text not in columns))
 
     def predicted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [ranker.predict(t) for t in batch["_text"].to_pylist()]
+        found = [ranker.predict(t) for t in batch[text].to_pylist()]
         arrays = [batch[c] for c in columns] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
         return pa.RecordBatch.from_arrays(arrays, names=[*columns, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1])
-    return over_batches(wanted, predicted, f"{fields}, lang_pred string, score double")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[: len(columns)]]
+    return over_batches(wanted, predicted, ", ".join([*fields, "lang_pred string", "score double"]))
 
 
 def trained(documents: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:

@@ -166,19 +166,19 @@ def trained(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mo
     return learn(documents, labels.where(F.pmod(id_crc(), F.lit(5)) != 0), sample)
 
 
-def score(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+def score(documents: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
     """The columns, score, and the significant passages as (first word, end word, x) of every row."""
     spark = prepare(documents.sparkSession)
     held = spark.sparkContext.broadcast(model)
-    wanted = documents.select(*columns, F.col("text").alias("_text"))
+    wanted = documents.select(*columns, *[text] * (text not in columns))
     passage = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("x", pa.float64())])
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = held.value
-        found = m.evidence(batch["_text"])
+        found = m.evidence(batch[text])
         spans = [[{"start": a, "end": b, "x": x} for a, b, x in f[2]] for f in found]
         arrays = [batch[c] for c in columns] + [pa.array([m.score(*f[:2]) for f in found], pa.float64()), pa.array(spans, pa.list_(passage))]
         return pa.RecordBatch.from_arrays(arrays, names=[*columns, "score", "passages"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1])
-    return over_batches(wanted, scored, f"{fields}, score double, passages array<struct<start:int,end:int,x:double>>")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[: len(columns)]]
+    return over_batches(wanted, scored, ", ".join([*fields, "score double", "passages array<struct<start:int,end:int,x:double>>"]))
