@@ -76,7 +76,8 @@ class RowFilter:
     def date_part(self) -> Column | None:
         """Inclusive on both sides; rows without a date only pass where there is no bound."""
         since, until = listing_bound(self.since), listing_bound(self.until, end=True)
-        parts = [F.col("date") >= timestamp(since)] * (since is not None) + [F.col("date") <= timestamp(until)] * (until is not None)
+        parts = [F.col("date") >= timestamp(since)] if since else []
+        parts += [F.col("date") <= timestamp(until)] if until else []
         return reduce(lambda a, b: a & b, parts) if parts else None
 
     def compile(self, columns: list[str]) -> Column:

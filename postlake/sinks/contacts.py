@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import first_of, vcard_escape
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(card: pd.Series) -> pd.Series:
     """Lines over 75 octets are continued after a blank; characters stay whole."""
 

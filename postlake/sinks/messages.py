@@ -60,7 +60,7 @@ def as_eml(rows: DataFrame) -> DataFrame:
 
 def as_mbox(rows: DataFrame) -> DataFrame:
     """One entry of an mbox: separator, content with quoted From lines, an empty line."""
-    text = F.decode("content", "utf-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     stamp = F.coalesce(F.date_format("date", "EEE MMM dd HH:mm:ss yyyy"), F.lit("Thu Jan 01 00:00:00 1970"))
     return rows.withColumn("content", F.concat(F.lit("From - "), stamp, F.lit("\n"), F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "(?m)^(>*From )", ">$1"), F.lit("\n\n")))
 
