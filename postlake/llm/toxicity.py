@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import ChunkTable, id_crc, over_batches, prepare, words
 
 SAMPLE, TOKENS = 20_000, 100_000
-PRIOR, Z, DRIFT = 0.5, 1.64, 0.5
+PRIOR, Z, DRIFT = 0.5, 1.0, 1.0
 SIGNIFICANT = 3.0
 EULER = 0.5772156649015329
 
