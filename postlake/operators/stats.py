@@ -109,3 +109,15 @@ def compute(listing: DataFrame, attachments: DataFrame | None = None, top: int =
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def index_totals(messages: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Sources, messages, attachments and their bytes, and messages with attachments, of an index."""
+    m = messages.agg(F.count_distinct("source_name").alias("sources"), F.count("*").alias("messages"), _n(F.coalesce(F.sum("size"), F.lit(0))).alias("bytes"))
+    a = attachments.agg(F.count("*").alias("attachments"), F.count_distinct("nid").alias("with_attachments"))
+    return m.join(a)  # one row each
+
+
+def fingerprints(messages: DataFrame) -> DataFrame:
+    """What tells whether a source has changed: its messages, bytes and latest date."""
+    return messages.groupBy("source_name").agg(F.count("*").alias("messages"), _size(), F.max("date").alias("latest"))

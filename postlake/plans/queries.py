@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dates, message
 from ..functions import text as T
 from ..operators import filters, index, search, stats
 from ..operators.filters import RowFilter
@@ -402,6 +403,122 @@ def output_paths(spark, d):
     return paths(rows, "eml").select("nid", "path")
 
 
+# Derived columns of messages
+
+@_add("clean_subjects", f"WITH {DOCS} SELECT id, trim(translate(substring(chr(1) || 'R' || subject || chr(13) || chr(10) || folder, 3), chr(13) || chr(10), '  ')) AS subject, CASE WHEN id % 3 = 0 THEN '' ELSE folder END AS junk FROM docs")
+def clean_subjects(spark, d):
+    rows = docs(spark, d).withColumn("raw", F.concat(F.lit("\x01R"), "subject", F.lit("\r\n"), "folder"))
+    junk = F.concat(F.when(F.col("id") % 3 == 0, F.lit("\x02")).otherwise(""), "folder")
+    return rows.select("id", T.clean_subject(F.col("raw")).alias("subject"), T.clean_text(junk).alias("junk"))
+
+
+PEOPLE = _listing_sql("SELECT nid, CASE WHEN nid % 3 = 0 THEN sender_email ELSE sender || ' <' || sender_email || '>' END AS sender, CASE WHEN nid % 2 = 0 THEN sender_email ELSE sender END AS address, sender || ' <' || sender_email || '>; copy@example.com' AS recipients, 'copy@example.com' AS cc FROM listing")
+
+
+@_add("people", PEOPLE)
+def people(spark, d):
+    rows = listing(spark, d)
+    name = F.when(F.col("nid") % 3 == 0, F.upper("sender_email")).otherwise(F.col("sender"))
+    who = F.struct(F.lit("To").alias("kind"), F.col("sender").alias("name"), F.col("sender_email").alias("email"))
+    copy = F.struct(F.lit("Cc").alias("kind"), F.lit("").alias("name"), F.lit("copy@example.com").alias("email"))
+    found = F.array(who, copy)
+    shown = message.sender(name, F.col("sender_email"))
+    return rows.select("nid", F.when(F.col("nid") % 3 == 0, F.lower(shown)).otherwise(shown).alias("sender"), message.best_address(F.col("sender"), F.when(F.col("nid") % 2 == 0, F.col("sender_email"))).alias("address"), message.recipients_text(found).alias("recipients"), message.recipients_of(found, "Cc").alias("cc"))
+
+
+@_add("flags", "SELECT o_orderkey AS nid, (o_orderkey % 16) & 1 <> 0 AS is_read, (o_orderkey % 16) & 8 <> 0 AS deleted, CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN 2 WHEN left(o_orderpriority, 1) IN ('4', '5') OR o_orderpriority ILIKE 'low%' THEN 0 WHEN o_orderpriority ILIKE 'high%' OR o_orderpriority ILIKE 'urgent%' THEN 2 ELSE 1 END AS importance FROM orders")
+def flags(spark, d):
+    status = F.lpad(F.hex(F.col("o_orderkey") % 16), 4, "0")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("nid"), message.mozilla_bit(status, 1).alias("is_read"), message.mozilla_bit(status, 8).alias("deleted"), message.importance(F.col("o_orderpriority")).alias("importance"))
+
+
+@_add("filled_listing", f"WITH {LISTING} SELECT l.nid, CASE WHEN l.nid % 4 = 0 THEN c.c_name ELSE l.sender END AS sender FROM listing l JOIN orders o ON o.o_orderkey = l.nid JOIN customer c ON c.c_custkey = o.o_custkey")
+def filled_listing(spark, d):
+    rows = listing(spark, d).select("nid", F.when(F.col("nid") % 4 != 0, F.col("sender")).otherwise("").alias("sender"))
+    opened = listing(spark, d).select("nid", "sender")
+    return message.filled(rows, opened, "nid", ["sender"])
+
+
+@_add("property_rows", "SELECT event_id, 'k' AS name, CAST(json_extract_string(props, '$.k') AS BIGINT) AS value FROM events")
+def property_rows(spark, d):
+    rows = table(spark, d, "events").withColumn("bag", F.from_json("props", "map<string, bigint>"))
+    return message.properties(rows, "event_id", "bag")
+
+
+@_add("named_properties", "SELECT n_name AS label, count(*) AS n FROM (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS value FROM events) LEFT JOIN nation ON n_nationkey = value GROUP BY 1")
+def named_properties(spark, d):
+    names = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("value"), F.col("n_name").alias("label"))
+    return message.named(property_rows(spark, d), names, ["value"]).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@_add("stored_dates", "SELECT o_orderkey AS nid, make_timestamp(CAST(o_orderkey * 86400000000 AS BIGINT)) AS filed, CAST(make_timestamp(CAST(o_orderkey * 86400000000 AS BIGINT)) + INTERVAL 12 HOURS AS DATE) AS day FROM orders WHERE o_orderkey < 20000")
+def stored_dates(spark, d):
+    rows = table(spark, d, "orders").where("o_orderkey < 20000")
+    ticks = F.col("o_orderkey") * 864_000_000_000 + 116444736000000000
+    filed = dates.filetime(ticks)
+    return rows.select(F.col("o_orderkey").alias("nid"), filed.cast("timestamp_ntz").alias("filed"), dates.birthday(filed).alias("day"))
+
+
+@_add("contact_table", "SELECT c_custkey, c_name AS business_phone, CAST(c_nationkey AS VARCHAR) AS business_phone2, c_mktsegment AS mobile_phone, '' AS home_phone, c_name || '@example.com' AS email1, '' AS email2, c_mktsegment || ', ' || c_nationkey AS address FROM customer")
+def contact_table(spark, d):
+    from ..sinks.contacts import address_line, email_columns, phone_columns
+
+    phone = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("number"))
+    phones = phone_columns(F.array(phone("work", F.col("c_name")), phone("cell", F.col("c_mktsegment")), phone("work", F.col("c_nationkey"))))
+    emails = email_columns(F.array(F.concat("c_name", F.lit("@example.com"))))
+    empty = F.lit("")
+    address = F.struct(empty.alias("po_box"), F.col("c_mktsegment").alias("street"), empty.alias("city"), empty.alias("state"), F.col("c_nationkey").cast("string").alias("postcode"), empty.alias("country"))
+    return table(spark, d, "customer").select("c_custkey", *[phones[c].alias(c) for c in ("business_phone", "business_phone2", "mobile_phone", "home_phone")], *[emails[c].alias(c) for c in ("email1", "email2")], address_line(address).alias("address"))
+
+
+# Totals and joins of the index
+
+@_add("index_totals", f"WITH {LISTING}, {ATTACHMENTS} SELECT (SELECT count(DISTINCT source_name) FROM listing) AS sources, (SELECT count(*) FROM listing) AS messages, (SELECT CAST(sum(size) AS BIGINT) FROM listing) AS bytes, count(*) AS attachments, count(DISTINCT nid) AS with_attachments FROM attachments")
+def index_totals(spark, d):
+    return stats.index_totals(listing(spark, d), attachments(spark, d))
+
+
+@_add("source_fingerprints", _listing_sql("SELECT source_name, count(*) AS messages, CAST(sum(size) AS BIGINT) AS size, max(date) AS latest FROM listing GROUP BY 1"))
+def source_fingerprints(spark, d):
+    return stats.fingerprints(listing(spark, d))
+
+
+@_add("hits_by_source", f"WITH {NORMS} SELECT source_name, count(*) AS hits, CAST(sum(chars) AS BIGINT) AS chars, count(*) FILTER (quality = 1) AS good FROM norms JOIN (SELECT source AS source_name, sum(n_chars) AS chars FROM documents GROUP BY 1) USING (source_name) LEFT JOIN (SELECT doc_id AS id, max(quality) AS quality FROM labels GROUP BY 1) USING (id) WHERE {ANY.format(' licensed ')} GROUP BY 1")
+def hits_by_source(spark, d):
+    rows = docs(spark, d)
+    sources = table(spark, d, "documents").groupBy(F.col("source").alias("source_name")).agg(F.sum("n_chars").alias("chars"))
+    labels = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
+    hits = search.find(rows, "licensed").join(sources, "source_name").join(labels, "id", "left")
+    return hits.groupBy("source_name").agg(F.count("*").alias("hits"), F.sum("chars").alias("chars"), F.count_if(F.col("quality") == 1).alias("good"))
+
+
+@_add("export_index", _listing_sql("SELECT source_name AS file, folder, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, sender AS \"from\", '' AS \"to\", subject, size, '' AS attachments, '' AS message_id, message_class, '' AS exported_as FROM listing"))
+def export_index(spark, d):
+    from ..sinks.messages import index_rows
+
+    return index_rows(listing(spark, d))
+
+
+@_add("header_blocks", _listing_sql("SELECT nid, 'From: ' || sender || chr(10) || 'Date: ' || strftime(date, '%Y-%m-%d %H:%M:%S') || chr(10) || 'Subject: ' || subject AS head FROM listing"))
+def header_blocks(spark, d):
+    from ..sinks.messages import header_block
+
+    rows = listing(spark, d)
+    return rows.select("nid", header_block(rows.columns).alias("head"))
+
+
+@_add("inline_links", "SELECT page_id, contains(html, url) AS linked FROM pages")
+def inline_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.contains("html", F.col("url")).alias("linked"))
+
+
+@_add("hits_json")
+def hits_json(spark, d):
+    from ..sinks.messages import hits_json as as_json
+
+    return as_json(search.with_snippets(search.ranked(docs(spark, d), "licensed", limit=100), "licensed"))
+
+
 # Time windows over the event stream's table (extensions; the reference has no streams)
 
 @_add("window_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -68,3 +68,30 @@ def write_cards(cards: DataFrame, path: str) -> None:
 
 def write_table(contacts: DataFrame, path: str) -> None:
     contacts.write.option("header", True).csv(path)
+
+
+# Which phone of which kind goes to which column of the table.
+PHONES = {
+    "business_phone": ("work", 0), "business_phone2": ("work", 1), "home_phone": ("home", 0), "home_phone2": ("home", 1), "mobile_phone": ("cell", 0), "primary_phone": ("pref", 0),
+    "other_phone": ("voice", 0), "pager": ("pager", 0), "business_fax": ("work,fax", 0), "home_fax": ("home,fax", 0), "company_phone": ("work,voice", 0), "assistant_phone": ("assistant", 0),
+}
+ADDRESS_PARTS = ["street", "city", "state", "postcode", "country", "po_box"]
+
+
+def phone_columns(phones: Column) -> dict[str, Column]:
+    """The phones of a contact (array of struct<kind, number>) by the table's columns; absent ones are empty."""
+
+    def phone(kind: str, n: int) -> Column:
+        return F.coalesce(F.get(F.filter(phones, lambda p: p["kind"] == kind), F.lit(n))["number"], F.lit(""))
+
+    return {name: phone(kind, n) for name, (kind, n) in PHONES.items()}
+
+
+def email_columns(emails: Column) -> dict[str, Column]:
+    return {f"email{i + 1}": F.coalesce(F.get(emails, F.lit(i)), F.lit("")) for i in range(3)}
+
+
+def address_line(address: Column) -> Column:
+    """One line of an address struct: box, street, city, state, postcode, country; empty parts left out."""
+    parts = F.array(*[F.coalesce(F.replace(address[p], F.lit("\n"), F.lit(", ")), F.lit("")) for p in ("po_box", "street", "city", "state", "postcode", "country")])
+    return F.array_join(F.filter(parts, lambda p: p != ""), ", ")
