@@ -54,7 +54,8 @@ def search_bound(text: str, end: bool) -> dt.datetime | None:
 
 
 def timestamp(d: dt.datetime) -> Column:
-    return F.lit(d.isoformat(sep=" ")).cast("timestamp")
+    """A literal that takes the type of the date column it is compared with, so that the filter reaches the scan."""
+    return F.lit(d.isoformat(sep=" "))
 
 
 def filetime(ticks: Column) -> Column:
