@@ -507,6 +507,14 @@ def header_blocks(spark, d):
     return rows.select("nid", header_block(rows.columns).alias("head"))
 
 
+@_add("attachment_formats", f"WITH {ATTACHMENTS} SELECT CASE WHEN filename LIKE '%.pdf' THEN 'pdf' WHEN filename LIKE '%.png' THEN 'image' ELSE 'other' END AS format, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM attachments GROUP BY 1")
+def attachment_formats(spark, d):
+    from ..sources.extract import content_kind
+
+    kind = content_kind(F.lit(None).cast("binary"), F.col("filename"), F.lit(""))
+    return attachments(spark, d).groupBy(kind.alias("format")).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+
+
 @_add("inline_links", "SELECT page_id, contains(html, url) AS linked FROM pages")
 def inline_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.contains("html", F.col("url")).alias("linked"))

@@ -1,14 +1,17 @@
-"""Text of attachments: Office documents, OpenDocument, ZIP archives, HTML, mail and plain text.
+"""Text of attachments: Office documents, OpenDocument, ZIP archives, RTF, PDF, mail, HTML and plain text.
 
-Markup of text formats is stripped by column expressions; only opening archives needs Python, in Arrow batches.
-Unknown formats, attachments over MOST bytes and broken files give an empty text.
+What an attachment is, and everything about text formats, are column expressions; only formats whose bytes must
+be opened go through Python, in Arrow batches. Attachments over MOST bytes and broken ones give an empty text.
 """
 
 from __future__ import annotations
 
+import email
+import html
 import io
 import re
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,62 +20,162 @@ from pyspark.sql.types import StringType
 
 from ..functions.text import extension, html_to_text
 
-MOST, MEMBER, TEXT, DEPTH = 60 << 20, 16 << 20, 400_000, 2
+MOST, MEMBER, TEXT, DEPTH = 60 << 20, 16 << 20, 400_000, 3
 #: Where the formats keep their text.
-OFFICE = {"docx": r"word/document\.xml$", "pptx": r"ppt/slides/slide\d+\.xml$", "xlsx": r"xl/(sharedStrings|worksheets/sheet\d+)\.xml$", "odt": r"content\.xml$", "ods": r"content\.xml$", "odp": r"content\.xml$"}
+OFFICE = {"docx": r"word/document\.xml$", "pptx": r"ppt/slides/slide\d+\.xml$", "xlsx": r"xl/(sharedStrings|worksheets/sheet\d+)\.xml$", "odf": r"content\.xml$"}
+# Extensions by format.
+FORMATS = {"docx": "docx docm dotx", "xlsx": "xlsx xlsm xltx", "pptx": "pptx pptm potx", "odf": "odt ods odp"}
+HTML = "html htm xhtml mht mhtml".split()
+PLAIN = "txt md markdown csv tsv json xml log ini cfg conf yaml yml py js ts css sql sh bat ps1 cmd ics vcf vcard tex rst nfo srt c h cpp java cs go rb php pl toml properties diff patch".split()
+IMAGES = "png jpg jpeg gif bmp tif tiff webp heic heif svg ico psd raw cr2 nef".split()
+#: Destinations of RTF that hold no text of the document (from the format's specification).
+SILENT = "fonttbl colortbl stylesheet info pict object header footer headerl headerr headerf footerl footerr footerf footnote generator listtable listoverridetable revtbl fldinst pntext themedata datastore".split()
+RTF = re.compile(rb"\\'([0-9a-fA-F]{2})|\\u(-?\d+) ?|\\([a-zA-Z]+)(-?\d+)? ?|\\(.)|([{}])|([^\\{}\r\n]+)", re.S)
+
+
+def content_kind(data: Column, name: Column, mime: Column) -> Column:
+    """msg, ole, pdf, docx, xlsx, pptx, odf, zip, rtf, eml, html, text, image or other, by first bytes, name and type."""
+    ext, mime = extension(name), F.coalesce(mime, F.lit(""))
+    head = F.hex(F.substring(F.coalesce(data, F.lit(b"")), 1, 8))
+    packed = F.startswith(head, F.lit("504B"))
+    kind = F.when(head == "D0CF11E0A1B11AE1", F.when(ext.isin("msg", "oft", ""), "msg").otherwise("ole"))
+    kind = kind.when(F.startswith(head, F.lit("25504446")) | (ext == "pdf") | (mime == "application/pdf"), "pdf")
+    for k, found in FORMATS.items():
+        kind = kind.when(packed & ext.isin(found.split()), k)
+    return (
+        kind.when(packed, "zip").when((ext == "rtf") | F.startswith(head, F.lit("7B5C727466")), "rtf").when(ext.isin("eml", "emlx") | (mime == "message/rfc822"), "eml")
+        .when(ext.isin(HTML) | (mime == "text/html"), "html").when(ext.isin(PLAIN) | F.startswith(mime, F.lit("text/")), "text")
+        .when(ext.isin(IMAGES) | F.startswith(mime, F.lit("image/")), "image").when(ext.isin("doc", "xls", "ppt"), "ole").otherwise("other")
+    )
 
 
 def _xml(data: bytes) -> str:
     s = data.decode("utf-8", "replace")
     s = re.sub(r"</(w:p|a:p|text:p|text:h|si|row)>|<w:br/>|<text:line-break/>", "\n", s)
     s = re.sub(r"</(w:tc|c)>|<w:tab/>", "\t", s)
-    import html
-
     return html.unescape(re.sub(r"<[^>]+>", "", s))
 
 
-def archive_text(data: bytes, ext: str, depth: int = 0) -> str:
+def _archive(data: bytes, kind: str, depth: int) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = [i.filename for i in z.infolist() if i.file_size <= MEMBER]
-        if ext in OFFICE:
-            number = lambda n: [int(x) for x in re.findall(r"\d+", n)]
-            return "\n".join(_xml(z.read(n)) for n in sorted(filter(re.compile(OFFICE[ext]).search, names), key=lambda n: (n.rpartition("/")[0], number(n))))
-        out = []
-        for n in names:
-            inner = n.rpartition(".")[2].lower()
-            out.append(n)
-            if inner in (*OFFICE, "zip") and depth < DEPTH:
-                out.append(archive_text(z.read(n), inner, depth + 1))
-            elif inner in ("txt", "md", "csv", "log"):
-                out.append(z.read(n).decode("utf-8", "replace"))
-        return "\n".join(out)
-
-
-@F.pandas_udf(StringType())
-def _archives(data: pd.Series, ext: pd.Series) -> pd.Series:
-    def one(d, e):
+        names = [i.filename for i in z.infolist() if i.file_size <= MEMBER and not i.is_dir()]
+        if kind in OFFICE:
+            numbers = lambda n: [int(x) for x in re.findall(r"\d+", n)]
+            return "\n".join(_xml(z.read(n)) for n in sorted(filter(re.compile(OFFICE[kind]).search, names), key=lambda n: (n.rpartition("/")[0], numbers(n))))
+        return "\n".join(f"{n}\n{opened(z.read(n), _named(n), depth + 1)}".strip() for n in names) if depth < 2 else ""
+
+
+def _named(name: str) -> str:
+    ext = name.rpartition(".")[2].lower()
+    return next((k for k, found in FORMATS.items() if ext in found.split()), ext if ext in ("zip", "rtf", "pdf", "eml") else "html" if ext in HTML else "text" if ext in PLAIN else "other")
+
+
+def rtf_text(data: bytes) -> str:
+    """The text of an RTF document; groups of SILENT or starred destinations are left out."""
+    page = re.search(rb"\\ansicpg(\d+)", data)
+    codec, out, held, silent, width, drop = f"cp{page[1].decode()}" if page else "cp1252", [], [], False, 1, 0
+    for m in RTF.finditer(data):
+        code, point, word, number, sign, brace, plain = m.groups()
+        if brace == b"{":
+            held.append((silent, width))
+        elif brace:
+            silent, width = held.pop() if held else (False, 1)
+        elif sign == b"*" or word and word.decode() in SILENT:
+            silent = True
+        elif word == b"uc":
+            width = int(number or 1)
+        elif silent:
+            continue
+        elif word:
+            out.append("\n" if word in (b"par", b"line", b"sect", b"page", b"row") else "\t" if word in (b"tab", b"cell") else "")
+        elif point:
+            out.append(chr(int(point) % 65536))
+            drop = width
+        elif code and drop:
+            drop -= 1
+        elif code:
+            out.append(bytes([int(code, 16)]).decode(codec, "replace"))
+        elif sign:
+            out.append({b"~": " ", b"_": "-", b"\n": "\n"}.get(sign, sign.decode("latin-1") if sign in b"\\{}" else ""))
+        else:
+            out.append(plain[drop:].decode(codec, "replace"))
+            drop = 0
+    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip()
+
+
+def pdf_text(data: bytes) -> str:
+    """Strings that text operators of a PDF show; pages whose fonts have their own codes are left out as unreadable."""
+    out = []
+    for m in re.finditer(rb"stream\r?\n(.*?)endstream", data, re.S):
         try:
-            return archive_text(d, e)[:TEXT]
-        except (zipfile.BadZipFile, ValueError, KeyError, RuntimeError, NotImplementedError, EOFError, OSError):
+            body = zlib.decompressobj().decompress(m[1], MEMBER)
+        except zlib.error:
+            body = m[1]
+        for block in re.findall(rb"\bBT\b(.*?)\bET\b", body, re.S):
+            shown = re.sub(rb"\\([nrtbf()\\]|[0-7]{1,3})", _escape, b"".join(b" " if s[1] else s[0] for s in re.findall(rb"\(((?:\\.|[^\\()])*)\)|(T[d*D]|TJ|Tj|')", block, re.S)))
+            out.append(re.sub(r"\s+", " ", shown.decode("cp1252", "replace")).strip())
+    text = "\n".join(filter(None, out))
+    return text if text and sum(c.isprintable() or c.isspace() for c in text) >= 0.9 * len(text) else ""
+
+
+def _escape(m: re.Match) -> bytes:
+    s = m[1]
+    return bytes([int(s, 8) & 255]) if s.isdigit() else {b"n": b"\n", b"r": b"\n", b"t": b"\t", b"b": b"", b"f": b""}.get(s, s)
+
+
+def mail_text(data: bytes, depth: int) -> str:
+    """Headers, bodies and attachments of an attached message."""
+    from .mime import decoded, header, header_filename, leaves
+
+    m = email.message_from_bytes(data)
+    out = [header(m, h) for h in ("Subject", "From", "To")]
+    for part in leaves(m):
+        name, body = header_filename(part), part.get_payload(decode=True) or b""
+        if name or part.get_content_disposition() == "attachment":
+            out.append(f"{name}\n{opened(body, _named(name), depth + 1)}".strip())
+        elif part.get_content_maintype() == "text":
+            s = decoded(body, part.get_content_charset())
+            out.append(html.unescape(re.sub("<[^>]+>", " ", s)) if part.get_content_subtype() == "html" else s)
+    return "\n".join(filter(None, out))
+
+
+def opened(data: bytes, kind: str, depth: int = 0) -> str:
+    """The text of one attachment that must be opened; a broken one has none."""
+    try:
+        if len(data) > MOST:
             return ""
+        if kind in (*OFFICE, "zip"):
+            return _archive(data, kind, depth)
+        if kind == "eml":
+            return mail_text(data, depth) if depth < DEPTH else ""
+        if kind in ("text", "html"):
+            s = data.decode("utf-8", "replace")
+            return html.unescape(re.sub(r"(?s)<(script|style).*?</\1>|<[^>]+>", " ", s)) if kind == "html" else s
+        return {"rtf": rtf_text, "pdf": pdf_text}.get(kind, lambda _: "")(data)
+    except Exception:  # whatever a broken file brings about; its name is indexed all the same
+        return ""
 
-    return pd.Series([one(d, e) for d, e in zip(data, ext, strict=True)], dtype=object)
+
+@F.pandas_udf(StringType())
+def _opened(data: pd.Series, kind: pd.Series) -> pd.Series:
+    return pd.Series([opened(d, k)[:TEXT].replace("\x00", "") if d is not None else "" for d, k in zip(data, kind, strict=True)], dtype=object)
 
 
-def attachment_text(data: Column, name: Column) -> Column:
-    """The text of one attachment by its extension."""
-    ext, small = extension(name), F.octet_length(data) <= MOST
+def attachment_text(data: Column, name: Column, mime: Column | None = None) -> Column:
+    """The text of one attachment; of old binary Office files the runs of six or more readable characters."""
+    kind, small = content_kind(data, name, F.lit("") if mime is None else mime), F.octet_length(data) <= MOST
     plain = F.make_valid_utf8(data.cast("string"))
+    runs = F.array_join(F.regexp_extract_all(F.make_valid_utf8(F.substring(data, 1, 4_000_000).cast("string")), F.lit("[\\x20-\\x7e]{6,}"), F.lit(0)), "\n")
     return (
-        F.when(~small | data.isNull(), "").when(ext.isin(*OFFICE, "zip"), _archives(data, ext)).when(ext.isin("html", "htm"), html_to_text(plain))
-        .when(ext.isin("txt", "md", "csv", "log", "eml", "ics"), plain).otherwise("")
+        F.when(~small | data.isNull(), "").when(kind.isin(*OFFICE, "zip", "rtf", "pdf", "eml"), _opened(data, kind)).when(kind == "html", html_to_text(plain))
+        .when(kind == "text", F.substring(F.replace(plain, F.lit("\ufeff"), F.lit("")), 1, TEXT)).when(kind == "ole", F.substring(runs, 1, TEXT)).otherwise("")
     )
 
 
 def with_attachment_text(messages: DataFrame) -> DataFrame:
     """Messages whose `attachments` is the text the index holds: a bullet and the name before each text."""
     a = messages.select("source_name", "nid", F.posexplode("attachments").alias("i", "a"))
-    text = attachment_text(F.col("a.data"), F.col("a.filename"))
+    text = attachment_text(F.col("a.data"), F.col("a.filename"), F.col("a.mime"))
     a = a.select("source_name", "nid", "i", F.col("a.filename").alias("filename"), text.alias("text")).where("text != ''")
     piece = F.struct("i", F.concat(F.lit("• "), "filename", F.lit("\n"), "text").alias("t"))
     # A group is one message's attachments.

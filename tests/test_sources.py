@@ -1,5 +1,6 @@
 import io
 import zipfile
+import zlib
 from email.message import EmailMessage
 
 import pytest
@@ -61,7 +62,10 @@ def test_attachment_text_is_searchable(spark, tmp_path):
 
 @pytest.mark.parametrize(("name", "data", "want"), [
     ("a.xlsx", office("xl/sharedStrings.xml", "<si><t>Alpha</t></si><si><t>42</t></si>"), "Alpha\n42"), ("b.zip", office("notes.txt", "secret phrase"), "notes.txt\nsecret phrase"),
-    ("c.html", b"<p>Para <b>one</b></p><script>x</script>", "Para one"), ("d.pdf", b"%PDF junk", ""), ("e.docx", b"not a zip", ""), ("f.txt", b"plain", "plain"),
+    ("c.html", b"<p>Para <b>one</b></p><script>x</script>", "Para one"), ("d.pdf", b"%PDF junk", ""), ("e.docx", b"not a zip", ""), ("f.txt", b"plain", "plain"), ("g.rtf", rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}Hello \b from\b0  RTF\par caf\'e9 \u8364?}", "Hello from RTF\ncaf\u00e9 \u20ac"),
+    ("h.pdf", b"%PDF-1.4\n1 0 obj<<>>stream\n" + zlib.compress(b"BT (Quarterly) Tj ( report \\(giraffe\\)) Tj ET") + b"\nendstream", "Quarterly report (giraffe)"),
+    ("i.eml", b"Subject: inner subject\nFrom: a@b.c\n\ninner body text\n", "inner subject\na@b.c\ninner body text"), ("j.odt", office("content.xml", "<text:p>Alpha beta</text:p><text:p>Gamma</text:p>"), "Alpha beta\nGamma"),
+    ("k.doc", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1\x00\x01legacy words\x00\x02abc\x00", "legacy words"), ("l.png", b"\x89PNG", ""),
 ])
 def test_extract(spark, name, data, want):
     df = spark.createDataFrame([(name, bytearray(data))], "n string, d binary")
