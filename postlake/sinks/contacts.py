@@ -63,7 +63,7 @@ def vcard(c: dict[str, Column], revision: Column | None) -> Column:
 
 def write_cards(cards: DataFrame, path: str) -> None:
     """Combined .vcf files, one a partition; card is the only column that is written."""
-    cards.select("card").write.option("lineSep", "").text(path)
+    cards.select(F.regexp_replace("card", "\r\n$", "").alias("card")).write.option("lineSep", "\r\n").text(path)
 
 
 def write_table(contacts: DataFrame, path: str) -> None:

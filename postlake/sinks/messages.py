@@ -59,16 +59,16 @@ def as_eml(rows: DataFrame) -> DataFrame:
 
 
 def as_mbox(rows: DataFrame) -> DataFrame:
-    """One entry of an mbox: separator, content with quoted From lines, an empty line."""
+    """One entry of an mbox: separator and content with quoted From lines; the writer ends it with an empty line."""
     text = F.make_valid_utf8(F.col("content").cast("string"))
     stamp = F.coalesce(F.date_format("date", "EEE MMM dd HH:mm:ss yyyy"), F.lit("Thu Jan 01 00:00:00 1970"))
-    return rows.withColumn("content", F.concat(F.lit("From - "), stamp, F.lit("\n"), F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "(?m)^(>*From )", ">$1"), F.lit("\n\n")))
+    return rows.withColumn("content", F.concat(F.lit("From - "), stamp, F.lit("\n"), F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "(?m)^(>*From )", ">$1"), F.lit("\n")))
 
 
 def write_mbox(rows: DataFrame, path: str) -> None:
     """A directory for each folder with its mbox parts, in listing order within a part."""
     out = as_mbox(as_eml(rows)).select("folder", "nid", "content")
-    out.repartition("folder").sortWithinPartitions("folder", "nid").select("folder", "content").write.partitionBy("folder").option("lineSep", "").text(path)
+    out.repartition("folder").sortWithinPartitions("folder", "nid").select("folder", "content").write.partitionBy("folder").text(path)
 
 
 def write_files(rows: DataFrame, root: str) -> DataFrame:

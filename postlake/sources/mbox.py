@@ -23,6 +23,7 @@ READ = 1 << 20
 @dataclass
 class Range(InputPartition):
     uri: str
+    path: str
     start: int
     end: int
     whole: bool
@@ -38,12 +39,11 @@ class MboxReader(DataSourceReader):
         system, base = fs.FileSystem.from_uri(self.uri)
         info = system.get_file_info(base)
         files = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
-        head = self.uri[: len(self.uri) - len(base.lstrip("/"))] if self.uri.endswith(base.lstrip("/")) else self.uri.partition("://")[0] + "://"
         out = []
         for f in sorted(files, key=lambda f: f.path):
             if f.size and self._is_mbox(system, f.path):
                 whole = f.size <= self.split
-                out += [Range(head + f.path.lstrip("/"), a, min(a + self.split, f.size), whole) for a in range(0, f.size, self.split)]
+                out += [Range(self.uri, f.path, a, min(a + self.split, f.size), whole) for a in range(0, f.size, self.split)]
         return out
 
     @staticmethod
@@ -54,10 +54,10 @@ class MboxReader(DataSourceReader):
     def read(self, part: Range):
         from pyarrow import fs
 
-        system, path = fs.FileSystem.from_uri(part.uri)
-        with system.open_input_file(path) as f:
+        system, _ = fs.FileSystem.from_uri(part.uri)
+        with system.open_input_file(part.path) as f:
             for offset, raw in split(f, part.start, part.end, part.whole):
-                yield pa.RecordBatch.from_pydict({"path": [part.uri], "offset": pa.array([offset], pa.int64()), "raw": pa.array([raw], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"path": [part.path], "offset": pa.array([offset], pa.int64()), "raw": pa.array([raw], pa.binary())})
 
 
 def split(f, start: int, end: int, lengths: bool = True):
