@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, prepare, settle
+from .common import dealt_blocks, over_batches, prepare, runs, settle
 from .components import components
 
 WIDTH, BUCKET, BLOCK, MISS = 2.0, 256, 2048, 1e-4
@@ -44,25 +44,6 @@ def plan(n: int, threshold: float) -> tuple[int, int]:
     return k, math.ceil(math.log(MISS) / math.log(1 - near**k))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, str]) -> Iterator[pa.Table]:
-    """The rows of each run of equal keys, in batches sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        k = np.stack([batch[c].to_numpy() for c in keys], 1)
-        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1), len(k)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if lo == hi:
-                continue
-            if held and tuple(k[lo]) != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-            last = tuple(k[lo])
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _compare(run: pa.Table, threshold: float) -> dict | None:
     """For the vectors of a run that have links: rows newly linked here, and the least node of the local group."""
     if run.num_rows < 2:
@@ -145,15 +126,10 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, seed: int = 0)
         return pa.RecordBatch.from_arrays([batch["vec_key"].take(pa.array(np.repeat(np.arange(n), tables))), pa.array(bucket), pa.array(np.tile(np.arange(tables), n).astype(np.int32))], names=["vec_key", "bucket", "table"])
 
     places = over_batches(nodes.select("vec_key", "tags"), spread, "vec_key binary, bucket long, table int")
-    large = places.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / (BLOCK * 0.9)).alias("blocks"))
-    placed = places.join(nodes, "vec_key").join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_key"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.shiftleft(F.least("block", "other").cast("long"), 32) + F.greatest("block", "other")
-    dealt = placed.select("bucket", pair.alias("pair"), "table", "block", "vec_key", "node", "rows", "vec", "tags").repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
+    dealt = dealt_blocks(places.join(nodes, "vec_key"), "vec_key", BLOCK)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, ("bucket", "pair")):
+        for run in runs(batches, ("bucket", "pair")):
             if out := _compare(run, threshold):
                 yield pa.RecordBatch.from_pydict(out)
 

@@ -7,10 +7,11 @@ registers that agree estimates the probability Jaccard similarity J_P, which is
 weights are one. BANDS bands of ROWS registers give candidates; a pair at 0.8 is missed with a chance of 2e-5.
 
 Equal texts are one class. Links are J_P >= 0.8, checked exactly on the texts. Only components are wanted, so
-the pairs within a bucket are never all made: in each of ROUNDS rounds every bucket that still holds several
-components names one pivot, and each document outside the pivot's component is checked against the one pivot it
-meets in most buckets. What then still shares a bucket across components is checked pair by pair, so that no
-link found by banding is lost.
+the pairs within a bucket are never all made: in each round every bucket that still holds several components
+names one pivot, and each document outside the pivot's component is checked against the one pivot it meets in
+most buckets. Rounds go on while they link much. What then still shares a bucket across components is compared
+by one byte of each register inside tasks (large buckets as pairs of blocks), and the pairs that agree often
+enough are checked exactly, so that no link found by banding is lost.
 
 Null texts and null ids stay rows of their own; texts without words link with equal texts only. Rows that
 repeat a doc_id are one document.
@@ -20,17 +21,23 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, WordTable, mix64, over_batches, prepare, settle, words
+from .common import ChunkTable, WordTable, dealt_blocks, mix64, over_batches, prepare, runs, settle, words
 from .components import components
 
-WIDTH, BANDS, ROWS, THRESHOLD, ROUNDS = 5, 28, 5, 0.8, 3
+WIDTH, BANDS, ROWS, THRESHOLD = 5, 28, 5, 0.8
 REGISTERS = BANDS * ROWS
+#: Pairs at the threshold agree in this share of registers or more but for a chance of 1e-7; others needn't be checked.
+AGREE = 0.62
+#: Pivot rounds go on while they link this share of what they check, and the most of them.
+WORTH, ROUNDS = 0.1, 6
+BLOCK = 2048
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,26 +78,44 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return shingle_sets(pa.array([text], pa.string()))[0]
 
 
-def prob_minhash(elements: np.ndarray, weights: np.ndarray, m: int = REGISTERS) -> np.ndarray:
-    """The element of the first arrival at each of m registers."""
-    arrival, held = np.full(m, np.inf), np.zeros(m, np.uint64)
-    at, rate, time, made = elements, weights.astype(np.float64), np.zeros(len(elements)), 0
+def prob_minhash(sets: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) -> np.ndarray:
+    """A row for each set: the element of the first arrival at each of its m registers (0 for an empty set).
+
+    All sets advance together: in each turn every element that can still win a register makes its next arrivals.
+    """
+    n = np.array([len(e) for e, _ in sets], np.int64)
+    arrival, held = np.full(len(sets) * m, np.inf), np.zeros(len(sets) * m, np.uint64)
+    at = np.concatenate([e for e, _ in sets]) if len(sets) else np.empty(0, np.uint64)
+    rate = np.concatenate([w for _, w in sets]).astype(np.float64) if len(sets) else np.empty(0)
+    of, time, made = np.repeat(np.arange(len(sets)), n), np.zeros(len(at)), 0
     while len(at):
-        rounds = max(1, (2 * m) // len(at))
-        n = np.arange(made + 1, made + rounds + 1, dtype=np.uint64)
+        turns = min(64, max(1, 8192 // len(at)))
+        count = np.arange(made + 1, made + turns + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            drawn = mix64(at[:, None] + n[None, :] * _STEP)
+            drawn = mix64(at[:, None] + count[None, :] * _STEP)
             register = (mix64(drawn ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(33)) % np.uint64(m)
         times = time[:, None] + np.cumsum(-np.log(((drawn >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None], 1)
-        flat, where = times.ravel(), register.ravel().astype(np.int64)
+        where = (of[:, None] * m + register.astype(np.int64)).ravel()
+        flat = times.ravel()
         early = np.flatnonzero(flat < arrival[where])
-        order = early[np.argsort(-flat[early], kind="stable")]
-        arrival[where[order]] = flat[order]  # of several, the last and so the earliest stays
-        held[where[order]] = np.repeat(at, rounds)[order]
-        time, made = times[:, -1], made + rounds
-        active = time < arrival.max()
-        at, rate, time = at[active], rate[active], time[active]
-    return held
+        flat, where = flat[early], where[early]
+        np.minimum.at(arrival, where, flat)
+        won = flat == arrival[where]
+        held[where[won]] = at[early[won] // turns]
+        time, made = times[:, -1], made + turns
+        active = time < arrival.reshape(-1, m).max(1)[of]
+        at, rate, time, of = at[active], rate[active], time[active], of[active]
+    return held.reshape(-1, m)
+
+
+def bands_of(held: np.ndarray) -> np.ndarray:
+    """BANDS keys for each row of registers."""
+    rows = held.reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2])
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            key = mix64(key * _STEP + rows[:, :, r])
+    return key.view(np.int64)
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -112,29 +137,37 @@ def similarity(a: str, b: str) -> float:
     return probability_jaccard(shingles(a), shingles(b))
 
 
-def band_keys(elements: np.ndarray, weights: np.ndarray) -> list[int] | None:
-    if not len(elements):
-        return None
-    rows = prob_minhash(elements, weights).reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for r in range(ROWS):
-            key = mix64(key * _STEP + rows[:, r])
-    return key.view(np.int64).tolist()
-
-
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, text_key and band keys of every row with an id and a text."""
+    """doc_id, text_key, band keys and one byte of each register of every row with an id and a text."""
     prepare(documents.sparkSession)
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_key"), "text")
 
     def sketch(batch: pa.RecordBatch) -> dict:
         keys = batch["text_key"].dictionary_encode()
         first = np.unique(keys.indices.to_numpy(), return_index=True)[1]  # equal texts once
-        bands = pa.array([band_keys(*s) for s in shingle_sets(batch["text"].take(pa.array(first)))], pa.list_(pa.int64()))
-        return {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "bands": bands.take(keys.indices)}
+        sets = shingle_sets(batch["text"].take(pa.array(first)))
+        held = prob_minhash(sets)
+        empty = pa.array([not len(e) for e, _ in sets])
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands_of(held).ravel()), mask=empty)
+        signs = (held >> np.uint64(24)).astype(np.uint8).tobytes()
+        signs = pa.array([signs[i : i + REGISTERS] for i in range(0, len(signs), REGISTERS)], pa.binary())
+        return {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "bands": bands.take(keys.indices), "signs": signs.take(keys.indices)}
+
+    return over_batches(rows, sketch, "doc_id long, text_key string, bands array<long>, signs binary")
 
-    return over_batches(rows, sketch, "doc_id long, text_key string, bands array<long>")
+
+def agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Those (a, b) whose registers agree often enough."""
+
+    @F.pandas_udf("boolean")
+    def enough(x, y):
+        import pandas as pd
+
+        p, q = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, REGISTERS) for v in (x, y))
+        return pd.Series((p == q).mean(1) >= AGREE)
+
+    mine, theirs = (signs.select(F.col("id").alias(c), F.col("signs").alias(f"signs_{c}")) for c in ("a", "b"))
+    return pairs.join(theirs, "b").join(mine, "a").where(enough("signs_a", "signs_b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -145,28 +178,61 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def near(x, y):
         import pandas as pd
 
-        known: dict[str, tuple] = {}
-        out = []
-        for s, t in zip(x, y, strict=True):
-            if len(known) > 64:
-                known.clear()
-            p, q = (known[v] if v in known else known.setdefault(v, shingles(v)) for v in (s, t))
-            out.append(probability_jaccard(p, q) >= THRESHOLD - 1e-12)
-        return pd.Series(out, dtype=bool)
+        left, right = (v.fillna("") for v in (x, y))
+        p, q = (shingle_sets(pa.array(v, pa.string())) for v in (left, right))
+        return pd.Series([probability_jaccard(a, b) >= THRESHOLD - 1e-12 for a, b in zip(p, q, strict=True)], dtype=bool)
 
     return pairs.join(theirs, "b").join(mine, "a").where(near("text_a", "text_b")).select("a", "b").distinct()
 
 
+def _across(run: pa.Table) -> dict | None:
+    """Pairs of a run's documents from different components whose registers agree often enough."""
+    ids, component, block = (run[c].to_numpy() for c in ("id", "component", "block"))
+    _, group, size = np.unique(component, return_inverse=True, return_counts=True)
+    if len(size) < 2:
+        return None
+    order = np.lexsort((group, size[group]))  # the largest component last: its own pairs are never compared
+    ids, block, group = ids[order], block[order], group[order]
+    signs = np.frombuffer(b"".join(run["signs"].to_pylist()), np.uint8).reshape(-1, REGISTERS)[order]
+    pair = run["pair"][0].as_py()
+    across = pair >> 32 != pair & 0xFFFFFFFF
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
+    a, b = [], []
+    for i, end in enumerate(ends[np.searchsorted(ends, np.arange(ends[-2]), side="right")].tolist()):
+        near = (signs[end:] == signs[i]).mean(1) >= AGREE
+        if across:
+            near &= block[end:] != block[i]
+        if near.any():
+            found = ids[end:][near]
+            a.append(np.minimum(found, ids[i]))
+            b.append(np.maximum(found, ids[i]))
+    return {"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))} if a else None
+
+
+def remaining_pairs(entries: DataFrame, signs: DataFrame) -> DataFrame:
+    """(a, b) of all documents that share a bucket across components and agree; the rest of a bucket stays in its task."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, ("bucket", "pair")):
+            if out := _across(run):
+                yield pa.RecordBatch.from_pydict(out)
+
+    dealt = dealt_blocks(entries.join(signs, "id"), "id", BLOCK)
+    columns = ["bucket", "pair", "block", "id", "component", "signs"]
+    return dealt.select(columns).mapInArrow(compared, "a long, b long").distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, class_id (least id of an equal text), component_id and kept of every row."""
     spark = prepare(documents.sparkSession)
     # Narrow rows: the keys, not the texts.
     sketched = settle(sketches(documents))
-    classes = sketched.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = sketched.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signs", "doc_id").alias("signs"))
     classes = settle(classes)
     entries = classes.select(F.col("class_id").alias("id"), F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("bucket")
     entries = settle(entries.join(shared, "bucket").withColumn("component", F.col("id")).distinct())
+    signs = classes.select(F.col("class_id").alias("id"), "signs").join(entries.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     schema = "node long, component long"
@@ -190,22 +256,22 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         old = groups.join(then, "component", "left").select("node", F.coalesce("later", "component").alias("component"))
         return settle(old.unionByName(more.join(groups.select("node"), "node", "left_anti")))
 
-    for turn in range(ROUNDS + 1):
-        if not entries.take(1):
-            break
-        ids = entries.select("id", "component").distinct()
-        if turn < ROUNDS:
-            pivot = entries.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("component"))).alias("p"))
-            met = entries.join(pivot.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("other")), "bucket").where("component != other")
-            met = met.groupBy(F.col("id").alias("b"), "a").agg(F.count("*").alias("n"))
-            pairs = met.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-        else:
-            other = entries.select("bucket", F.col("id").alias("a"), F.col("component").alias("other"))
-            pairs = entries.withColumnRenamed("id", "b").join(other, "bucket").where("a < b and component != other").select("a", "b").distinct()
-        more = merged(settle(verified(settle(pairs.select("a", "b")), texts)), ids)
-        all_groups = carried(all_groups, more)
-        if turn < ROUNDS:
-            entries = joined(entries, more)
+    def merge(pairs: DataFrame, groups: DataFrame, last: bool) -> tuple[DataFrame, DataFrame, bool]:
+        """Check the pairs, join the components of those that are near; and whether another round is worth it."""
+        pairs = settle(pairs)
+        links = settle(verified(pairs, texts))
+        more = merged(links, entries.select("id", "component").distinct())
+        return more, carried(groups, more), not last and links.count() >= WORTH * pairs.count() > 0
+
+    turn, going = 0, True
+    while going and turn < ROUNDS:
+        pivot = entries.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("component"))).alias("p"))
+        met = entries.join(pivot.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("other")), "bucket").where("component != other")
+        met = met.groupBy(F.col("id").alias("b"), "a").agg(F.count("*").alias("n"))
+        pairs = met.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+        more, all_groups, going = merge(agreeing(pairs.select("a", "b"), signs), all_groups, False)
+        entries, turn = joined(entries, more), turn + 1
+    _, all_groups, _ = merge(remaining_pairs(entries, signs), all_groups, True)
     known = classes.join(all_groups.withColumnRenamed("node", "class_id").withColumnRenamed("component", "joined"), "class_id", "left")
     known = known.select("text_key", "class_id", F.coalesce("joined", "class_id").alias("component_id"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), F.md5("text")).alias("text_key"))
