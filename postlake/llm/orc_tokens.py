@@ -31,7 +31,6 @@ def write_ids(documents: DataFrame, path: str, vocabulary_path: str | None = Non
     """part, doc_id, before (ids of the part's earlier documents) and ids of every document, as ORC at the path."""
     prepare(documents.sparkSession)
     vocab = vocabulary_path or vocabulary()
-    end = np.array([END], "<u4").tobytes()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
 
@@ -40,11 +39,10 @@ def write_ids(documents: DataFrame, path: str, vocabulary_path: str | None = Non
 
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [encoder(vocab).encode(t) + end for t in batch["text"].to_pylist()]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-            arrays = [pa.array(np.full(len(n), part, np.int32)), batch["doc_id"], pa.array(before + offsets[:-1]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)]
+            ids, offsets = encoder(vocab).with_end(batch["text"], END)
+            n = len(offsets) - 1
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
+            arrays = [pa.array(np.full(n, part, np.int32)), batch["doc_id"], pa.array(before + offsets[:-1]), lists]
             before += int(offsets[-1])
             yield pa.RecordBatch.from_arrays(arrays, names=["part", "doc_id", "before", "ids"])
 
@@ -56,9 +54,9 @@ def read_ids(spark, path: str) -> DataFrame:
     stored = spark.read.schema("part int, doc_id long, before long, ids array<int>").orc(path)
     ends = stored.groupBy("part").agg(F.max(F.col("before") + F.size("ids")).alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row a part, that is, a file.
+    # One row a part: as many as the writing stage had tasks, 16 bytes each.
     starts = ends.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    return stored.join(starts, "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "ids")
+    return stored.join(F.broadcast(starts), "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "ids")
 
 
 def store(documents: DataFrame) -> DataFrame:
