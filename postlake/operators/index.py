@@ -193,6 +193,20 @@ class Index:
     def search(self, query: str, live: bool = False) -> DataFrame:
         return search(self.postings(), self.messages(), query, live)
 
+    def resolve(self, hits: DataFrame, listing: DataFrame) -> DataFrame:
+        """The listing rows of hits as they are now, by source and key; hits whose message is gone are left out."""
+        keyed = numbered(listing.withColumn("key0", message_key(listing.columns))).drop("key0")
+        return keyed.join(hits.select("source_name", "key"), ["source_name", "key"], "left_semi")
+
+    def optimize(self) -> None:
+        """Rewrite the postings with one file a source and bucket, sorted by token."""
+        rows = self.postings()
+        if rows is not None:
+            staged = f"{self.path}/staged-postings"
+            rows.repartition("source_name", "bucket").sortWithinPartitions("source_name", "bucket", "token").write.mode("overwrite").partitionBy("source_name", "bucket").parquet(staged)
+            self._write(self.spark.read.parquet(staged), "postings", "source_name", "bucket")
+            self._delete("staged-postings")
+
     def statistics(self) -> DataFrame:
         rows = self.messages()
         atts = F.coalesce(F.sum("att_count"), F.lit(0)) if "att_count" in rows.columns else F.lit(0)

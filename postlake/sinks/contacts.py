@@ -95,3 +95,9 @@ def address_line(address: Column) -> Column:
     """One line of an address struct: box, street, city, state, postcode, country; empty parts left out."""
     parts = F.array(*[F.coalesce(F.replace(address[p], F.lit("\n"), F.lit(", ")), F.lit("")) for p in ("po_box", "street", "city", "state", "postcode", "country")])
     return F.array_join(F.filter(parts, lambda p: p != ""), ", ")
+
+
+def contact_text(fields: dict[str, Column]) -> Column:
+    """A readable card: `Label: value` lines of the fields that aren't empty, in their order."""
+    lines = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}: "), c)) for label, c in fields.items()]
+    return F.concat_ws("\n", *lines)

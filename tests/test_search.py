@@ -93,6 +93,9 @@ def test_incremental(spark, texts, tmp_path):
     assert idx.search("kangaroo").count() == 0 and idx.search("giraffe").count() == 1
     assert idx.update(rows.where("nid = 2"), prints(rows), complete=False)["added"] == 1
     assert idx.search("kangaroo").count() == 1 and idx.search("giraffe").count() == 1
+    idx.optimize()
+    assert idx.search("giraffe").count() == 1
+    assert [r["nid"] for r in idx.resolve(idx.search("kangaroo"), rows).collect()] == [2]
     assert idx.remove("other.mbox") == 2
     assert idx.prune(spark.createDataFrame([("rich.pst",)], "source_name string")) == []
     assert [r["source_name"] for r in idx.sources().collect()] == ["rich.pst"]

@@ -58,3 +58,15 @@ def test_cards(spark):
     card = df.select(vcard({"display_name": F.col("n"), "emails": F.col("e"), "notes": F.col("t")}, None)).first()[0]
     assert "FN:Ada\\, L\r\n" in card and "EMAIL;TYPE=INTERNET,PREF:ada@example.org\r\nEMAIL;TYPE=INTERNET:c@example.net\r\n" in card
     assert all(len(line.encode()) <= 75 for line in card.split("\r\n")) and "NOTE:" + "n" * 70 + "\r\n " + "n" * 30 in card
+
+
+def test_types_and_numbers(spark):
+    assert [one(spark, n, T.mime_type) for n in ("a.PDF", "b.docx", "c", None)] == ["application/pdf", T.MIME_TYPES["docx"], "application/octet-stream", "application/octet-stream"]
+    assert one(spark, 1234567, T.thousands, "long") == "1,234,567"
+
+
+def test_contact_text(spark):
+    from postlake.sinks.contacts import contact_text
+
+    df = spark.createDataFrame([("Ada", "", None)], "n string, e string, p string")
+    assert df.select(contact_text({"Name": F.col("n"), "E-mail": F.col("e"), "Phone": F.col("p")})).first()[0] == "Name: Ada"
