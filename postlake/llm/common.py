@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch. Texts may hold 100 KB, so a batch stays within some tens of MB.
 BATCH_ROWS = 1024
 #: Entries a worker keeps in a word table before it starts anew; this bounds a worker's memory.
-TABLE_ENTRIES = 1 << 19
+TABLE_ENTRIES = 1 << 18
 
 WORD = re.compile(r"\w+")
 

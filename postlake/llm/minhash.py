@@ -19,16 +19,16 @@ repeat a doc_id are one document.
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, WordTable, dealt_blocks, mix64, over_batches, prepare, runs, settle, words
+from .common import ChunkTable, dealt_blocks, mix64, over_batches, prepare, runs, settle, words
 from .components import components
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 28, 5, 0.8
@@ -38,17 +38,18 @@ AGREE = 0.62
 #: Pivot rounds go on while they link this share of what they check, and the most of them.
 WORTH, ROUNDS = 0.1, 6
 BLOCK = 2048
+#: Texts whose registers are filled together.
+TOGETHER = 256
+#: Ids of 8 bytes that are broadcast at most.
+BROADCAST_IDS = 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+def _word_hashes(chunks: list[str]) -> list[bytes]:
+    return [array("Q", [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words(c)]).tobytes() for c in chunks]
 
 
-_table = WordTable(_word_hash)
-
-
-_chunks = ChunkTable(lambda chunks: [array("Q", map(_table.__getitem__, words(c))).tobytes() for c in chunks], "u8")
+_chunks = ChunkTable(_word_hashes, "u8")
 
 
 def _hashes(w: np.ndarray, width: int) -> np.ndarray:
@@ -146,7 +147,7 @@ def sketches(documents: DataFrame) -> DataFrame:
         keys = batch["text_key"].dictionary_encode()
         first = np.unique(keys.indices.to_numpy(), return_index=True)[1]  # equal texts once
         sets = shingle_sets(batch["text"].take(pa.array(first)))
-        held = prob_minhash(sets)
+        held = np.concatenate([prob_minhash(sets[i : i + TOGETHER]) for i in range(0, len(sets), TOGETHER)]) if sets else prob_minhash([])
         empty = pa.array([not len(e) for e, _ in sets])
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands_of(held).ravel()), mask=empty)
         signs = (held >> np.uint64(24)).astype(np.uint8).tobytes()
@@ -171,7 +172,13 @@ def agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (a, b) whose texts reach the threshold. Texts are fetched by id for the pairs only."""
+    """Those (a, b) whose texts reach the threshold; pairs are settled already.
+
+    Up to BROADCAST_IDS ids are broadcast, so that only the texts of pairs are shuffled; beyond that all texts are.
+    """
+    if 2 * pairs.count() <= BROADCAST_IDS:
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     mine, theirs = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
 
     @F.pandas_udf("boolean")
@@ -234,7 +241,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     entries = settle(entries.join(shared, "bucket").withColumn("component", F.col("id")).distinct())
     signs = classes.select(F.col("class_id").alias("id"), "signs").join(entries.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     schema = "node long, component long"
     all_groups = spark.createDataFrame([], schema)
 

@@ -28,9 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TABLE_ENTRIES, ChunkTable, over_batches, prepare
+from .common import ChunkTable, over_batches, prepare
 
 MARK = "▁"
+#: Chunks that a worker keeps, at about 250 bytes each.
+ENTRIES = 1 << 19
 #: Fixed values of the format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -94,7 +96,7 @@ def parse(data: bytes) -> Proto:
 
 
 class Rebuilt:
-    def __init__(self, path: str, threads: int = 2, entries: int = TABLE_ENTRIES):
+    def __init__(self, path: str, threads: int = 2, entries: int = ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from tokenizers import Regex, Tokenizer, models, normalizers
