@@ -4,7 +4,7 @@ A document's elements are its shingles of five lower-cased words, weighted by ho
 five words make one shingle). Each element sends a Poisson process of its weight's rate to random registers; a
 register keeps the element that arrives first, and arrivals later than all registers are not made. The share of
 registers that agree estimates the probability Jaccard similarity J_P, which is the Jaccard similarity where all
-weights are one. BANDS bands of ROWS registers give candidates; a pair at 0.8 is missed with a chance of 2e-5.
+weights are one. BANDS bands of ROWS registers give candidates; a pair at 0.8 is missed with a chance of 3e-6.
 
 Equal texts are one class. Links are J_P >= 0.8, checked exactly on the texts. Only components are wanted, so
 the pairs within a bucket are never all made: in each round every bucket that still holds several components
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from .common import ChunkTable, dealt_blocks, mix64, over_batches, prepare, runs, settle, words
 from .components import components
 
-WIDTH, BANDS, ROWS, THRESHOLD = 5, 28, 5, 0.8
+WIDTH, BANDS, ROWS, THRESHOLD = 5, 42, 6, 0.8
 REGISTERS = BANDS * ROWS
-#: Pairs at the threshold agree in this share of registers or more but for a chance of 1e-7; others needn't be checked.
-AGREE = 0.62
+#: Pairs at the threshold agree in this share of registers or more but for a chance of 4e-5; others needn't be checked.
+AGREE = 0.7
 #: Pivot rounds go on while they link this share of what they check, and the most of them.
-WORTH, ROUNDS = 0.1, 6
+WORTH, ROUNDS = 0.2, 4
 BLOCK = 2048
 #: Texts whose registers are filled together.
 TOGETHER = 256
@@ -139,7 +139,7 @@ def similarity(a: str, b: str) -> float:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, text_key, band keys and one byte of each register of every row with an id and a text."""
+    """doc_id, text_key, band keys (whole, and 32 bits of each) and a byte of each register of rows with id and text."""
     prepare(documents.sparkSession)
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_key"), "text")
 
@@ -152,9 +152,11 @@ def sketches(documents: DataFrame) -> DataFrame:
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands_of(held).ravel()), mask=empty)
         signs = (held >> np.uint64(24)).astype(np.uint8).tobytes()
         signs = pa.array([signs[i : i + REGISTERS] for i in range(0, len(signs), REGISTERS)], pa.binary())
-        return {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "bands": bands.take(keys.indices), "signs": signs.take(keys.indices)}
+        tags = (bands_of(held) & 0xFFFFFFFF).astype("<u4").tobytes()
+        tags = pa.array([tags[i : i + 4 * BANDS] for i in range(0, len(tags), 4 * BANDS)], pa.binary())
+        return {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "bands": bands.take(keys.indices), "signs": signs.take(keys.indices), "tags": tags.take(keys.indices)}
 
-    return over_batches(rows, sketch, "doc_id long, text_key string, bands array<long>, signs binary")
+    return over_batches(rows, sketch, "doc_id long, text_key string, bands array<long>, signs binary, tags binary")
 
 
 def agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
@@ -193,7 +195,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _across(run: pa.Table) -> dict | None:
-    """Pairs of a run's documents from different components whose registers agree often enough."""
+    """Pairs of a run's documents from different components whose registers agree often enough, in their first band."""
     ids, component, block = (run[c].to_numpy() for c in ("id", "component", "block"))
     _, group, size = np.unique(component, return_inverse=True, return_counts=True)
     if len(size) < 2:
@@ -201,6 +203,8 @@ def _across(run: pa.Table) -> dict | None:
     order = np.lexsort((group, size[group]))  # the largest component last: its own pairs are never compared
     ids, block, group = ids[order], block[order], group[order]
     signs = np.frombuffer(b"".join(run["signs"].to_pylist()), np.uint8).reshape(-1, REGISTERS)[order]
+    band = run["band"][0].as_py()
+    tags = np.frombuffer(b"".join(run["tags"].to_pylist()), "<u4").reshape(-1, BANDS)[order, :band]
     pair = run["pair"][0].as_py()
     across = pair >> 32 != pair & 0xFFFFFFFF
     ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
@@ -209,8 +213,9 @@ def _across(run: pa.Table) -> dict | None:
         near = (signs[end:] == signs[i]).mean(1) >= AGREE
         if across:
             near &= block[end:] != block[i]
-        if near.any():
-            found = ids[end:][near]
+        if near.any():  # a pair that has met in an earlier band was returned there
+            at = np.flatnonzero(near) + end
+            found = ids[at[~(tags[at] == tags[i]).any(1)]]
             a.append(np.minimum(found, ids[i]))
             b.append(np.maximum(found, ids[i]))
     return {"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))} if a else None
@@ -225,8 +230,8 @@ def remaining_pairs(entries: DataFrame, signs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(out)
 
     dealt = dealt_blocks(entries.join(signs, "id"), "id", BLOCK)
-    columns = ["bucket", "pair", "block", "id", "component", "signs"]
-    return dealt.select(columns).mapInArrow(compared, "a long, b long").distinct()
+    columns = ["bucket", "pair", "band", "block", "id", "component", "signs", "tags"]
+    return dealt.select(columns).mapInArrow(compared, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -234,12 +239,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     spark = prepare(documents.sparkSession)
     # Narrow rows: the keys, not the texts.
     sketched = settle(sketches(documents))
-    classes = sketched.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signs", "doc_id").alias("signs"))
+    classes = sketched.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signs", "doc_id").alias("signs"), F.min_by("tags", "doc_id").alias("tags"))
     classes = settle(classes)
-    entries = classes.select(F.col("class_id").alias("id"), F.explode("bands").alias("bucket"))
+    entries = classes.select(F.col("class_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("bucket")
     entries = settle(entries.join(shared, "bucket").withColumn("component", F.col("id")).distinct())
-    signs = classes.select(F.col("class_id").alias("id"), "signs").join(entries.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    signs = classes.select(F.col("class_id").alias("id"), "signs", "tags").join(entries.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "node long, component long"
     all_groups = spark.createDataFrame([], schema)
@@ -247,7 +252,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     def joined(entries: DataFrame, groups: DataFrame) -> DataFrame:
         """Entries under their new components, of the buckets that still hold several."""
         named = entries.join(groups.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
-        named = named.select("bucket", "id", F.coalesce("new", "component").alias("component"))
+        named = named.select("bucket", "band", "id", F.coalesce("new", "component").alias("component"))
         several = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
         return settle(named.join(several, "bucket"))
 

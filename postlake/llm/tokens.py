@@ -2,24 +2,26 @@
 
 The pre-tokenizer of ``word_bpe_49k.json`` drops white space and never joins across it, and its normaliser
 works within white-space-free runs. So a text's ids are those of its chunks between blanks and line feeds,
-one after another. Unknown chunks are encoded by the library. A chunk of letters with one mark behind it is
-the two in a row, as the pre-tokenizer parts letters from marks; words of letters alone go through the library's
-normaliser, byte alphabet and model one step after another; everything else passes through the whole tokenizer.
+one after another. Unknown chunks are encoded by the library. A chunk of letters with punctuation behind
+it is the two in a row, as the pre-tokenizer parts letters from marks; words of letters alone go through
+normalisation, the byte alphabet and the library's model one step after another; everything else passes through
+the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
 
-from .common import ChunkTable
+from .common import ChunkTable, WordTable
 
 #: Chunks that a worker keeps, at about 250 bytes each.
 ENTRIES = 1 << 19
-MARKS = ".,;:!?"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -34,30 +36,43 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.table = ChunkTable(self._learn, "<u4", ENTRIES)
-        self.marks = dict(zip(MARKS, self._each(list(MARKS)), strict=True))
+        self.marks = WordTable(lambda mark: self._each([mark])[0])
+        self.spelled = {c: self.alphabet.pre_tokenize_str(chr(c))[0][0] for c in range(0xAA, 0x100) if chr(c).isalpha()}
 
     def _each(self, chunks: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that are letters after normalisation: one word each to the pre-tokenizer."""
-        tokenize, spell = self.tokenizer.model.tokenize, self.alphabet.pre_tokenize_str
-        return {w: np.array([t.id for t in tokenize(n if n.isascii() else spell(n)[0][0])], "<u4").tobytes() for w in words if (n := self._normal(w)).isalpha()}
-
-    def _normal(self, word: str) -> str:
-        return word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word that is letters after normalisation, one word to the pre-tokenizer; None for others."""
+        if word.isascii():
+            word = word.lower()
+        elif max(word) <= "\xff":  # Latin-1 letters are composed, and each has one lower case
+            word = word.lower().translate(self.spelled)
+        else:
+            word = self.tokenizer.normalizer.normalize_str(word)
+            if not word.isalpha():
+                return None
+            word = self.alphabet.pre_tokenize_str(word)[0][0]
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
-        base = [c[:-1] if len(c) > 1 and c[-1] in self.marks and c[:-1].isalpha() else c for c in chunks]
-        base = [b.lower() if b.isascii() and b.isalpha() else b for b in base]
-        known = self.table.known
-        letters = {b: known[b] for b in set(base) if b in known}
-        letters |= self._letters(list({b for b in base if b not in letters and b.isalpha()}))
-        other = list({b for b in base if b not in letters})
-        letters.update(zip(other, self._each(other), strict=True))
-        return [letters[b] + (self.marks[c[-1]] if len(b) < len(c) else b"") for b, c in zip(base, chunks, strict=True)]
+        known, other = self.table.known, []
+        out: list[bytes | None] = []
+        for i, c in enumerate(chunks):
+            word = c if c.isalpha() else c.rstrip(punctuation)
+            if word.isalpha():
+                ids = (known.get(word) if word is not c else None) or self._word(word)
+                if ids is not None:
+                    out.append(ids if word is c else ids + self.marks[c[len(word) :]])
+                    continue
+            out.append(None)
+            other.append(i)
+        for i, ids in zip(other, self._each([chunks[i] for i in other]), strict=True):
+            out[i] = ids
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids begin and end."""

@@ -160,7 +160,7 @@ def test_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokens.vocabulary())
-    texts = [r[1] for r in ROWS if r[1] != LONG] + ["İstanbul ΑΣ don't it's <|endoftext|> a\tb\x1cc é", "!. x .. y.,", "ﬁ Ǆ ẞ ß. naïve é ́x", "漢字。テスト 12.5,3", LONG[:5000]]
+    texts = [r[1] for r in ROWS if r[1] != LONG] + ["İstanbul ΑΣ don't it's <|endoftext|> a\tb\x1cc é", "!. x .. y.,", "ﬁ Ǆ ẞ ß. naïve é ́x", "漢字。テスト 12.5,3", LONG[:5000], "Straße Ärger ÀÉÎ ÿ µm ªº ǰ ŉ Œuvre*** l'été!!! it's' 's don't. x<|endoftext|>. <|endoftext|>! au,&&& a_b _ -"]
     ids, at = tokens.encoder(tokens.vocabulary()).with_end(pa.array(texts, pa.string()), 2)
     for i, t in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 2]
