@@ -70,18 +70,27 @@ def over_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | d
     return df.mapInArrow(run, schema)
 
 
-def dealt_blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """Deal the rows of each `bucket` to tasks; those of over `most` rows as pairs of blocks of about that size.
+def blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Deal the rows of each `bucket` of over `most` rows as pairs of blocks of about that size.
 
-    Adds `block` and `pair` (the two block numbers in one long). Rows of a bucket and pair stand together. Two rows
-    of a bucket meet in one pair at least; rows of different blocks in the pair of these alone.
+    Adds `block` and `pair` (the two block numbers in one long). Two rows of a bucket meet in one pair at least; rows
+    of different blocks in the pair of these alone.
     """
     large = rows.groupBy("bucket").count().where(F.col("count") > most).select("bucket", F.ceil(F.col("count") / (most * 0.9)).alias("_blocks"))
     rows = rows.join(large, "bucket", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(key), F.col("_blocks")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     pair = F.shiftleft(F.least("block", "_other").cast("long"), 32) + F.greatest("block", "_other")
-    return rows.withColumn("pair", pair).drop("_blocks", "_other").repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
+    return rows.withColumn("pair", pair).drop("_blocks", "_other")
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket and pair stand together in one task."""
+    return rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
+
+
+def dealt_blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
+    return grouped(blocks(rows, key, most))
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, str]) -> Iterator[pa.Table]:

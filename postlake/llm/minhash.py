@@ -11,7 +11,9 @@ the pairs within a bucket are never all made: in each round every bucket that st
 names one pivot, and each document outside the pivot's component is checked against the one pivot it meets in
 most buckets. Rounds go on while they link much. What then still shares a bucket across components is compared
 by one byte of each register inside tasks (large buckets as pairs of blocks), and the pairs that agree often
-enough are checked exactly, so that no link found by banding is lost.
+enough are checked exactly there, most alike first and only while they are in different components, so that a
+task returns a forest of links and no link found by banding is lost. Documents of over SMALL shingles don't
+travel with their shingles: their agreeing pairs are returned and checked on the texts.
 
 Null texts and null ids stay rows of their own; texts without words link with equal texts only. Rows that
 repeat a doc_id are one document.
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, dealt_blocks, mix64, over_batches, prepare, runs, settle, words
+from .common import ChunkTable, blocks, grouped, mix64, over_batches, prepare, runs, settle, words
 from .components import components
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 42, 6, 0.8
@@ -38,8 +40,12 @@ AGREE = 0.7
 #: Pivot rounds go on while they link this share of what they check, and the most of them.
 WORTH, ROUNDS = 0.2, 4
 BLOCK = 2048
-#: Texts whose registers are filled together.
-TOGETHER = 256
+#: Texts whose registers are filled together, and elements of theirs but for the last one's.
+TOGETHER, ELEMENTS = 256, 1 << 18
+#: Documents of at most so many distinct shingles are compared inside tasks; one takes 12 bytes.
+SMALL = 1024
+#: Pairs of a document that are checked at a time, before it is looked which of the others are still apart.
+TRIED = 64
 #: Ids of 8 bytes that are broadcast at most.
 BROADCAST_IDS = 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -109,6 +115,19 @@ def prob_minhash(sets: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS)
     return held.reshape(-1, m)
 
 
+def together(sets: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The sets in order, in lists of bounded length and elements."""
+    some, elements = [], 0
+    for one in sets:
+        some.append(one)
+        elements += len(one[0])
+        if len(some) == TOGETHER or elements >= ELEMENTS:
+            yield some
+            some, elements = [], 0
+    if some:
+        yield some
+
+
 def bands_of(held: np.ndarray) -> np.ndarray:
     """BANDS keys for each row of registers."""
     rows = held.reshape(-1, BANDS, ROWS)
@@ -147,7 +166,7 @@ def sketches(documents: DataFrame) -> DataFrame:
         keys = batch["text_key"].dictionary_encode()
         first = np.unique(keys.indices.to_numpy(), return_index=True)[1]  # equal texts once
         sets = shingle_sets(batch["text"].take(pa.array(first)))
-        held = np.concatenate([prob_minhash(sets[i : i + TOGETHER]) for i in range(0, len(sets), TOGETHER)]) if sets else prob_minhash([])
+        held = np.concatenate([prob_minhash([]), *(prob_minhash(some) for some in together(sets))])
         empty = pa.array([not len(e) for e, _ in sets])
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands_of(held).ravel()), mask=empty)
         signs = (held >> np.uint64(24)).astype(np.uint8).tobytes()
@@ -173,14 +192,14 @@ def agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return pairs.join(theirs, "b").join(mine, "a").where(enough("signs_a", "signs_b")).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (a, b) whose texts reach the threshold; pairs are settled already.
+def of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of these doc_ids: up to BROADCAST_IDS ids are broadcast; beyond that all texts are shuffled."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
-    Up to BROADCAST_IDS ids are broadcast, so that only the texts of pairs are shuffled; beyond that all texts are.
-    """
-    if 2 * pairs.count() <= BROADCAST_IDS:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those (a, b) whose texts reach the threshold; pairs are settled already."""
+    texts = of_ids(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     mine, theirs = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
 
     @F.pandas_udf("boolean")
@@ -194,8 +213,29 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(theirs, "b").join(mine, "a").where(near("text_a", "text_b")).select("a", "b").distinct()
 
 
+def near_ones(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Whether each of the others' J_P with this one reaches the threshold; no set is empty.
+
+    The mass that two normalised sets share bounds J_P from above; where all weights are one, J_P is the Jaccard
+    similarity. What neither settles is computed in full.
+    """
+    elements, weights = (np.concatenate([x[i] for x in others]) for i in (0, 1))
+    n = np.array([len(e) for e, _ in others])
+    at = np.cumsum(n) - n
+    place = np.minimum(np.searchsorted(one[0], elements), len(one[0]) - 1)
+    hit = one[0][place] == elements
+    mass = np.add.reduceat(weights, at)
+    both = np.add.reduceat(hit.astype(np.int64), at)
+    unit = (mass == n) & (one[1].sum() == len(one[0]))
+    shared = np.add.reduceat(np.where(hit, np.minimum(one[1][place] / one[1].sum(), weights / np.repeat(mass, n)), 0.0), at)
+    out = unit & (both / (len(one[0]) + n - both) >= THRESHOLD - 1e-12)
+    for k in np.flatnonzero(~unit & (shared >= THRESHOLD - 1e-9)).tolist():
+        out[k] = probability_jaccard(one, others[k]) >= THRESHOLD - 1e-12
+    return out
+
+
 def _across(run: pa.Table) -> dict | None:
-    """Pairs of a run's documents from different components whose registers agree often enough, in their first band."""
+    """Links of a run's documents from different components, and pairs of large ones that are yet to be checked."""
     ids, component, block = (run[c].to_numpy() for c in ("id", "component", "block"))
     _, group, size = np.unique(component, return_inverse=True, return_counts=True)
     if len(size) < 2:
@@ -205,33 +245,63 @@ def _across(run: pa.Table) -> dict | None:
     signs = np.frombuffer(b"".join(run["signs"].to_pylist()), np.uint8).reshape(-1, REGISTERS)[order]
     band = run["band"][0].as_py()
     tags = np.frombuffer(b"".join(run["tags"].to_pylist()), "<u4").reshape(-1, BANDS)[order, :band]
+    elements, weights = (run[c].to_pylist() for c in ("elements", "weights"))
+    sets = [(np.frombuffer(elements[i], "<u8"), np.frombuffer(weights[i], "<u4").astype(np.int64)) if elements[i] is not None else None for i in order.tolist()]
+    small = np.array([x is not None for x in sets])
     pair = run["pair"][0].as_py()
     across = pair >> 32 != pair & 0xFFFFFFFF
     ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
-    a, b = [], []
+    now = group.copy()  # the component that each has come to
+    a, b, checked = [], [], []
+
+    def found(i: int, others: np.ndarray, sure: bool) -> None:
+        a.append(np.minimum(ids[others], ids[i]))
+        b.append(np.maximum(ids[others], ids[i]))
+        checked.append(np.full(len(others), sure))
+
     for i, end in enumerate(ends[np.searchsorted(ends, np.arange(ends[-2]), side="right")].tolist()):
-        near = (signs[end:] == signs[i]).mean(1) >= AGREE
+        share = (signs[end:] == signs[i]).mean(1)
+        near = (share >= AGREE) & (now[end:] != now[i])
         if across:
             near &= block[end:] != block[i]
-        if near.any():  # a pair that has met in an earlier band was returned there
-            at = np.flatnonzero(near) + end
-            found = ids[at[~(tags[at] == tags[i]).any(1)]]
-            a.append(np.minimum(found, ids[i]))
-            b.append(np.maximum(found, ids[i]))
-    return {"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))} if a else None
-
-
-def remaining_pairs(entries: DataFrame, signs: DataFrame) -> DataFrame:
-    """(a, b) of all documents that share a bucket across components and agree; the rest of a bucket stays in its task."""
+        if not near.any():
+            continue
+        at = np.flatnonzero(near)
+        at = at[np.argsort(-share[at], kind="stable")] + end
+        at = at[~(tags[at] == tags[i]).any(1)]  # a pair that has met in an earlier band was looked at there
+        if not small[i]:
+            found(i, at, False)
+            continue
+        found(i, at[~small[at]], False)
+        at = at[small[at]]
+        while len(at):
+            some, at = at[:TRIED], at[TRIED:]
+            for j in some[near_ones(sets[i], [sets[j] for j in some.tolist()])].tolist():
+                if now[j] != now[i]:
+                    found(i, np.array([j]), True)
+                    now[now == now[j]] = now[i]
+            at = at[now[at] != now[i]]
+    return {"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b)), "checked": pa.array(np.concatenate(checked))} if a else None
+
+
+def remaining_pairs(entries: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, checked): links that join all components that share buckets, and pairs of large documents to check."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, ("bucket", "pair")):
             if out := _across(run):
                 yield pa.RecordBatch.from_pydict(out)
 
-    dealt = dealt_blocks(entries.join(signs, "id"), "id", BLOCK)
-    columns = ["bucket", "pair", "band", "block", "id", "component", "signs", "tags"]
-    return dealt.select(columns).mapInArrow(compared, "a long, b long")
+    def packed(batch: pa.RecordBatch) -> dict:
+        sets = [x if len(x[0]) <= SMALL else None for x in shingle_sets(batch["text"])]
+        elements, weights = ([None if x is None else x[i].astype(kind).tobytes() for x in sets] for i, kind in ((0, "<u8"), (1, "<u4")))
+        return {"id": batch["doc_id"], "elements": pa.array(elements, pa.binary()), "weights": pa.array(weights, pa.binary())}
+
+    ids = entries.select(F.col("id").alias("doc_id")).distinct()
+    sets = over_batches(of_ids(texts, ids), packed, "id long, elements binary, weights binary").dropDuplicates(["id"])
+    columns = ["bucket", "pair", "band", "block", "id", "component", "signs", "tags", "elements", "weights"]
+    dealt = grouped(blocks(entries, "id", BLOCK).join(signs.join(sets, "id"), "id"))
+    return dealt.select(columns).mapInArrow(compared, "a long, b long, checked boolean")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -267,12 +337,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         old = groups.join(then, "component", "left").select("node", F.coalesce("later", "component").alias("component"))
         return settle(old.unionByName(more.join(groups.select("node"), "node", "left_anti")))
 
-    def merge(pairs: DataFrame, groups: DataFrame, last: bool) -> tuple[DataFrame, DataFrame, bool]:
-        """Check the pairs, join the components of those that are near; and whether another round is worth it."""
-        pairs = settle(pairs)
-        links = settle(verified(pairs, texts))
+    def merge(links: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Join the components of these links."""
         more = merged(links, entries.select("id", "component").distinct())
-        return more, carried(groups, more), not last and links.count() >= WORTH * pairs.count() > 0
+        return more, carried(groups, more)
 
     turn, going = 0, True
     while going and turn < ROUNDS:
@@ -280,9 +348,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         met = entries.join(pivot.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("other")), "bucket").where("component != other")
         met = met.groupBy(F.col("id").alias("b"), "a").agg(F.count("*").alias("n"))
         pairs = met.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-        more, all_groups, going = merge(agreeing(pairs.select("a", "b"), signs), all_groups, False)
-        entries, turn = joined(entries, more), turn + 1
-    _, all_groups, _ = merge(remaining_pairs(entries, signs), all_groups, True)
+        pairs = settle(agreeing(pairs.select("a", "b"), signs))
+        links = settle(verified(pairs, texts))
+        more, all_groups = merge(links, all_groups)
+        entries, turn, going = joined(entries, more), turn + 1, links.count() >= WORTH * pairs.count() > 0
+    rest = settle(remaining_pairs(entries, signs, texts))
+    links = verified(rest.where("not checked").select("a", "b"), texts).unionByName(rest.where("checked").select("a", "b"))
+    _, all_groups = merge(settle(links), all_groups)
     known = classes.join(all_groups.withColumnRenamed("node", "class_id").withColumnRenamed("component", "joined"), "class_id", "left")
     known = known.select("text_key", "class_id", F.coalesce("joined", "class_id").alias("component_id"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), F.md5("text")).alias("text_key"))

@@ -319,9 +319,10 @@ def test_probability_jaccard_and_its_estimate():
         assert (minhash.prob_minhash([b], m)[0] == y).all()
 
 
-@pytest.mark.parametrize(("rounds", "block"), [(0, 8), (0, 2048), (6, 2048)])
-def test_near_duplicates(spark, rounds, block, monkeypatch):
+@pytest.mark.parametrize(("rounds", "block", "small"), [(0, 8, 1024), (0, 2048, 0), (0, 2048, 140), (6, 2048, 1024)])
+def test_near_duplicates(spark, rounds, block, small, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SMALL", small)
     rng = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
@@ -333,6 +334,9 @@ def test_near_duplicates(spark, rounds, block, monkeypatch):
                 v[rng.integers(0, len(v))] = "x" + str(rng.integers(0, 999))
             rows.append((len(rows), " ".join(v)))
     rows += [(len(rows) + i, rows[i][1]) for i in range(5)]
+    line = " ".join(vocabulary[:12]) + "\n"
+    for _ in range(12):  # a line that repeats weighs most of the document
+        rows.append((len(rows), line * int(rng.integers(6, 30)) + " ".join(rng.choice(vocabulary, int(rng.integers(5, 80))))))
     monkeypatch.setattr(minhash, "ROUNDS", rounds)
     sets = [minhash.shingles(t) for _, t in rows]
     root = list(range(len(rows)))
@@ -352,6 +356,14 @@ def test_near_duplicates(spark, rounds, block, monkeypatch):
     assert all(got[i]["kept"] == (find(i) == i) for i in got)
 
 
+def test_near_ones_equal_the_exact_check():
+    rng = np.random.default_rng(6)
+    for most in (2, 4):
+        sets = [(np.sort(rng.choice(60, n, False)).astype(np.uint64), rng.integers(1, most, n)) for n in rng.integers(40, 60, 40)]
+        for one in sets[:10]:
+            assert minhash.near_ones(one, sets).tolist() == [minhash.probability_jaccard(one, x) >= minhash.THRESHOLD - 1e-12 for x in sets]
+
+
 def test_near_duplicates_of_awkward_rows(odd, nothing):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == len(ROWS)
