@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts may hold 100 KB, so a batch stays within some tens of MB.
 BATCH_ROWS = 1024
+#: Rows of ids that one partition of a small table may hold, some MB.
+PARTITION_ROWS = 100_000
 #: Entries a worker keeps in a word table before it starts anew; this bounds a worker's memory.
 TABLE_ENTRIES = 1 << 18
 
@@ -55,6 +57,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrowed(df: DataFrame) -> DataFrame:
+    """A settled table in no more partitions than its rows need.
+
+    Iterative steps shuffle small tables over and over; each task of theirs writes files of its own, and a table of
+    one partition of bounded size needs no shuffle at all. Large tables keep their partitions.
+    """
+    return df.coalesce(df.count() // PARTITION_ROWS + 1)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, blocks, grouped, mix64, over_batches, prepare, runs, settle, words
+from .common import ChunkTable, blocks, grouped, mix64, narrowed, over_batches, prepare, runs, settle, words
 from .components import components
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 42, 6, 0.8
@@ -313,7 +313,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = settle(classes)
     entries = classes.select(F.col("class_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("bucket")
-    entries = settle(entries.join(shared, "bucket").withColumn("component", F.col("id")).distinct())
+    entries = narrowed(settle(entries.join(shared, "bucket").withColumn("component", F.col("id")).distinct()))
     signs = classes.select(F.col("class_id").alias("id"), "signs", "tags").join(entries.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "node long, component long"
@@ -324,7 +324,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         named = entries.join(groups.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
         named = named.select("bucket", "band", "id", F.coalesce("new", "component").alias("component"))
         several = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-        return settle(named.join(several, "bucket"))
+        return narrowed(settle(named.join(several, "bucket")))
 
     def merged(links: DataFrame, ids: DataFrame) -> DataFrame:
         """Components of components that these links join."""
@@ -335,7 +335,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         """First node to component, then that component to the one it has become."""
         then = more.select(F.col("node").alias("component"), F.col("component").alias("later"))
         old = groups.join(then, "component", "left").select("node", F.coalesce("later", "component").alias("component"))
-        return settle(old.unionByName(more.join(groups.select("node"), "node", "left_anti")))
+        return narrowed(settle(old.unionByName(more.join(groups.select("node"), "node", "left_anti"))))
 
     def merge(links: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Join the components of these links."""
@@ -348,13 +348,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         met = entries.join(pivot.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("other")), "bucket").where("component != other")
         met = met.groupBy(F.col("id").alias("b"), "a").agg(F.count("*").alias("n"))
         pairs = met.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-        pairs = settle(agreeing(pairs.select("a", "b"), signs))
-        links = settle(verified(pairs, texts))
+        pairs = narrowed(settle(agreeing(pairs.select("a", "b"), signs)))
+        links = narrowed(settle(verified(pairs, texts)))
         more, all_groups = merge(links, all_groups)
         entries, turn, going = joined(entries, more), turn + 1, links.count() >= WORTH * pairs.count() > 0
-    rest = settle(remaining_pairs(entries, signs, texts))
+    rest = narrowed(settle(remaining_pairs(entries, signs, texts)))
     links = verified(rest.where("not checked").select("a", "b"), texts).unionByName(rest.where("checked").select("a", "b"))
-    _, all_groups = merge(settle(links), all_groups)
+    _, all_groups = merge(narrowed(settle(links)), all_groups)
     known = classes.join(all_groups.withColumnRenamed("node", "class_id").withColumnRenamed("component", "joined"), "class_id", "left")
     known = known.select("text_key", "class_id", F.coalesce("joined", "class_id").alias("component_id"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), F.md5("text")).alias("text_key"))
