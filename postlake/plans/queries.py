@@ -453,8 +453,9 @@ def named_properties(spark, d):
 
 @_add("stored_dates", "SELECT o_orderkey AS nid, make_timestamp(CAST(o_orderkey * 86400000000 AS BIGINT)) AS filed, CAST(make_timestamp(CAST(o_orderkey * 86400000000 AS BIGINT)) + INTERVAL 12 HOURS AS DATE) AS day FROM orders WHERE o_orderkey < 20000")
 def stored_dates(spark, d):
-    rows = table(spark, d, "orders").where("o_orderkey < 20000")
-    ticks = F.col("o_orderkey") * 864_000_000_000 + 116444736000000000
+    rows = table(spark, d, "orders")
+    # Keys fold into a million days, so that the ticks of every order stay in range.
+    ticks = F.pmod(F.col("o_orderkey"), F.lit(1_000_000)) * 864_000_000_000 + 116444736000000000
     filed = dates.filetime(ticks)
     return rows.select(F.col("o_orderkey").alias("nid"), filed.cast("timestamp_ntz").alias("filed"), dates.birthday(filed).alias("day"))
 
