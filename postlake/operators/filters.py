@@ -21,8 +21,6 @@ DOCUMENTS = "pdf doc docx docm dot dotx rtf odt ott pages xls xlsx xlsm xlsb ods
 IMAGES = "jpg jpeg png gif bmp tif tiff webp heic heif svg ico psd ai raw cr2 nef emf wmf".split()
 ARCHIVES = "zip 7z rar gz tgz tar bz2 xz z cab iso dmg jar".split()
 
-BODY_CAP = 65_536
-
 
 def attachment_kind(name: Column) -> Column:
     ext = extension(name)
@@ -80,7 +78,9 @@ class RowFilter:
         parts += [F.col("date") <= timestamp(until)] if until else []
         return reduce(lambda a, b: a & b, parts) if parts else None
 
-    def compile(self, columns: list[str]) -> Column:
+    def compile(self, columns: list[str], body_cap: int | None = None) -> Column:
+        """With body_cap, terms are looked for in so many characters of a body only (the reference: 65,536)."""
+        body = F.col("body") if body_cap is None else F.substring("body", 1, body_cap)
         parts: list[Column] = []
         if self.only_mail:
             parts.append(is_mail(F.col("message_class")))
@@ -94,7 +94,7 @@ class RowFilter:
         for term in self.terms:
             found = F.contains(header, F.lit(term))
             if self.search_body:
-                found |= F.coalesce(F.contains(F.lower(F.substring("body", 1, BODY_CAP)), F.lit(term)), F.lit(False))
+                found |= F.coalesce(F.contains(F.lower(body), F.lit(term)), F.lit(False))
             parts.append(found)
         return reduce(lambda a, b: a & b, parts, F.lit(True))
 

@@ -85,3 +85,16 @@ def test_kinds(spark):
     df = spark.createDataFrame([("a.PDF",), ("b.docx",), ("c.jpeg",), ("d.tar.gz",), ("e.exe",), ("f",), (None,)], "n string")
     assert [r[0] for r in df.select(attachment_kind(F.col("n"))).collect()] == ["documents", "documents", "images", "archives", "other", "other", "other"]
     assert parse_extensions("pdf, .DOCX xlsx;zip") == {"pdf", "docx", "xlsx", "zip"}
+
+
+def test_whole_bodies_are_searched_and_hashed(spark):
+    from pyspark.sql import functions as F
+
+    from postlake.functions.text import body_text
+
+    long = "x" * 500_000 + " license"
+    df = spark.createDataFrame([(1, "", long)], "nid long, subject string, body string")
+    f = RowFilter(text="license", search_body=True)
+    assert df.where(f.compile(df.columns)).count() == 1 and df.where(f.compile(df.columns, body_cap=65_536)).count() == 0
+    assert df.select(body_text(F.col("body"))).first()[0] == long
+    assert len(df.select(body_text(F.col("body"), 400_000)).first()[0]) == 400_000
