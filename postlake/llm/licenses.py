@@ -1,10 +1,13 @@
 """License scans: passages against licence templates by the Dice coefficient over word bigrams.
 
-Passages are the lines of a text and, where it has several, the text as a whole. Passages and templates are
-lower-cased and everything but letters and digits parts words. A template of s distinct bigrams can only reach
-the threshold t with passages of t/(2-t)*s to (2-t)/t*s bigrams; other templates are pruned by these bounds
-before any bigram is compared, and so are passages that fit no template. Everything is a column expression on
-the row of the document: no shuffle, no join, no Python.
+Passages are the lines of a text and, where it has several, the text as a whole; where the whole does not match,
+also runs of its words, in which a line that matched stands as one foreign word. So notices are found that are
+wrapped over lines or stand inside a line. Passages and templates are lower-cased and everything but letters and
+digits parts words. A template of s distinct bigrams can only reach the threshold t with passages of t/(2-t)*s to
+(2-t)/t*s bigrams, of which t/(2-t)*s are its own; other templates are pruned by these bounds, and so are passages
+and texts without enough bigrams of any template. Runs start at a bigram of the template and are no shorter than
+it, so that none leaves out the words that tell two versions apart; of runs that share words the best counts.
+Everything is a column expression on the row of the document: no shuffle, no join, no Python.
 
 Null and empty texts, and texts without a match, give a row with no licence. Of equal scores the template that
 comes first in TEMPLATES counts for a passage.
@@ -13,6 +16,7 @@ comes first in TEMPLATES counts for a passage.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +48,34 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("Proprietary", "Copyright. All rights reserved."),
+    ("Proprietary", "All rights reserved."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-3-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY"),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 
+# The usual openings of one-line notices, and what follows them.
+OPENINGS = ["Licensed under", "Released under", "Distributed under", "Available under", "Published under", "Provided under", "Covered by"]
+NAMES = [
+    ("Apache-2.0", "the Apache License, Version 2.0."), ("Apache-2.0", "the Apache License 2.0."), ("Apache-2.0", "the Apache 2.0 License."), ("MIT", "the MIT License."),
+    ("GPL-2.0", "the GNU General Public License, version 2."), ("GPL-3.0", "the GNU General Public License, version 3."),
+    ("LGPL-2.1", "the GNU Lesser General Public License, version 2.1."), ("LGPL-3.0", "the GNU Lesser General Public License, version 3."), ("AGPL-3.0", "the GNU Affero General Public License, version 3."),
+    ("BSD-2-Clause", "the BSD 2-Clause License."), ("BSD-3-Clause", "the BSD 3-Clause License."), ("MPL-2.0", "the Mozilla Public License, v. 2.0."), ("MPL-2.0", "the Mozilla Public License, version 2.0."),
+    ("ISC", "the ISC License."), ("CC0-1.0", "CC0 1.0."), ("CC-BY-4.0", "CC BY 4.0."), ("CC-BY-SA-4.0", "CC BY-SA 4.0."), ("CC-BY-NC-4.0", "CC BY-NC 4.0."),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0."), ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0."), ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0."), ("CC-BY-4.0", "a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License."), ("CC-BY-NC-4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License."), ("CC-BY-NC-SA-4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+]
+TEMPLATES += [t for t in ((n, f"{o} {x}") for o in OPENINGS for n, x in NAMES) if t not in TEMPLATES]
+
 
 def template_bigrams(text: str) -> list[str]:
     w = re.sub(r"[\W_]+", " ", text.lower()).split()
@@ -60,33 +90,79 @@ def _words(passage: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(passage), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _bigrams(words: Column) -> Column:
+    return _let(words, lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))
+
+
 def scan(documents: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """doc_id, n_matches, licenses (sorted, joined by ";"), best_dice (6 places) and best_license of every row."""
     sets = [template_bigrams(t) for _, t in templates]
-    least = min(bounds(len(s), threshold)[0] for s in sets)
+    runs = [len(re.sub(r"[\W_]+", " ", t.lower()).split()) - 1 for _, t in templates]  # bigrams with repeats
+    every = sorted({b for s in sets for b in s})
+    smallest = min(map(len, sets))
+    least = bounds(smallest, threshold)[0]
     most = max(bounds(len(s), threshold)[1] for s in sets)
-    known = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(len(s)).alias("size"), F.lit(bounds(len(s), threshold)[0]).alias("lo"), F.lit(bounds(len(s), threshold)[1]).alias("hi"), F.array(*map(F.lit, s)).alias("bigrams"))
-        for i, s in enumerate(sets)
-    ])
-    names = F.array(*[F.lit(n) for n, _ in templates])
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    passages = F.concat(lines, F.when(F.size(lines) > 1, F.array("text")).otherwise(F.array().cast("array<string>")))
-    # Repeated bigrams only make a passage's set smaller, so the lower bound holds for the word count at once.
-    long_enough = F.filter(F.transform(passages, _words), lambda w: F.size(w) - 1 >= least)
-
-    def bigrams(w: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i.cast("int")), F.element_at(w, i.cast("int") + 1))))
-
-    sized = F.filter(F.transform(F.filter(long_enough, lambda w: F.size(F.array_distinct(w)) - 1 <= most), bigrams), lambda b: F.size(b) <= most)
+    # The parts fold to constants; a literal for each bigram would be walked by every rule of the optimizer.
+    numbers = lambda values: F.split(F.lit(",".join(map(repr, values))), ",")
+    limits = [bounds(len(s), threshold) for s in sets]
+    known = F.arrays_zip(
+        numbers(range(len(sets))), numbers(map(len, sets)), numbers(lo for lo, _ in limits), numbers(hi for _, hi in limits), numbers(runs),
+        numbers(int(bounds(n, threshold)[1]) for n in runs), F.array(*[F.split(F.lit(";".join(s)), ";") for s in sets]),
+    ).cast("array<struct<i:int,size:int,lo:double,hi:double,run:int,longest:int,bigrams:array<string>>>")
+    names = F.split(F.lit(";".join(n for n, _ in templates)), ";")
+
+    def dice(b: Column, t: Column) -> Column:
+        return F.lit(2.0) * F.size(F.array_intersect(b, t["bigrams"])) / (F.size(b) + t["size"])
+
+    def fitting(b: Column) -> Column:
+        fits = F.filter(known, lambda t: (t["lo"] <= F.size(b)) & (F.size(b) <= t["hi"]))
+        top = F.array_max(F.transform(fits, lambda t: F.struct(dice(b, t).alias("dice"), (-t["i"]).alias("minus"))))
+        shared = F.size(F.filter(b, lambda x: x.isin(every)))
+        return F.when((F.size(b) <= most) & (shared >= threshold / 2 * (F.size(b) + smallest) - 1e-9), top)
+
+    def best(w: Column) -> Column:
+        """The best template of a passage's words, or null. Repeats only make a set smaller, so the lower bound holds for the word count."""
+        found = F.when((F.size(w) - 1 >= least) & (F.size(F.array_distinct(w)) - 1 <= most), _let(F.array_distinct(_bigrams(w)), fitting))
+        return _let(found, lambda s: F.when(s["dice"] >= threshold, s))
 
-    def best(b: Column) -> Column:
-        fitting = F.filter(known, lambda t: (t["lo"] <= F.size(b)) & (F.size(b) <= t["hi"]))
-        dice = F.transform(fitting, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(b, t["bigrams"])) / (F.size(b) + t["size"])).alias("dice"), (-t["i"]).alias("minus")))
-        return F.array_max(dice)
-
-    hits = F.filter(F.transform(sized, best), lambda s: s["dice"] >= threshold)
-    found = documents.select("doc_id", hits.alias("hits"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = documents.select("doc_id", F.transform(lines, _words).alias("lines"))
+    rows = rows.select("doc_id", F.filter("lines", lambda w: F.element_at(w, 1) != "").alias("lines"), (F.size("lines") > 1).alias("several"))
+    rows = rows.select("doc_id", "lines", F.transform("lines", best).alias("hits"), F.when(F.col("several"), _let(F.flatten("lines"), best)).alias("whole"))
+    rest = F.flatten(F.zip_with("lines", "hits", lambda w, s: F.when(s.isNull(), w).otherwise(F.array(F.lit("\0")))))
+    rows = rows.select("doc_id", "hits", "whole", F.when(F.col("whole").isNull(), _bigrams(rest)).alias("b"))
+    # The places in the text (from 0) of bigrams that any template has.
+    places = F.filter(F.transform("b", lambda x, i: F.when(x.isin(every), F.struct(i.alias("at"), x.alias("x")))), lambda p: p.isNotNull())
+    rows = rows.select("doc_id", "hits", "whole", "b", places.alias("places"))
+    rows = rows.select("doc_id", "hits", "whole", "b", "places", F.array_distinct("places.x").alias("own"))
+    possible = F.when(F.size("own") >= least - 1e-9, F.filter(known, lambda t: F.size(F.array_intersect("own", t["bigrams"])) >= t["lo"] - 1e-9))
+
+    def of_template(t: Column) -> Column:
+        at = F.transform(F.filter("places", lambda p: F.array_contains(t["bigrams"], p["x"])), lambda p: p["at"])
+
+        def from_start(t: Column, at: Column, a: Column) -> Column:
+            within = F.filter(at, lambda e: (e >= a) & (e < a + t["longest"]))
+            ends = F.concat(F.array(F.least(a + t["run"], F.size("b")) - 1), F.filter(within, lambda e: e >= a + t["run"]))
+            run = lambda e: F.array_distinct(F.slice("b", a + 1, e - a + 1))
+            return F.when(
+                F.size(within) >= t["lo"] - 1e-9,
+                F.transform(ends, lambda e: F.struct(dice(run(e), t).alias("dice"), (-t["i"]).alias("minus"), (-a).alias("start"), (-e).alias("end"))),
+            ).otherwise(F.array())
+
+        return F.flatten(_let(at, lambda at: F.transform(at, lambda a: from_start(t, at, a))))
+
+    rows = rows.select("doc_id", "hits", "whole", F.reverse(F.array_sort(F.filter(F.flatten(F.transform(possible, of_template)), lambda s: s["dice"] >= threshold))).alias("runs"))
+    # Of runs that share words the best stays; start and end are negative places of bigrams, which reach one word further.
+    apart = lambda s, kept: ~F.exists(kept, lambda k: (s["start"] >= k["end"] - 1) & (k["start"] >= s["end"] - 1))
+    runs_kept = F.aggregate("runs", F.slice("runs", 1, 0), lambda kept, s: F.when(apart(s, kept), F.concat(kept, F.array(s))).otherwise(kept))
+    plain = lambda c: F.transform(c, lambda s: F.struct(s["dice"].alias("dice"), s["minus"].alias("minus")))
+    hits = F.filter(F.concat("hits", F.array("whole"), F.coalesce(plain(runs_kept), F.array().cast("array<struct<dice:double,minus:int>>"))), lambda s: s.isNotNull())
+    found = rows.select("doc_id", hits.alias("hits"))
     name = lambda s: F.element_at(names, (F.lit(1) - s["minus"]).cast("int"))
     top = F.array_max("hits")
     return found.select(

@@ -104,6 +104,15 @@ def test_licenses(spark, odd, nothing, small):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in licenses.scan(spark.read.parquet(f"{small}/documents.parquet")).collect())
 
 
+def test_licenses_with_other_openings_wrapped_or_inside_lines(spark):
+    permission = next(t for _, t in licenses.TEMPLATES if t.startswith("Permission is hereby granted")).split()
+    wrapped = "\n".join(" * " + " ".join(permission[i : i + 9]) for i in range(0, len(permission), 9))
+    texts = ["Released under the MIT License.", f"Some tool\n\n{wrapped}\n\n" + "other words " * 300, "This page is distributed under the ISC License, see below. " + "more words here " * 50]
+    texts += ["Released under the\nMIT License and also covered by CC BY-NC-SA 4.0, ok then", "intro\nLicensed under the Apache License, Version 1.1.\nLicensed under CC BY-SA 3.0.\nend of it all", "a\nLicensed under the MIT License.\nb c d e f g h i j k"]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["licenses"], r["n_matches"]) for r in found] == [("MIT", 1), ("MIT", 1), ("ISC", 1), ("CC-BY-NC-SA-4.0;MIT", 2), ("", 0), ("MIT", 1)]
+
+
 def test_license_bounds_prune_nothing_that_matches():
     sets = [set(licenses.template_bigrams(t)) for _, t in licenses.TEMPLATES]
     for a in sets:
