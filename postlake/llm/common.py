@@ -1,4 +1,4 @@
-"""What the training-data operators share: reading tables, shared storage, word and chunk tables."""
+"""What the training-data operators share: reading tables, shared storage, chunks of texts."""
 
 from __future__ import annotations
 
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1024
 #: Rows of ids that one partition of a small table may hold, some MB.
 PARTITION_ROWS = 100_000
-#: Entries a worker keeps in a word table before it starts anew; this bounds a worker's memory.
-TABLE_ENTRIES = 1 << 18
+#: Bytes of text that are split into words or chunks at a time.
+PORTION = 1 << 21
+#: Chunks whose values a worker keeps, and the most characters of one.
+KEPT, SHORT = 1 << 15, 32
 
 WORD = re.compile(r"\w+")
 
@@ -123,61 +125,61 @@ def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, str]) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
-class WordTable(dict):
-    """A dict that computes missing entries; it starts anew when it is full, so it stays bounded."""
+def portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in slices of about PORTION bytes; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PORTION, side="right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
 
-    def __init__(self, compute: Callable, entries: int = TABLE_ENTRIES):
-        super().__init__()
-        self.compute, self.entries = compute, entries
 
-    def __missing__(self, key):
-        if len(self) >= self.entries:
-            self.clear()
-        value = self[key] = self.compute(key)
-        return value
+class ChunkCoder:
+    """Values of the chunks of texts between blanks and line feeds, gathered for portions of Arrow batches.
 
-
-class ChunkTable:
-    """Values of the chunks of texts between blanks and line feeds, gathered for whole Arrow batches.
-
-    Most chunks repeat. Arrow splits a batch's texts and numbers their distinct chunks; `learn` computes the
-    values (fixed-width items, as bytes) of those that the table doesn't know; numpy puts the items of all
-    chunks together in order. `learn` must give for a text what its chunks give one after another.
+    Arrow splits the texts and numbers their distinct chunks; `learn` computes the values (fixed-width items, as
+    bytes) of each of them once, and numpy puts the items of all chunks together in order. `learn` must give for a
+    text what its chunks give one after another. Values of at most `kept` short chunks, some 250 bytes each, are kept
+    for the next portions; so a worker's memory follows the portion's bytes, not what it has seen.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], dtype: str, entries: int = TABLE_ENTRIES, parted: Callable[[pa.Array], pa.Array] | None = None):
-        self.learn, self.dtype, self.entries, self.known = learn, np.dtype(dtype), entries, {}
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], dtype: str, parted: Callable[[pa.Array], pa.Array] | None = None, kept: int = KEPT):
+        self.learn, self.dtype, self.kept, self.known = learn, np.dtype(dtype), kept, {}
         #: Gives the texts with one blank between chunks.
         self.parted = parted or (lambda texts: pc.replace_substring(texts, "\n", " "))
 
-    def values(self, chunks: list[str]) -> list[bytes]:
-        known = self.known
-        found = list(map(known.get, chunks))
+    def _values(self, chunks: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, chunks))
         at = [i for i, v in enumerate(found) if v is None]
-        if at:
-            missing = [chunks[i] for i in at]
-            fresh = self.learn(missing)
-            if len(known) + len(missing) > self.entries:
-                known.clear()
-            known.update(zip(missing, fresh, strict=True))
-            for i, v in zip(at, fresh, strict=True):
-                found[i] = v
+        missing = [chunks[i] for i in at]
+        for i, v in zip(at, self.learn(missing), strict=True):
+            found[i] = v
+        if len(self.known) + len(missing) > self.kept:
+            self.known.clear()
+        self.known.update((c, found[i]) for c, i in zip(missing[: self.kept], at, strict=False) if len(c) <= SHORT)
         return found
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The items of all texts, and where each text's items begin and end (one number more than texts)."""
-        if not len(texts):
-            return np.empty(0, self.dtype), np.zeros(1, np.int64)
-        parts = pc.split_pattern(self.parted(texts.cast(pa.large_string()).fill_null("")), " ")
+    def _portion(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = pc.split_pattern(self.parted(texts), " ")
         coded = parts.flatten().dictionary_encode()
-        codes, blobs = coded.indices.to_numpy(), self.values(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        codes, blobs = coded.indices.to_numpy(), self._values(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         pool = np.frombuffer(b"".join(blobs), self.dtype)
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
         begins, sizes = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
         ends = np.cumsum(sizes)
         places = np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
         offsets = parts.offsets.to_numpy()
-        return pool[places], np.concatenate([[0], ends])[offsets - offsets[0]]
+        return pool[places], np.diff(np.concatenate([[0], ends])[offsets - offsets[0]])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The items of all texts, and where each text's items begin and end (one number more than texts)."""
+        items, counts = [np.empty(0, self.dtype)], [np.zeros(1, np.int64)]
+        for part in portions(texts.cast(pa.large_string()).fill_null("")):
+            found, n = self._portion(part)
+            items.append(found)
+            counts.append(n)
+        return np.concatenate(items), np.cumsum(np.concatenate(counts))
 
 
 def words(text: str) -> list[str]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, blocks, grouped, mix64, narrowed, over_batches, prepare, runs, settle, words
+from .common import ChunkCoder, blocks, grouped, mix64, narrowed, over_batches, prepare, runs, settle, words
 from .components import components
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 42, 6, 0.8
@@ -55,7 +55,7 @@ def _word_hashes(chunks: list[str]) -> list[bytes]:
     return [array("Q", [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words(c)]).tobytes() for c in chunks]
 
 
-_chunks = ChunkTable(_word_hashes, "u8")
+_chunks = ChunkCoder(_word_hashes, "u8")
 
 
 def _hashes(w: np.ndarray, width: int) -> np.ndarray:

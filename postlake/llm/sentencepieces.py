@@ -7,8 +7,8 @@ merges are derived from the pieces (every split of a piece into two pieces, in t
 score), with byte fallback in both. Ids decode to bytes by a table of the same pieces.
 
 No piece may hold the marker after another character, nor a line feed (`Rebuilt.separable` tests this): then a
-normalised text can be cut before each run of markers and around line feeds without changing its ids. A
-worker keeps the ids of such chunks in a bounded table and encodes unknown ones in multithreaded batches.
+normalised text can be cut before each run of markers and around line feeds without changing its ids. The
+distinct chunks of a portion of texts are encoded once each, in multithreaded batches.
 
 Null and empty texts have no ids. Parity with the sentencepiece library is reported for every document.
 """
@@ -28,11 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, over_batches, prepare
+from .common import ChunkCoder, over_batches, prepare
 
 MARK = "▁"
-#: Chunks that a worker keeps, at about 250 bytes each.
-ENTRIES = 1 << 19
 #: Fixed values of the format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -96,7 +94,7 @@ def parse(data: bytes) -> Proto:
 
 
 class Rebuilt:
-    def __init__(self, path: str, threads: int = 2, entries: int = ENTRIES):
+    def __init__(self, path: str, threads: int = 2):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from tokenizers import Regex, Tokenizer, models, normalizers
@@ -126,7 +124,7 @@ class Rebuilt:
         self.separable = not any("\n" in x or re.search(f"[^{MARK}]{MARK}", x) for x in ordinary)
         self.bytes = [bytes([int(x[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else x.encode() for x, _, t in p.pieces]
         self.simple = not p.charsmap and not p.remove_extra and p.escape and p.dummy_prefix
-        self.table = ChunkTable(self._learn, "<u4", entries, self._parted)
+        self.coder = ChunkCoder(self._learn, "<u4", self._parted, kept=1 << 17)
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
         out = []
@@ -145,7 +143,7 @@ class Rebuilt:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids begin and end."""
-        return self.table.encode(texts)
+        return self.coder.encode(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")

@@ -1,8 +1,8 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded table of white-space-free chunks.
+"""Token ids of whole texts by the tokenizers library, through their white-space-free chunks.
 
 The pre-tokenizer of ``word_bpe_49k.json`` drops white space and never joins across it, and its normaliser
 works within white-space-free runs. So a text's ids are those of its chunks between blanks and line feeds,
-one after another. Unknown chunks are encoded by the library. A chunk of letters with punctuation behind
+one after another, and each distinct chunk of a portion is encoded once. A chunk of letters with punctuation behind
 it is the two in a row, as the pre-tokenizer parts letters from marks; words of letters alone go through
 normalisation, the byte alphabet and the library's model one step after another; everything else passes through
 the whole tokenizer.
@@ -18,10 +18,10 @@ from string import punctuation
 import numpy as np
 import pyarrow as pa
 
-from .common import ChunkTable, WordTable
+from .common import ChunkCoder
 
-#: Chunks that a worker keeps, at about 250 bytes each.
-ENTRIES = 1 << 19
+#: Chunks whose ids are kept, about 30 MB: the library's model is dear.
+KEPT = 1 << 17
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -38,8 +38,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.table = ChunkTable(self._learn, "<u4", ENTRIES)
-        self.marks = WordTable(lambda mark: self._each([mark])[0])
+        self.coder = ChunkCoder(self._learn, "<u4", kept=KEPT)
         self.spelled = {c: self.alphabet.pre_tokenize_str(chr(c))[0][0] for c in range(0xAA, 0x100) if chr(c).isalpha()}
 
     def _each(self, chunks: list[str]) -> list[bytes]:
@@ -59,24 +58,31 @@ class ChunkEncoder:
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
-        known, other = self.table.known, []
-        out: list[bytes | None] = []
+        known: dict[str, bytes | None] = {}
+        marks: dict[str, bytes] = {}
+        other, out = [], []
         for i, c in enumerate(chunks):
             word = c if c.isalpha() else c.rstrip(punctuation)
+            ids = None
             if word.isalpha():
-                ids = (known.get(word) if word is not c else None) or self._word(word)
-                if ids is not None:
-                    out.append(ids if word is c else ids + self.marks[c[len(word) :]])
-                    continue
-            out.append(None)
-            other.append(i)
+                if word not in known:
+                    known[word] = self._word(word)
+                ids = known[word]
+                if ids is not None and word is not c:
+                    mark = c[len(word) :]
+                    if mark not in marks:
+                        marks[mark] = self._each([mark])[0]
+                    ids += marks[mark]
+            out.append(ids)
+            if ids is None:
+                other.append(i)
         for i, ids in zip(other, self._each([chunks[i] for i in other]), strict=True):
             out[i] = ids
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids begin and end."""
-        return self.table.encode(texts)
+        return self.coder.encode(texts)
 
     def encode_one(self, text: str | None) -> np.ndarray:
         return self.encode(pa.array([text], pa.string()))[0]

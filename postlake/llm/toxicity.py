@@ -18,14 +18,14 @@ from __future__ import annotations
 import math
 from array import array
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, id_crc, over_batches, prepare, words
+from .common import ChunkCoder, id_crc, over_batches, prepare, words
 
 SAMPLE, TOKENS = 20_000, 100_000
 PRIOR, Z, DRIFT = 0.5, 1.0, 1.0
@@ -61,19 +61,13 @@ class Model:
     scale: float = 1.0
     weights: tuple[float, float, float] = (-3.0, 1.0, 0.0)
 
-    table: ChunkTable | None = field(default=None, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"table": None}  # each worker fills its own
-
     def _learn(self, chunks: list[str]) -> list[bytes]:
         get = self.scores.get
         return [array("d", [get(w, -DRIFT) for w in words(c)]).tobytes() for c in chunks]
 
     def passages(self, texts: pa.Array) -> list[tuple[int, list[tuple[int, int, float]]]]:
         """The number of tokens and the segments of each text."""
-        self.table = self.table or ChunkTable(self._learn, "f8")
-        scores, at = self.table.encode(texts)
+        scores, at = ChunkCoder(self._learn, "f8").encode(texts)
         return [(int(j - i), segments(scores[i:j])) for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def standard(self, score: float, n: int) -> float:
