@@ -14,10 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts may hold 100 KB, so a batch stays within some tens of MB.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 #: Rows of ids that one partition of a small table may hold, some MB.
 PARTITION_ROWS = 100_000
+#: Rows of a few numbers that are broadcast at most, some MB.
+BROADCAST_ROWS = 1 << 16
 #: Bytes of text that are split into words or chunks at a time.
 PORTION = 1 << 21
 #: Chunks whose values a worker keeps, and the most characters of one.
@@ -50,6 +52,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Arrow batches of bounded size, and a checkpoint folder."""
     shared_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -83,14 +86,44 @@ def over_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | d
     return df.mapInArrow(run, schema)
 
 
-def blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """Deal the rows of each `bucket` of over `most` rows as pairs of blocks of about that size.
+def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled table of narrow rows, marked for a broadcast if it has few rows; else it is joined by a shuffle."""
+    return F.broadcast(small) if small.count() <= rows else small
+
+
+def split_hot(rows: DataFrame, counts: DataFrame, key: str, most: int, by: str) -> tuple[DataFrame, DataFrame]:
+    """Part the keys of many rows, so that a join by key and part leaves no key whole to one task.
+
+    counts has the `n` of each key, settled. Gives rows with their `part` (0 for most keys), and counts with
+    each `part` and the number of `parts`. What is broadcast are keys of over `most` rows; `most` rises with
+    the total, so that there are BROADCAST_ROWS of them at most.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(most, total // BROADCAST_ROWS)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    hot = F.broadcast(counts.where(F.col("n") > most).select(key, parts.alias("_parts")))
+    rows = rows.join(hot, key, "left").withColumn("part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_parts"))).cast("int")).drop("_parts")
+    return rows, counts.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+
+def blocks(rows: DataFrame, key: str, most: int, weight: str | None = None) -> DataFrame:
+    """Deal the rows of each `bucket` of over `most` rows (or of that sum of weights) as pairs of blocks of about that size.
 
     Adds `block` and `pair` (the two block numbers in one long). Two rows of a bucket meet in one pair at least; rows
-    of different blocks in the pair of these alone.
+    of different blocks in the pair of these alone. rows should be narrow and settled.
     """
-    large = rows.groupBy("bucket").count().where(F.col("count") > most).select("bucket", F.ceil(F.col("count") / (most * 0.9)).alias("_blocks"))
-    rows = rows.join(large, "bucket", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    size = F.sum(weight) if weight else F.count("*")
+    large = rows.groupBy("bucket").agg(F.count("*").alias("n"), size.cast("long").alias("_size")).where(F.col("_size") > most)
+    large = narrowed(settle(large.withColumn("_blocks", F.ceil(F.col("_size") / (most * 0.9)))))
+    found = large.count()
+    if not found:
+        return rows.withColumns({"block": F.lit(0).cast("long"), "pair": F.lit(0).cast("long")})
+    if found <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(large.select("bucket", "_blocks")), "bucket", "left")
+    else:
+        rows, parted = split_hot(rows, large, "bucket", 1 << 16, key)
+        rows = rows.join(parted.select("bucket", "part", "_blocks"), ["bucket", "part"], "left").drop("part")
+    rows = rows.withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(key), F.col("_blocks")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     pair = F.shiftleft(F.least("block", "_other").cast("long"), 32) + F.greatest("block", "_other")
@@ -102,10 +135,6 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
 
 
-def dealt_blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
-    return grouped(blocks(rows, key, most))
-
-
 def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, str]) -> Iterator[pa.Table]:
     """The rows of each run of equal keys, in batches sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -125,6 +154,18 @@ def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, str]) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
+def views(column: pa.Array | pa.ChunkedArray, dtype: str) -> list[np.ndarray | None]:
+    """The values of a binary column as arrays over Arrow's own memory; None for nulls."""
+    out = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        kind = np.dtype(dtype)
+        for lo, hi, there in zip(at[:-1], at[1:], chunk.is_valid().to_pylist(), strict=True):
+            out.append(np.frombuffer(data, kind, (hi - lo) // kind.itemsize, lo) if there and hi > lo else np.empty(0, kind) if there else None)
+    return out
+
+
 def portions(texts: pa.Array) -> Iterator[pa.Array]:
     """The texts in slices of about PORTION bytes; a longer text is a slice of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_blocks, over_batches, prepare, runs, settle
+from .common import blocks, grouped, over_batches, prepare, runs, settle
 from .components import components
 
 WIDTH, BUCKET, BLOCK, MISS = 2.0, 256, 2048, 1e-4
@@ -126,7 +126,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, seed: int = 0)
         return pa.RecordBatch.from_arrays([batch["vec_key"].take(pa.array(np.repeat(np.arange(n), tables))), pa.array(bucket), pa.array(np.tile(np.arange(tables), n).astype(np.int32))], names=["vec_key", "bucket", "table"])
 
     places = over_batches(nodes.select("vec_key", "tags"), spread, "vec_key binary, bucket long, table int")
-    dealt = dealt_blocks(places.join(nodes, "vec_key"), "vec_key", BLOCK)
+    dealt = grouped(blocks(settle(places), "vec_key", BLOCK).join(nodes, "vec_key"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, ("bucket", "pair")):

@@ -6,23 +6,25 @@ register keeps the element that arrives first, and arrivals later than all regis
 registers that agree estimates the probability Jaccard similarity J_P, which is the Jaccard similarity where all
 weights are one. BANDS bands of ROWS registers give candidates; a pair at 0.8 is missed with a chance of 3e-6.
 
-Equal texts are one class. Links are J_P >= 0.8, checked exactly on the texts. Only components are wanted, so
-the pairs within a bucket are never all made: in each round every bucket that still holds several components
-names one pivot, and each document outside the pivot's component is checked against the one pivot it meets in
-most buckets. Rounds go on while they link much. What then still shares a bucket across components is compared
-by one byte of each register inside tasks (large buckets as pairs of blocks), and the pairs that agree often
-enough are checked exactly there, most alike first and only while they are in different components, so that a
-task returns a forest of links and no link found by banding is lost. Documents of over SMALL shingles don't
-travel with their shingles: their agreeing pairs are returned and checked on the texts.
-
-Null texts and null ids stay rows of their own; texts without words link with equal texts only. Rows that
-repeat a doc_id are one document.
+Equal texts are one node. Links are J_P >= 0.8, checked exactly on the shingles. Only components are wanted, so
+the pairs within a bucket are never all made. In each round every bucket that still holds several components names
+one pivot, and each node outside the pivot's component is checked against the one pivot it meets in most buckets;
+rounds go on while they link much. Of what then still shares a bucket across components, one byte of each register
+is compared inside tasks (large buckets as pairs of blocks), which gives clusters of components with promising
+pairs. A cluster's nodes meet with their shingles (in pairs of blocks of bounded bytes), and the promising pairs
+are checked exactly there, most alike first and only while they are in different components, so that a task
+returns a forest of links and no link found by banding is lost. Documents of all lengths take this one way.
+
+Null texts stay rows of their own; texts without words link with equal texts only. Rows that repeat an id and a
+text are one document; rows of one id and several texts are several documents under that id. Rows of a null id
+take part; a component all of whose ids are null has a null id.
 """
 
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCoder, blocks, grouped, mix64, narrowed, over_batches, prepare, runs, settle, words
+from .common import ChunkCoder, blocks, checked, grouped, mix64, narrowed, over_batches, prepare, runs, settle, split_hot, views, words
 from .components import components
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 42, 6, 0.8
@@ -39,12 +41,13 @@ REGISTERS = BANDS * ROWS
 AGREE = 0.7
 #: Pivot rounds go on while they link this share of what they check, and the most of them.
 WORTH, ROUNDS = 0.2, 4
-BLOCK = 2048
+#: Nodes of a block whose registers are compared, bytes of shingles in a block that is checked exactly.
+BLOCK, BLOCK_BYTES = 2048, 6 << 20
+#: Entries of a bucket, or partners of a pivot, that one task of a join takes.
+HOT = 4096
 #: Texts whose registers are filled together, and elements of theirs but for the last one's.
 TOGETHER, ELEMENTS = 256, 1 << 18
-#: Documents of at most so many distinct shingles are compared inside tasks; one takes 12 bytes.
-SMALL = 1024
-#: Pairs of a document that are checked at a time, before it is looked which of the others are still apart.
+#: Pairs of a node that are checked at a time, before it is looked which of the others are still apart.
 TRIED = 64
 #: Ids of 8 bytes that are broadcast at most.
 BROADCAST_IDS = 1 << 19
@@ -158,9 +161,12 @@ def similarity(a: str, b: str) -> float:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, text_key, band keys (whole, and 32 bits of each) and a byte of each register of rows with id and text."""
+    """doc_id, text_key, row_key, band keys, a byte of each register and the number of shingles of rows with a text.
+
+    row_key leads back to the row: its id, or a hash of the text where that is null.
+    """
     prepare(documents.sparkSession)
-    rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_key"), "text")
+    rows = keyed(documents).select("doc_id", "row_key", F.unhex(F.md5("text")).alias("text_key"), "text")
 
     def sketch(batch: pa.RecordBatch) -> dict:
         keys = batch["text_key"].dictionary_encode()
@@ -171,46 +177,84 @@ def sketches(documents: DataFrame) -> DataFrame:
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands_of(held).ravel()), mask=empty)
         signs = (held >> np.uint64(24)).astype(np.uint8).tobytes()
         signs = pa.array([signs[i : i + REGISTERS] for i in range(0, len(signs), REGISTERS)], pa.binary())
-        tags = (bands_of(held) & 0xFFFFFFFF).astype("<u4").tobytes()
-        tags = pa.array([tags[i : i + 4 * BANDS] for i in range(0, len(tags), 4 * BANDS)], pa.binary())
-        return {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "bands": bands.take(keys.indices), "signs": signs.take(keys.indices), "tags": tags.take(keys.indices)}
+        n = pa.array([len(e) for e, _ in sets], pa.int64())
+        return {c: batch[c] for c in ("doc_id", "row_key", "text_key")} | {"bands": bands.take(keys.indices), "signs": signs.take(keys.indices), "shingles": n.take(keys.indices)}
 
-    return over_batches(rows, sketch, "doc_id long, text_key string, bands array<long>, signs binary, tags binary")
+    return over_batches(rows, sketch, "doc_id long, row_key long, text_key binary, bands array<long>, signs binary, shingles long")
 
 
-def agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """Those (a, b) whose registers agree often enough."""
+def keyed(documents: DataFrame) -> DataFrame:
+    rows = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("row_key", F.coalesce("doc_id", F.xxhash64("text")))
 
-    @F.pandas_udf("boolean")
-    def enough(x, y):
-        import pandas as pd
 
-        p, q = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, REGISTERS) for v in (x, y))
-        return pd.Series((p == q).mean(1) >= AGREE)
+def of_ids(table: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows of the table with these ids; up to BROADCAST_IDS of them are broadcast, beyond that the table is shuffled."""
+    return table.join(checked(ids, BROADCAST_IDS), on, "left_semi")
+
 
-    mine, theirs = (signs.select(F.col("id").alias(c), F.col("signs").alias(f"signs_{c}")) for c in ("a", "b"))
-    return pairs.join(theirs, "b").join(mine, "a").where(enough("signs_a", "signs_b")).select("a", "b")
+def packed_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, elements and weights (null where all are one) of these nodes, whose texts are fetched once."""
+
+    def packed(batch: pa.RecordBatch) -> dict:
+        sets = shingle_sets(batch["text"])
+        weights = [None if (w == 1).all() else w.astype("<u4").tobytes() for _, w in sets]
+        return {"node": batch["node"], "elements": pa.array([e.astype("<u8").tobytes() for e, _ in sets], pa.binary()), "weights": pa.array(weights, pa.binary())}
 
+    texts = keyed(documents).join(checked(nodes, BROADCAST_IDS), "row_key").where(F.unhex(F.md5("text")) == F.col("text_key"))
+    sets = settle(over_batches(texts.select("node", "text"), packed, "node long, elements binary, weights binary"))
+    return sets if sets.count() == nodes.count() else settle(sets.dropDuplicates(["node"]))  # rows that repeat id and text
 
-def of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of these doc_ids: up to BROADCAST_IDS ids are broadcast; beyond that all texts are shuffled."""
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
+def unpacked(elements: pa.Array, weights: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    pairs = zip(views(elements, "<u8"), views(weights, "<u4"), strict=True)
+    return [(e, np.ones(len(e), np.int64) if w is None else w.astype(np.int64)) for e, w in pairs]
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (a, b) whose texts reach the threshold; pairs are settled already."""
-    texts = of_ids(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    mine, theirs = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+
+def agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Those pairs (a, b and more) whose registers agree often enough; pairs are settled."""
 
     @F.pandas_udf("boolean")
-    def near(x, y):
+    def enough(x, y):
         import pandas as pd
 
-        left, right = (v.fillna("") for v in (x, y))
-        p, q = (shingle_sets(pa.array(v, pa.string())) for v in (left, right))
-        return pd.Series([probability_jaccard(a, b) >= THRESHOLD - 1e-12 for a, b in zip(p, q, strict=True)], dtype=bool)
+        p, q = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, REGISTERS) for v in (x, y))
+        return pd.Series((p == q).mean(1) >= AGREE)
+
+    mine, theirs = (signs.select(F.col("node").alias(c), F.col("signs").alias(f"signs_{c}")) for c in ("a", "b"))
+    mine = of_ids(mine, narrowed(settle(pairs.select("a").distinct())), "a")
+    found = theirs.join(checked(pairs, BROADCAST_IDS // 4), "b").join(mine, "a")
+    return found.where(enough("signs_a", "signs_b")).select(pairs.columns)
+
 
-    return pairs.join(theirs, "b").join(mine, "a").where(near("text_a", "text_b")).select("a", "b").distinct()
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs whose shingles reach the threshold; pairs (a, b, ca, cb) are settled.
+
+    A pivot's shingles come first, then those of its partners, one after another; a pivot of many partners is parted.
+    """
+    counts = narrowed(settle(pairs.groupBy("a").agg(F.count("*").alias("n"))))
+    dealt, parts = split_hot(pairs, counts, "a", HOT, "b")
+    dealt, parts = narrowed(settle(dealt)), narrowed(settle(parts.select("a", "part")))
+    none = F.lit(None).cast("long")
+    pivots = sets.join(checked(parts.withColumnRenamed("a", "node"), BROADCAST_IDS // 4), "node").select(F.col("node").alias("a"), "part", none.alias("b"), none.alias("ca"), none.alias("cb"), "elements", "weights")
+    others = sets.withColumnRenamed("node", "b").join(checked(dealt, BROADCAST_IDS // 4), "b").select("a", "part", "b", "ca", "cb", "elements", "weights")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = None
+        for batch in batches:
+            first = batch["b"].is_null().to_numpy(zero_copy_only=False)
+            sets, keep = unpacked(batch["elements"], batch["weights"]), np.zeros(batch.num_rows, bool)
+            starts = [0, *np.flatnonzero(first).tolist(), batch.num_rows]
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                if lo < hi and first[lo]:
+                    pivot = sets[lo][0].copy(), sets[lo][1].copy()
+                    lo += 1
+                for i in range(lo, hi, TRIED):
+                    keep[i : min(i + TRIED, hi)] = near_ones(pivot, sets[i : min(i + TRIED, hi)])
+            yield batch.filter(pa.array(keep)).select(["a", "b", "ca", "cb"])
+
+    rows = pivots.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return rows.drop("part").mapInArrow(near, "a long, b long, ca long, cb long")
 
 
 def near_ones(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -234,130 +278,160 @@ def near_ones(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray,
     return out
 
 
-def _across(run: pa.Table) -> dict | None:
-    """Links of a run's documents from different components, and pairs of large ones that are yet to be checked."""
-    ids, component, block = (run[c].to_numpy() for c in ("id", "component", "block"))
+def _apart(run: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Order, component, registers and blocks (-1 where all may meet) of a run's rows, the largest component last, and
+    for each row where the next component begins; None for one component."""
+    component = run["component"].to_numpy()
     _, group, size = np.unique(component, return_inverse=True, return_counts=True)
     if len(size) < 2:
         return None
-    order = np.lexsort((group, size[group]))  # the largest component last: its own pairs are never compared
-    ids, block, group = ids[order], block[order], group[order]
+    order = np.lexsort((group, size[group]))  # pairs within the largest component are never looked at
     signs = np.frombuffer(b"".join(run["signs"].to_pylist()), np.uint8).reshape(-1, REGISTERS)[order]
-    band = run["band"][0].as_py()
-    tags = np.frombuffer(b"".join(run["tags"].to_pylist()), "<u4").reshape(-1, BANDS)[order, :band]
-    elements, weights = (run[c].to_pylist() for c in ("elements", "weights"))
-    sets = [(np.frombuffer(elements[i], "<u8"), np.frombuffer(weights[i], "<u4").astype(np.int64)) if elements[i] is not None else None for i in order.tolist()]
-    small = np.array([x is not None for x in sets])
-    pair = run["pair"][0].as_py()
-    across = pair >> 32 != pair & 0xFFFFFFFF
-    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
-    now = group.copy()  # the component that each has come to
-    a, b, checked = [], [], []
-
-    def found(i: int, others: np.ndarray, sure: bool) -> None:
-        a.append(np.minimum(ids[others], ids[i]))
-        b.append(np.maximum(ids[others], ids[i]))
-        checked.append(np.full(len(others), sure))
-
-    for i, end in enumerate(ends[np.searchsorted(ends, np.arange(ends[-2]), side="right")].tolist()):
-        share = (signs[end:] == signs[i]).mean(1)
-        near = (share >= AGREE) & (now[end:] != now[i])
-        if across:
-            near &= block[end:] != block[i]
-        if not near.any():
-            continue
-        at = np.flatnonzero(near)
-        at = at[np.argsort(-share[at], kind="stable")] + end
-        at = at[~(tags[at] == tags[i]).any(1)]  # a pair that has met in an earlier band was looked at there
-        if not small[i]:
-            found(i, at, False)
-            continue
-        found(i, at[~small[at]], False)
-        at = at[small[at]]
+    pair, block = run["pair"][0].as_py(), run["block"].to_numpy()[order]
+    ends = np.append(np.flatnonzero(np.diff(group[order])) + 1, len(group))
+    return order, component[order], signs, block if pair >> 32 != pair & 0xFFFFFFFF else np.full(len(block), -1), ends[np.searchsorted(ends, np.arange(ends[-2]), side="right")]
+
+
+def _promising(i: int, end: int, now: np.ndarray, signs: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Rows from end on of another component whose registers agree often enough with row i, most alike first."""
+    share = np.count_nonzero(signs[end:] == signs[i], axis=1)
+    near = (share >= AGREE * REGISTERS) & (now[end:] != now[i])
+    if block[i] >= 0:
+        near &= block[end:] != block[i]
+    at = np.flatnonzero(near)
+    return at[np.argsort(-share[at], kind="stable")] + end
+
+
+def _clusters(run: pa.Table) -> dict | None:
+    """Nodes of a bucket that agree with one of another component, and the least component of those they hang together with."""
+    if (found := _apart(run)) is None:
+        return None
+    order, component, signs, block, ends = found
+    now, active = component.copy(), np.zeros(len(order), bool)
+    for i, end in enumerate(ends.tolist()):
+        at = _promising(i, end, component, signs, block)
+        if len(at):
+            active[i] = active[at] = True
+            united = np.unique(now[np.append(at, i)])
+            if len(united) > 1:
+                now[np.isin(now, united)] = united[0]
+    return {"node": pa.array(run["node"].to_numpy()[order][active]), "component": pa.array(component[active]), "root": pa.array(now[active])} if active.any() else None
+
+
+def _forest(run: pa.Table) -> dict | None:
+    """Links that join the components of a run, by their shingles; never more than there are components."""
+    if (found := _apart(run)) is None:
+        return None
+    order, component, signs, block, ends = found
+    sets = unpacked(run["elements"].combine_chunks(), run["weights"].combine_chunks())
+    sets = [sets[i] for i in order.tolist()]
+    now, ca, cb = component.copy(), [], []
+    for i, end in enumerate(ends.tolist()):
+        at = _promising(i, end, now, signs, block)
         while len(at):
             some, at = at[:TRIED], at[TRIED:]
             for j in some[near_ones(sets[i], [sets[j] for j in some.tolist()])].tolist():
                 if now[j] != now[i]:
-                    found(i, np.array([j]), True)
+                    ca.append(component[i])
+                    cb.append(component[j])
                     now[now == now[j]] = now[i]
             at = at[now[at] != now[i]]
-    return {"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b)), "checked": pa.array(np.concatenate(checked))} if a else None
+    return {"ca": pa.array(ca, pa.int64()), "cb": pa.array(cb, pa.int64())} if ca else None
 
 
-def remaining_pairs(entries: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, checked): links that join all components that share buckets, and pairs of large documents to check."""
+def _over_runs(rows: DataFrame, f: Callable[[pa.Table], dict | None], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in map(f, runs(batches, ("bucket", "pair"))):
+            if found:
+                yield pa.RecordBatch.from_pydict(found)
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, ("bucket", "pair")):
-            if out := _across(run):
-                yield pa.RecordBatch.from_pydict(out)
+    return rows.mapInArrow(run, schema)
 
-    def packed(batch: pa.RecordBatch) -> dict:
-        sets = [x if len(x[0]) <= SMALL else None for x in shingle_sets(batch["text"])]
-        elements, weights = ([None if x is None else x[i].astype(kind).tobytes() for x in sets] for i, kind in ((0, "<u8"), (1, "<u4")))
-        return {"id": batch["doc_id"], "elements": pa.array(elements, pa.binary()), "weights": pa.array(weights, pa.binary())}
 
-    ids = entries.select(F.col("id").alias("doc_id")).distinct()
-    sets = over_batches(of_ids(texts, ids), packed, "id long, elements binary, weights binary").dropDuplicates(["id"])
-    columns = ["bucket", "pair", "band", "block", "id", "component", "signs", "tags", "elements", "weights"]
-    dealt = grouped(blocks(entries, "id", BLOCK).join(signs.join(sets, "id"), "id"))
-    return dealt.select(columns).mapInArrow(compared, "a long, b long, checked boolean")
+def remaining(entries: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(ca, cb): links that join all components that share buckets; entries are settled."""
+    dealt = blocks(entries.select("bucket", "node", "component"), "node", BLOCK).join(signs.select("node", "signs"), "node")
+    found = narrowed(settle(_over_runs(grouped(dealt), _clusters, "node long, component long, root long")))
+    joined = components(found.select(F.col("component").alias("a"), F.col("root").alias("b")))
+    members = found.select("node", "component").distinct().join(joined.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    members = members.select("node", "component", F.coalesce("root", "component").alias("bucket")).join(signs.select("node", (12 * F.col("shingles")).alias("bytes")), "node")
+    dealt = blocks(narrowed(settle(members)), "node", BLOCK_BYTES, "bytes").drop("bytes")
+    wide = dealt.join(signs.select("node", "signs"), "node").join(sets, "node")
+    return _over_runs(grouped(wide), _forest, "ca long, cb long")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id (least id of an equal text), component_id and kept of every row."""
-    spark = prepare(documents.sparkSession)
-    # Narrow rows: the keys, not the texts.
+def bucket_entries(classes: DataFrame) -> DataFrame:
+    """(bucket, part, parts, node, component) of nodes that share a bucket; a bucket of many entries is parted."""
+    every = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = settle(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    every, parted = split_hot(every, shared, "bucket", HOT, "node")
+    return settle(every.join(parted.drop("n"), ["bucket", "part"]).withColumn("component", F.col("node")))
+
+
+def classified(documents: DataFrame) -> DataFrame:
+    """doc_id, text_key, class_id (least id of an equal text), component_id and kept of every row with a text.
+
+    kept marks the one (doc_id, text_key) of a component that comes first.
+    """
     sketched = settle(sketches(documents))
-    classes = sketched.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signs", "doc_id").alias("signs"), F.min_by("tags", "doc_id").alias("tags"))
-    classes = settle(classes)
-    entries = classes.select(F.col("class_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("bucket")
-    entries = narrowed(settle(entries.join(shared, "bucket").withColumn("component", F.col("id")).distinct()))
-    signs = classes.select(F.col("class_id").alias("id"), "signs", "tags").join(entries.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "node long, component long"
-    all_groups = spark.createDataFrame([], schema)
-
-    def joined(entries: DataFrame, groups: DataFrame) -> DataFrame:
-        """Entries under their new components, of the buckets that still hold several."""
-        named = entries.join(groups.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
-        named = named.select("bucket", "band", "id", F.coalesce("new", "component").alias("component"))
-        several = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-        return narrowed(settle(named.join(several, "bucket")))
-
-    def merged(links: DataFrame, ids: DataFrame) -> DataFrame:
-        """Components of components that these links join."""
-        link = links.join(ids.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(ids.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-        return components(link.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-
-    def carried(groups: DataFrame, more: DataFrame) -> DataFrame:
-        """First node to component, then that component to the one it has become."""
-        then = more.select(F.col("node").alias("component"), F.col("component").alias("later"))
-        old = groups.join(then, "component", "left").select("node", F.coalesce("later", "component").alias("component"))
-        return narrowed(settle(old.unionByName(more.join(groups.select("node"), "node", "left_anti"))))
-
-    def merge(links: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Join the components of these links."""
-        more = merged(links, entries.select("id", "component").distinct())
-        return more, carried(groups, more)
-
-    turn, going = 0, True
-    while going and turn < ROUNDS:
-        pivot = entries.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"), F.col("component"))).alias("p"))
-        met = entries.join(pivot.select("bucket", F.col("p.id").alias("a"), F.col("p.component").alias("other")), "bucket").where("component != other")
-        met = met.groupBy(F.col("id").alias("b"), "a").agg(F.count("*").alias("n"))
-        pairs = met.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-        pairs = narrowed(settle(agreeing(pairs.select("a", "b"), signs)))
-        links = narrowed(settle(verified(pairs, texts)))
-        more, all_groups = merge(links, all_groups)
-        entries, turn, going = joined(entries, more), turn + 1, links.count() >= WORTH * pairs.count() > 0
-    rest = narrowed(settle(remaining_pairs(entries, signs, texts)))
-    links = verified(rest.where("not checked").select("a", "b"), texts).unionByName(rest.where("checked").select("a", "b"))
-    _, all_groups = merge(narrowed(settle(links)), all_groups)
-    known = classes.join(all_groups.withColumnRenamed("node", "class_id").withColumnRenamed("component", "joined"), "class_id", "left")
-    known = known.select("text_key", "class_id", F.coalesce("joined", "class_id").alias("component_id"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), F.md5("text")).alias("text_key"))
-    out = rows.join(known, "text_key", "left")
-    class_id, component = F.coalesce("class_id", "doc_id"), F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    classes = sketched.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.min("row_key").alias("least_key"), *[F.first(c).alias(c) for c in ("bands", "signs", "shingles")])
+    classes = settle(classes.withColumn("row_key", F.coalesce("class_id", "least_key")).withColumn("node", F.monotonically_increasing_id()))
+    entries = bucket_entries(classes)
+    nodes = settle(entries.select("node").distinct())
+    signs = settle(of_ids(classes.select("node", "row_key", "text_key", "signs", "shingles"), nodes, "node"))
+    sets = packed_sets(documents, narrowed(settle(signs.select("node", "row_key", "text_key"))))
+    links = []
+    for turn in range(ROUNDS):
+        pivot = entries.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("p"), F.max("parts").alias("parts"))
+        pivot = narrowed(settle(pivot.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("p.node").alias("a"), F.col("p.component").alias("ca"))))
+        met = entries.join(pivot, ["bucket", "part"]).where("component != ca")
+        met = met.groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("n"), F.first("ca").alias("ca"), F.first("component").alias("cb"))
+        pairs = met.groupBy("b").agg(F.max(F.struct("n", "a", "ca", "cb")).alias("p")).select("b", "p.a", "p.ca", "p.cb")
+        pairs = narrowed(settle(agreeing(narrowed(settle(pairs)), signs)))
+        found = narrowed(settle(verified(pairs, sets)))
+        links.append(found.select("ca", "cb"))
+        joined = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        named = entries.join(checked(joined.select(F.col("node").alias("component"), F.col("component").alias("new"))), "component", "left")
+        named = settle(named.select("bucket", "part", "parts", "node", F.coalesce("new", "component").alias("component")))
+        several = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("parts").alias("parts")).where("x != y")
+        several = narrowed(settle(several.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))))
+        entries = narrowed(settle(named.join(several, ["bucket", "part"], "left_semi")))
+        if found.count() <= WORTH * pairs.count():
+            break
+    links.append(narrowed(settle(remaining(entries, signs, sets))))
+    groups = components(reduce(DataFrame.unionByName, links), "ca", "cb")
+    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+    groups = narrowed(settle(groups.join(classes.select("node", "class_id", "text_key"), "node")))
+    first = F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "text_key")).alias("first")
+    heads = narrowed(settle(groups.groupBy("component").agg(first)))
+    groups = groups.join(checked(heads), "component").select("node", F.col("first.class_id").alias("component_id"), F.col("first.text_key").alias("head"), F.lit(True).alias("grouped"))
+    known = classes.select("node", "text_key", "class_id").join(groups, "node", "left")
+    known = known.select("text_key", "class_id", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("class_id")).alias("component_id"), F.coalesce("head", "text_key").alias("head"))
+    out = sketched.select("doc_id", "text_key").join(known, "text_key")
+    return out.select("doc_id", "text_key", "class_id", "component_id", ((F.col("head") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id, component_id and kept of every row."""
+    prepare(documents.sparkSession)
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    alone = documents.where("text is null").select(doc_id, doc_id.alias("class_id"), doc_id.alias("component_id"), F.lit(True).alias("kept"))
+    return classified(documents).drop("text_key").unionByName(alone)
+
+
+def deduplicated(documents: DataFrame) -> DataFrame:
+    """The rows of documents (doc_id, text and any others) of which one stays for each group of near copies.
+
+    Of rows that repeat an id and a text one stays; rows of null texts all stay.
+    """
+    prepare(documents.sparkSession)
+    names = documents.columns
+    kept = classified(documents.select("doc_id", "text")).where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("_copies"))
+    kept = settle(kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_copies"))
+    rows = documents.toDF(*[f"column{i}" for i in range(len(names))])
+    doc_id, text = (F.col(f"column{names.index(c)}") for c in ("doc_id", "text"))
+    rows = rows.withColumns({"_row": doc_id.cast("long"), "_text": F.unhex(F.md5(text.cast("string")))})
+    rows = rows.join(kept, F.col("_row").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
+    # Rows that stay are nearly all alone under their id and text; only the others are shuffled as a whole.
+    alone, several = rows.where(text.isNull() | (F.col("_copies") == 1)), rows.where("_copies > 1").dropDuplicates(["_id", "_key"])
+    return alone.unionByName(several).select(*[f"column{i}" for i in range(len(names))]).toDF(*names)

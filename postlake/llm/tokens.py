@@ -66,7 +66,7 @@ class ChunkEncoder:
             ids = None
             if word.isalpha():
                 if word not in known:
-                    known[word] = self._word(word)
+                    known[word] = self.coder.known.get(word) or self._word(word)
                 ids = known[word]
                 if ids is not None and word is not c:
                     mark = c[len(word) :]

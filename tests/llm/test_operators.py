@@ -328,10 +328,11 @@ def test_probability_jaccard_and_its_estimate():
         assert (minhash.prob_minhash([b], m)[0] == y).all()
 
 
-@pytest.mark.parametrize(("rounds", "block", "small"), [(0, 8, 1024), (0, 2048, 0), (0, 2048, 140), (6, 2048, 1024)])
-def test_near_duplicates(spark, rounds, block, small, monkeypatch):
+@pytest.mark.parametrize(("rounds", "block", "size", "hot"), [(0, 8, 6 << 20, 4096), (0, 2048, 4000, 3), (6, 2048, 6 << 20, 2)])
+def test_near_duplicates(spark, rounds, block, size, hot, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+    monkeypatch.setattr(minhash, "HOT", hot)
     rng = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
@@ -373,6 +374,28 @@ def test_near_ones_equal_the_exact_check():
             assert minhash.near_ones(one, sets).tolist() == [minhash.probability_jaccard(one, x) >= minhash.THRESHOLD - 1e-12 for x in sets]
 
 
+def test_near_duplicates_under_repeated_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    near = a + " more"
+    rows = [(8, a), (8, b), (8, b), (9, near), (10, near), (None, b), (None, "alone without id here"), (None, "alone without id here"), (11, None), (11, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, node int")
+    found = {(r["doc_id"], r["class_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    assert found == {(8, 8, 8, True), (9, 9, 8, False), (10, 9, 8, False), (None, 8, 8, False), (None, None, None, True), (11, 11, 11, True)}
+    left = sorted((r["doc_id"], r["text"]) for r in minhash.deduplicated(docs).where("doc_id is not null and text is not null").collect())
+    assert left == [(8, a), (8, b)]
+    assert minhash.deduplicated(docs).where("doc_id is null").count() == 1 and minhash.deduplicated(docs).where("text is null").count() == 2
+    assert minhash.deduplicated(docs).columns == docs.columns
+
+
+def test_long_near_copies_are_one_group(spark):
+    """Documents of thousands of shingles take the same way as short ones."""
+    words = [f"w{i}" for i in range(6000)]
+    rows = [(i, " ".join([*words[:i * 40], *[f"x{i}_{j}" for j in range(40)], *words[i * 40 + 40 :]])) for i in range(12)]
+    rows += [(100, " ".join(f"z{i}" for i in range(6000)))]
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == dict.fromkeys(range(12), 0) | {100: 100}
+
+
 def test_near_duplicates_of_awkward_rows(odd, nothing):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == len(ROWS)
