@@ -35,11 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the session names in ``spark.checkpoint.dir``. Only where that is unset (local mode,
-    tests) a temporary folder of this machine serves.
+    It is what the session names in ``spark.checkpoint.dir``. Only where that is unset in local mode (tests) a
+    temporary folder of this machine serves; on a cluster its lack is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="shared-"))
         spark.conf.set("spark.checkpoint.dir", named)
     jsc = spark.sparkContext._jsc.sc()
@@ -75,6 +77,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of new_path that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def over_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
     """Run f on every Arrow batch, inside the tasks; a dict of columns may be returned."""
 

@@ -412,6 +412,8 @@ def test_pipeline(spark, odd, nothing, small):
         docs = stage(spark, docs, small)
         assert docs.columns == odd.columns
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} >= {1, 7} and docs.where("doc_id in (2, 3, 6, 8, 12)").count() == 0
+    foreign = spark.createDataFrame([(1, "日本語", None)], "doc_id long, text string, lang string")
+    assert p.language(spark, foreign.unionByName(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")), small).where("text = '日本語'").count() == 0
     empty = nothing
     for _, stage in p.STAGES:
         empty = stage(spark, empty, small)
