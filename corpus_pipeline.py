@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.llm import langid, minhash, packing, toxicity
-from postlake.llm.common import new_path, prepare, table
+from postlake.llm.common import new_path, prepare, remove, table
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -17,11 +17,11 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: without a letter, or with n-grams that no learned profile has."""
+    """Drops documents of no language: without a letter, or with no n-gram that a learned profile has (both score 0)."""
     prepare(spark)
     rows, text = _numbered(docs)
     found = langid.identify(rows, langid.trained(docs), rows.columns, text)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(rows.columns).toDF(*docs.columns)
+    return found.where("score > 0").select(rows.columns).toDF(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the least id."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group stays: that of the least id; of rows that repeat an id and a text one."""
+    prepare(spark)
+    return minhash.deduplicated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(prepare(spark), sf_dir, "documents")
+    docs, before = table(prepare(spark), sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
