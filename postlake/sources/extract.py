@@ -12,6 +12,7 @@ import io
 import re
 import zipfile
 import zlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,25 +29,32 @@ FORMATS = {"docx": "docx docm dotx", "xlsx": "xlsx xlsm xltx", "pptx": "pptx ppt
 HTML = "html htm xhtml mht mhtml".split()
 PLAIN = "txt md markdown csv tsv json xml log ini cfg conf yaml yml py js ts css sql sh bat ps1 cmd ics vcf vcard tex rst nfo srt c h cpp java cs go rb php pl toml properties diff patch".split()
 IMAGES = "png jpg jpeg gif bmp tif tiff webp heic heif svg ico psd raw cr2 nef".split()
-#: Destinations of RTF that hold no text of the document (from the format's specification).
-SILENT = "fonttbl colortbl stylesheet info pict object header footer headerl headerr headerf footerl footerr footerf footnote generator listtable listoverridetable revtbl fldinst pntext themedata datastore".split()
+#: First bytes (hexadecimal) of old Office files and of ZIP archives.
+OLD_OFFICE, PACKED = "D0CF11E0A1B11AE1", "504B"
+#: (kind, container whose first bytes are needed, own first bytes, extensions, start of the type); the first that fits counts.
+#: An entry of a container without extensions takes what is left of it; outside of one, any of the three signs is enough.
+SIGNS = [
+    ("msg", OLD_OFFICE, "", ["msg", "oft", ""], ""), ("ole", OLD_OFFICE, "", [], ""), ("pdf", "", "25504446", ["pdf"], "application/pdf"),
+    *((kind, PACKED, "", found.split(), "") for kind, found in FORMATS.items()), ("zip", PACKED, "", [], ""),
+    ("rtf", "", "7B5C727466", ["rtf"], ""), ("eml", "", "", ["eml", "emlx"], "message/rfc822"), ("html", "", "", HTML, "text/html"),
+    ("text", "", "", PLAIN, "text/"), ("image", "", "", IMAGES, "image/"), ("ole", "", "", ["doc", "xls", "ppt"], ""),
+]
+#: Tables, properties and pictures of RTF; with them every starred destination is left out.
+SILENT = {"fonttbl", "colortbl", "stylesheet", "info", "pict"}
 RTF = re.compile(rb"\\'([0-9a-fA-F]{2})|\\u(-?\d+) ?|\\([a-zA-Z]+)(-?\d+)? ?|\\(.)|([{}])|([^\\{}\r\n]+)", re.S)
 
 
 def content_kind(data: Column, name: Column, mime: Column) -> Column:
-    """msg, ole, pdf, docx, xlsx, pptx, odf, zip, rtf, eml, html, text, image or other, by first bytes, name and type."""
+    """The kind of an attachment by first bytes, name and type, as SIGNS say; `other` where none fits."""
     ext, mime = extension(name), F.coalesce(mime, F.lit(""))
     head = F.hex(F.substring(F.coalesce(data, F.lit(b"")), 1, 8))
-    packed = F.startswith(head, F.lit("504B"))
-    kind = F.when(head == "D0CF11E0A1B11AE1", F.when(ext.isin("msg", "oft", ""), "msg").otherwise("ole"))
-    kind = kind.when(F.startswith(head, F.lit("25504446")) | (ext == "pdf") | (mime == "application/pdf"), "pdf")
-    for k, found in FORMATS.items():
-        kind = kind.when(packed & ext.isin(found.split()), k)
-    return (
-        kind.when(packed, "zip").when((ext == "rtf") | F.startswith(head, F.lit("7B5C727466")), "rtf").when(ext.isin("eml", "emlx") | (mime == "message/rfc822"), "eml")
-        .when(ext.isin(HTML) | (mime == "text/html"), "html").when(ext.isin(PLAIN) | F.startswith(mime, F.lit("text/")), "text")
-        .when(ext.isin(IMAGES) | F.startswith(mime, F.lit("image/")), "image").when(ext.isin("doc", "xls", "ppt"), "ole").otherwise("other")
-    )
+    kinds = []
+    for kind, container, magic, extensions, start in SIGNS:
+        named = ext.isin(extensions) if extensions else F.lit(True)
+        signs = [named, *([F.startswith(head, F.lit(magic))] if magic else []), *([F.startswith(mime, F.lit(start))] if start else [])]
+        fits = F.startswith(head, F.lit(container)) & named if container else reduce(lambda a, b: a | b, signs)
+        kinds.append(F.when(fits, kind))
+    return F.coalesce(*kinds, F.lit("other"))
 
 
 def _xml(data: bytes) -> str:
@@ -71,7 +79,7 @@ def _named(name: str) -> str:
 
 
 def rtf_text(data: bytes) -> str:
-    """The text of an RTF document; groups of SILENT or starred destinations are left out."""
+    """The text of an RTF document; groups of SILENT and starred destinations are left out."""
     page = re.search(rb"\\ansicpg(\d+)", data)
     codec, out, held, silent, width, drop = f"cp{page[1].decode()}" if page else "cp1252", [], [], False, 1, 0
     for m in RTF.finditer(data):
