@@ -5,12 +5,19 @@ Dirichlet prior of PRIOR pseudo-counts a class, Z standard deviations below the
 text of neutral tokens drifts down. One linear scan of a document finds all maximal scoring segments (Ruzzo
 and Tompa, 1999). Segment maxima of non-toxic documents follow an extreme-value law whose location grows with
 the logarithm of the length; it is fitted to the training rows and standardises every segment, x = (S - a -
-b ln n) / scale, so that a segment's E-value is exp(-x). The document's evidence is its largest x and the sum
-of x over significant segments; a logistic fit on the training rows turns both into the score.
-
-Labels are learned from at most SAMPLE labelled documents in the order of a hash of their ids; a document of
-several labels is toxic if one of them says so. The model keeps at most TOKENS tokens. Every text is scored
-whole. Null and empty texts have no segment and get the score of no evidence.
+b ln n) / scale, so that a segment's E-value is exp(-x). The document's evidence is its largest x (at most MOST)
+and the logarithm of 1 plus the sum of x over significant segments; a logistic fit on the training rows turns both
+into the score.
+
+Training rows are dealt into two folds by a hash of their ids. What the law and the logistic fit see of a fold is
+scored with the tokens of the other fold, so that neither is fitted to segments that its own rows made; the model
+then holds the tokens of both. If a fold lacks one of the classes, all rows are scored with the tokens of all.
+
+Labels are learned from at most SAMPLE labelled documents in the order of a hash of their ids, from their whole
+texts; a document of several labels is toxic if one of them says so. All telling tokens of these documents are
+kept: those of positive score, and those that occur FEW times or more with a score under -DRIFT; a token lowers a
+segment by LOWEST at most, since a strongly negative one would hide what follows it. Every text is scored whole.
+Null and empty texts have no segment and get the score of no evidence.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ from __future__ import annotations
 import math
 from array import array
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import ChunkCoder, id_crc, over_batches, prepare, words
 
-SAMPLE, TOKENS = 20_000, 100_000
-PRIOR, Z, DRIFT = 0.5, 1.0, 1.0
-SIGNIFICANT = 3.0
+SAMPLE = 20_000
+PRIOR, Z, DRIFT, FEW, LOWEST = 0.5, 1.0, 1.0, 5, -3.0
+SIGNIFICANT, MOST = 3.0, 30.0
 EULER = 0.5772156649015329
 
 
@@ -83,7 +91,7 @@ class Model:
         return out
 
     def score(self, best: float, total: float) -> float:
-        z = self.weights[0] + self.weights[1] * min(best, 30.0) + self.weights[2] * total
+        z = self.weights[0] + self.weights[1] * min(best, MOST) + self.weights[2] * total
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
@@ -101,56 +109,69 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple:
     return tuple(map(float, w))
 
 
+def _scores(counts: DataFrame) -> dict[str, float] | None:
+    """The telling tokens of (token, clean, toxic) rows; None if a class is missing."""
+    sums = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count_if(F.col("clean") + F.col("toxic") > 0).alias("n")).first()
+    if not sums["toxic"] or not sums["clean"]:
+        return None
+    a, total = PRIOR, lambda c: sums[c] + PRIOR * sums["n"]
+    odds = F.log((F.col("toxic") + a) / (total("toxic") - F.col("toxic"))) - F.log((F.col("clean") + a) / (total("clean") - F.col("clean")))
+    bound = odds - Z * F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a)) - DRIFT
+    telling = counts.select("token", bound.alias("score"), (F.col("clean") + F.col("toxic")).alias("n")).where(f"n > 0 and (score > 0 or (n >= {FEW} and score < -{DRIFT}))")
+    return {r["token"]: max(r["score"], LOWEST) for r in telling.collect()}  # tokens of at most SAMPLE documents
+
+
 def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on documents joined with labels; both are expected to hold training rows only."""
     spark = prepare(documents.sparkSession)
     each = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    each = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # At most `sample` pairs of numbers: 16 bytes each.
+    each = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int"))
+    # At most `sample` rows of three numbers.
     marked = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(each), "doc_id")
 
     def counted(batch: pa.RecordBatch) -> dict:
         by: dict[str, list[int]] = {}
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+        for text, toxic, fold in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["fold"].to_pylist(), strict=True):
             for w, n in Counter(words(text)).items():
-                by.setdefault(w, [0, 0])[toxic > 0] += n
-        return {"token": pa.array(list(by), pa.string()), "clean": pa.array([v[0] for v in by.values()], pa.int64()), "toxic": pa.array([v[1] for v in by.values()], pa.int64())}
+                by.setdefault(w, [0, 0, 0, 0])[2 * fold + (toxic > 0)] += n
+        return {"token": pa.array(list(by), pa.string())} | {c: pa.array([v[i] for v in by.values()], pa.int64()) for i, c in enumerate(("clean0", "toxic0", "clean1", "toxic1"))}
 
-    counts = over_batches(marked, counted, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
-    sums = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
-    if not sums["toxic"] or not sums["clean"]:
-        counts.unpersist()
-        return Model({})
-    a, total = PRIOR, lambda c: sums[c] + PRIOR * sums["n"]
-    odds = F.log((F.col("toxic") + a) / (total("toxic") - F.col("toxic"))) - F.log((F.col("clean") + a) / (total("clean") - F.col("clean")))
-    bound = odds - Z * F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a)) - DRIFT
-    telling = counts.select("token", bound.alias("score"), (F.col("clean") + F.col("toxic")).alias("n")).where("score > 0 or (n >= 5 and score < -1)")
-    rows = telling.orderBy(F.col("score") <= 0, F.desc("n"), "token").limit(TOKENS).collect()
+    parts = ("clean0", "toxic0", "clean1", "toxic1")
+    counts = over_batches(marked, counted, "token string, " + ", ".join(f"{c} long" for c in parts)).groupBy("token").agg(*[F.sum(c).alias(c) for c in parts]).persist()
+    both = _scores(counts.select("token", (F.col("clean0") + F.col("clean1")).alias("clean"), (F.col("toxic0") + F.col("toxic1")).alias("toxic")))
+    folds = [_scores(counts.select("token", F.col(f"clean{i}").alias("clean"), F.col(f"toxic{i}").alias("toxic"))) for i in (0, 1)] if both is not None else []
     counts.unpersist()
-    # A strongly negative score would hide what follows it, so the drop of a token is bounded.
-    model = Model({r["token"]: max(r["score"], -3.0) for r in rows})
-    held = spark.sparkContext.broadcast(model)
-
-    def maxima(batch: pa.RecordBatch) -> dict:
-        found = held.value.passages(batch["text"])
-        return {"toxic": batch["toxic"], "n": pa.array([n for n, _ in found], pa.int64()), "best": pa.array([max((s[2] for s in x), default=0.0) for _, x in found], pa.float64())}
-
-    # At most `sample` rows of three numbers.
-    fit = np.array([tuple(r) for r in over_batches(marked, maxima, "toxic int, n long, best double").collect()], np.float64)
+    if both is None:
+        return Model({})
+    model = Model(both)
+    others = [Model(both), Model(both)] if None in folds else [Model(folds[1]), Model(folds[0])]  # a fold's tokens score the other
+
+    def in_folds(f: Callable[[Model, pa.Array], list[tuple]], columns: list[str]) -> np.ndarray:
+        """toxic and what f gives of every training row, by the model for its fold."""
+        held = spark.sparkContext.broadcast(others)
+
+        def run(batch: pa.RecordBatch) -> dict:
+            found, fold = [None] * batch.num_rows, batch["fold"].to_numpy()
+            for i, m in enumerate(held.value):
+                at = np.flatnonzero(fold == i)
+                for j, x in zip(at.tolist(), f(m, batch["text"].take(pa.array(at))), strict=True):
+                    found[j] = x
+            return {"toxic": batch["toxic"]} | {c: pa.array([x[i] for x in found], pa.float64()) for i, c in enumerate(columns)}
+
+        # At most `sample` rows of three numbers.
+        rows = over_batches(marked, run, "toxic int, " + ", ".join(f"{c} double" for c in columns)).collect()
+        return np.array([tuple(r) for r in rows], np.float64).reshape(-1, 1 + len(columns))
+
+    fit = in_folds(lambda m, texts: [(n, max((s[2] for s in x), default=0.0)) for n, x in m.passages(texts)], ["n", "best"])
     clean = fit[fit[:, 0] == 0]
     if len(clean) > 10:
         length = np.log(clean[:, 1] + 1)
         slope = max(0.0, float(np.cov(length, clean[:, 2], bias=True)[0, 1] / max(length.var(), 1e-9)))
         rest = clean[:, 2] - slope * length
-        model.scale = max(0.25, float(rest.std() * math.sqrt(6) / math.pi))
-        model.location = (float(rest.mean() - EULER * model.scale), slope)
-    held = spark.sparkContext.broadcast(model)
-
-    def evidence(batch: pa.RecordBatch) -> dict:
-        found = held.value.evidence(batch["text"])
-        return {"toxic": batch["toxic"], "best": pa.array([min(f[0], 30.0) for f in found], pa.float64()), "total": pa.array([f[1] for f in found], pa.float64())}
-
-    fit = np.array([tuple(r) for r in over_batches(marked, evidence, "toxic int, best double, total double").collect()], np.float64)
+        scale = max(0.25, float(rest.std() * math.sqrt(6) / math.pi))
+        for m in (model, *others):
+            m.scale, m.location = scale, (float(rest.mean() - EULER * scale), slope)
+    fit = in_folds(lambda m, texts: [(min(f[0], MOST), f[1]) for f in m.evidence(texts)], ["best", "total"])
     model.weights = _logistic(fit[:, 1:], (fit[:, 0] > 0).astype(float))
     return model
 
