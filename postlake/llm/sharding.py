@@ -1,7 +1,8 @@
 """Sharding: a Feistel permutation with cycle walking over global row numbers.
 
 Rows get gapless numbers that depend on the rows alone (not on files, partitions or retries): a bucket by
-hash, the rows before the bucket, and the place within it. A keyed Feistel network over the smallest even
+hash, the rows before the bucket, and the place within it; rows that are equal are counted first and numbered
+as a run, so that a row that repeats without end fills no bucket. A keyed Feistel network over the smallest even
 number of bits that holds all rows, walked along its cycle until the value is a row number again, permutes
 the numbers. Position p belongs to shard p mod S at slot p div S: shard sizes differ by one at most, slots
 are gapless, and both are computable from a row number alone, in either direction (`locate`, `row_at`).
@@ -21,6 +22,8 @@ from .common import mix64, settle
 ROUNDS = 6
 #: Rows of a numbering bucket on average, and the most buckets; their totals are all that is broadcast (16 bytes each).
 BUCKET_ROWS, MOST_BUCKETS = 4096, 1 << 16
+#: Equal rows that one row of counts is written out to at a time.
+COPIES = 1 << 16
 
 
 def _half_bits(n: int) -> int:
@@ -58,17 +61,24 @@ def row_at(shard: int, slot: int, n: int, shards: int, seed: int = 0) -> int:
 
 
 def number_rows(df: DataFrame, hash_column: str, order: list[str], into: str = "row") -> tuple[DataFrame, int]:
-    """Global row numbers 0..n-1 by buckets of the hash; df should be narrow, it is settled first."""
-    df = settle(df)
-    n = df.count()
+    """Global row numbers 0..n-1 by buckets of the hash; hash, order and any other columns of df should be narrow."""
+    each = settle(df.groupBy(*df.columns).agg(F.count("*").alias("_copies")))
+    n, most = each.agg(F.coalesce(F.sum("_copies"), F.lit(0)), F.coalesce(F.max("_copies"), F.lit(0))).first()
     buckets = min(MOST_BUCKETS, max(16, 1 << max(1, n // BUCKET_ROWS).bit_length()))
-    df = df.withColumn("_bucket", F.pmod(F.col(hash_column), F.lit(buckets)).cast("int"))
+    each = each.withColumn("_bucket", F.pmod(F.col(hash_column), F.lit(buckets)).cast("int"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     # At most MOST_BUCKETS rows, whatever the input.
-    starts = df.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_bucket").orderBy(hash_column, *order)
-    df = df.withColumn("_place", F.row_number().over(within) - 1)
-    return df.join(F.broadcast(starts), "_bucket").withColumn(into, F.col("_start") + F.col("_place")).drop("_bucket", "_place", "_start"), n
+    starts = each.groupBy("_bucket").agg(F.sum("_copies").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_bucket").orderBy(hash_column, *order).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("_place", F.coalesce(F.sum("_copies").over(within), F.lit(0)))
+    each = each.join(F.broadcast(starts), "_bucket").withColumn("_first", F.col("_start") + F.col("_place"))
+    if most > COPIES:  # runs of very many equal rows are spread over tasks before they are written out
+        each = each.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES).cast("long")))).repartition("_first", "_from")
+    else:
+        each = each.withColumn("_from", F.lit(0).cast("long"))
+    copy = F.explode(F.sequence("_from", F.least(F.col("_from") + COPIES, F.col("_copies")) - 1))
+    rows = each.withColumn("_copy", copy).withColumn(into, F.col("_first") + F.col("_copy"))
+    return rows.drop("_bucket", "_place", "_start", "_copies", "_first", "_from", "_copy"), n
 
 
 def shard(documents: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
