@@ -120,6 +120,8 @@ def tracks(data: bytes) -> list[dict]:
         timescale, duration = struct.unpack_from(">IQ" if wide else ">II", data, at[b"mdhd"] + (20 if wide else 12))
         if b"stsz" in at:
             each, n = struct.unpack_from(">II", data, at[b"stsz"] + 4)
+            if n * max(each, 4 * (not each)) > len(data):
+                raise ValueError("more samples than the file has room for")
             sizes = np.full(n, each, np.int64) if each else np.frombuffer(data, ">u4", n, at[b"stsz"] + 12).astype(np.int64)
         else:
             bits, n = struct.unpack_from(">II", data, at[b"stz2"] + 4)
@@ -127,6 +129,8 @@ def tracks(data: bytes) -> list[dict]:
             sizes = (np.stack([raw >> 4, raw & 15], 1).ravel()[:n] if bits == 4 else raw if bits == 8 else raw.view(">u2")).astype(np.int64)
         offsets = (_table(data, at[b"co64"], ">u8") if b"co64" in at else _table(data, at[b"stco"], ">u4")).ravel()
         runs = _table(data, at[b"stsc"], ">u4", 3)
+        if len(runs) and (runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(offsets)):
+            raise ValueError("the runs of chunks are out of order")
         per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(offsets) + 1)))
         if per_chunk.sum() != len(sizes):
             raise ValueError("the sample tables disagree")
@@ -138,7 +142,10 @@ def tracks(data: bytes) -> list[dict]:
         sync = np.ones(len(sizes), bool)
         if b"stss" in at:
             sync[:] = False
-            sync[_table(data, at[b"stss"], ">u4").ravel() - 1] = True
+            marks = _table(data, at[b"stss"], ">u4").ravel() - 1
+            if len(marks) and (marks.min() < 0 or marks.max() >= len(sizes)):
+                raise ValueError("a sync mark lies outside the samples")
+            sync[marks] = True
         out.append({"codec": codec, "timescale": timescale, "duration": duration, "ticks": int(np.prod(_table(data, at[b"stts"], ">u4", 2), axis=1).sum()), "offsets": places, "sizes": sizes, "sync": sync})
     return out
 
@@ -161,7 +168,7 @@ def describe(media: DataFrame, column: str = "media") -> DataFrame:
                     t = tracks(bytes(data))[0]
                     keys = [{"offset": int(o), "size": int(s)} for o, s in zip(t["offsets"][t["sync"]], t["sizes"][t["sync"]], strict=True)]
                     row |= {"codec": t["codec"], "timescale": t["timescale"], "duration": t["ticks"], "samples": len(t["sizes"]), "keyframes": keys}
-            except (ValueError, KeyError, IndexError, struct.error) as e:
+            except (ValueError, KeyError, IndexError, OverflowError, struct.error) as e:
                 row["error"] = f"{type(e).__name__}: {e}"
             rows.append(row)
         return pd.DataFrame(rows, columns=["codec", "timescale", "duration", "samples", "keyframes", "error"])
@@ -184,10 +191,10 @@ def store(documents: DataFrame) -> DataFrame:
 
 
 def digest(stored: DataFrame) -> DataFrame:
-    """Read the samples back from the stored files by their tables, and sum files and payloads up."""
+    """Read the samples back from the stored files by their tables, sum files and payloads up, and list key-frame ranges."""
 
     def read(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "keyframes")}
         for data in batch["media"].to_pylist():
             t = tracks(data)[0]
             cuts = np.flatnonzero(t["offsets"][1:] != t["offsets"][:-1] + t["sizes"][:-1]) + 1
@@ -199,7 +206,10 @@ def digest(stored: DataFrame) -> DataFrame:
             out["tail_crc32"].append(zlib.crc32(payload[-32:]))
             out["media_bytes"].append(len(data))
             out["media_sha256"].append(hashlib.sha256(data).hexdigest())
+            out["keyframes"].append([{"offset": int(o), "size": int(n)} for o, n in keys.tolist()])
             out["feature"].append(f"codec={t['codec'].strip()};duration={t['ticks']}/{t['timescale']};samples={len(t['sizes'])};keyframes={len(keys)};first={keys[0, 0]};ranges={zlib.crc32(keys.tobytes()):08x}")
-        return {"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"]} | {k: pa.array(v, pa.string() if k in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for k, v in out.items()}
+        kinds = dict.fromkeys(("payload_sha256", "media_sha256", "feature"), pa.string()) | {"keyframes": pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))}
+        return {"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"]} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}
 
-    return over_batches(stored, read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes array<struct<offset:long,size:long>>"
+    return over_batches(stored, read, schema)
