@@ -114,14 +114,14 @@ def split_hot(rows: DataFrame, counts: DataFrame, key: str, most: int, by: str)
     return rows, counts.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
 
-def blocks(rows: DataFrame, key: str, most: int, weight: str | None = None) -> DataFrame:
+def blocks(rows: DataFrame, key: str, most: int, weight: str | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Deal the rows of each `bucket` of over `most` rows (or of that sum of weights) as pairs of blocks of about that size.
 
     Adds `block` and `pair` (the two block numbers in one long). Two rows of a bucket meet in one pair at least; rows
-    of different blocks in the pair of these alone. rows should be narrow and settled.
+    of different blocks in the pair of these alone. counted: the same rows with fewer columns, for counting.
     """
     size = F.sum(weight) if weight else F.count("*")
-    large = rows.groupBy("bucket").agg(F.count("*").alias("n"), size.cast("long").alias("_size")).where(F.col("_size") > most)
+    large = (rows if counted is None else counted).groupBy("bucket").agg(F.count("*").alias("n"), size.cast("long").alias("_size")).where(F.col("_size") > most)
     large = narrowed(settle(large.withColumn("_blocks", F.ceil(F.col("_size") / (most * 0.9)))))
     found = large.count()
     if not found:

@@ -4,28 +4,31 @@ Each of L tables quantises k Gaussian projections of the unit vector with a rand
 with the logarithm of the row count, so that a bucket of unrelated vectors keeps a bounded mean size, and L
 follows from k so that a pair at the threshold is missed with a chance of MISS at most (Datar et al., 2004).
 
-Equal vectors are one node with a count. Buckets are compared inside tasks in blocks of at most BLOCK vectors;
-a larger bucket is dealt out as pairs of blocks, so that no task holds it whole, and no pair is ever written:
-a task returns, for each vector with a link, how many rows it links there and the root of its local group.
-A pair that meets in several tables counts in the first one. Components then come from the local roots.
+Equal vectors are one node with a count. What travels to a table's bucket is a node's 8-bit code with the exact
+length of its rounding error, not the vector. Buckets are compared inside tasks in blocks of at most BLOCK nodes;
+a larger bucket is dealt out as pairs of blocks, so that no task holds it whole, and no pair is ever written: a
+task returns, for each node with a link, how many rows it links there and the root of its local group. Rounding
+errors bound each cosine from both sides; pairs that the bounds don't settle are checked on the vectors in double
+precision, in a second pass over the same blocks with the nodes of such pairs only. A pair that meets in several
+tables counts in the first one. Components then come from the local roots.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows of null id, link with
-nothing (component_id is their own id). Vectors of different lengths don't link. Rows that share an id count
-as rows in n_links and as one node in components.
+nothing (component_id is their own id). Vectors of different lengths don't link. Rows that share an id are rows of
+their own under that id: they count in n_links, and each is reached by its own links only.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, grouped, over_batches, prepare, runs, settle
+from .common import blocks, checked, grouped, over_batches, prepare, runs, settle
 from .components import components
 
 WIDTH, BUCKET, BLOCK, MISS = 2.0, 256, 2048, 1e-4
@@ -44,38 +47,72 @@ def plan(n: int, threshold: float) -> tuple[int, int]:
     return k, math.ceil(math.log(MISS) / math.log(1 - near**k))
 
 
-def _compare(run: pa.Table, threshold: float) -> dict | None:
-    """For the vectors of a run that have links: rows newly linked here, and the least node of the local group."""
-    if run.num_rows < 2:
+def encoded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """8-bit codes of unit vectors behind their scale, as bytes, and a bound of each one's rounding error."""
+    scale = (np.abs(unit).max(1) / 127).astype("<f4")
+    codes = np.rint(unit / scale[:, None]).astype(np.int8)
+    error = np.linalg.norm(unit - codes * scale[:, None].astype(np.float64), axis=1)
+    return np.concatenate([scale[:, None].view(np.uint8), codes.view(np.uint8)], 1), np.nextafter(error.astype("<f4"), np.float32(np.inf))
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    return codes[:, 4:].view(np.int8).astype(np.float32) * codes[:, :4].copy().view("<f4")
+
+
+def _compare(run: pa.Table, threshold: float, exact: bool) -> dict | None:
+    """For the nodes of a run that have links: rows newly linked here, and the least node of the local group.
+
+    The first pass takes the pairs that codes and errors settle, and marks nodes of others as doubtful; the exact
+    pass takes these others.
+    """
+    n = run.num_rows
+    if n < 2:
         return None
-    t, pair, block = run["table"][0].as_py(), run["pair"][0].as_py(), run["block"].to_numpy()
-    unit = np.frombuffer(b"".join(run["vec"].to_pylist()), np.float64).reshape(run.num_rows, -1)
-    tags = np.frombuffer(b"".join(run["tags"].to_pylist()), np.int32).reshape(run.num_rows, -1)
-    node, rows = run["node"].to_numpy(), run["rows"].to_numpy()
-    linked = np.empty((len(unit), len(unit)), bool)
-    added = np.zeros(len(unit), np.int64)
-    across = pair >> 32 != pair & 0xFFFFFFFF
-    for lo in range(0, len(unit), 256):
+    bucket, pair = run["bucket"][0].as_py(), run["pair"][0].as_py()
+    t, node, block = bucket >> 32, run["node"].to_numpy(), run["block"].to_numpy()
+    load = np.frombuffer(b"".join(run["load"].to_pylist()), np.uint8).reshape(n, -1)
+    rows, error = load[:, :4].copy().view("<u4")[:, 0].astype(np.int64), load[:, 4:8].copy().view("<f4")[:, 0]
+    tags = load[:, 8 : 8 + 4 * t].copy().view("<u4")
+    near_unit = decoded(load[:, 8 + 4 * t :])
+    unit = np.frombuffer(b"".join(run["vec"].to_pylist()), np.float64).reshape(n, -1) if exact else None
+    added, root, doubtful, any_link = np.zeros(n, np.int64), node.copy(), np.zeros(n, bool), np.zeros(n, bool)
+    linked = np.zeros((n, n), bool)
+    for lo in range(0, n, 256):
         part = slice(lo, lo + 256)
-        near = unit[part] @ unit.T >= threshold
+        about = near_unit[part] @ near_unit.T
+        # |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|, and the products' own rounding.
+        slack = error[part, None] + error[None, :] * (1 + error[part, None]) + np.float32(1e-5)
+        sure, may = about >= threshold + slack, about >= threshold - slack
+        open_ = may & ~sure
+        near = open_ & (unit[part] @ unit.T >= threshold) if exact else sure
         near[np.arange(len(near)), np.arange(lo, lo + len(near))] = False
-        if across:
-            near &= block[part, None] != block[None, :]
-        linked[part] = near
+        if pair >> 32 != pair & 0xFFFFFFFF:
+            apart = block[part, None] != block[None, :]
+            near &= apart
+            open_ &= apart
+        if not exact:
+            open_[np.arange(len(near)), np.arange(lo, lo + len(near))] = False
+            doubtful[part] = open_.any(1)
         if near.any():
-            new = near.copy()
+            any_link[part], linked[part] = near.any(1), near
             for earlier in range(t):
-                new &= tags[part, earlier, None] != tags[None, :, earlier]
-            added[part] = new @ rows
-    if not (any_link := linked.any(1)).any():
+                near &= tags[part, earlier, None] != tags[None, :, earlier]
+            added[part] = near @ rows
+    if not (any_link | doubtful).any():
         return None
-    root = node.copy()
     while True:
-        least = np.minimum(root, np.array([root[r].min() if a else root[i] for i, (r, a) in enumerate(zip(linked, any_link, strict=True))]))
+        least = root.copy()
+        for lo in range(0, n if any_link.any() else 0, 256):
+            part = slice(lo, lo + 256)
+            least[part] = np.minimum(root[part], np.where(linked[part], root[None, :], np.iinfo(np.int64).max).min(1))
         if (least == root).all():
             break
         root = least
-    return {"vec_key": run["vec_key"].combine_chunks().filter(pa.array(any_link)), "node": pa.array(node[any_link]), "added": pa.array(added[any_link]), "root": pa.array(root[any_link])}
+    at = np.flatnonzero(any_link | doubtful)
+    return {
+        "node": pa.array(node[at]), "added": pa.array(added[at]), "root": pa.array(root[at]), "doubtful": pa.array(doubtful[at]),
+        "bucket": pa.array(np.full(len(at), bucket)), "pair": pa.array(np.full(len(at), pair)), "block": pa.array(block[at]),
+    }
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = 0.95, seed: int = 0) -> DataFrame:
@@ -92,7 +129,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, seed: int = 0)
 
     def hashed(batch: pa.RecordBatch) -> dict:
         ids, vectors = batch["vec_id"], batch["embedding"].to_pylist()
-        keys, units, tags = [None] * len(vectors), [None] * len(vectors), [None] * len(vectors)
+        out: dict[str, list] = {c: [None] * len(vectors) for c in ("vec_key", "vec", "tags", "code")}
         by_dim: dict[int, list[int]] = {}
         for i, v in enumerate(vectors):
             if v and ids[i].is_valid and None not in v:
@@ -103,40 +140,68 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, seed: int = 0)
                 scale = np.abs(x).max(1, keepdims=True)
                 y = x / scale
                 y = y / np.sqrt((y * y).sum(1, keepdims=True))
-            good = np.isfinite(x).all(1) & (scale[:, 0] > 0) & np.isfinite(y).all(1)
+            good = np.flatnonzero(np.isfinite(x).all(1) & (scale[:, 0] > 0) & np.isfinite(y).all(1))
+            if not len(good):
+                continue
+            x, y, at = x[good], y[good], [at[i] for i in good.tolist()]
             a, b, mixer = projections(dim)
-            cells = np.floor((np.where(good[:, None], y, 0) @ a + b) / WIDTH).astype(np.int64).reshape(len(at), tables, k)
+            cells = np.floor((y @ a + b) / WIDTH).astype(np.int64).reshape(len(at), tables, k)
             with np.errstate(over="ignore"):
                 mixed = (cells * mixer).sum(2) + np.int64(dim * 0x9E3779B1)
-            tag = ((mixed ^ (mixed >> 32)) & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+            tag = ((mixed ^ (mixed >> 32)) & 0xFFFFFFFF).astype("<u4")
+            codes, error = encoded(y)
             for j, i in enumerate(at):
-                if good[j]:
-                    keys[i] = hashlib.blake2b(x[j].tobytes(), digest_size=16).digest()
-                    units[i], tags[i] = y[j].tobytes(), tag[j].tobytes()
-        return {"vec_id": ids, "vec_key": pa.array(keys, pa.binary()), "vec": pa.array(units, pa.binary()), "tags": pa.array(tags, pa.binary())}
-
-    rows = settle(over_batches(rows, hashed, "vec_id long, vec_key binary, vec binary, tags binary"))
-    nodes = settle(rows.where("vec_key is not null").groupBy("vec_key").agg(F.min("vec_id").alias("node"), F.count("*").alias("rows"), F.first("vec").alias("vec"), F.first("tags").alias("tags")))
-
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """A row for each table, with the bucket of the vector there."""
-        n = batch.num_rows
-        tag = np.frombuffer(b"".join(batch["tags"].to_pylist()), np.uint32).reshape(n, tables).astype(np.int64) if n else np.empty((0, tables), np.int64)
-        bucket = (np.arange(tables)[None, :] << 32 | tag).ravel()
-        return pa.RecordBatch.from_arrays([batch["vec_key"].take(pa.array(np.repeat(np.arange(n), tables))), pa.array(bucket), pa.array(np.tile(np.arange(tables), n).astype(np.int32))], names=["vec_key", "bucket", "table"])
-
-    places = over_batches(nodes.select("vec_key", "tags"), spread, "vec_key binary, bucket long, table int")
-    dealt = grouped(blocks(settle(places), "vec_key", BLOCK).join(nodes, "vec_key"))
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, ("bucket", "pair")):
-            if out := _compare(run, threshold):
-                yield pa.RecordBatch.from_pydict(out)
-
-    links = settle(dealt.mapInArrow(compared, "vec_key binary, node long, added long, root long"))
-    counts = links.groupBy("vec_key").agg(F.sum("added").alias("added"))
+                out["vec_key"][i] = hashlib.blake2b(x[j].tobytes(), digest_size=16).digest()
+                out["vec"][i], out["tags"][i], out["code"][i] = y[j].tobytes(), tag[j].tobytes(), error[j].tobytes() + codes[j].tobytes()
+        return {"vec_id": ids} | {c: pa.array(v, pa.binary()) for c, v in out.items()}
+
+    rows = settle(over_batches(rows, hashed, "vec_id long, vec_key binary, vec binary, tags binary, code binary"))
+    nodes = rows.where("vec_key is not null").groupBy("vec_key").agg(F.min("vec_id").alias("least"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("vec", "tags", "code")])
+    nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()))
+
+    def spread(loaded: bool) -> Callable[[pa.RecordBatch], dict]:
+        """A row for each table: the node's bucket there; loaded: with its count, error, tags of earlier tables and code."""
+
+        def run(batch: pa.RecordBatch) -> dict:
+            n = batch.num_rows
+            tag = np.frombuffer(b"".join(batch["tags"].to_pylist()), "<u4").reshape(n, tables).astype(np.int64)
+            found = {"node": pa.array(np.repeat(batch["node"].to_numpy(), tables)), "bucket": pa.array((np.arange(tables)[None, :] << 32 | tag).ravel())}
+            if loaded:
+                count = np.minimum(batch["rows"].to_numpy(), 2**32 - 1).astype("<u4").tobytes()
+                parts = zip(batch["code"].to_pylist(), batch["tags"].to_pylist(), strict=True)
+                found["load"] = pa.array([count[4 * i : 4 * i + 4] + c[:4] + g[: 4 * t] + c[4:] for i, (c, g) in enumerate(parts) for t in range(tables)], pa.binary())
+            return found
+
+        return run
+
+    narrow = over_batches(nodes.select("node", "tags"), spread(False), "node long, bucket long")
+    wide = over_batches(nodes.select("node", "tags", "rows", "code"), spread(True), "node long, bucket long, load binary")
+
+    def compared(exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for found in runs(batches, ("bucket", "pair")):
+                if out := _compare(found, threshold, exact):
+                    yield pa.RecordBatch.from_pydict(out)
+
+        return run
+
+    schema = "node long, added long, root long, doubtful boolean, bucket long, pair long, block long"
+    found = settle(grouped(blocks(wide, "node", BLOCK, counted=narrow)).mapInArrow(compared(False), schema))
+    again = found.where("doubtful").select("node", "bucket", "pair", "block").join(nodes.select("node", "tags", "rows", "code", "vec"), "node")
+
+    def loaded(batch: pa.RecordBatch) -> dict:
+        parts = zip(batch["bucket"].to_pylist(), batch["rows"].to_pylist(), batch["code"].to_pylist(), batch["tags"].to_pylist(), strict=True)
+        load = [min(n, 2**32 - 1).to_bytes(4, "little") + c[:4] + g[: 4 * (b >> 32)] + c[4:] for b, n, c, g in parts]
+        return {c: batch[c] for c in ("node", "bucket", "pair", "block", "vec")} | {"load": pa.array(load, pa.binary())}
+
+    again = over_batches(again, loaded, "node long, bucket long, pair long, block long, vec binary, load binary")
+    links = settle(found.drop("bucket", "pair", "block").unionByName(grouped(again).mapInArrow(compared(True), schema).drop("bucket", "pair", "block")))
+    counts = links.groupBy("node").agg(F.sum("added").alias("added"))
     groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = nodes.select("vec_key", "node", "rows").join(counts, "vec_key", "left").join(groups, "node", "left")
-    known = known.select("vec_key", (F.coalesce("added", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = rows.select("vec_id", "vec_key").join(known, "vec_key", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"))
+    known = nodes.select("vec_key", "node", "least", "rows").join(counts, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = settle(known)
+    heads = settle(known.groupBy("component").agg(F.min("least").alias("component_id")))
+    known = known.join(checked(heads), "component").select("vec_key", (F.coalesce("added", F.lit(0)) + F.col("rows") - 1).alias("n_links"), "component_id")
+    good = rows.where("vec_key is not null").select("vec_id", "vec_key").join(known, "vec_key").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = rows.where("vec_key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return good.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

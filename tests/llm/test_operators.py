@@ -61,6 +61,23 @@ def test_sharding(spark, odd, nothing, small):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_sharding_equals_a_sort_and_a_permutation(spark):
+    texts = [None if i % 7 == 0 else f"text {i % 40}" for i in range(300)] + ["again"] * 50
+    docs = spark.createDataFrame([(i % 90 or None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    n, rows = len(texts), sharding.shard(docs, 5, 3).collect()
+    hashes = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64("doc_id", "text").alias("h")).collect()
+    keyed = sorted((r["h"] % 16, r["h"], r["doc_id"] or 0, zlib.crc32(r["t"].encode())) for r in hashes)  # 16 buckets under 4,096 rows
+    want = sorted((k[2], k[3], *sharding.locate(i, n, 5, 3)) for i, k in enumerate(keyed))
+    assert sorted((r["doc_id"] or 0, r["text_crc32"], r["shard"], r["slot"]) for r in rows) == want
+    assert all(sharding.row_at(r["shard"], r["slot"], n, 5, 3) == r["row"] for r in rows)
+
+
+def test_sharding_of_one_row_without_end(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 64)
+    rows = sharding.shard(spark.range(1000).selectExpr("cast(null as bigint) as doc_id", "'x' as text")).select("row", "shard", "slot").collect()
+    assert sorted(r["row"] for r in rows) == list(range(1000)) and len({(r["shard"], r["slot"]) for r in rows}) == 1000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=50_000))
 def test_media_round_trip(data):
@@ -79,6 +96,14 @@ def test_media_tables_and_faults(spark):
     rows = {r["id"]: r for r in media.describe(df).collect()}
     assert rows[1]["samples"] == 200 and len(rows[1]["keyframes"]) == 17 and rows[1]["error"] is None
     assert rows[2]["error"] and rows[3]["codec"] is None and rows[4]["error"]
+    at = file.index(b"stsz") + 8
+    huge = [file[:at] + struct.pack(">II", each, 0xFFFFFFF0) + file[at + 8 :] for each in (0, 1)]
+    at = file.index(b"stsc") + 12
+    huge.append(file[:at] + struct.pack(">I", 0xFFFFFFFF) + file[at + 4 :])
+    at = file.index(b"stss") + 12
+    huge.append(file[:at] + struct.pack(">I", 0) + file[at + 4 :])
+    found = media.describe(spark.createDataFrame([(bytearray(x),) for x in huge], "media binary")).collect()
+    assert all(r["error"] and r["codec"] is None for r in found)
 
 
 def test_media_query(odd, nothing):
@@ -89,6 +114,9 @@ def test_media_query(odd, nothing):
         want.append((i, len((text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), hashlib.sha256(media.write(p)).hexdigest()))
     got = [(r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_sha256"]) for r in rows]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+    for r in rows:
+        frames, first = r["payload_bytes"] // 576, r["media_bytes"] - r["payload_bytes"]
+        assert [tuple(k) for k in r["keyframes"]] == [(first + 576 * i, 576) for i in range(0, frames, 12)]
     assert media.digest(media.store(nothing)).count() == 0
 
 
@@ -148,6 +176,25 @@ def test_near_vectors(spark, block, monkeypatch):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_under_repeated_ids_and_clashing_names(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.standard_normal((2, 16))
+    rows = [(5, a), (5, b), (5, b), (7, a + 0.01 * b), (9, b * 2.0), (None, a)]
+    df = spark.createDataFrame([(i, v.tolist(), 1, 2, "p") for i, v in rows], "vec_id long, embedding array<double>, node int, bucket int, pair string")
+    found = sorted(map(tuple, embeddings.near_vectors(df).collect()), key=repr)
+    assert found == sorted([(5, 1, 5, True), (5, 2, 5, True), (5, 2, 5, True), (7, 1, 5, False), (9, 2, 5, False), (None, 0, None, True)], key=repr)
+
+
+def test_codes_bound_cosines():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((300, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes, error = embeddings.encoded(x)
+    y = embeddings.decoded(codes)
+    slack = error[:, None] + error[None, :] * (1 + error[:, None]) + 1e-5
+    assert (np.abs(x @ x.T - y @ y.T) <= slack).all() and slack.max() < 0.05
+
+
 def test_language(spark, odd, nothing, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     found = langid.identify(docs, langid.trained(docs), ["doc_id", "lang"]).collect()
@@ -157,6 +204,38 @@ def test_language(spark, odd, nothing, small):
     assert langid.learn(nothing) == {} and langid.identify(odd, {}, ["doc_id"]).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_of_held_out_rows_and_by_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    profiles = langid.trained(docs)
+    found = langid.identify(docs, profiles, ["doc_id", "text", "lang"]).collect()
+    held = [r for r in found if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert len(held) > 30 and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.98 * len(held)
+
+    def grams(text):
+        counts = {}
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            for n in (1, 2, 3):
+                for i in range(len(word) + 3 - n):
+                    g = f" {word} "[i : i + n]
+                    if g.strip():
+                        counts[g] = counts.get(g, 0) + 1
+        return sorted(counts, key=lambda g: (-counts[g], sum(ord(c) << 21 * (len(g) - 1 - j) for j, c in enumerate(g))))[: langid.PROFILE]
+
+    spelled = lambda g: "".join(chr(int(g) >> s & 0x1FFFFF) for s in (42, 21, 0) if int(g) >> s & 0x1FFFFF)
+    ranks = {name: {spelled(g): i for i, g in enumerate(p)} for name, p in profiles.items()}
+    for r in held[:25]:
+        own = grams(r["text"])
+        apart = {name: sum(abs(i - rank[g]) if g in rank else langid.PROFILE for i, g in enumerate(own)) for name, rank in ranks.items()}
+        best = min(apart, key=lambda name: (apart[name], name))
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 - apart[best] / (langid.PROFILE * len(own)))
+
+
+def test_language_ties_go_by_name(spark):
+    rows = [(i, "same words here", lang) for i, lang in enumerate(["b", "a", "b", "a", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.identify(docs, langid.learn(docs), ["doc_id"]).collect()} == {"a"}
+
+
 def test_ngrams_and_distance():
     grams, counts = langid.ngrams("Ab b")
     unpack = lambda g: "".join(chr(int(g) >> s & 0x1FFFFF) for s in (42, 21, 0) if int(g) >> s & 0x1FFFFF)
@@ -202,13 +281,37 @@ def test_unigram_models_are_rebuilt(tmp_path):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 512), max_size=150))
+@given(st.lists(st.integers(1, 2047), max_size=120))
 def test_packing_kernel(sizes):
-    window = packing.pack(np.array(sizes, np.int64))
-    totals = np.bincount(window, sizes) if sizes else np.zeros(0)
-    assert len(window) == len(sizes) and (totals <= 2048).all()
-    if sum(sizes) > 20_000:
-        assert totals.max() - totals.min() <= 512
+    sizes = np.array(sizes, np.int64)
+    of, start, length, window = packing.arrange(sizes)
+    assert (np.bincount(of, length, len(sizes)) == sizes).all() and (np.bincount(window, length) <= 2048).all()
+    assert all((np.diff(start[of == i]) == length[of == i][:-1]).all() for i in range(len(sizes)))
+    if len(sizes):
+        # Whole pieces take a window more at most; windows of balanced pieces of at most 512 are 3/4 full.
+        assert window.max() + 1 <= -(-int(sizes.sum()) // (2048 - 512)) + 1
+
+
+def test_differencing_equals_its_plain_form():
+    """The two partial partitions of largest imbalance are merged, largest with smallest; sums without lists of pieces."""
+    rng = np.random.default_rng(3)
+    for k in (2, 3, 5):
+        sizes = rng.integers(1, 500, 20)
+        parts = sorted(([int(s)] + [0] * (k - 1) for s in sizes), reverse=True)
+        while len(parts) > 1:
+            parts.sort(key=lambda p: max(p) - min(p), reverse=True)
+            merged = sorted((a + b for a, b in zip(parts[0], reversed(parts[1]), strict=True)), reverse=True)
+            parts = [*parts[2:], merged]
+        mine = sorted(np.bincount(packing.difference(sizes, k), sizes, k), reverse=True)
+        assert mine[0] - mine[-1] <= 2 * (parts[0][0] - parts[0][-1]) + 25 and sum(mine) == sum(parts[0])
+
+
+def test_packing_of_repeated_rows_and_its_padding(spark, small):
+    rows = packing.packed(spark.createDataFrame([(None, "one two three")] * 5000, "doc_id long, text string").repartition(3)).collect()
+    assert len(rows) == 5000 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 5000
+    found = packing.packed(spark.read.parquet(f"{small}/documents.parquet").coalesce(1)).select("sequence_id", "sequence_tokens").distinct().collect()
+    assert len({r["sequence_id"] for r in found}) == len(found)
+    assert sum(r["sequence_tokens"] for r in found) >= 0.97 * 2048 * len(found)
 
 
 def test_differencing_is_balanced():
@@ -285,6 +388,21 @@ def test_toxicity(spark, odd, nothing):
     scored = toxicity.score(odd, model, ["doc_id"]).collect()
     assert len(scored) == len(ROWS) and all(0 <= r["score"] <= 1 for r in scored)
     assert toxicity.score(odd, toxicity.trained(nothing, labels.limit(0)), ["doc_id"]).where("score >= 0.5").count() == 0
+    assert toxicity.score(odd, toxicity.trained(nothing.select("doc_id", "text"), labels), ["doc_id"]).where("score >= 0.5").count() == 0
+    for r in toxicity.score(docs, model, ["doc_id", "text"]).limit(60).collect():  # by the definition, one step after another
+        s = [model.scores.get(w, -toxicity.DRIFT) for w in toxicity.words(r["text"])]
+        x = [(t - model.location[0] - model.location[1] * np.log(len(s) + 1)) / model.scale for *_, t in toxicity.segments(np.array(s))]
+        best, total = max([0.0, *x]), np.log1p(sum(v for v in x if v >= toxicity.SIGNIFICANT))
+        z = model.weights[0] + model.weights[1] * min(best, toxicity.MOST) + model.weights[2] * total
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40)))) and len(r["passages"]) == sum(v >= toxicity.SIGNIFICANT for v in x)
+
+
+def test_all_telling_tokens_are_kept(spark):
+    """Far more telling tokens than any cap that a table of fixed size would set."""
+    docs = [(i, " ".join(f"{'bad' if i % 2 else 'good'}{j}" for j in range(i // 2 % 4 * 30_000, i // 2 % 4 * 30_000 + 30_000)) ) for i in range(80)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.learn(frame, spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int"))
+    assert len([t for t, v in model.scores.items() if v > 0]) == 120_000
 
 
 def test_orc(spark, odd, nothing):
