@@ -1,6 +1,6 @@
 """License scans: passages against licence templates by the Dice coefficient over word bigrams.
 
-Passages are the lines of a text and, where it has several, the text as a whole; where the whole does not match,
+Passages are the lines of a text and, where several hold words, the text as a whole; where the whole does not match,
 also runs of its words, in which a line that matched stands as one foreign word. So notices are found that are
 wrapped over lines or stand inside a line. Passages and templates are lower-cased and everything but letters and
 digits parts words. A template of s distinct bigrams can only reach the threshold t with passages of t/(2-t)*s to
@@ -83,7 +83,8 @@ def template_bigrams(text: str) -> list[str]:
 
 
 def bounds(size: int, threshold: float = THRESHOLD) -> tuple[float, float]:
-    return threshold / (2 - threshold) * size, (2 - threshold) / threshold * size
+    """The sizes of sets that can reach the threshold with a set of this size; a hair wider, against rounding."""
+    return threshold / (2 - threshold) * size - 1e-9, (2 - threshold) / threshold * size + 1e-9
 
 
 def _words(passage: Column) -> Column:
@@ -132,15 +133,15 @@ def scan(documents: DataFrame, threshold: float = THRESHOLD, templates: list[tup
 
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     rows = documents.select("doc_id", F.transform(lines, _words).alias("lines"))
-    rows = rows.select("doc_id", F.filter("lines", lambda w: F.element_at(w, 1) != "").alias("lines"), (F.size("lines") > 1).alias("several"))
-    rows = rows.select("doc_id", "lines", F.transform("lines", best).alias("hits"), F.when(F.col("several"), _let(F.flatten("lines"), best)).alias("whole"))
+    rows = rows.select("doc_id", F.filter("lines", lambda w: F.element_at(w, 1) != "").alias("lines"))
+    rows = rows.select("doc_id", "lines", F.transform("lines", best).alias("hits"), F.when(F.size("lines") > 1, _let(F.flatten("lines"), best)).alias("whole"))
     rest = F.flatten(F.zip_with("lines", "hits", lambda w, s: F.when(s.isNull(), w).otherwise(F.array(F.lit("\0")))))
     rows = rows.select("doc_id", "hits", "whole", F.when(F.col("whole").isNull(), _bigrams(rest)).alias("b"))
     # The places in the text (from 0) of bigrams that any template has.
     places = F.filter(F.transform("b", lambda x, i: F.when(x.isin(every), F.struct(i.alias("at"), x.alias("x")))), lambda p: p.isNotNull())
     rows = rows.select("doc_id", "hits", "whole", "b", places.alias("places"))
     rows = rows.select("doc_id", "hits", "whole", "b", "places", F.array_distinct("places.x").alias("own"))
-    possible = F.when(F.size("own") >= least - 1e-9, F.filter(known, lambda t: F.size(F.array_intersect("own", t["bigrams"])) >= t["lo"] - 1e-9))
+    possible = F.when(F.size("own") >= least, F.filter(known, lambda t: F.size(F.array_intersect("own", t["bigrams"])) >= t["lo"]))
 
     def of_template(t: Column) -> Column:
         at = F.transform(F.filter("places", lambda p: F.array_contains(t["bigrams"], p["x"])), lambda p: p["at"])
@@ -150,7 +151,7 @@ def scan(documents: DataFrame, threshold: float = THRESHOLD, templates: list[tup
             ends = F.concat(F.array(F.least(a + t["run"], F.size("b")) - 1), F.filter(within, lambda e: e >= a + t["run"]))
             run = lambda e: F.array_distinct(F.slice("b", a + 1, e - a + 1))
             return F.when(
-                F.size(within) >= t["lo"] - 1e-9,
+                F.size(within) >= t["lo"],
                 F.transform(ends, lambda e: F.struct(dice(run(e), t).alias("dice"), (-t["i"]).alias("minus"), (-a).alias("start"), (-e).alias("end"))),
             ).otherwise(F.array())
 
@@ -175,16 +176,33 @@ def scan(documents: DataFrame, threshold: float = THRESHOLD, templates: list[tup
 def oracle() -> str:
     """The scan in DuckDB's SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({i}, {quote(n)}, [{', '.join(map(quote, template_bigrams(t)))}])" for i, (n, t) in enumerate(TEMPLATES))
+    bigrams = lambda w: f"list_transform(range(1, len({w})), lambda j: {w}[j] || ' ' || {w}[j + 1])"
+    rows = []
+    for i, (name, text) in enumerate(TEMPLATES):
+        found, run = template_bigrams(text), len(re.sub(r"[\W_]+", " ", text.lower()).split()) - 1
+        rows.append(f"({i}, {quote(name)}, [{', '.join(map(quote, found))}], {run}, {int(bounds(run)[1])})")
+    fits = f"len(b) * (2 - {THRESHOLD}) >= {THRESHOLD} * len(bigrams) AND len(bigrams) * (2 - {THRESHOLD}) >= {THRESHOLD} * len(b)"
     return f"""
-WITH templates(i, name, bigrams) AS (VALUES {rows}),
-lines AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-passages AS (SELECT r, unnest(list_concat(l, CASE WHEN len(l) > 1 THEN [text] ELSE [] END)) AS p FROM lines),
-words AS (SELECT r, row_number() OVER () AS k, string_split(trim(regexp_replace(lower(p), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM passages),
-sets AS (SELECT r, k, list_distinct(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS b FROM words WHERE len(w) > 1 AND len(list_distinct(w)) < 200),
-scored AS (SELECT r, k, i, name, 2.0 * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) AS dice FROM sets, templates
-           WHERE len(b) * (2 - {THRESHOLD}) >= {THRESHOLD} * len(bigrams) AND len(bigrams) * (2 - {THRESHOLD}) >= {THRESHOLD} * len(b)),
-best AS (SELECT r, k, i, name, dice FROM scored WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r, k ORDER BY dice DESC, i) = 1),
-docs AS (SELECT r, count(*) AS n, array_to_string(list_sort(list_distinct(list(name))), ';') AS names, max(dice) AS top, arg_max(name, dice * 1000 - i * 0.001) AS top_name FROM best GROUP BY r)
+WITH templates(i, name, bigrams, run, longest) AS (VALUES {', '.join(rows)}),
+texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT r, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM texts),
+lines AS MATERIALIZED (SELECT r, k, string_split(trim(regexp_replace(lower(p), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM cut WHERE regexp_matches(p, '[\\p{{L}}\\p{{N}}]')),
+passages AS (SELECT r, k, w FROM lines UNION ALL SELECT r, 0, flatten(list(w ORDER BY k)) FROM lines GROUP BY r HAVING count(*) > 1),
+sets AS (SELECT r, k, list_distinct({bigrams('w')}) AS b FROM passages WHERE len(w) > 1),
+scored AS (SELECT r, k, i, name, 2.0 * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) AS dice FROM sets, templates WHERE {fits}),
+best AS MATERIALIZED (SELECT r, k, i, name, dice FROM scored WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r, k ORDER BY dice DESC, i) = 1),
+rest AS (SELECT r, flatten(list(CASE WHEN i IS NULL THEN w ELSE [chr(0)] END ORDER BY k)) AS w FROM lines LEFT JOIN best USING (r, k) WHERE r NOT IN (SELECT r FROM best WHERE k = 0) GROUP BY r),
+runs_of AS MATERIALIZED (SELECT r, {bigrams('w')} AS b FROM rest),
+places AS MATERIALIZED (SELECT r, i, x, pos FROM (SELECT r, unnest(b) AS x, generate_subscripts(b, 1) AS pos FROM runs_of) JOIN (SELECT i, unnest(bigrams) AS x FROM templates) USING (x)),
+possible AS MATERIALIZED (SELECT r, i, pos FROM places SEMI JOIN (SELECT r, i FROM places JOIN templates USING (i) GROUP BY r, i HAVING count(DISTINCT x) * (2 - {THRESHOLD}) >= {THRESHOLD} * any_value(len(bigrams)) - 1e-9) USING (r, i)),
+within AS MATERIALIZED (SELECT r, i, s.pos AS a, e.pos AS e FROM possible s JOIN templates USING (i) JOIN possible e USING (r, i) WHERE e.pos >= s.pos AND e.pos < s.pos + longest),
+dense AS (SELECT r, i, a FROM within JOIN templates USING (i) GROUP BY r, i, a HAVING count(*) * (2 - {THRESHOLD}) >= {THRESHOLD} * any_value(len(bigrams)) - 1e-9),
+spans AS (SELECT r, i, a, least(a + run, len(b) + 1) - 1 AS e FROM dense JOIN templates USING (i) JOIN runs_of USING (r)
+          UNION ALL SELECT r, i, a, e FROM within JOIN dense USING (r, i, a) JOIN templates USING (i) WHERE e >= a + run),
+measured AS (SELECT r, i, a, e, 2.0 * len(list_intersect(list_distinct(b[a:e]), bigrams)) / (len(list_distinct(b[a:e])) + len(bigrams)) AS dice FROM spans JOIN runs_of USING (r) JOIN templates USING (i)),
+greedy AS (SELECT r, list_reduce(list([{{'i': i, 'a': a, 'e': e, 'dice': dice}}] ORDER BY dice DESC, i, a, e),
+           lambda kept, s: CASE WHEN len(list_filter(kept, lambda q: s[1].a <= q.e + 1 AND q.a <= s[1].e + 1)) = 0 THEN list_concat(kept, s) ELSE kept END) AS kept FROM measured WHERE dice >= {THRESHOLD} GROUP BY r),
+hits AS (SELECT r, i, dice FROM best UNION ALL SELECT r, h.i, h.dice FROM (SELECT r, unnest(kept) AS h FROM greedy)),
+docs AS (SELECT r, count(*) AS n, array_to_string(list_sort(list_distinct(list(name))), ';') AS names, max(dice) AS top, first(name ORDER BY dice DESC, i) AS top_name FROM hits JOIN templates USING (i) GROUP BY r)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(names, '') AS licenses, round(top, 6) AS best_dice, top_name AS best_license
-FROM lines LEFT JOIN docs USING (r)"""
+FROM texts LEFT JOIN docs USING (r)"""

@@ -141,6 +141,31 @@ def test_licenses_with_other_openings_wrapped_or_inside_lines(spark):
     assert [(r["licenses"], r["n_matches"]) for r in found] == [("MIT", 1), ("MIT", 1), ("ISC", 1), ("CC-BY-NC-SA-4.0;MIT", 2), ("", 0), ("MIT", 1)]
 
 
+def test_licenses_equal_the_sql_where_notices_are_planted(spark):
+    """Notices wrapped over lines, inside lines, changed by a word, cut, repeated, side by side and tied."""
+    import duckdb
+
+    rng = np.random.default_rng(12)
+    texts = [None, "", "\n\n", "word", "Licensed under the MIT License.\n", "Licensed under the MIT License.\nLicensed under the MIT License.", "x " * 300]
+    for _ in range(120):
+        parts = []
+        for _ in range(int(rng.integers(1, 4))):
+            parts += [f"w{i}" for i in rng.integers(0, 50, rng.integers(0, 30))]
+            notice = licenses.TEMPLATES[rng.integers(0, len(licenses.TEMPLATES))][1].split()
+            for _ in range(int(rng.integers(0, 3))):
+                notice[rng.integers(0, len(notice))] = str(rng.choice(["of", "the", "other", "license"]))
+            parts += notice[: len(notice) - int(rng.integers(0, 3))] * int(rng.integers(1, 3))
+        for i in rng.integers(0, len(parts), rng.integers(0, 12)):
+            parts[i] += "\n"
+        texts.append(" ".join(parts))
+    db = duckdb.connect()
+    documents = pa.table({"doc_id": list(range(len(texts))), "text": texts})  # noqa: F841
+    want = db.sql(licenses.oracle()).fetchall()
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+    assert sum(r["n_matches"] for r in got) > 100 and got[4]["n_matches"] == 1
+
+
 def test_license_bounds_prune_nothing_that_matches():
     sets = [set(licenses.template_bigrams(t)) for _, t in licenses.TEMPLATES]
     for a in sets:
