@@ -4,7 +4,10 @@ The model's protobuf is parsed by its wire format: pieces, scores and types, mod
 settings. From these a tokenizer is rebuilt: the precompiled character map (if the model has one), removal of
 extra blanks, the metaspace marker, and the model itself. Unigram models keep their scores; of BPE models the
 merges are derived from the pieces (every split of a piece into two pieces, in the order of the merged piece's
-score), with byte fallback in both. Ids decode to bytes by a table of the same pieces.
+score). Only ordinary pieces and those that users define can match text: control, byte and unused pieces go to the
+model under names that no text holds. What the model doesn't know becomes bytes, if the model falls back to them.
+Pieces that users define are matched first, the longest one where several begin. Ids decode to bytes by a table of
+the same pieces.
 
 No piece may hold the marker after another character, nor a line feed (`Rebuilt.separable` tests this): then a
 normalised text can be cut before each run of markers and around line feeds without changing its ids. The
@@ -95,20 +98,25 @@ def parse(data: bytes) -> Proto:
 
 class Rebuilt:
     def __init__(self, path: str, threads: int = 2):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from tokenizers import Regex, Tokenizer, models, normalizers
 
+        self.threads = threads
         with open(path, "rb") as f:
             self.proto = p = parse(f.read())
-        unknown = next((i for i, x in enumerate(p.pieces) if x[2] == UNKNOWN), 0)
-        vocab = {piece: i for i, (piece, _, _) in enumerate(p.pieces)}
+        self.unknown = next((i for i, x in enumerate(p.pieces) if x[2] == UNKNOWN), 0)
+        self.fallback = {int(x[3:5], 16): i for i, (x, _, t) in enumerate(p.pieces) if t == BYTE} if p.byte_fallback else {}
+        self.user = {x: i for i, (x, _, t) in enumerate(p.pieces) if t == USER}
+        #: The longest first; matched before the model sees the text.
+        self.first = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user else None
+        names = [x if t == NORMAL else f"\x00 {i}" for i, (x, _, t) in enumerate(p.pieces)]
         if p.model_type == UNIGRAM:
-            model = models.Unigram([(x, s) for x, s, _ in p.pieces], unk_id=unknown, byte_fallback=p.byte_fallback)
+            lowest = min((s for _, s, t in p.pieces if t == NORMAL), default=0.0)
+            model = models.Unigram([(x, s if t == NORMAL else lowest) for x, (_, s, t) in zip(names, p.pieces, strict=True)], unk_id=self.unknown, byte_fallback=False)
         elif p.model_type == BPE:
-            usable = {x: (-s, i) for i, (x, s, t) in enumerate(p.pieces) if t in (NORMAL, USER)}
+            usable = {x: (-s, i) for i, (x, s, t) in enumerate(p.pieces) if t == NORMAL}
             merges = sorted((rank, x[:i], x[i:]) for x, rank in usable.items() for i in range(1, len(x)) if x[:i] in usable and x[i:] in usable)
-            model = models.BPE(vocab, [(a, b) for _, a, b in merges], unk_token=p.pieces[unknown][0], fuse_unk=True, byte_fallback=p.byte_fallback)
+            model = models.BPE({x: i for i, x in enumerate(names)}, [(a, b) for _, a, b in merges], unk_token=names[self.unknown], fuse_unk=True, byte_fallback=False)
         else:
             raise ValueError(f"model type {p.model_type} is neither unigram nor BPE")
         steps = [normalizers.Precompiled(p.charsmap)] if p.charsmap else []
@@ -124,12 +132,27 @@ class Rebuilt:
         self.separable = not any("\n" in x or re.search(f"[^{MARK}]{MARK}", x) for x in ordinary)
         self.bytes = [bytes([int(x[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else x.encode() for x, _, t in p.pieces]
         self.simple = not p.charsmap and not p.remove_extra and p.escape and p.dummy_prefix
-        self.coder = ChunkCoder(self._learn, "<u4", self._parted, kept=1 << 17)
+        self.coder = ChunkCoder(self._learn, "<u4", self._parted, kept=1 << 18)
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
+        # Another operator in this worker may want it otherwise, so it is said before each use.
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if self.threads > 1 else "false"
+        if self.first is None:
+            return self._encoded(chunks)
+        parts = [[x for x in self.first.split(c) if x] for c in chunks]
+        found = iter(self._encoded([x for p in parts for x in p if x not in self.user]))
+        return [b"".join(np.uint32(self.user[x]).tobytes() if x in self.user else next(found) for x in p) for p in parts]
+
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(chunks), 2048):
-            out += [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks[i : i + 2048], add_special_tokens=False)]
+            some = chunks[i : i + 2048]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            if self.fallback:  # the fast way has no places in the text
+                for j in [j for j, ids in enumerate(found) if self.unknown in ids]:
+                    e = self.tokenizer.encode(some[j], add_special_tokens=False)
+                    found[j] = [x for k, (a, b) in zip(e.ids, e.offsets, strict=True) for x in ([self.fallback[c] for c in some[j][a:b].encode()] if k == self.unknown else [k])]
+            out += [np.asarray(ids, "<u4").tobytes() for ids in found]
         return out
 
     def _parted(self, texts: pa.Array) -> pa.Array:
