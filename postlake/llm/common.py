@@ -200,13 +200,12 @@ class ChunkCoder:
 
     def _values(self, chunks: list[str]) -> list[bytes]:
         found = list(map(self.known.get, chunks))
-        at = [i for i, v in enumerate(found) if v is None]
-        missing = [chunks[i] for i in at]
-        for i, v in zip(at, self.learn(missing), strict=True):
+        missing = [i for i, v in enumerate(found) if v is None]
+        for i, v in zip(missing, self.learn([chunks[i] for i in missing]), strict=True):
             found[i] = v
         if len(self.known) + len(missing) > self.kept:
             self.known.clear()
-        self.known.update((c, found[i]) for c, i in zip(missing[: self.kept], at, strict=False) if len(c) <= SHORT)
+        self.known.update((chunks[i], found[i]) for i in missing[: self.kept] if len(chunks[i]) <= SHORT)
         return found
 
     def _portion(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -3,15 +3,15 @@
 The pre-tokenizer of ``word_bpe_49k.json`` drops white space and never joins across it, and its normaliser
 works within white-space-free runs. So a text's ids are those of its chunks between blanks and line feeds,
 one after another, and each distinct chunk of a portion is encoded once. A chunk of letters with punctuation behind
-it is the two in a row, as the pre-tokenizer parts letters from marks; words of letters alone go through
-normalisation, the byte alphabet and the library's model one step after another; everything else passes through
-the whole tokenizer.
+it is the two in a row, as the pre-tokenizer parts letters from marks. Words of letters alone are one word each to
+the pre-tokenizer and their last id is one that ends a word, so many of them pass through the library as one text,
+whose ids are parted behind such ids; where the number of parts is another than that of words, and for all other
+chunks, each passes through the library alone.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
 from functools import lru_cache
 from string import punctuation
 
@@ -20,8 +20,10 @@ import pyarrow as pa
 
 from .common import ChunkCoder
 
-#: Chunks whose ids are kept, about 30 MB: the library's model is dear.
-KEPT = 1 << 17
+#: Chunks whose ids are kept, about 60 MB: the library's model is dear.
+KEPT = 1 << 18
+#: Words that pass through the library as one text.
+TOGETHER = 256
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -32,53 +34,41 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 class ChunkEncoder:
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocab = self.tokenizer.get_vocab()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.coder = ChunkCoder(self._learn, "<u4", kept=KEPT)
-        self.spelled = {c: self.alphabet.pre_tokenize_str(chr(c))[0][0] for c in range(0xAA, 0x100) if chr(c).isalpha()}
 
     def _each(self, chunks: list[str]) -> list[bytes]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # before each use: another operator in this worker may want threads
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a word that is letters after normalisation, one word to the pre-tokenizer; None for others."""
-        if word.isascii():
-            word = word.lower()
-        elif max(word) <= "\xff":  # Latin-1 letters are composed, and each has one lower case
-            word = word.lower().translate(self.spelled)
-        else:
-            word = self.tokenizer.normalizer.normalize_str(word)
-            if not word.isalpha():
-                return None
-            word = self.alphabet.pre_tokenize_str(word)[0][0]
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters."""
+        lists = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        out = []
+        for some, ids in zip(lists, self._each([" ".join(x) for x in lists]), strict=True):
+            at = np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1
+            if len(at) == len(some) and 4 * at[-1] == len(ids):
+                at = [0, *(4 * at).tolist()]
+                out += [ids[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+            else:
+                out += self._each(some)
+        return out
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
-        known: dict[str, bytes | None] = {}
-        marks: dict[str, bytes] = {}
-        other, out = [], []
-        for i, c in enumerate(chunks):
-            word = c if c.isalpha() else c.rstrip(punctuation)
-            ids = None
-            if word.isalpha():
-                if word not in known:
-                    known[word] = self.coder.known.get(word) or self._word(word)
-                ids = known[word]
-                if ids is not None and word is not c:
-                    mark = c[len(word) :]
-                    if mark not in marks:
-                        marks[mark] = self._each([mark])[0]
-                    ids += marks[mark]
-            out.append(ids)
-            if ids is None:
-                other.append(i)
-        for i, ids in zip(other, self._each([chunks[i] for i in other]), strict=True):
-            out[i] = ids
-        return out
+        stems = [c if c.isalpha() else c.rstrip(punctuation) for c in chunks]
+        words = [w for w in dict.fromkeys(stems) if w.isalpha()]
+        known = dict(zip(words, self._words(words), strict=True))
+        tails = [c[len(w) :] if w in known else c for c, w in zip(chunks, stems, strict=True)]
+        rest = [t for t in dict.fromkeys(tails) if t]
+        other = dict(zip(rest, self._each(rest), strict=True)) | {"": b""}
+        return [known[w] + other[t] if w in known else other[t] for t, w in zip(tails, stems, strict=True)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids begin and end."""
