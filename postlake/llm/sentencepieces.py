@@ -132,7 +132,7 @@ class Rebuilt:
         self.separable = not any("\n" in x or re.search(f"[^{MARK}]{MARK}", x) for x in ordinary)
         self.bytes = [bytes([int(x[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else x.encode() for x, _, t in p.pieces]
         self.simple = not p.charsmap and not p.remove_extra and p.escape and p.dummy_prefix
-        self.coder = ChunkCoder(self._learn, "<u4", self._parted, kept=1 << 18)
+        self.coder = ChunkCoder(self._learn, "<u4", self._parted, kept=1 << 19)
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
         # Another operator in this worker may want it otherwise, so it is said before each use.

@@ -20,8 +20,8 @@ import pyarrow as pa
 
 from .common import ChunkCoder
 
-#: Chunks whose ids are kept, about 60 MB: the library's model is dear.
-KEPT = 1 << 18
+#: Chunks whose ids are kept, about 120 MB: the library's model is dear.
+KEPT = 1 << 19
 #: Words that pass through the library as one text.
 TOGETHER = 256
 
