@@ -200,12 +200,16 @@ class ChunkCoder:
 
     def _values(self, chunks: list[str]) -> list[bytes]:
         found = list(map(self.known.get, chunks))
-        missing = [i for i, v in enumerate(found) if v is None]
-        for i, v in zip(missing, self.learn([chunks[i] for i in missing]), strict=True):
-            found[i] = v
-        if len(self.known) + len(missing) > self.kept:
-            self.known.clear()
-        self.known.update((chunks[i], found[i]) for i in missing[: self.kept] if len(chunks[i]) <= SHORT)
+        at = [i for i, v in enumerate(found) if v is None]
+        if at:
+            missing = [chunks[i] for i in at]
+            fresh = self.learn(missing)
+            for i, v in zip(at, fresh, strict=True):
+                found[i] = v
+            if len(self.known) + len(missing) > self.kept:
+                self.known.clear()
+            pairs = zip(missing[: self.kept], fresh, strict=False)
+            self.known.update(pairs if max(map(len, missing)) <= SHORT else ((c, v) for c, v in pairs if len(c) <= SHORT))
         return found
 
     def _portion(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

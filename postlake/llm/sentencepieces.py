@@ -37,6 +37,8 @@ MARK = "▁"
 #: Fixed values of the format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Chunks that are one text of a batch.
+TOGETHER = 64
 
 
 def fields(data: bytes):
@@ -99,7 +101,7 @@ def parse(data: bytes) -> Proto:
 class Rebuilt:
     def __init__(self, path: str, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        from tokenizers import Regex, Tokenizer, models, normalizers
+        from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
         self.threads = threads
         with open(path, "rb") as f:
@@ -128,6 +130,7 @@ class Rebuilt:
             steps.append(normalizers.Replace(" ", MARK))
         self.normalizer = normalizers.Sequence(steps)
         self.tokenizer = Tokenizer(model)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         ordinary = [x for x, _, t in p.pieces if t in (NORMAL, USER)]
         self.separable = not any("\n" in x or re.search(f"[^{MARK}]{MARK}", x) for x in ordinary)
         self.bytes = [bytes([int(x[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else x.encode() for x, _, t in p.pieces]
@@ -144,16 +147,35 @@ class Rebuilt:
         return [b"".join(np.uint32(self.user[x]).tobytes() if x in self.user else next(found) for x in p) for p in parts]
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(chunks), 2048):
-            some = chunks[i : i + 2048]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            if self.fallback:  # the fast way has no places in the text
-                for j in [j for j, ids in enumerate(found) if self.unknown in ids]:
-                    e = self.tokenizer.encode(some[j], add_special_tokens=False)
-                    found[j] = [x for k, (a, b) in zip(e.ids, e.offsets, strict=True) for x in ([self.fallback[c] for c in some[j][a:b].encode()] if k == self.unknown else [k])]
-            out += [np.asarray(ids, "<u4").tobytes() for ids in found]
-        return out
+        """Ids of chunks: many chunks without a blank are one text of a batch, in which each is a word."""
+        alone = [c for c in chunks if " " in c or not c]
+        whole = [c for c in chunks if " " not in c and c] if alone else chunks
+        lists = [whole[i : i + TOGETHER] for i in range(0, len(whole), TOGETHER)]
+        found: list[np.ndarray] = []
+        for i in range(0, len(lists), 256):
+            for some, e in zip(lists[i : i + 256], self.tokenizer.encode_batch([" ".join(x) for x in lists[i : i + 256]], add_special_tokens=False), strict=True):
+                ids, at = np.array(e.ids, "<u4"), np.flatnonzero(np.diff(np.array(e.word_ids, np.int64))) + 1
+                if len(at) + 1 != len(some):  # a chunk without any id
+                    found += [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4") for c in some]
+                    continue
+                found += np.split(ids, at)
+        if self.fallback:  # the text of what is unknown becomes bytes
+            for j in [j for j, ids in enumerate(found) if self.unknown in ids]:
+                e = self.tokenizer.encode(whole[j], add_special_tokens=False)
+                found[j] = np.array([x for k, (a, b) in zip(e.ids, e.offsets, strict=True) for x in ([self.fallback[c] for c in whole[j][a:b].encode()] if k == self.unknown else [k])], "<u4")
+        out = [ids.tobytes() for ids in found]
+        if not alone:
+            return out
+        rest, each = iter(out), {c: self._single(c) for c in dict.fromkeys(alone)}
+        return [each[c] if " " in c or not c else next(rest) for c in chunks]
+
+    def _single(self, chunk: str) -> bytes:
+        """Ids of a chunk that may hold blanks, by the model alone."""
+        ids = []
+        for t in self.tokenizer.model.tokenize(chunk):
+            a, b = t.offsets
+            ids += [self.fallback[c] for c in chunk.encode()[a:b]] if t.id == self.unknown and self.fallback else [t.id]
+        return np.array(ids, "<u4").tobytes()
 
     def _parted(self, texts: pa.Array) -> pa.Array:
         """Normalised texts with a blank behind each chunk; a model whose pieces forbid cuts keeps them whole."""

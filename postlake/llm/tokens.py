@@ -12,8 +12,9 @@ chunks, each passes through the library alone.
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
-from string import punctuation
+from string import ascii_letters, punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,10 @@ class ChunkEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        self.model = self.tokenizer.model
+        #: Whether the model alone gives what the library gives for each ASCII letter's words.
+        letters = [*ascii_letters, ascii_letters, *ascii_letters.upper()]
+        self.plain = [array("I", [t.id for t in self.model.tokenize(w.lower())]).tobytes() for w in letters] == self._each(letters)
         self.coder = ChunkCoder(self._learn, "<u4", kept=KEPT)
 
     def _each(self, chunks: list[str]) -> list[bytes]:
@@ -49,7 +54,14 @@ class ChunkEncoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters."""
+        """Ids of words of letters. ASCII words need no more than lower case before the model."""
+        plain = {w: array("I", [t.id for t in self.model.tokenize(w.lower())]).tobytes() for w in words if w.isascii()} if self.plain else {}
+        if plain:
+            found = dict(zip(rest, self._joined(rest), strict=True)) if (rest := [w for w in words if w not in plain]) else {}
+            return [plain[w] if w in plain else found[w] for w in words]
+        return self._joined(words)
+
+    def _joined(self, words: list[str]) -> list[bytes]:
         lists = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         out = []
         for some, ids in zip(lists, self._each([" ".join(x) for x in lists]), strict=True):
@@ -63,12 +75,16 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
         stems = [c if c.isalpha() else c.rstrip(punctuation) for c in chunks]
-        words = [w for w in dict.fromkeys(stems) if w.isalpha()]
-        known = dict(zip(words, self._words(words), strict=True))
+        have, known = self.coder.known, {}
+        for w in dict.fromkeys(stems):
+            if w.isalpha():
+                known[w] = have.get(w)
+        words = [w for w, ids in known.items() if ids is None]
+        known.update(zip(words, self._words(words), strict=True))
         tails = [c[len(w) :] if w in known else c for c, w in zip(chunks, stems, strict=True)]
-        rest = [t for t in dict.fromkeys(tails) if t]
+        rest = [t for t in dict.fromkeys(tails) if t and t not in have]
         other = dict(zip(rest, self._each(rest), strict=True)) | {"": b""}
-        return [known[w] + other[t] if w in known else other[t] for t, w in zip(tails, stems, strict=True)]
+        return [known[w] + (other.get(t) if t in other else have[t]) if w in known else other[t] if t in other else have[t] for t, w in zip(tails, stems, strict=True)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids begin and end."""

@@ -468,7 +468,19 @@ def test_orc_files_are_indexed(spark, small, tmp_path):
     orc_tokens.write_ids(spark.read.parquet(f"{small}/documents.parquet"), f"file://{tmp_path}/ids")
     found = spark.read.orc(f"file://{tmp_path}/ids").where("doc_id = 17")
     assert found.count() == 1 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,17)]" in found._jdf.queryExecution().toString()
-    assert all(orc.ORCFile(f).nstripes >= 1 for f in glob.glob(f"{tmp_path}/ids/*.orc"))
+    files = glob.glob(f"{tmp_path}/ids/*.orc")
+    assert all(orc.ORCFile(f).nstripes >= 1 for f in files)
+    # Row indexes and Bloom filters are streams of the stripes; Hive's reader lists them.
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{files[0]}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == 1000 and reader.getStripes().get(0).getIndexLength() > 0
+    data = open(files[0], "rb").read()
+    assert orc_tokens.OPTIONS["orc.bloom.filter.columns"] == "doc_id" and reader.getSchema().toString().startswith("struct<part:int,doc_id:bigint")
+    plain = spark.read.schema("part int, doc_id long, before long, ids array<int>").orc(f"file://{tmp_path}/ids")
+    plain.write.option("orc.create.index", "true").option("compression", "zstd").orc(f"file://{tmp_path}/without")
+    index = lambda folder: sum(s.getIndexLength() for f in glob.glob(f"{tmp_path}/{folder}/*.orc") for s in jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{f}"), jvm.org.apache.orc.OrcFile.readerOptions(conf)).getStripes())
+    assert len(data) > 0 and index("ids") > 1.2 * index("without")  # the filters' bytes
 
 
 def test_probability_jaccard_and_its_estimate():
@@ -554,6 +566,39 @@ def test_long_near_copies_are_one_group(spark):
     assert found == dict.fromkeys(range(12), 0) | {100: 100}
 
 
+def test_near_duplicates_of_the_test_table_against_all_pairs(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    sets = {r["doc_id"]: s for r, s in zip(rows, minhash.shingle_sets(pa.array([r["text"] for r in rows])), strict=True) if len(s[0])}
+    ids, links = np.array(list(sets)), 0
+    root = {i: i for i in ids.tolist()}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, one in sets.items():
+        for j in ids[minhash.near_ones(one, list(sets.values()))].tolist():
+            if j > i:
+                links += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert links > 50 and {i: got[i] for i in root} == {i: find(i) for i in root}
+
+
+def test_near_vectors_of_the_test_table_against_all_pairs(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    want = dict(zip((r["vec_id"] for r in rows), (near.sum(1) - 1).tolist(), strict=True))
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(table).collect()}
+    found, all_ = sum(got.values()), sum(want.values())
+    assert all(got[i] <= want[i] for i in got) and found >= 0.999 * all_ > 0
+
+
 def test_near_duplicates_of_awkward_rows(odd, nothing):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == len(ROWS)
