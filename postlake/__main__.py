@@ -13,34 +13,73 @@ from .operators import filters, search, stats
 from .operators.index import Index
 from .sinks import messages as sink
 from .sources import extract, files, mbox, mime
-
-
-def open_source(spark: SparkSession, uri: str) -> DataFrame:
-    """Messages of an mbox file or of a tree of message files and mboxes."""
-    if uri.lower().endswith((".mbox", ".mbx")):
-        return mime.messages(mbox.read_mbox(spark, uri))
-    found = {r["kind"] for r in files.find_sources(spark, uri).select("kind").distinct().collect()}
-    rows = mime.messages(files.read_files(spark, uri))
-    return rows.unionByName(mime.messages(mbox.read_mbox(spark, uri))) if found & {"mbox", "mboxdir"} else rows
+from .sources.tree import listed
+
+
+def opened(spark: SparkSession, uri: str, head_only: bool = False) -> DataFrame:
+    """Raw messages of one file, by its extension or how it begins, or of a tree of message files and mboxes."""
+    system, found = listed(uri)
+    if not found:
+        raise FileNotFoundError(uri)
+    if len(found) == 1 and found[0][0] == pathname(uri):
+        with system.open_input_stream(found[0][0]) as f:
+            kind = files.kind_of_file(found[0][0], f.read(256))
+        if kind == "mbox":
+            return mbox.read_mbox(spark, uri, head_only=head_only)
+        if kind not in ("eml", "emlx"):
+            raise ValueError(f"{uri}: {kind or 'no kind of mail'} can't be read")
+        return files.read_files(spark, uri, head_only)
+    columns = ["source_name", "folder", "nid", "kind", "raw", "flag_read", "size", "error", "path"]
+    return files.read_files(spark, uri, head_only).select(columns).unionByName(mbox.read_mbox(spark, uri, head_only=head_only).select(columns))
+
+
+def pathname(uri: str) -> str:
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)[1]
+
+
+def open_sources(spark: SparkSession, uris: list[str], heads: bool = False) -> DataFrame | None:
+    """The messages (or only the listing's fields) of all sources; one that is missing or unknown is a warning."""
+    rows = None
+    for uri in dict.fromkeys(uris):
+        try:
+            raw = opened(spark, uri, heads)
+        except (OSError, ValueError) as e:
+            print(f"warning: {e}", file=sys.stderr)
+            continue
+        one = mime.heads(raw) if heads else mime.messages(raw)
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 def filtered(rows: DataFrame, a: argparse.Namespace) -> DataFrame:
     if a.folder:
         rows = filters.folder_subtree(rows, a.folder)
     f = filters.RowFilter(a.search, a.search_bodies, a.since, a.until, a.has_attachments, a.attachment_kind, a.contacts_only, a.only_mail)
-    return f.apply(rows, mime.attachments(rows))
+    return f.apply(rows, mime.attachments(rows) if "attachments" in rows.columns else None)
 
 
 def indexed(rows: DataFrame) -> DataFrame:
     return extract.with_attachment_text(rows).drop("raw", "html")
 
 
+#: Marks words of a query that look like options.
+TERM = "\x00"
+
+
+def terms(argv: list[str]) -> list[str]:
+    """A word such as -newsletter is an excluded term, also where an option begins with its letter."""
+    known = {"-n", "--limit", "--json", "--export", "-h", "--help"}
+    return [TERM + w if w.startswith("-") and w.partition("=")[0] not in known else w for w in argv]
+
+
 def main(argv: list[str]) -> int:
     p = argparse.ArgumentParser(prog="postlake")
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("list", "stats", "export"):
         c = sub.add_parser(name)
-        c.add_argument("source")
+        c.add_argument("sources", nargs="+")
         c.add_argument("--out", default="")
         c.add_argument("--format", default="eml", choices=["eml", "mbox", "txt", "html", "attachments"])
         for option in ("folder", "search", "extensions"):
@@ -61,10 +100,8 @@ def main(argv: list[str]) -> int:
     c.add_argument("query", nargs="+")
     c.add_argument("-n", "--limit", type=int, default=200)
     c.add_argument("--json", action="store_true")
-    # A word such as -newsletter is a term, not an option.
-    a, rest = p.parse_known_args(argv)
-    if rest and a.command != "find":
-        p.error(f"unknown: {' '.join(rest)}")
+    c.add_argument("--export", default="")
+    a = p.parse_args(terms(argv) if argv[:1] == ["find"] else argv)
     for text in (getattr(a, "since", None), getattr(a, "until", None)):
         if text and not listing_bound(text):
             print(f"not a date: {text}", file=sys.stderr)
@@ -73,8 +110,13 @@ def main(argv: list[str]) -> int:
     if a.command == "index":
         return index(spark, a)
     if a.command == "find":
-        return find(spark, a, " ".join([*a.query, *rest]))
-    rows = filtered(open_source(spark, a.source), a)
+        return find(spark, a, " ".join(w.removeprefix(TERM) for w in a.query))
+    # Lists read no message beyond its header block, unless bodies or attachments are asked for.
+    heads = a.command == "list" and not a.search_bodies and a.attachment_kind == "all"
+    rows = open_sources(spark, a.sources, heads)
+    if rows is None:
+        return 2
+    rows = filtered(rows, a)
     if a.command == "list":
         rows.groupBy("source_name", "folder").agg(F.count("*").alias("messages"), F.count_if(~F.col("is_read")).alias("unread")).orderBy("folder").show(1000, False)
     elif a.command == "stats":
@@ -112,10 +154,17 @@ def index(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.remove:
         print(f"removed {idx.remove(a.remove)} messages")
     for uri in a.sources:
-        rows = indexed(open_source(spark, uri))
-        state = files.find_sources(spark, uri).agg(F.sum("size").alias("size"), F.max("mtime").alias("mtime")) if not uri.lower().endswith((".mbox", ".mbx")) else rows.agg(F.sum("size").alias("size"), F.lit(0.0).alias("mtime"))
-        prints = rows.select("source_name").distinct().join(state)  # state is one row
-        print(uri, idx.update(rows, prints, a.force))
+        try:
+            raw = opened(spark, uri, head_only=True)
+        except (OSError, ValueError) as e:
+            print(f"warning: {e}", file=sys.stderr)
+            continue
+        # Keys come from header blocks; whole messages are read of those that are new.
+        listing = mime.heads(raw).join(raw.select("nid", "path", "kind", "flag_read", *[c for c in ("offset",) if c in raw.columns]), "nid")
+        state = [(s, t) for _, t, s in listed(uri)[1]]
+        size, mtime = sum(s for s, _ in state), max((t or 0 for _, t in state), default=0) / 1e6
+        prints = listing.select("source_name").distinct().select("source_name", F.lit(size).cast("long").alias("size"), F.lit(mtime).alias("mtime"))
+        print(uri, idx.update(listing, prints, a.force, texts=lambda new, uri=uri: indexed(mime.messages(files.contents(new, uri)))))
     if a.stats:
         idx.statistics().show()
         idx.sources().show(1000, False)
@@ -123,8 +172,9 @@ def index(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def find(spark: SparkSession, a: argparse.Namespace, query: str) -> int:
-    rows = Index(spark, a.db).messages()
-    hits = search.with_snippets(search.ranked(rows, query, limit=a.limit), query)
+    hits = search.with_snippets(Index(spark, a.db).ranked(query, limit=a.limit), query).persist()
+    if a.export:
+        sink.hits_json(hits).select("json").write.mode("overwrite").text(a.export)
     out = sink.hits_json(hits).collect() if a.json else hits.select("date", "sender", "subject", "folder", "matched_in", "snippet").collect()  # at most the limit
     for r in out:
         print(r["json"] if a.json else "  ".join(str(v or "") for v in r))

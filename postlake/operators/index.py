@@ -1,22 +1,30 @@
 """The full-text index as tables, and its incremental maintenance.
 
-`sources`, `messages` and `texts` are Parquet tables; the last two are partitioned by source, so a change rewrites
-the partitions of its sources only (dynamic partition overwrite). Postings hold a row for each token, document
-and column with its positions, dealt by a hash of the token's first two characters, so that a word or a prefix
-reads one bucket. Nothing is gathered per token: a word in every document is many rows, not one large one.
+`messages`, `postings`, `gone` and `sources` are Parquet tables that only grow: an update appends the messages it
+adds, their postings and the ids it removes under the number of its batch, and last of all the rows of its sources,
+which make the batch count; what a run that broke off has left is deleted by the next. Postings hold a row for each
+token, document and column with its positions, in the order of token and document, so that a word or a prefix reads
+the row groups whose bounds hold it, and a word of every document is spread over files. Nothing is gathered per
+token. Postings of removed messages lie idle until `optimize`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.order import ordinal
 from ..functions.text import tokens
+from . import search as scan
 from .search import WEIGHTS, Query, Term, parse
 
-BUCKETS = 64
+#: Of the tables' form; an index of another form is cleared and built anew.
+SCHEMA = 2
+#: Ids and tokens that are broadcast at most.
+SMALL = 1 << 16
 
 
 def message_key(columns: list[str], store: bool = False) -> Column:
@@ -34,8 +42,8 @@ def message_key(columns: list[str], store: bool = False) -> Column:
 
 def numbered(rows: DataFrame, source: str = "source_name", order: str = "nid") -> DataFrame:
     """`key` made unique in its source: the second and later messages of a key get #1, #2 ... in listing order."""
-    n = F.row_number().over(Window.partitionBy(source, "key0").orderBy(order)) - 1
-    return rows.withColumn("_n", n).withColumn("key", F.when(F.col("_n") > 0, F.concat("key0", F.lit("#"), F.col("_n").cast("string"))).otherwise(F.col("key0"))).drop("_n")
+    rows = ordinal(rows, [source, "key0"], order, "_n")
+    return rows.withColumn("key", F.when(F.col("_n") > 0, F.concat("key0", F.lit("#"), F.col("_n").cast("string"))).otherwise(F.col("key0"))).drop("_n")
 
 
 def plan_changes(listing: DataFrame, indexed: DataFrame, source: str = "source_name", complete: bool = True) -> DataFrame:
@@ -46,47 +54,71 @@ def plan_changes(listing: DataFrame, indexed: DataFrame, source: str = "source_n
 
 
 def postings(texts: DataFrame, id_column: str = "id") -> DataFrame:
-    """(bucket, token, id, col, positions): one row for each token of a column of a document."""
+    """(token, id, col, positions): one row for each token of a column of a document."""
     found = [
         texts.select(F.col(id_column).alias("id"), F.lit(i).cast("byte").alias("col"), F.posexplode(tokens(F.col(c))).alias("pos", "token"))
         for i, c in enumerate(WEIGHTS) if c in texts.columns
     ]
-    rows = reduce(DataFrame.unionByName, found)
     # A group is one token of one document: bounded by the document.
-    grouped = rows.groupBy("token", "id", "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.withColumn("bucket", bucket(F.col("token")))
+    return reduce(DataFrame.unionByName, found).groupBy("token", "id", "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def bucket(token: Column) -> Column:
-    return F.pmod(F.hash(F.substring(token, 1, 2)), F.lit(BUCKETS))
+def length(texts: DataFrame) -> Column:
+    """The tokens of all indexed columns, as ranking counts them."""
+    return reduce(lambda a, b: a + b, [F.size(tokens(F.col(c))) for c in WEIGHTS if c in texts.columns], F.lit(0))
 
 
-def lookup(table: DataFrame, term: Term) -> DataFrame:
-    """Ids of the documents that have the term, from the postings."""
+def hits(table: DataFrame, term: Term) -> DataFrame:
+    """(id, col, p): the documents and columns that have the term, and the places of its last word."""
     ids = [i for i, c in enumerate(WEIGHTS) if c in term.columns]
     found: DataFrame | None = None
     for n, word in enumerate(term.words):
-        last = n == len(term.words) - 1
-        hit = F.startswith("token", F.lit(word)) if term.prefix and last else F.col("token") == word
-        rows = table.where(hit & F.col("col").isin(ids))
-        if len(word) > 1 or not (term.prefix and last):
-            rows = rows.where(F.col("bucket") == bucket(F.lit(word)))
+        begun = term.prefix and n == len(term.words) - 1
+        rows = table.where((F.startswith("token", F.lit(word)) if begun else F.col("token") == word) & F.col("col").isin(ids))
         rows = rows.select("id", "col", F.col("positions").alias("p"))
-        if term.prefix and last and len(term.words) > 1:
-            rows = rows.groupBy("id", "col").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("p"))
+        if begun:  # several tokens of a document may begin so; a group is bounded by the document
+            rows = rows.groupBy("id", "col").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("p"))
         if found is not None:
             rows = rows.withColumnRenamed("p", "q").join(found, ["id", "col"])
             rows = rows.select("id", "col", F.array_intersect(F.transform("p", lambda x: x + 1), F.col("q")).alias("p")).where(F.size("p") > 0)
         found = rows
-    return found.select("id").distinct()
+    return found
+
+
+def lookup(table: DataFrame, term: Term) -> DataFrame:
+    """Ids of the documents that have the term, from the postings."""
+    return hits(table, term).select("id").distinct()
+
+
+def ranked(table: DataFrame, messages: DataFrame, query: str | Query, live: bool = False, limit: int = 500, offset: int = 0, order: str = "id") -> DataFrame:
+    """The best messages with `score`, as `search.ranked` gives them, from postings alone; messages need `length`.
+
+    No text is read but that of the rows returned: statistics are scalar subqueries over postings and lengths.
+    """
+    q = parse(query, live) if isinstance(query, str) else query
+    if not q.positive:
+        newest = [F.desc_nulls_last("date")] if "date" in messages.columns else []
+        return search(table, messages, q).withColumn("score", F.lit(0.0)).orderBy(*newest, order).offset(offset).limit(limit)
+    there = messages.select("id")
+    weight = F.element_at(F.create_map(*[F.lit(x) for i, w in enumerate(WEIGHTS.values()) for x in (i, w)]), F.col("col").cast("int"))
+    best, df = messages.select("id", *[c for c in ("date", "folder", "source_name", "source_path", "att_count") if c in messages.columns], "length").where(scan.filters(q, messages.columns)), []
+    for i, term in enumerate(q.positive):
+        found = hits(table, term).groupBy("id").agg(F.sum(weight * F.size("p")).alias(f"tf{i}")).join(there, "id", "left_semi")
+        df.append(found.agg(F.count("*").alias("n")).scalar())
+        best = best.join(found, "id")
+    for term in q.negative:
+        best = best.join(lookup(table, term), "id", "left_anti")
+    total = messages.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean")).alias("t")).scalar()
+    best = best.withColumns({"_t": total} | {f"_df{i}": n for i, n in enumerate(df)})
+    score = scan.bm25([F.col(f"tf{i}") for i in range(len(df))], [F.col(f"_df{i}") for i in range(len(df))], F.col("length"), F.col("_t.n"), F.col("_t.mean"))
+    best = best.select("id", score.alias("score")).orderBy("score", *([order] if order == "id" else [])).offset(offset).limit(limit)
+    return messages.join(F.broadcast(best), "id").orderBy("score", order)  # at most `limit` ids
 
 
 def search(table: DataFrame, messages: DataFrame, query: str | Query, live: bool = False) -> DataFrame:
     """Messages that match by postings: semi joins for terms, an anti join for excluded ones."""
-    from .search import filters
-
     q = parse(query, live) if isinstance(query, str) else query
-    rows = messages.where(filters(q, messages.columns))
+    rows = messages.where(scan.filters(q, messages.columns))
     for term in q.positive:
         rows = rows.join(lookup(table, term), "id", "left_semi")
     for term in q.negative:
@@ -97,8 +129,13 @@ def search(table: DataFrame, messages: DataFrame, query: str | Query, live: bool
 class Index:
     """The tables under a folder. One writer at a time."""
 
+    TABLES = ("messages", "postings", "gone", "sources")
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        rows = self._read("sources")
+        if rows is not None and rows.where(F.col("schema") != SCHEMA).take(1):
+            self.clear()
 
     def _read(self, name: str) -> DataFrame | None:
         from pyspark.errors import AnalysisException
@@ -108,104 +145,152 @@ class Index:
         except AnalysisException:  # not written so far, or emptied
             return None
 
-    def _write(self, df: DataFrame, name: str, *by: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.path}/{name}")
+    def _append(self, df: DataFrame, name: str) -> None:
+        df.write.mode("append").partitionBy("source_name", "batch").parquet(f"{self.path}/{name}")
+
+    def _files(self):
+        sc = self.spark.sparkContext
+        root = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        return sc._jvm.org.apache.hadoop.fs.Path, root.getFileSystem(sc._jsc.hadoopConfiguration())
+
+    def _delete(self, part: str) -> None:
+        path, system = self._files()
+        for found in system.globStatus(path(f"{self.path}/{part}")) or []:
+            system.delete(found.getPath(), True)
+
+    def _batch(self) -> int:
+        """The last batch that counts; 0 before the first."""
+        rows = self._read("sources")
+        return (rows.agg(F.max("batch")).first()[0] or 0) if rows is not None else 0
+
+    def _valid(self, name: str) -> DataFrame | None:
+        rows = self._read(name)
+        return rows.where(F.col("batch") <= self._batch()) if rows is not None else None
 
     def messages(self) -> DataFrame | None:
-        return self._read("messages")
+        """All messages that are in the index now."""
+        rows, gone = self._valid("messages"), self._valid("gone")
+        if rows is None or gone is None:
+            return rows.drop("batch") if rows is not None else None
+        gone = gone.groupBy("id").agg(F.max("batch").alias("_gone"))
+        gone = F.broadcast(gone) if gone.count() <= SMALL else gone
+        return rows.join(gone, "id", "left").where("_gone is null or batch >= _gone").drop("_gone", "batch")
 
     def postings(self) -> DataFrame | None:
-        return self._read("postings")
+        """Postings of these messages, and of some that are gone."""
+        return self._valid("postings")
 
     def sources(self) -> DataFrame | None:
+        """The state of each source at its last update."""
         rows = self._read("sources")
-        return None if rows is None else rows.orderBy(F.lower("source_name"))
+        if rows is None:
+            return None
+        last = rows.groupBy("source_name").agg(F.max_by(F.struct("size", "mtime", "complete", "messages"), "batch").alias("s"))
+        return last.select("source_name", "s.*").orderBy(F.lower("source_name"))
+
+    def message(self, id: str) -> DataFrame:
+        return self.messages().where(F.col("id") == id)
 
     def is_current(self, source: str, size: int, mtime: float) -> bool:
-        rows = self._read("sources")
+        rows = self.sources()
         if rows is None:
             return False
         same = (F.col("source_name") == source) & F.col("complete") & (F.col("size") == size) & (F.abs(F.col("mtime") - mtime) < 1)
         return bool(rows.where(same).take(1))
 
-    def update(self, listing: DataFrame, fingerprints: DataFrame, force: bool = False, complete: bool = True) -> dict[str, int]:
-        """Bring the sources in the listing up to date; rows whose key is known are not read again.
+    def update(self, listing: DataFrame, fingerprints: DataFrame, force: bool = False, complete: bool = True, texts: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
+        """Bring the sources in the listing up to date; only messages whose key is unknown are read, indexed and written.
 
-        listing: source_name, nid, the listing's fields and the indexed texts. fingerprints: source_name, size, mtime.
+        listing: source_name, nid and the listing's fields, which give the keys. texts: the indexed texts (and whatever
+        else is stored) of the listing rows it is given, under the same source_name and nid; without it the listing
+        itself holds them. fingerprints: source_name, size, mtime.
         """
-        keyed = numbered(listing.withColumn("key0", message_key(listing.columns)))
-        keyed = keyed.withColumn("id", F.xxhash64("source_name", "key"))
-        old = self.messages()
-        if old is None:
-            old = keyed.limit(0)
-        # What these sources have had; written elsewhere first, as their partitions are overwritten.
+        batch = self._batch() + 1
+        for table in ("messages", "postings", "gone"):
+            self._delete(f"{table}/source_name=*/batch={batch}")  # of a run that broke off
+        keyed = numbered(listing.withColumn("key0", message_key(listing.columns))).drop("key0")
         names = fingerprints.select("source_name").distinct()
-        before = old.join(names, "source_name", "left_semi")
-        changes = plan_changes(keyed, before if not force else before.limit(0), complete=complete)
+        old = self.messages()
+        before = keyed.limit(0).select("source_name", "key", F.lit("").alias("id")) if old is None else old.join(names, "source_name", "left_semi").select("source_name", "key", "id")
+        before = before.persist()
+        narrow = keyed.select("source_name", "key").persist()
+        changes = plan_changes(narrow, before.limit(0) if force else before, complete=complete)
         totals = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
+        out = before if force else before.join(narrow, ["source_name", "key"], "left_anti") if complete else before.limit(0)
         if force:
             totals["removed"] = before.count()
-        new = keyed.join(before.select("source_name", "key"), ["source_name", "key"], "left_anti") if not force else keyed
-        kept = before if not complete else before.join(keyed.select("source_name", "key"), ["source_name", "key"], "left_semi")
-        result = new if force else kept.unionByName(new, allowMissingColumns=True)
-        staged = f"{self.path}/staged"
-        result.write.mode("overwrite").partitionBy("source_name").parquet(staged)
-        staged_rows = self.spark.read.parquet(staged)
-        self._drop(names, "messages", staged_rows)
-        self._write(staged_rows, "messages", "source_name")
-        sent = postings(staged_rows).join(staged_rows.select("id", "source_name"), "id")
-        self._drop(names, "postings", staged_rows)
-        self._write(sent.repartition("source_name", "bucket").sortWithinPartitions("token"), "postings", "source_name", "bucket")
-        counts = staged_rows.groupBy("source_name").agg(F.count("*").alias("messages"))
-        done = fingerprints.join(counts, "source_name", "left").select("source_name", "size", "mtime", F.lit(complete).alias("complete"), F.coalesce("messages", F.lit(0)).alias("messages"))
-        self._write(done, "sources", "source_name")
+        if totals.get("removed"):
+            self._append(out.select("source_name", "id", F.lit(batch).alias("batch")), "gone")
+        if totals.get("added"):
+            new = keyed if force else keyed.join(before.select("source_name", "key"), ["source_name", "key"], "left_anti")
+            new = new.withColumn("id", F.md5(F.concat_ws("\x00", "source_name", "key")))
+            if texts is not None:
+                new = new.select("source_name", "nid", "key", "id", *[c for c in ("path", "offset", "size", "kind", "flag_read", "folder") if c in new.columns])
+                new = texts(new).join(new.select("source_name", "nid", "key", "id"), ["source_name", "nid"])
+            self._append(new.withColumn("length", length(new)).withColumn("batch", F.lit(batch)), "messages")
+            stored = self._read("messages").where(F.col("batch") == batch)
+            sent = postings(stored).join(stored.select("id", "source_name"), "id").withColumn("batch", F.lit(batch))
+            self._append(sent.repartitionByRange("source_name", "token", "id").sortWithinPartitions("source_name", "token", "id"), "postings")
+        counts = self._counts(batch).join(names, "source_name", "left_semi")
+        done = fingerprints.join(counts, "source_name", "left").select("source_name", "size", F.col("mtime").cast("double").alias("mtime"), F.lit(complete).alias("complete"), F.coalesce("messages", F.lit(0)).cast("long").alias("messages"), F.lit(SCHEMA).alias("schema"), F.lit(batch).alias("batch"))
+        self._append(done.coalesce(1), "sources")
+        before.unpersist()
+        narrow.unpersist()
         return {k: totals.get(k, 0) for k in ("added", "kept", "removed")}
 
-    def _drop(self, names: DataFrame, table: str, still: DataFrame) -> None:
-        """Delete partitions of sources that have no row any more; dynamic overwrite leaves those alone."""
-        for r in names.join(still.select("source_name"), "source_name", "left_anti").collect():  # mailboxes, not messages
-            self._delete(f"{table}/source_name={r['source_name']}")
-
-    def _delete(self, part: str) -> None:
-        sc = self.spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    def _counts(self, batch: int) -> DataFrame:
+        """Messages of each source once this batch counts."""
+        rows, gone = self._read("messages"), self._read("gone")
+        if rows is None:
+            return self.spark.createDataFrame([], "source_name string, messages long")
+        if gone is not None:
+            gone = gone.groupBy("id").agg(F.max("batch").alias("_gone"))
+            rows = rows.select("source_name", "id", "batch").join(gone, "id", "left").where("_gone is null or batch >= _gone")
+        return rows.groupBy(F.col("source_name").cast("string").alias("source_name")).agg(F.count("*").alias("messages"))
 
     def remove(self, source: str) -> int:
         rows = self.messages()
         n = 0 if rows is None else rows.where(F.col("source_name") == source).count()
-        for table in ("messages", "postings", "sources"):
+        for table in reversed(self.TABLES):
             self._delete(f"{table}/source_name={source}")
         return n
 
     def prune(self, present: DataFrame) -> list[str]:
         """Remove sources that are not among those present; their names."""
         rows = self._read("sources")
-        gone = [] if rows is None else [r["source_name"] for r in rows.join(present, "source_name", "left_anti").collect()]
+        gone = [] if rows is None else [r["source_name"] for r in rows.select("source_name").distinct().join(present, "source_name", "left_anti").collect()]
         for name in gone:
             self.remove(name)
         return gone
 
     def clear(self) -> None:
-        for table in ("messages", "postings", "sources", "staged"):
+        for table in reversed(self.TABLES):
             self._delete(table)
 
     def search(self, query: str, live: bool = False) -> DataFrame:
         return search(self.postings(), self.messages(), query, live)
 
+    def ranked(self, query: str, live: bool = False, limit: int = 500, offset: int = 0) -> DataFrame:
+        return ranked(self.postings(), self.messages(), query, live, limit, offset)
+
     def resolve(self, hits: DataFrame, listing: DataFrame) -> DataFrame:
         """The listing rows of hits as they are now, by source and key; hits whose message is gone are left out."""
         keyed = numbered(listing.withColumn("key0", message_key(listing.columns))).drop("key0")
         return keyed.join(hits.select("source_name", "key"), ["source_name", "key"], "left_semi")
 
     def optimize(self) -> None:
-        """Rewrite the postings with one file a source and bucket, sorted by token."""
+        """Rewrite the postings of the messages that are there in the order of tokens, as of the last batch."""
         rows = self.postings()
-        if rows is not None:
-            staged = f"{self.path}/staged-postings"
-            rows.repartition("source_name", "bucket").sortWithinPartitions("source_name", "bucket", "token").write.mode("overwrite").partitionBy("source_name", "bucket").parquet(staged)
-            self._write(self.spark.read.parquet(staged), "postings", "source_name", "bucket")
-            self._delete("staged-postings")
+        if rows is None:
+            return
+        staged, batch = f"{self.path}/staged-postings", self._batch()
+        kept = rows.join(self.messages().select("id"), "id", "left_semi").withColumn("batch", F.lit(batch))
+        kept.repartitionByRange("source_name", "token", "id").sortWithinPartitions("source_name", "token", "id").write.mode("overwrite").partitionBy("source_name", "batch").parquet(staged)
+        path, system = self._files()
+        # The old table steps aside before the new one takes its name; neither step leaves half a table.
+        system.rename(path(f"{self.path}/postings"), path(f"{self.path}/postings-old"))
+        system.rename(path(staged), path(f"{self.path}/postings"))
+        self._delete("postings-old")
 
     def statistics(self) -> DataFrame:
         rows = self.messages()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,7 @@ from .views import ATTACHMENTS, DOCS, LISTING, NORMS, attachments, docs, listing
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
+_indexes: dict[tuple[str, str], index.Index] = {}
 
 
 def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -240,8 +244,12 @@ def union_sources(spark, d):
 @_add("thread_view", "SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id")
 def thread_view(spark, d):
     turns = table(spark, d, "conversations")
+    # Turns are gathered by blocks first, so that a conversation of very many turns is a list of blocks.
     roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">")
-    return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), roles.alias("roles"), F.sum(F.length("text")).alias("chars"), F.min_by("text", "turn").alias("first_text"))
+    first = F.min_by(F.struct("turn", "text"), "turn").alias("first")
+    parts = turns.groupBy("conv_id", F.floor(F.col("turn") / 1024).alias("block")).agg(F.count("*").alias("n"), roles.alias("roles"), F.sum(F.length("text")).alias("chars"), first)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "roles"))), lambda x: x["roles"]), ">")
+    return parts.groupBy("conv_id").agg(F.sum("n").alias("turns"), joined.alias("roles"), F.sum("chars").alias("chars"), F.min_by("first.text", "block").alias("first_text"))
 
 
 # Tokens and search
@@ -298,14 +306,33 @@ def _tf(words: tuple[str, ...]) -> str:
     return f"(10.0 * {at.format('ns')} + 3.0 * {at.format('ne')} + 1.0 * {at.format('nb')})"
 
 
-def _bm25(*terms: tuple[str, ...]) -> str:
+def _bm25(*terms: tuple[str, ...], limit: int = 20, last: str = "") -> str:
     hit = lambda t: ANY.format(" " + " ".join(t) + " ")
     df = ", ".join(f"count(*) FILTER ({hit(t)}) AS d{i}" for i, t in enumerate(terms))
     idf = lambda i: f"CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d{i} + 0.5) / (d{i} + 0.5)) END"
     score = " - ".join(["0.0"] + [f"({idf(i)}) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * len / mean))" for i in range(len(terms))])
     return f"""WITH {NORMS}, counted AS (SELECT *, {LENGTH} AS len FROM norms), total AS (SELECT count(*) AS n, avg(len) AS mean, {df} FROM counted),
-hits AS (SELECT *, {', '.join(f'{_tf(t)} AS t{i}' for i, t in enumerate(terms))} FROM counted WHERE {' AND '.join(hit(t) for t in terms)})
-SELECT {H}, round({score}, 6) AS score FROM hits, total ORDER BY {score}, id LIMIT 20"""
+hits AS (SELECT *, {', '.join(f'{_tf(t)} AS t{i}' for i, t in enumerate(terms))} FROM counted WHERE {' AND '.join(hit(t) for t in terms)}),
+best AS (SELECT *, {score} AS raw FROM hits, total ORDER BY raw, id LIMIT {limit}){last or f" SELECT {H}, round(raw, 6) AS score FROM best"}"""
+
+
+def _snippets(words: tuple[str, ...]) -> str:
+    """CTEs behind `best` that end with `shown`: matched_in and snippet of each row, for one word or phrase."""
+    needle, k = " " + " ".join(words) + " ", len(words)
+    found = f"CASE WHEN contains(nb, '{needle}') THEN 'body' WHEN contains(ns, '{needle}') THEN 'subject' ELSE 'sender' END"
+    plain = r"trim(regexp_replace(strip_accents(lower(w)), '[^\p{L}\p{N}\p{Co}]+', ' ', 'g'))"
+    holds = lambda a, b: f"contains(' ' || array_to_string(tokens[{a}:{b}], ' ') || ' ', '{needle}')"
+    length = "CASE " + " ".join(f"WHEN {holds('i', f'i + {m - 1}')} THEN {m}" for m in range(1, k + 1)) + " END"
+    begins = holds("i", f"i + {k - 1}") + (f" AND NOT {holds('i + 1', f'i + {k - 1}')}" if k > 1 else "")
+    reach = lambda i, past: f"len(list_filter(range(greatest({i} - {k} + 1, 1), {i} + 1), lambda j: j + spans[j] > {i} + {past})) > 0"
+    return f""", cut AS (SELECT *, {found} AS matched_in, CASE {found} WHEN 'body' THEN 24 ELSE 12 END AS size_, list_filter(string_split_regex(CASE {found} WHEN 'body' THEN body WHEN 'subject' THEN subject ELSE sender END, '\\s+'), lambda w: {plain} <> '') AS words FROM best),
+parted AS (SELECT *, list_transform(words, lambda w: {plain}) AS tokens FROM cut),
+spanned AS (SELECT *, list_transform(range(1, len(tokens) + 1), lambda i: CASE WHEN {begins} THEN {length} ELSE 0 END) AS spans FROM parted),
+placed AS (SELECT *, coalesce(list_position(list_transform(spans, lambda s: s > 0), true), 0) AS first, len(words) AS n_ FROM spanned),
+begun AS (SELECT *, greatest(1, least(first - size_ // 2, n_ - size_ + 1)) AS start FROM placed),
+shown AS (SELECT *, CASE WHEN first > 0 THEN CASE WHEN start > 1 THEN '…' ELSE '' END || array_to_string(list_transform(range(start, least(start + size_ - 1, n_) + 1), lambda i:
+CASE WHEN spans[i] > 0 AND (i = 1 OR NOT {reach('(i - 1)', 1)}) THEN '[' ELSE '' END || words[i] || CASE WHEN {reach('i', 0)} AND NOT {reach('i', 1)} THEN ']' ELSE '' END), ' ')
+|| CASE WHEN start + size_ <= n_ THEN '…' ELSE '' END ELSE '' END AS snippet FROM begun)"""
 
 
 @_add("search_bm25_topk", _bm25(("licensed",), ("public",)))
@@ -329,22 +356,58 @@ def search_where(spark, d):
     return search.with_snippets(hits, "the des").select("id", "matched_in")
 
 
-@_add("search_snippet")
+@_add("search_snippet", _bm25(("worthless",), limit=50, last=_snippets(("worthless",)) + " SELECT id, matched_in, snippet FROM shown"))
 def search_snippet(spark, d):
     hits = search.ranked(docs(spark, d), "worthless", limit=50)
     return search.with_snippets(hits, "worthless").select("id", "matched_in", "snippet")
 
 
+@_add("search_snippet_phrase", _bm25(("of", "the"), limit=200, last=_snippets(("of", "the")) + " SELECT id, matched_in, snippet FROM shown"))
+def search_snippet_phrase(spark, d):
+    hits = search.ranked(docs(spark, d), '"of the"', limit=200)
+    return search.with_snippets(hits, '"of the"').select("id", "matched_in", "snippet")
+
+
 @_add("postings_size", f"WITH {TOKENS} SELECT token, count(DISTINCT id) AS docs, count(*) AS positions FROM tok WHERE token <> '' GROUP BY token")
 def postings_size(spark, d):
     table = index.postings(docs(spark, d).select("id", "body"))
     return table.groupBy("token").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("positions"))
 
 
+def _stored(spark, d) -> index.Index:
+    """An index of the documents, built once for an application and a folder of tables."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.realpath(tempfile.mkdtemp())
+        found = index.Index(spark, f"{shared.rstrip('/')}/mail-index-{uuid.uuid4().hex}")
+        rows = docs(spark, d).withColumns({"nid": F.col("id"), "date": F.lit(None).cast("timestamp"), "att_count": F.lit(0).cast("long"), "doc": F.col("id")}).drop("id")
+        found.update(rows, stats.fingerprints(rows).select("source_name", "size", F.lit(0.0).alias("mtime")))
+        _indexes[key] = found
+    return _indexes[key]
+
+
 @_add("index_search", f"WITH {NORMS} SELECT {H} FROM norms WHERE {ANY.format(' licensed under the ')} AND {ANY.format(' publ')} AND NOT {ANY.format(' moron ')} AND contains(lower(folder), 'en')")
 def index_search(spark, d):
-    rows = docs(spark, d)
-    return index.search(index.postings(rows), rows, '"licensed under the" -moron in:en publ', live=True).select(*HIT)
+    return _stored(spark, d).search('"licensed under the" -moron in:en publ', live=True).select(F.col("doc").alias("id"), *HIT[1:])
+
+
+@_add("index_ranked", _bm25(("licensed",), ("public",)))
+def index_ranked(spark, d):
+    idx = _stored(spark, d)
+    found = index.ranked(idx.postings(), idx.messages(), "licensed public", limit=20, order="doc")
+    return found.select(F.col("doc").alias("id"), *HIT[1:], F.round("score", 6).alias("score"))
+
+
+@_add("index_update", f"WITH {DOCS} SELECT 'added' AS change, count(*) AS n FROM docs WHERE id % 10 = 3 AND source_name IS NOT NULL UNION ALL SELECT 'kept', count(*) FROM docs WHERE id % 10 > 3 UNION ALL SELECT 'removed', count(*) FROM docs WHERE id % 10 < 3")
+def index_update(spark, d):
+    """A second run over sources that have lost some messages and got others."""
+    rows = docs(spark, d).withColumns({"nid": F.col("id"), "date": F.lit(None).cast("timestamp"), "to": F.col("id").cast("string")}).drop("id")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.realpath(tempfile.mkdtemp())
+    idx = index.Index(spark, f"{shared.rstrip('/')}/mail-index-{uuid.uuid4().hex}")
+    prints = stats.fingerprints(rows).select("source_name", "size", F.lit(0.0).alias("mtime"))
+    idx.update(rows.where("nid % 10 != 3"), prints)
+    totals = idx.update(rows.where("nid % 10 >= 3"), prints)
+    return spark.createDataFrame(list(totals.items()), "change string, n long")
 
 
 # Text functions
@@ -530,7 +593,7 @@ def inline_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.contains("html", F.col("url")).alias("linked"))
 
 
-@_add("hits_json")
+@_add("hits_json", _bm25(("licensed",), limit=100, last=_snippets(("licensed",)) + """ SELECT CAST(json_object('subject', subject, 'from', sender, 'from_email', '', 'to', '', 'date', '', 'folder', folder, 'mailbox', source_name, 'attachments', '', 'matched_in', matched_in, 'snippet', snippet, 'size', CAST(size AS VARCHAR)) AS VARCHAR) AS json FROM shown"""))
 def hits_json(spark, d):
     from ..sinks.messages import hits_json as as_json
 

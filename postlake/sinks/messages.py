@@ -6,9 +6,10 @@ that `write_files` puts at its place from inside the tasks through the file syst
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import ordinal
 from ..functions.text import first_of, human_size, sanitize
 
 
@@ -22,10 +23,9 @@ def output_paths(rows: DataFrame, ext: str, order: str = "nid") -> DataFrame:
     """`path` of each message under its folder; later ones of the same name (whatever its case) get (2), (3) ..."""
     folder = F.array_join(F.transform(F.split("folder", "/"), lambda p: sanitize(p)), "/")
     named = rows.withColumn("_base", F.concat(folder, F.lit("/"), base_name(rows.columns)))
-    n = F.row_number().over(Window.partitionBy(F.lower("_base")).orderBy(order))
-    named = named.withColumn("_n", n)
+    named = ordinal(named.withColumn("_low", F.lower("_base")), ["_low"], order, "_n").withColumn("_n", F.col("_n") + 1)
     number = F.when(F.col("_n") > 1, F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise("")
-    return named.withColumn("path", F.concat("_base", number, F.lit("." + ext))).drop("_base", "_n")
+    return named.withColumn("path", F.concat("_base", number, F.lit("." + ext))).drop("_base", "_low", "_n")
 
 
 def header_block(columns: list[str]) -> Column:
@@ -59,16 +59,21 @@ def as_eml(rows: DataFrame) -> DataFrame:
 
 
 def as_mbox(rows: DataFrame) -> DataFrame:
-    """One entry of an mbox: separator and content with quoted From lines; the writer ends it with an empty line."""
-    text = F.make_valid_utf8(F.col("content").cast("string"))
+    """One entry of an mbox: separator and content with quoted From lines; the writer ends it with an empty line.
+
+    Bytes stay what they are: they are taken as characters one by one while lines are quoted, and the string that comes
+    out holds them again, whatever their charset.
+    """
+    text = F.regexp_replace(F.decode(F.col("content").cast("binary"), "ISO-8859-1"), "\r\n", "\n")
     stamp = F.coalesce(F.date_format("date", "EEE MMM dd HH:mm:ss yyyy"), F.lit("Thu Jan 01 00:00:00 1970"))
-    return rows.withColumn("content", F.concat(F.lit("From - "), stamp, F.lit("\n"), F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "(?m)^(>*From )", ">$1"), F.lit("\n")))
+    entry = F.concat(F.lit("From - "), stamp, F.lit("\n"), F.regexp_replace(text, "(?m)^(>*From )", ">$1"), F.lit("\n"))
+    return rows.withColumn("content", F.encode(entry, "ISO-8859-1").cast("string"))
 
 
 def write_mbox(rows: DataFrame, path: str) -> None:
-    """A directory for each folder with its mbox parts, in listing order within a part."""
+    """A directory for each folder with its mbox parts, in listing order; a large folder is several ranges of it."""
     out = as_mbox(as_eml(rows)).select("folder", "nid", "content")
-    out.repartition("folder").sortWithinPartitions("folder", "nid").select("folder", "content").write.partitionBy("folder").text(path)
+    out.repartitionByRange("folder", "nid").sortWithinPartitions("folder", "nid").select("folder", "content").write.partitionBy("folder").text(path)
 
 
 def write_files(rows: DataFrame, root: str) -> DataFrame:

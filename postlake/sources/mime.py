@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import email
 import re
+from collections.abc import Callable
 from email.header import decode_header, make_header
 from email.utils import getaddresses, parsedate_to_datetime
 
@@ -23,7 +24,7 @@ RECIPIENT = "struct<kind:string,name:string,email:string>"
 ATTACHMENT = "struct<filename:string,mime:string,cid:string,hidden:boolean,is_inline:boolean,is_embedded:boolean,size:bigint,data:binary>"
 PARSED = (
     "subject string, sender_name string, sender_email string, recipients array<" + RECIPIENT + ">, date timestamp, message_id string, in_reply_to string, refs string, "
-    "status string, mozilla_status string, priority string, plain string, html string, attachments array<" + ATTACHMENT + ">, error string"
+    "status string, mozilla_status string, priority string, content_type string, plain string, html string, attachments array<" + ATTACHMENT + ">, error string"
 )
 #: Charset names that Python doesn't know.
 CHARSETS = {"unicode-1-1-utf-7": "utf-7", "x-unknown": "utf-8", "unknown-8bit": "utf-8", "ansi_x3.110-1983": "latin-1", "cp-850": "cp850"}
@@ -87,7 +88,7 @@ def parse(raw: bytes) -> dict:
         "subject": header(m, "Subject"), "sender_name": name, "sender_email": addr, "recipients": [dict(zip(("kind", "name", "email"), p, strict=True)) for p in people],
         "date": when(m, "Date", "Delivery-Date", "X-Original-Date", "Resent-Date", "Received"), "message_id": header(m, "Message-ID"), "in_reply_to": header(m, "In-Reply-To"),
         "refs": header(m, "References"), "status": header(m, "Status"), "mozilla_status": header(m, "X-Mozilla-Status"), "priority": header(m, "Importance") or header(m, "X-Priority"),
-        "plain": "\n\n".join(plain), "html": page, "attachments": atts, "error": None,
+        "content_type": header(m, "Content-Type"), "plain": "\n\n".join(plain), "html": page, "attachments": atts, "error": None,
     }
 
 
@@ -118,45 +119,74 @@ def _read_flag() -> Column:
     return F.coalesce(F.col("flag_read"), F.when(F.col("status") != "", F.contains("status", F.lit("R"))), F.when(F.col("mozilla_status") != "", moz.bitwiseAND(1) != 0), F.lit(True))
 
 
-def messages(raw: DataFrame) -> DataFrame:
-    """Listing fields, bodies, recipients and attachments of raw messages.
-
-    raw has source_name, folder, nid, kind, raw, and flag_read (null if the container doesn't say).
-    """
+def _parsed(raw: DataFrame, part: Callable[[bytes], bytes] = lambda data: data) -> DataFrame:
+    """Raw messages with the fields of PARSED; part: what of a message is parsed."""
     keep = ["source_name", "folder", "nid", "kind", "raw", "flag_read"]
-    fields = raw.select(*keep).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", " + PARSED
-    empty = dict.fromkeys((f.split(" ")[0] for f in re.sub(r"<.*?>>?", "", PARSED).split(", ")), None)
-
+    raw = raw.withColumns({c: F.lit(None).cast(t) for c, t in (("size", "long"), ("error", "string")) if c not in raw.columns})
+    raw = raw.select(*keep, F.col("size").alias("_size"), F.col("error").alias("_error"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in raw.schema) + ", " + PARSED
     parsed = to_arrow_schema(StructType.fromDDL(PARSED))
+    empty, columns = dict.fromkeys(parsed.names), raw.columns
 
     def run(batches):
         for batch in batches:
             rows = []
-            for kind, data in zip(batch["kind"].to_pylist(), batch["raw"].to_pylist(), strict=True):
+            for kind, data, error in zip(batch["kind"].to_pylist(), batch["raw"].to_pylist(), batch["_error"].to_pylist(), strict=True):
                 try:
-                    rows.append(parse(emlx_payload(data) if kind == "emlx" else data))
+                    rows.append(empty | {"subject": f"(unreadable: {error})", "error": error} if error or data is None else parse(part(emlx_payload(data) if kind == "emlx" else data)))
                 except Exception as e:  # whatever a broken message brings about
-                    rows.append(empty | {"subject": "(unreadable)", "error": f"{type(e).__name__}: {e}"[:300]})
+                    reason = f"{type(e).__name__}: {e}"[:300]
+                    rows.append(empty | {"subject": f"(unreadable: {reason})", "error": reason})
             arrays = [pa.array([r[f.name] for r in rows], f.type) for f in parsed]
-            yield pa.RecordBatch.from_arrays([batch[c] for c in keep] + arrays, names=keep + parsed.names)
+            yield pa.RecordBatch.from_arrays([batch[c] for c in columns] + arrays, names=columns + parsed.names)
+
+    return raw.mapInArrow(run, schema)
 
-    m = raw.select(*keep).mapInArrow(run, schema)
+
+def _listed(m: DataFrame) -> dict[str, Column]:
+    """The listing's fields of parsed messages."""
     address = F.col("sender_email")
     name = F.when((F.col("sender_name") == "") | (F.lower("sender_name") == F.lower(address)), address).otherwise(F.concat("sender_name", F.lit(" <"), address, F.lit(">")))
     deleted = F.coalesce(F.conv("mozilla_status", 16, 10).cast("long").bitwiseAND(8) != 0, F.lit(False))
     shown = F.transform(F.filter("recipients", lambda r: r["kind"] == "To"), lambda r: first_of(r["name"], r["email"]))
     level = F.lower("priority")
+    return {
+        "subject": F.concat(F.when(deleted, "(deleted) ").otherwise(""), F.coalesce("subject", F.lit(""))), "sender": F.coalesce(name, F.lit("")), "sender_email": F.coalesce(address, F.lit("")),
+        "to": F.coalesce(F.array_join(shown, "; "), F.lit("")), "recipients": recipients_text(), "date": F.col("date"), "size": F.coalesce("_size", F.octet_length("raw"), F.lit(0)).cast("long"), "is_read": _read_flag(),
+        "importance": F.when(level.rlike("^(high|1|2)"), 2).when(level.rlike("^(low|4|5)"), 0).otherwise(1), "message_class": F.lit("IPM.Note"),
+    }
+
+
+def messages(raw: DataFrame) -> DataFrame:
+    """Listing fields, bodies, recipients and attachments of raw messages.
+
+    raw has source_name, folder, nid, kind, raw, flag_read (null if the container doesn't say), and may have size and error.
+    """
+    m = _parsed(raw)
     return m.select(
-        "source_name", "folder", "nid", F.concat(F.when(deleted, "(deleted) ").otherwise(""), F.coalesce("subject", F.lit(""))).alias("subject"), F.coalesce(name, F.lit("")).alias("sender"), F.coalesce(address, F.lit("")).alias("sender_email"),
-        F.coalesce(F.array_join(shown, "; "), F.lit("")).alias("to"), recipients_text().alias("recipients"), "date", F.octet_length("raw").cast("long").alias("size"), _read_flag().alias("is_read"),
-        F.when(level.rlike("^(high|1|2)"), 2).when(level.rlike("^(low|4|5)"), 0).otherwise(1).alias("importance"), F.lit("IPM.Note").alias("message_class"),
+        "source_name", "folder", "nid", *[c.alias(k) for k, c in _listed(m).items()],
         F.coalesce(F.exists("attachments", lambda a: ~a["hidden"]), F.lit(False)).alias("has_attachments"), F.coalesce(F.size("attachments"), F.lit(0)).cast("long").alias("att_count"),
         F.coalesce(F.array_join(F.filter(F.transform("attachments", lambda a: a["filename"]), lambda n: n != ""), " "), F.lit("")).alias("att_names"),
         "message_id", "in_reply_to", "refs", body_text(F.when(F.trim("plain") != "", F.col("plain")).otherwise(html_to_text(F.col("html")))).alias("body"), "html", "attachments", "raw", "error",
     )
 
 
+def header_block_of(data: bytes) -> bytes:
+    end = re.search(rb"\r?\n\r?\n", data)
+    return data[: end.end()] if end else data
+
+
+def heads(raw: DataFrame) -> DataFrame:
+    """The listing's fields of raw messages from their header blocks alone, which is all that raw need hold (then with size).
+
+    Whether there are attachments is guessed from the content type of the whole.
+    """
+    m = _parsed(raw, header_block_of)
+    kind = F.lower("content_type")
+    inside = kind.rlike("multipart/(mixed|related)|application/") | (F.contains(kind, F.lit("name=")) & ~F.contains(kind, F.lit("multipart/alternative")))
+    return m.select("source_name", "folder", "nid", *[c.alias(k) for k, c in _listed(m).items()], F.coalesce(inside, F.lit(False)).alias("has_attachments"), "message_id", "in_reply_to", "refs", "error")
+
+
 def recipients_text() -> Column:
     """`name <address>; ...`, or the one there is."""
     both = lambda r: F.when((r["name"] != "") & (r["email"] != "") & (F.lower(r["name"]) != F.lower(r["email"])), F.concat(r["name"], F.lit(" <"), r["email"], F.lit(">"))).otherwise(first_of(r["name"], r["email"]))

@@ -67,6 +67,36 @@ def test_place_and_snippet(texts):
     assert r["matched_in"] == "attachment" and "[giraffe]" in r["snippet"] and r["att_count"] == 3
 
 
+@pytest.mark.parametrize(("query", "want"), [
+    ("quick", "The [quick] kangaroo jumps."), ('"quick kangaroo"', "The [quick kangaroo] jumps."), ('"the quick" "quick kangaroo"', "[The quick kangaroo] jumps."), ("jumps quick", "The [quick] kangaroo [jumps.]"),
+])
+def test_snippets_mark_matches(texts, query, want):
+    assert search.with_snippets(search.find(texts, query), query).first()["snippet"] == want
+
+
+def test_snippet_of_words_with_several_tokens(spark):
+    df = spark.createDataFrame([(1, " ".join([*["x"] * 40, "a|b-c", "-", "d", *["y"] * 40]))], "id long, body string")
+    assert search.with_snippets(df, '"b c d"').first()["snippet"] == "…" + "x " * 12 + "[a|b-c d] " + "y " * 9 + "y…"
+    assert search.with_snippets(df, "zz").first()["snippet"] == "" and search.with_snippets(df.withColumn("body", F.lit("")), "d").first()["snippet"] == ""
+
+
+@pytest.mark.parametrize("query", ["message", '"message body"', "carol files", "from:carol -zebra", "body message in:sent", "-carol"])
+def test_ranking_over_postings_equals_that_over_texts(texts, query):
+    rows = texts.withColumn("length", index.length(texts))
+    got = index.ranked(index.postings(texts), rows, query).select("id", "score").collect()
+    want = search.ranked(texts, query).select("id", "score").collect()
+    assert [r["id"] for r in got] == [r["id"] for r in want] and [r["score"] for r in got] == pytest.approx([r["score"] for r in want])
+
+
+def test_ordinals_across_ranges(spark):
+    from postlake.functions.order import ordinal
+
+    rows = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(0, 900, 2)], "nid long, k string")
+    found = {(r["k"], r["nid"]): r["n"] for r in ordinal(rows, ["k"], "nid", "n", span=64).collect()}
+    for k in "ab":
+        assert [found[k, i] for i in sorted(i for x, i in found if x == k)] == list(range(sum(x == k for x, _ in found)))
+
+
 def test_parser_is_total():
     for text in ["", '"', "!", "-", "in:", "after:x", "before:9999", "foo:bar", "has:foo", "(a OR b)", "from:", '!"a b']:
         search.parse(text)
@@ -99,3 +129,30 @@ def test_incremental(spark, texts, tmp_path):
     assert idx.remove("other.mbox") == 2
     assert idx.prune(spark.createDataFrame([("rich.pst",)], "source_name string")) == []
     assert [r["source_name"] for r in idx.sources().collect()] == ["rich.pst"]
+    assert idx.message(idx.messages().first()["id"]).count() == 1
+    idx.update(rows, prints(rows), force=True)
+    assert idx.messages().count() == 4 and idx.search("kangaroo").count() == 1
+
+
+def test_updates_read_new_messages_only_and_survive_a_broken_one(spark, texts, tmp_path):
+    idx = index.Index(spark, f"file://{tmp_path}/idx")
+    rows = texts.withColumn("nid", F.col("id")).withColumn("size", F.lit(10)).drop("id")
+    listing = rows.drop("body", "attachments")
+    prints = rows.groupBy("source_name").agg(F.lit(1).cast("long").alias("size"), F.lit(2.0).alias("mtime"))
+    asked = []
+
+    def whole(new):
+        asked.append(sorted(r["nid"] for r in new.select("nid").collect()))
+        return rows.join(new.select("nid"), "nid", "left_semi")
+
+    idx.update(listing.where("nid < 3"), prints, texts=whole)
+    assert idx.update(listing, prints, texts=whole) == {"added": 2, "kept": 2, "removed": 0}
+    assert asked == [[1, 2], [3, 4]] and idx.search("kangaroo").count() == 1
+    # A run that breaks off before its last write leaves files that neither count nor stay.
+    left = spark.read.parquet(f"file://{tmp_path}/idx/messages").limit(1).withColumn("id", F.lit("left")).withColumn("batch", F.lit(3))
+    left.write.mode("append").partitionBy("source_name", "batch").parquet(f"file://{tmp_path}/idx/messages")
+    assert index.Index(spark, f"file://{tmp_path}/idx").messages().count() == 4
+    idx.update(listing, prints, texts=whole)
+    assert idx.messages().count() == 4 and not list(tmp_path.glob("idx/messages/*/batch=3"))
+    spark.read.parquet(f"file://{tmp_path}/idx/sources").withColumn("schema", F.lit(1)).limit(1).coalesce(1).write.mode("append").partitionBy("source_name", "batch").parquet(f"file://{tmp_path}/idx/sources")
+    assert index.Index(spark, f"file://{tmp_path}/idx").messages() is None  # of another form: built anew

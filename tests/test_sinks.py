@@ -45,6 +45,14 @@ def test_mbox_reads_back(spark, rows, tmp_path):
     assert sorted(r["body"] for r in back) == ["", "first\nFrom here", "second"]
 
 
+def test_mbox_keeps_bytes_of_any_charset(spark, tmp_path):
+    raw = b"Subject: caf\xe9\nContent-Type: text/plain; charset=latin-1\n\n\xe9t\xe9 \x80\xff\n>From x\nFrom y\n"
+    df = spark.createDataFrame([(1, "s", "f", dt.datetime(2024, 1, 1), bytearray(raw), "b", "a", "x")], "nid long, source_name string, folder string, date timestamp, raw binary, body string, sender string, subject string")
+    sink.write_mbox(df, f"file://{tmp_path}/box")
+    data = next(tmp_path.glob("box/folder=f/*.txt")).read_bytes()
+    assert data == b"From - Mon Jan 01 00:00:00 2024\n" + raw.replace(b">From x", b">>From x").replace(b"\nFrom y", b"\n>From y") + b"\n\n"
+
+
 def test_text_and_html(rows):
     text = sink.as_text(rows).orderBy("nid").first()["content"]
     assert text.startswith("From: Zoë <z@example.com>\nTo: Bob\nDate: 2024-03-05 09:30:15\nSubject: Prüfung <1>\n\nfirst")

@@ -72,21 +72,96 @@ def test_extract(spark, name, data, want):
     assert df.select(extract.attachment_text(F.col("d"), F.col("n"))).first()[0].strip() == want
 
 
+def separated(parts: list[bytes]) -> bytes:
+    return b"".join(b"From - Tue Mar 05 09:30:15 2024\n" + p + b"\n" for p in parts)
+
+
 @pytest.mark.parametrize("size", [1 << 28, 700, 97])
 def test_mbox_ranges(spark, tmp_path, size):
     box = tmp_path / "Archive.mbox"
     parts = [message(i).replace(b"\nFrom ", b"\n>From ") for i in range(1, 41)]
-    box.write_bytes(b"".join(b"From - Tue Mar 05 09:30:15 2024\n" + p + b"\n" for p in parts))
+    box.write_bytes(separated(parts))
+    reader = mbox.MboxReader({"path": f"file://{box}", "splitbytes": str(size)})  # as Spark hands options on
+    assert len(reader.partitions()) == -(-box.stat().st_size // size)
     rows = mbox.read_mbox(spark, f"file://{box}", size).orderBy("offset").collect()
     assert [bytes(r["raw"]) for r in rows] == parts
-    assert {r["folder"] for r in rows} == {"Archive"}
-
-
-def test_mbox_content_length(tmp_path):
-    body = b"quoted:\n\nFrom nobody\nend\n"
-    data = b"From a\nSubject: x\nContent-Length: " + str(len(body)).encode() + b"\n\n" + body + b"\nFrom b\nSubject: y\n\nz\n"
-    found = list(mbox.split(io.BytesIO(data), 0, len(data)))
-    assert len(found) == 2 and found[0][1].endswith(b"end\n") and found[1][1] == b"Subject: y\n\nz\n"
+    assert {r["folder"] for r in rows} == {"Archive"} and [r["nid"] for r in rows] == [r["offset"] for r in rows]
+    assert mbox.read_mbox(spark, f"file://{box}", size).rdd.getNumPartitions() == -(-box.stat().st_size // size)
+
+
+def with_length(body: bytes, stated: int | None = None) -> bytes:
+    return b"Subject: x\nContent-Length: %d\n\n" % (len(body) if stated is None else stated) + body
+
+
+def test_mbox_content_length_is_the_same_at_every_split(spark, tmp_path):
+    """Stated lengths over separators, wrong ones, ones that land inside another message, a whole mbox in a body."""
+    quoted = b"quoted:\n\nFrom nobody\nSubject: inner\n\nend\n"
+    inner = separated([with_length(b"deep\n\nFrom x\n\ny\n"), b"Subject: z\n\nz\n"])
+    long = b"l\n" * 300 + b"\nFrom far\n\n" + b"m\n" * 300
+    parts = [with_length(quoted), with_length(b"a\n", 5), with_length(inner), b"Subject: y\n\nz\n", with_length(long), with_length(b""), with_length(b"no end\n", 9999), with_length(b"\nFrom\n"), b"Subject: last\n\nbody\n"]
+    box = tmp_path / "Sent.mbox"
+    box.write_bytes(separated(parts))
+    want = [bytes(r["raw"]) for r in mbox.read_mbox(spark, f"file://{box}").orderBy("offset").collect()]
+    assert want == parts
+    for size in (50, 131, 400, 1000):
+        rows = mbox.read_mbox(spark, f"file://{box}", size).orderBy("offset").collect()
+        assert [bytes(r["raw"]) for r in rows] == parts, size
+        assert [r["size"] for r in rows] == [len(p) for p in parts]
+
+
+def test_mbox_headers_only(spark, tmp_path):
+    parts = [message(i, docx=i % 2 == 0).replace(b"\nFrom ", b"\n>From ") + b"x" * 100_000 + b"\n" for i in range(1, 5)]
+    (tmp_path / "Big.mbox").write_bytes(separated(parts))
+    raw = mbox.read_mbox(spark, f"file://{tmp_path}/Big.mbox", head_only=True)
+    assert raw.selectExpr("max(octet_length(raw))").first()[0] == 64 << 10
+    rows = mime.heads(raw).orderBy("nid").collect()
+    whole = mime.messages(mbox.read_mbox(spark, f"file://{tmp_path}/Big.mbox")).orderBy("nid").collect()
+    for c in ("subject", "sender", "to", "recipients", "date", "size", "is_read", "message_id"):
+        assert [r[c] for r in rows] == [r[c] for r in whole]
+    assert [r["has_attachments"] for r in rows] == [i % 2 == 0 for i in range(1, 5)]
+
+
+def test_listings_read_heads_of_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/one.eml").write_bytes(message(1) + b"x" * 200_000)
+    (tmp_path / "a/two.eml").write_bytes(message(0, docx=True))
+    (tmp_path / "a/loop").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "a/gone.eml").symlink_to(tmp_path / "nowhere")
+    raw = files.read_files(spark, f"file://{tmp_path}/a", head_only=True)
+    assert raw.selectExpr("max(octet_length(raw))").first()[0] <= 64 << 10
+    rows = mime.heads(raw).orderBy("nid").collect()
+    assert [(r["subject"], r["has_attachments"]) for r in rows] == [("Bulk message 001", False), ("Prüfung – naïve café ☕", True)]
+    assert rows[0]["size"] == len(message(1)) + 200_000
+    one = mime.messages(files.read_files(spark, f"file://{tmp_path}/a/two.eml")).collect()
+    assert [r["subject"] for r in one] == ["Prüfung – naïve café ☕"] and one[0]["folder"] == ""
+
+
+def test_unreadable_files_are_rows(spark):
+    rows = spark.createDataFrame([("s", "f", 1, "eml", None, None, "denied")], "source_name string, folder string, nid long, kind string, raw binary, flag_read boolean, error string")
+    assert mime.messages(rows).first()["subject"] == "(unreadable: denied)" == mime.heads(rows).first()["subject"]
+
+
+def test_thunderbird_and_packages(spark, tmp_path):
+    root = tmp_path / "profile"
+    for d in ("Archive.sbd", "A.mbox/B.mbox", "C.mbox/Data/1/Messages"):
+        (root / d).mkdir(parents=True)
+    (root / "Inbox").write_bytes(separated([message(1), message(2)]))
+    (root / "Archive").write_bytes(b"")
+    (root / "Archive.sbd/2024").write_bytes(separated([message(3)]))
+    (root / "Inbox.msf").write_bytes(b"From no mail")
+    (root / "notes").write_bytes(b"some words")
+    (root / "A.mbox/B.mbox/mbox").write_bytes(separated([message(4)]))
+    (root / "C.mbox/Data/1/Messages/5.emlx").write_bytes(str(len(message(5))).encode() + b"\n" + message(5))
+    rows = {(r["folder"], r["subject"]) for r in mime.messages(mbox.read_mbox(spark, f"file://{root}")).collect()}
+    assert rows == {("Inbox", "Bulk message 001"), ("Inbox", "Bulk message 002"), ("Archive/2024", "Bulk message 003"), ("A/B", "Bulk message 004")}
+    assert [r["folder"] for r in mime.messages(files.read_files(spark, f"file://{root}")).collect()] == ["C"]
+    found = {(r["kind"], r["source"].removeprefix(f"{root}")) for r in files.find_sources(spark, f"file://{root}").collect()}
+    assert {("mbox", "/Inbox"), ("mbox", "/Archive")} <= found and not any("notes" in s or "msf" in s for _, s in found)
+
+
+@pytest.mark.parametrize(("name", "head", "kind"), [("x", b"From a", "mbox"), ("x.dat", b"!BDN..", "pst"), ("mail.txt", b"Subject: x\n", "eml"), ("a.EMLX", b"12\n", "emlx"), ("b.mbx", b"", "mbox"), ("c.bin", b"\x00\x01", None)])
+def test_kind_of_one_file(name, head, kind):
+    assert files.kind_of_file(name, head) == kind
 
 
 def test_broken_messages_do_not_fail(spark):
