@@ -59,9 +59,21 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: compute once and keep the rows in the shared checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: compute once and keep the rows as a Parquet table in the shared folder.
+
+    Later steps read only the columns they need, and tasks without rows leave no file.
+    """
+    path = new_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    settled._settled_at = path
+    return settled
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t._settled_at)
 
 
 def narrowed(df: DataFrame) -> DataFrame:
@@ -70,7 +82,9 @@ def narrowed(df: DataFrame) -> DataFrame:
     Iterative steps shuffle small tables over and over; each task of theirs writes files of its own, and a table of
     one partition of bounded size needs no shuffle at all. Large tables keep their partitions.
     """
-    return df.coalesce(df.count() // PARTITION_ROWS + 1)
+    few = df.coalesce(df.count() // PARTITION_ROWS + 1)
+    few._settled_at = df._settled_at
+    return few
 
 
 def new_path(spark: SparkSession, name: str) -> str:

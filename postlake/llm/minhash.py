@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCoder, blocks, checked, grouped, mix64, narrowed, over_batches, prepare, runs, settle, split_hot, views, words
+from .common import ChunkCoder, blocks, checked, grouped, mix64, narrowed, over_batches, prepare, release, runs, settle, split_hot, views, words
 from .components import components
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 42, 6, 0.8
@@ -387,19 +387,23 @@ def classified(documents: DataFrame) -> DataFrame:
         met = entries.join(pivot, ["bucket", "part"]).where("component != ca")
         met = met.groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("n"), F.first("ca").alias("ca"), F.first("component").alias("cb"))
         pairs = met.groupBy("b").agg(F.max(F.struct("n", "a", "ca", "cb")).alias("p")).select("b", "p.a", "p.ca", "p.cb")
-        pairs = narrowed(settle(agreeing(narrowed(settle(pairs)), signs)))
+        met = narrowed(settle(pairs))
+        pairs = narrowed(settle(agreeing(met, signs)))
         found = narrowed(settle(verified(pairs, sets)))
         links.append(found.select("ca", "cb"))
         joined = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         named = entries.join(checked(joined.select(F.col("node").alias("component"), F.col("component").alias("new"))), "component", "left")
-        named = settle(named.select("bucket", "part", "parts", "node", F.coalesce("new", "component").alias("component")))
+        named = named.select("bucket", "part", "parts", "node", F.coalesce("new", "component").alias("component"))
         several = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("parts").alias("parts")).where("x != y")
         several = narrowed(settle(several.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))))
-        entries = narrowed(settle(named.join(several, ["bucket", "part"], "left_semi")))
-        if found.count() <= WORTH * pairs.count():
+        last, entries = entries, narrowed(settle(named.join(several, ["bucket", "part"], "left_semi")))
+        going = found.count() > WORTH * pairs.count()
+        release(pivot, met, pairs, several, last)
+        if not going:
             break
     links.append(narrowed(settle(remaining(entries, signs, sets))))
     groups = components(reduce(DataFrame.unionByName, links), "ca", "cb")
+    release(entries, nodes, signs, sets)
     groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
     groups = narrowed(settle(groups.join(classes.select("node", "class_id", "text_key"), "node")))
     first = F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "text_key")).alias("first")
