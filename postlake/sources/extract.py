@@ -21,7 +21,9 @@ from pyspark.sql.types import StringType
 
 from ..functions.text import extension, html_to_text
 
-MOST, MEMBER, TEXT, DEPTH = 60 << 20, 16 << 20, 400_000, 3
+MOST, MEMBER, DEPTH = 60 << 20, 16 << 20, 3
+#: What bytes 128 to 159 are in cp1252, where it has something; the others stay as they are.
+WINDOWS = {i: bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)}
 #: Where the formats keep their text.
 OFFICE = {"docx": r"word/document\.xml$", "pptx": r"ppt/slides/slide\d+\.xml$", "xlsx": r"xl/(sharedStrings|worksheets/sheet\d+)\.xml$", "odf": r"content\.xml$"}
 # Extensions by format.
@@ -166,17 +168,34 @@ def opened(data: bytes, kind: str, depth: int = 0) -> str:
 
 @F.pandas_udf(StringType())
 def _opened(data: pd.Series, kind: pd.Series) -> pd.Series:
-    return pd.Series([opened(d, k)[:TEXT].replace("\x00", "") if d is not None else "" for d, k in zip(data, kind, strict=True)], dtype=object)
+    return pd.Series([opened(d, k).replace("\x00", "") if d is not None else "" for d, k in zip(data, kind, strict=True)], dtype=object)
+
+
+def plain_text(data: Column) -> Column:
+    """Bytes as text: by a byte order mark, else as UTF-8 if they are that, else as cp1252."""
+    head, latin = F.hex(F.substring(data, 1, 3)), F.decode(data, "ISO-8859-1")
+    windows = F.translate(latin, "".join(map(chr, WINDOWS)), "".join(WINDOWS.values()))
+    text = (
+        F.when(F.startswith(head, F.lit("FFFE")), F.decode(data, "UTF-16LE")).when(F.startswith(head, F.lit("FEFF")), F.decode(data, "UTF-16BE"))
+        .when(F.is_valid_utf8(data.cast("string")), data.cast("string")).otherwise(windows)
+    )
+    return F.replace(text, F.lit("\ufeff"), F.lit(""))
+
+
+def readable_runs(data: Column, least: int = 6) -> Column:
+    """Runs of readable characters in a binary file, of one byte each and then of two (UTF-16LE), one a line."""
+    latin = F.decode(data, "ISO-8859-1")
+    one = F.regexp_extract_all(latin, F.lit("[\\x20-\\x7e]{%d,}" % least), F.lit(0))
+    two = F.transform(F.regexp_extract_all(latin, F.lit("(?:[\\x20-\\x7e]\\x00){%d,}" % least), F.lit(0)), lambda s: F.translate(s, "\x00", ""))
+    return F.array_join(F.concat(one, two), "\n")
 
 
 def attachment_text(data: Column, name: Column, mime: Column | None = None) -> Column:
-    """The text of one attachment; of old binary Office files the runs of six or more readable characters."""
+    """The whole text of one attachment; of old binary Office files the runs of six or more readable characters."""
     kind, small = content_kind(data, name, F.lit("") if mime is None else mime), F.octet_length(data) <= MOST
-    plain = F.make_valid_utf8(data.cast("string"))
-    runs = F.array_join(F.regexp_extract_all(F.make_valid_utf8(F.substring(data, 1, 4_000_000).cast("string")), F.lit("[\\x20-\\x7e]{6,}"), F.lit(0)), "\n")
     return (
-        F.when(~small | data.isNull(), "").when(kind.isin(*OFFICE, "zip", "rtf", "pdf", "eml"), _opened(data, kind)).when(kind == "html", html_to_text(plain))
-        .when(kind == "text", F.substring(F.replace(plain, F.lit("\ufeff"), F.lit("")), 1, TEXT)).when(kind == "ole", F.substring(runs, 1, TEXT)).otherwise("")
+        F.when(~small | data.isNull(), "").when(kind.isin(*OFFICE, "zip", "rtf", "pdf", "eml"), _opened(data, kind)).when(kind == "html", html_to_text(plain_text(data)))
+        .when(kind == "text", plain_text(data)).when(kind == "ole", readable_runs(data)).otherwise("")
     )
 
 

@@ -65,6 +65,8 @@ def test_attachment_text_is_searchable(spark, tmp_path):
     ("c.html", b"<p>Para <b>one</b></p><script>x</script>", "Para one"), ("d.pdf", b"%PDF junk", ""), ("e.docx", b"not a zip", ""), ("f.txt", b"plain", "plain"), ("g.rtf", rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}Hello \b from\b0  RTF\par caf\'e9 \u8364?}", "Hello from RTF\ncaf\u00e9 \u20ac"),
     ("h.pdf", b"%PDF-1.4\n1 0 obj<<>>stream\n" + zlib.compress(b"BT (Quarterly) Tj ( report \\(giraffe\\)) Tj ET") + b"\nendstream", "Quarterly report (giraffe)"),
     ("i.eml", b"Subject: inner subject\nFrom: a@b.c\n\ninner body text\n", "inner subject\na@b.c\ninner body text"), ("j.odt", office("content.xml", "<text:p>Alpha beta</text:p><text:p>Gamma</text:p>"), "Alpha beta\nGamma"),
+    ("m.txt", "Prüfung €".encode("cp1252"), "Prüfung €"), ("n.csv", b"\xff\xfe" + "naïve;x".encode("utf-16-le"), "naïve;x"), ("o.md", b"\xef\xbb\xbf\xc3\xa9t\xc3\xa9", "été"), ("p.txt", b"w " * 300_000 + b"end", ("w " * 300_000 + "end")),
+    ("q.xls", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1\x00\x01" + "wide words".encode("utf-16-le") + b"\x01\x02narrow ones", "narrow ones\nwide words"),
     ("k.doc", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1\x00\x01legacy words\x00\x02abc\x00", "legacy words"), ("l.png", b"\x89PNG", ""),
 ])
 def test_extract(spark, name, data, want):
