@@ -156,3 +156,9 @@ def test_updates_read_new_messages_only_and_survive_a_broken_one(spark, texts, t
     assert idx.messages().count() == 4 and not list(tmp_path.glob("idx/messages/*/batch=3"))
     spark.read.parquet(f"file://{tmp_path}/idx/sources").withColumn("schema", F.lit(1)).limit(1).coalesce(1).write.mode("append").partitionBy("source_name", "batch").parquet(f"file://{tmp_path}/idx/sources")
     assert index.Index(spark, f"file://{tmp_path}/idx").messages() is None  # of another form: built anew
+
+
+def test_words_that_look_like_options_are_terms():
+    from postlake.__main__ import TERM, terms
+
+    assert terms(["find", "db", "invoice", "-newsletter", "-n", "5", "--json"]) == ["find", "db", "invoice", TERM + "-newsletter", "-n", "5", "--json"]
