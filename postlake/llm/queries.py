@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, licenses, media, minhash, orc_tokens, packing, sentencepieces, sharding, toxicity
+from . import embeddings, langid, licenses, media, minhash, orc_tokens, packing, resampling, sentencepieces, sharding, toxicity, vector_codes, warc
 from .common import id_crc, prepare, table
 
 
@@ -56,10 +56,22 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(prepare(spark), sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(prepare(spark), sf_dir, "embeddings")).drop("scanned")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_sharding, op2_media_columns, op3_license_scan, op4_embedding_dedup, op5_language_id, op6_sentencepiece, op7_packing, op8_toxicity, op9_orc_tokens, op10_minhash_dedup)
+    every = (op1_sharding, op2_media_columns, op3_license_scan, op4_embedding_dedup, op5_language_id, op6_sentencepiece, op7_packing, op8_toxicity, op9_orc_tokens, op10_minhash_dedup, op11_warc, op12_vector_codes, op13_importance_resampling)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.oracle()}
+    return {"op3_license_scan": licenses.oracle(), "op11_warc": warc.oracle(), "op12_vector_codes": vector_codes.oracle(), "op13_importance_resampling": resampling.oracle()}
