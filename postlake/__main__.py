@@ -29,8 +29,7 @@ def opened(spark: SparkSession, uri: str, head_only: bool = False) -> DataFrame:
         if kind not in ("eml", "emlx"):
             raise ValueError(f"{uri}: {kind or 'no kind of mail'} can't be read")
         return files.read_files(spark, uri, head_only)
-    columns = ["source_name", "folder", "nid", "kind", "raw", "flag_read", "size", "error", "path"]
-    return files.read_files(spark, uri, head_only).select(columns).unionByName(mbox.read_mbox(spark, uri, head_only=head_only).select(columns))
+    return files.read_files(spark, uri, head_only).unionByName(mbox.read_mbox(spark, uri, head_only=head_only), allowMissingColumns=True)
 
 
 def pathname(uri: str) -> str:
@@ -92,7 +91,7 @@ def main(argv: list[str]) -> int:
     c = sub.add_parser("index")
     c.add_argument("db")
     c.add_argument("sources", nargs="*")
-    for option in ("force", "clear", "stats"):
+    for option in ("force", "clear", "stats", "prune", "optimize"):
         c.add_argument(f"--{option}", action="store_true")
     c.add_argument("--remove", default="")
     c = sub.add_parser("find")
@@ -148,7 +147,7 @@ def export(rows: DataFrame, a: argparse.Namespace) -> None:
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> int:
-    idx = Index(spark, a.db)
+    idx, failed = Index(spark, a.db), 0
     if a.clear:
         idx.clear()
     if a.remove:
@@ -156,19 +155,30 @@ def index(spark: SparkSession, a: argparse.Namespace) -> int:
     for uri in a.sources:
         try:
             raw = opened(spark, uri, head_only=True)
+            state = [(size, changed) for _, changed, size in listed(uri)[1]]
         except (OSError, ValueError) as e:
             print(f"warning: {e}", file=sys.stderr)
+            failed += 1
             continue
-        # Keys come from header blocks; whole messages are read of those that are new.
-        listing = mime.heads(raw).join(raw.select("nid", "path", "kind", "flag_read", *[c for c in ("offset",) if c in raw.columns]), "nid")
-        state = [(s, t) for _, t, s in listed(uri)[1]]
-        size, mtime = sum(s for s, _ in state), max((t or 0 for _, t in state), default=0) / 1e6
-        prints = listing.select("source_name").distinct().select("source_name", F.lit(size).cast("long").alias("size"), F.lit(mtime).alias("mtime"))
+        name, size, mtime = uri.rstrip("/").rpartition("/")[2], sum(s for s, _ in state), max((t or 0 for _, t in state), default=0) / 1e6
+        if not a.force and idx.is_current(name, size, mtime):
+            print(uri, "unchanged")
+            continue
+        # Keys come from header blocks; whole messages are read of those that are new. What couldn't be opened this time
+        # is no message and removes none.
+        places = raw.select("source_name", "nid", "path", "offset" if "offset" in raw.columns else F.lit(None).cast("long").alias("offset"), "kind", "flag_read", F.col("error").isNotNull().alias("unread"))
+        listing = mime.heads(raw).join(places, ["source_name", "nid"])
+        prints = spark.createDataFrame([(name, size, mtime)], "source_name string, size long, mtime double")
         print(uri, idx.update(listing, prints, a.force, texts=lambda new, uri=uri: indexed(mime.messages(files.contents(new, uri)))))
-    if a.stats:
+    if a.prune and not failed:
+        present = spark.createDataFrame([(u.rstrip("/").rpartition("/")[2],) for u in a.sources], "source_name string")
+        print("removed", *idx.prune(present))
+    if a.optimize:
+        idx.optimize()
+    if a.stats and idx.messages() is not None:
         idx.statistics().show()
         idx.sources().show(1000, False)
-    return 0
+    return 1 if failed and failed == len(a.sources) else 0
 
 
 def find(spark: SparkSession, a: argparse.Namespace, query: str) -> int:

@@ -1,30 +1,45 @@
 """The full-text index as tables, and its incremental maintenance.
 
-`messages`, `postings`, `gone` and `sources` are Parquet tables that only grow: an update appends the messages it
-adds, their postings and the ids it removes under the number of its batch, and last of all the rows of its sources,
-which make the batch count; what a run that broke off has left is deleted by the next. Postings hold a row for each
-token, document and column with its positions, in the order of token and document, so that a word or a prefix reads
-the row groups whose bounds hold it, and a word of every document is spread over files. Nothing is gathered per
-token. Postings of removed messages lie idle until `optimize`.
+`messages`, `postings`, `terms`, `gone` and `sources` are tables of immutable segments, and a manifest names the live
+ones (see `snapshots`): an update, a removal or a compaction writes its segments and then takes effect as a whole or
+not at all. Postings hold a row for each token and document, with its places in the columns, in the order of token and
+document, so that a word or a prefix reads the row groups whose bounds hold it, and a word of every document is spread
+over files; ranking needs no places and doesn't read them. Nothing is gathered per token.
+
+`terms` is the dictionary. A segment's documents of a token are cut into blocks of about BLOCK documents by ranges of
+their ids (2^level equal ranges of the hash; the blocks of a rarer word are unions of those of a more frequent one);
+each block has its number of documents, whole and by columns, the greatest weighted frequency and the least length. The
+sums over blocks are exact document frequencies: a removal adds rows of negative counts. Frequency and length bound the
+score of every document of a block from above under any statistics, so the best k are found by scoring the most promising
+blocks first and then only those that can still reach the k-th score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.order import ordinal
-from ..functions.text import tokens
+from ..functions.text import normalized
 from . import search as scan
-from .search import WEIGHTS, Query, Term, parse
+from .search import B, K1, WEIGHTS, Query, Term, parse
+from .snapshots import Manifest, Store, latest
 
 #: Of the tables' form; an index of another form is cleared and built anew.
-SCHEMA = 2
+SCHEMA = 3
 #: Ids and tokens that are broadcast at most.
 SMALL = 1 << 16
+#: Documents in a block of the dictionary, about; bits of an id that blocks are cut by.
+BLOCK, BITS = 256, 32
+#: Blocks that are scored first; id ranges that are pushed to the scan (more are joined).
+FIRST, PUSHED = 64, 128
 
 
 def message_key(columns: list[str], store: bool = False) -> Column:
@@ -53,43 +68,166 @@ def plan_changes(listing: DataFrame, indexed: DataFrame, source: str = "source_n
     return here.join(there, [source, "key"], "full").select(source, "key", change.alias("change"))
 
 
-def postings(texts: DataFrame, id_column: str = "id") -> DataFrame:
-    """(token, id, col, positions): one row for each token of a column of a document."""
-    found = [
-        texts.select(F.col(id_column).alias("id"), F.lit(i).cast("byte").alias("col"), F.posexplode(tokens(F.col(c))).alias("pos", "token"))
-        for i, c in enumerate(WEIGHTS) if c in texts.columns
-    ]
-    # A group is one token of one document: bounded by the document.
-    return reduce(DataFrame.unionByName, found).groupBy("token", "id", "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+POSTINGS = "token string, f double, cols int, places array<bigint>"
+#: Bits of a place that hold the position in its column; the column's number is above them.
+COLUMN = 32
+#: Bytes of text whose tokens are put in order at a time; a longer text is a portion of its own.
+PORTION = 4 << 20
+
+
+def postings(texts: DataFrame, id_column: str = "id", keep: Iterable[str] = ()) -> DataFrame:
+    """(token, id, f, cols, places): one row for each token of a document; and what of the document to keep.
+
+    f is the token's weighted frequency, cols the set of its columns as bits, places its columns and positions. All of a
+    document is one row, so its tokens are put in order where it is and nothing is shuffled.
+    """
+    there = [c for c in WEIGHTS if c in texts.columns]
+    numbers, weights = [list(WEIGHTS).index(c) for c in there], np.array(list(WEIGHTS.values()))
+    rows = texts.select(F.col(id_column).alias("id"), *keep, *[F.trim(normalized(F.col(c))).alias(f"_n{i}") for i, c in zip(numbers, there, strict=True)])
+    kept = {f.name: f.dataType.simpleString() for f in rows.schema if not f.name.startswith("_n")}
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        docs, cols, places, found = [], [], [], []
+        for i in numbers:
+            lists = pc.split_pattern(batch[f"_n{i}"].cast(pa.large_string()).fill_null(""), " ")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            docs.append(np.repeat(np.arange(batch.num_rows), sizes))
+            cols.append(np.full(int(sizes.sum()), i, np.int32))
+            places.append(np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes) + (i << COLUMN))
+            found.append(pc.list_flatten(lists))
+        coded = pa.chunked_array(found).combine_chunks().dictionary_encode()
+        code, doc, col, spot = coded.indices.to_numpy(), np.concatenate(docs), np.concatenate(cols), np.concatenate(places)
+        empty = pc.index(coded.dictionary, "").as_py()  # what an empty text is split into
+        order = np.argsort(doc * max(1, len(coded.dictionary)) + code, kind="stable")  # columns and positions stay in order
+        order = order[code[order] != empty] if empty >= 0 else order
+        code, doc, col, spot = code[order], doc[order], col[order], spot[order]
+        starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])[: len(code)])
+        by_token = pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)).astype(np.int32)), pa.array(spot))
+        f = np.add.reduceat(weights[col], starts) if len(starts) else np.empty(0)
+        mask = np.bitwise_or.reduceat(np.int32(1) << col, starts) if len(starts) else np.empty(0, np.int32)
+        own = [batch[c].take(pa.array(doc[starts])) for c in kept]
+        return pa.RecordBatch.from_arrays([*own, coded.dictionary.take(pa.array(code[starts])).cast(pa.string()), pa.array(f), pa.array(mask), by_token], names=[*kept, "token", "f", "cols", "places"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch[f"_n{i}"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in numbers))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PORTION, side="right")))
+                yield of(batch.slice(lo, hi - lo))
+                lo = hi
+
+    schema = ", ".join(f"`{c}` {k}" for c, k in kept.items()) + ", " + POSTINGS
+    return rows.mapInArrow(run, schema).select("token", "id", "f", "cols", "places", *keep)
 
 
 def length(texts: DataFrame) -> Column:
     """The tokens of all indexed columns, as ranking counts them."""
-    return reduce(lambda a, b: a + b, [F.size(tokens(F.col(c))) for c in WEIGHTS if c in texts.columns], F.lit(0))
 
+    def count(c: Column) -> Column:
+        parted = F.trim(normalized(c))
+        return F.when(parted == "", 0).otherwise(F.length(parted) - F.length(F.replace(parted, F.lit(" "), F.lit(""))) + 1)
 
-def hits(table: DataFrame, term: Term) -> DataFrame:
-    """(id, col, p): the documents and columns that have the term, and the places of its last word."""
+    return reduce(lambda a, b: a + b, [count(F.col(c)) for c in WEIGHTS if c in texts.columns], F.lit(0))
+
+
+def _in(place: Column, term: Term) -> Column:
+    return F.shiftright(place, COLUMN).isin([i for i, c in enumerate(WEIGHTS) if c in term.columns])
+
+
+def weighed(places: Column) -> Column:
+    """The sum of the weights of places' columns."""
+    weights = F.array(*[F.lit(w) for w in WEIGHTS.values()])
+    return F.aggregate(places, F.lit(0.0), lambda a, p: a + F.get(weights, F.shiftright(p, COLUMN).cast("int")))
+
+
+def frequency(term: Term) -> Column:
+    """The weighted frequency of a single word in a term's columns; only of some columns its places are read."""
+    return F.col("f") if len(term.columns) == len(WEIGHTS) else weighed(F.filter("places", lambda p: _in(p, term)))
+
+
+def in_columns(term: Term) -> Column:
+    return F.col("cols").bitwiseAND(sum(1 << i for i, c in enumerate(WEIGHTS) if c in term.columns)) != 0
+
+
+ATT = [i for i, c in enumerate(WEIGHTS) if c in ("attachments", "att_names")]
+#: The dictionary's counts: documents, those with the token in each column, and in either column of attachments.
+COUNTS = ["n", *[f"c{i}" for i in range(len(WEIGHTS))], "att"]
+
+
+def _counts(sign: int = 1) -> list[Column]:
+    bits = {"n": F.lit(1)} | {f"c{i}": F.shiftright("cols", i).bitwiseAND(1) for i in range(len(WEIGHTS))}
+    bits["att"] = (F.col("cols").bitwiseAND(sum(1 << i for i in ATT)) != 0).cast("int")
+    return [(F.sum(bits[c]) * sign).cast("long").alias(c) for c in COUNTS]
+
+
+def place(id_column: str = "id") -> Column:
+    """The first BITS bits of an id."""
+    return F.conv(F.substring(id_column, 1, BITS // 4), 16, 10).cast("long")
+
+
+def dictionary(table: DataFrame, documents: int, block: int = BLOCK) -> DataFrame:
+    """The blocks of postings that have `batch` and `length`; documents: how many there are."""
+    finest = min(BITS - 1, max(0, math.ceil(math.log2(max(1, documents / block)))))
+    # At most one row for each of the finest ranges, so no token is more rows than these.
+    rows = table.withColumn("fine", F.shiftright(place(), BITS - finest)).groupBy("token", "batch", "fine").agg(*_counts(), F.max("f").alias("top"), F.min("length").alias("short"))
+    df = rows.groupBy("token").agg(F.sum("n").alias("_df"))
+    level = F.greatest(F.lit(0), F.least(F.lit(finest), F.ceil(F.log2(F.col("_df") / block)))).cast("int")
+    rows = rows.join(df, "token").withColumn("level", level)
+    rows = rows.withColumn("range", F.expr(f"shiftright(fine, {finest} - level)"))
+    return rows.groupBy("token", "batch", "level", "range").agg(*[F.sum(c).alias(c) for c in COUNTS], F.max("top").alias("top"), F.min("short").alias("short"))
+
+
+def taken_back(table: DataFrame) -> DataFrame:
+    """Rows of the dictionary that take the documents of these postings from the counts; they are no blocks."""
+    none = {"level": F.lit(None).cast("int"), "range": F.lit(None).cast("long"), "top": F.lit(None).cast("double"), "short": F.lit(None).cast("int")}
+    return table.groupBy("token", "batch").agg(*_counts(-1)).withColumns(none).select("token", "batch", "level", "range", *COUNTS, "top", "short")
+
+
+def counted_as(term: Term) -> str | None:
+    """The dictionary's column that counts the documents of a single word in a term's columns."""
+    if len(term.words) > 1 or term.prefix:
+        return None
     ids = [i for i, c in enumerate(WEIGHTS) if c in term.columns]
+    return "n" if len(ids) == len(WEIGHTS) else "att" if ids == ATT else f"c{ids[0]}" if len(ids) == 1 else None
+
+
+def hits(table: DataFrame, term: Term) -> DataFrame:
+    """(id, p): the documents that have the term in its columns, and the places of its last word."""
     found: DataFrame | None = None
     for n, word in enumerate(term.words):
         begun = term.prefix and n == len(term.words) - 1
-        rows = table.where((F.startswith("token", F.lit(word)) if begun else F.col("token") == word) & F.col("col").isin(ids))
-        rows = rows.select("id", "col", F.col("positions").alias("p"))
+        rows = table.where((F.startswith("token", F.lit(word)) if begun else F.col("token") == word) & in_columns(term))
+        rows = rows.select("id", (F.col("places") if len(term.columns) == len(WEIGHTS) else F.filter("places", lambda p: _in(p, term))).alias("p"))
         if begun:  # several tokens of a document may begin so; a group is bounded by the document
-            rows = rows.groupBy("id", "col").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("p"))
+            rows = rows.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("p"))
         if found is not None:
-            rows = rows.withColumnRenamed("p", "q").join(found, ["id", "col"])
-            rows = rows.select("id", "col", F.array_intersect(F.transform("p", lambda x: x + 1), F.col("q")).alias("p")).where(F.size("p") > 0)
+            rows = rows.withColumnRenamed("p", "q").join(found, "id")
+            rows = rows.select("id", F.array_intersect(F.transform("p", lambda x: x + 1), F.col("q")).alias("p")).where(F.size("p") > 0)
         found = rows
     return found
 
 
 def lookup(table: DataFrame, term: Term) -> DataFrame:
-    """Ids of the documents that have the term, from the postings."""
+    """Ids of the documents that have the term, from the postings; a single word needs no places."""
+    if len(term.words) == 1:
+        word = term.words[0]
+        rows = table.where((F.startswith("token", F.lit(word)) if term.prefix else F.col("token") == word) & in_columns(term)).select("id")
+        return rows.distinct() if term.prefix else rows
     return hits(table, term).select("id").distinct()
 
 
+def frequencies(table: DataFrame, term: Term, name: str) -> DataFrame:
+    """(id, name): the weighted frequency of the term in each document that has it."""
+    if len(term.words) == 1 and not term.prefix:
+        return table.where((F.col("token") == term.words[0]) & in_columns(term)).select("id", frequency(term).alias(name))
+    return hits(table, term).select("id", weighed(F.col("p")).alias(name))
+
+
+FILTERED = ("date", "folder", "source_name", "source_path", "att_count")
+
+
 def ranked(table: DataFrame, messages: DataFrame, query: str | Query, live: bool = False, limit: int = 500, offset: int = 0, order: str = "id") -> DataFrame:
     """The best messages with `score`, as `search.ranked` gives them, from postings alone; messages need `length`.
 
@@ -100,10 +238,9 @@ def ranked(table: DataFrame, messages: DataFrame, query: str | Query, live: bool
         newest = [F.desc_nulls_last("date")] if "date" in messages.columns else []
         return search(table, messages, q).withColumn("score", F.lit(0.0)).orderBy(*newest, order).offset(offset).limit(limit)
     there = messages.select("id")
-    weight = F.element_at(F.create_map(*[F.lit(x) for i, w in enumerate(WEIGHTS.values()) for x in (i, w)]), F.col("col").cast("int"))
-    best, df = messages.select("id", *[c for c in ("date", "folder", "source_name", "source_path", "att_count") if c in messages.columns], "length").where(scan.filters(q, messages.columns)), []
+    best, df = messages.select(*dict.fromkeys(["id", order, *[c for c in FILTERED if c in messages.columns], "length"])).where(scan.filters(q, messages.columns)), []
     for i, term in enumerate(q.positive):
-        found = hits(table, term).groupBy("id").agg(F.sum(weight * F.size("p")).alias(f"tf{i}")).join(there, "id", "left_semi")
+        found = frequencies(table, term, f"tf{i}").join(there, "id", "left_semi")
         df.append(found.agg(F.count("*").alias("n")).scalar())
         best = best.join(found, "id")
     for term in q.negative:
@@ -111,7 +248,12 @@ def ranked(table: DataFrame, messages: DataFrame, query: str | Query, live: bool
     total = messages.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean")).alias("t")).scalar()
     best = best.withColumns({"_t": total} | {f"_df{i}": n for i, n in enumerate(df)})
     score = scan.bm25([F.col(f"tf{i}") for i in range(len(df))], [F.col(f"_df{i}") for i in range(len(df))], F.col("length"), F.col("_t.n"), F.col("_t.mean"))
-    best = best.select("id", score.alias("score")).orderBy("score", *([order] if order == "id" else [])).offset(offset).limit(limit)
+    return _shown(best.withColumn("score", score), messages, limit, offset, order)
+
+
+def _shown(best: DataFrame, messages: DataFrame, limit: int, offset: int, order: str) -> DataFrame:
+    """The messages of the best scores; best has id, order and score."""
+    best = best.select(*dict.fromkeys(["id", order, "score"])).orderBy("score", order).offset(offset).limit(limit).select("id", "score")
     return messages.join(F.broadcast(best), "id").orderBy("score", order)  # at most `limit` ids
 
 
@@ -129,64 +271,41 @@ def search(table: DataFrame, messages: DataFrame, query: str | Query, live: bool
 class Index:
     """The tables under a folder. One writer at a time."""
 
-    TABLES = ("messages", "postings", "gone", "sources")
+    TABLES = ("messages", "postings", "terms", "gone", "sources")
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        rows = self._read("sources")
-        if rows is not None and rows.where(F.col("schema") != SCHEMA).take(1):
+    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK):
+        self.spark, self.path, self.block = spark, path.rstrip("/"), block
+        self.store = Store(spark, path)
+        m = self.store.current()
+        if m.version and m.totals.get("form") != SCHEMA:
             self.clear()
 
-    def _read(self, name: str) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        except AnalysisException:  # not written so far, or emptied
-            return None
-
-    def _append(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").partitionBy("source_name", "batch").parquet(f"{self.path}/{name}")
-
-    def _files(self):
-        sc = self.spark.sparkContext
-        root = sc._jvm.org.apache.hadoop.fs.Path(self.path)
-        return sc._jvm.org.apache.hadoop.fs.Path, root.getFileSystem(sc._jsc.hadoopConfiguration())
-
-    def _delete(self, part: str) -> None:
-        path, system = self._files()
-        for found in system.globStatus(path(f"{self.path}/{part}")) or []:
-            system.delete(found.getPath(), True)
+    # What readers see
 
-    def _batch(self) -> int:
-        """The last batch that counts; 0 before the first."""
-        rows = self._read("sources")
-        return (rows.agg(F.max("batch")).first()[0] or 0) if rows is not None else 0
-
-    def _valid(self, name: str) -> DataFrame | None:
-        rows = self._read(name)
-        return rows.where(F.col("batch") <= self._batch()) if rows is not None else None
+    def _alive(self, name: str, m: Manifest) -> DataFrame | None:
+        """The rows of a table whose message no later batch has removed."""
+        rows, gone = self.store.read(name, m), self.store.read("gone", m)
+        if rows is None or gone is None:
+            return rows
+        gone = gone.groupBy("id").agg(F.max("batch").alias("_gone"))
+        gone = F.broadcast(gone) if m.totals.get("gone", 0) <= SMALL else gone
+        return rows.join(gone, "id", "left").where("_gone is null or batch >= _gone").drop("_gone")
 
     def messages(self) -> DataFrame | None:
         """All messages that are in the index now."""
-        rows, gone = self._valid("messages"), self._valid("gone")
-        if rows is None or gone is None:
-            return rows.drop("batch") if rows is not None else None
-        gone = gone.groupBy("id").agg(F.max("batch").alias("_gone"))
-        gone = F.broadcast(gone) if gone.count() <= SMALL else gone
-        return rows.join(gone, "id", "left").where("_gone is null or batch >= _gone").drop("_gone", "batch")
+        rows = self._alive("messages", self.store.current())
+        return rows.drop("batch") if rows is not None else None
 
     def postings(self) -> DataFrame | None:
-        """Postings of these messages, and of some that are gone."""
-        return self._valid("postings")
+        """The postings of these messages."""
+        return self._alive("postings", self.store.current())
 
     def sources(self) -> DataFrame | None:
         """The state of each source at its last update."""
-        rows = self._read("sources")
+        rows = self.store.read("sources", self.store.current())
         if rows is None:
             return None
-        last = rows.groupBy("source_name").agg(F.max_by(F.struct("size", "mtime", "complete", "messages"), "batch").alias("s"))
-        return last.select("source_name", "s.*").orderBy(F.lower("source_name"))
+        return latest(rows, ["source_name"]).where("not removed").select("source_name", "size", "mtime", "complete", "messages").orderBy(F.lower("source_name"))
 
     def message(self, id: str) -> DataFrame:
         return self.messages().where(F.col("id") == id)
@@ -198,101 +317,254 @@ class Index:
         same = (F.col("source_name") == source) & F.col("complete") & (F.col("size") == size) & (F.abs(F.col("mtime") - mtime) < 1)
         return bool(rows.where(same).take(1))
 
+    def statistics(self) -> DataFrame:
+        rows = self.messages()
+        atts = F.coalesce(F.sum("att_count"), F.lit(0)) if "att_count" in rows.columns else F.lit(0)
+        return rows.agg(F.count_distinct("source_name").alias("sources"), F.count("*").alias("messages"), atts.alias("attachments"))
+
+    def terms(self, prefix: str = "") -> DataFrame:
+        """(token, df) of the words that begin so, from the dictionary alone."""
+        rows = self.store.read("terms", self.store.current())
+        rows = rows.where(F.startswith("token", F.lit(prefix))) if prefix else rows
+        return rows.groupBy("token").agg(F.sum("n").alias("df")).where("df > 0")
+
+    def search(self, query: str, live: bool = False) -> DataFrame:
+        return search(self.postings(), self.messages(), query, live)
+
+    def ranked(self, query: str, live: bool = False, limit: int = 500, offset: int = 0, order: str = "id") -> DataFrame:
+        """The best messages with `score`; queries of single words read the blocks that can hold them, others whole lists."""
+        q, m = parse(query, live), self.store.current()
+        messages = self._alive("messages", m)
+        if not q.positive or not all(map(counted_as, q.positive)) or not m.totals.get("messages"):
+            return ranked(self._alive("postings", m), messages.drop("batch"), q, live, limit, offset, order)
+        best = Blocks(self, m, q).best(limit + offset, order)
+        return _shown(best, messages.drop("batch"), limit, offset, order)
+
+    def resolve(self, hits: DataFrame, listing: DataFrame) -> DataFrame:
+        """The listing rows of hits as they are now, by source and key; hits whose message is gone are left out."""
+        keyed = numbered(listing.withColumn("key0", message_key(listing.columns))).drop("key0")
+        return keyed.join(hits.select("source_name", "key"), ["source_name", "key"], "left_semi")
+
+    # What writers do
+
+    def _begin(self) -> Manifest:
+        self.store.vacuum()
+        m = self.store.current()
+        m.batch += 1
+        m.totals["form"] = SCHEMA
+        return m
+
+    def _write_terms(self, stored: DataFrame, m: Manifest, n: int) -> None:
+        """The postings of messages just written, and their blocks."""
+        # A range exchange samples its input; written aside, the texts are parted once.
+        aside = Manifest()
+        found = self.store.write(postings(stored, keep=("batch", "length")), "staged", aside)
+        found = self.store.write(found.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "postings", m)
+        self.store.drop(aside)
+        self.store.write(dictionary(found, n, self.block).repartitionByRange("token").sortWithinPartitions("token"), "terms", m)
+
+    def _write_gone(self, removed: DataFrame, m: Manifest) -> int:
+        """Take messages (rows of `messages` with their texts) out of the index; how many."""
+        texts = removed.select("id", "batch", "length", *[c for c in WEIGHTS if c in removed.columns])
+        gone = self.store.write(removed.select("id", "length", F.lit(m.batch).cast("long").alias("batch")), "gone", m)
+        n, words = gone.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        self.store.write(taken_back(postings(texts, keep=("batch", "length"))).repartitionByRange("token").sortWithinPartitions("token"), "terms", m)
+        for k, v in (("gone", n), ("messages", -n), ("words", -words)):
+            m.totals[k] = m.totals.get(k, 0) + v
+        return n
+
     def update(self, listing: DataFrame, fingerprints: DataFrame, force: bool = False, complete: bool = True, texts: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
         """Bring the sources in the listing up to date; only messages whose key is unknown are read, indexed and written.
 
-        listing: source_name, nid and the listing's fields, which give the keys. texts: the indexed texts (and whatever
-        else is stored) of the listing rows it is given, under the same source_name and nid; without it the listing
-        itself holds them. fingerprints: source_name, size, mtime.
+        listing: source_name, nid (unique in its source) and the listing's fields, which give the keys. Rows whose
+        `unread` is true stand for messages that couldn't be read this time: they aren't indexed, and nothing is removed
+        from their source. texts: the indexed texts (and whatever else is stored) of the listing rows it is given, under
+        the same source_name and nid; without it the listing itself holds them. fingerprints: source_name, size, mtime.
         """
-        batch = self._batch() + 1
-        for table in ("messages", "postings", "gone"):
-            self._delete(f"{table}/source_name=*/batch={batch}")  # of a run that broke off
-        keyed = numbered(listing.withColumn("key0", message_key(listing.columns))).drop("key0")
+        m = self._begin()
+        failed = None
+        if "unread" in listing.columns:
+            failed = listing.where("unread").select("source_name").distinct().withColumn("_failed", F.lit(True))
+            listing = listing.where("not coalesce(unread, false)").drop("unread")
+        narrow = listing.select("source_name", "nid", message_key(listing.columns).alias("key0")).persist()
+        keyed = numbered(narrow).select("source_name", "nid", "key", F.lit(True).alias("_here"))
         names = fingerprints.select("source_name").distinct()
-        old = self.messages()
-        before = keyed.limit(0).select("source_name", "key", F.lit("").alias("id")) if old is None else old.join(names, "source_name", "left_semi").select("source_name", "key", "id")
-        before = before.persist()
-        narrow = keyed.select("source_name", "key").persist()
-        changes = plan_changes(narrow, before.limit(0) if force else before, complete=complete)
-        totals = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
-        out = before if force else before.join(narrow, ["source_name", "key"], "left_anti") if complete else before.limit(0)
-        if force:
-            totals["removed"] = before.count()
-        if totals.get("removed"):
-            self._append(out.select("source_name", "id", F.lit(batch).alias("batch")), "gone")
-        if totals.get("added"):
-            new = keyed if force else keyed.join(before.select("source_name", "key"), ["source_name", "key"], "left_anti")
+        old = self._alive("messages", m)
+        none = keyed.limit(0).select("source_name", "key", F.lit("").alias("id"))
+        there = none if old is None else old.join(names, "source_name", "left_semi").select("source_name", "key", "id")
+        plan = keyed.join(there.withColumn("_there", F.lit(True)), ["source_name", "key"], "full")
+        plan = plan.join(failed, "source_name", "left") if failed is not None else plan.withColumn("_failed", F.lit(None).cast("boolean"))
+        whole = F.lit(complete) & F.col("_failed").isNull()
+        change = F.when(F.col("_there").isNull(), "added").when(F.col("_here").isNull(), F.when(whole, "removed").otherwise("kept")).otherwise(F.lit("renewed" if force else "kept"))
+        plan = plan.select("source_name", "nid", "key", "id", change.alias("change")).persist()
+        totals = {r["change"]: r["n"] for r in plan.groupBy("change").agg(F.count("*").alias("n")).collect()}
+        out, into = plan.where("change in ('removed', 'renewed')"), plan.where("change in ('added', 'renewed')")
+        if totals.get("removed") or totals.get("renewed"):
+            self._write_gone(old.join(out.select("id"), "id", "left_semi"), m)
+        if totals.get("added") or totals.get("renewed"):
+            new = listing.drop("key").join(into.select("source_name", "nid", "key"), ["source_name", "nid"])
             new = new.withColumn("id", F.md5(F.concat_ws("\x00", "source_name", "key")))
             if texts is not None:
                 new = new.select("source_name", "nid", "key", "id", *[c for c in ("path", "offset", "size", "kind", "flag_read", "folder") if c in new.columns])
                 new = texts(new).join(new.select("source_name", "nid", "key", "id"), ["source_name", "nid"])
-            self._append(new.withColumn("length", length(new)).withColumn("batch", F.lit(batch)), "messages")
-            stored = self._read("messages").where(F.col("batch") == batch)
-            sent = postings(stored).join(stored.select("id", "source_name"), "id").withColumn("batch", F.lit(batch))
-            self._append(sent.repartitionByRange("source_name", "token", "id").sortWithinPartitions("source_name", "token", "id"), "postings")
-        counts = self._counts(batch).join(names, "source_name", "left_semi")
-        done = fingerprints.join(counts, "source_name", "left").select("source_name", "size", F.col("mtime").cast("double").alias("mtime"), F.lit(complete).alias("complete"), F.coalesce("messages", F.lit(0)).cast("long").alias("messages"), F.lit(SCHEMA).alias("schema"), F.lit(batch).alias("batch"))
-        self._append(done.coalesce(1), "sources")
-        before.unpersist()
+            stored = self.store.write(new.withColumn("length", length(new)).withColumn("batch", F.lit(m.batch).cast("long")), "messages", m)
+            n, words = stored.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+            self._write_terms(stored, m, n)
+            for k, v in (("messages", n), ("words", words)):
+                m.totals[k] = m.totals.get(k, 0) + v
+        counts = plan.where("change != 'removed'").groupBy("source_name").agg(F.count("*").alias("messages"))
+        done = fingerprints.join(counts, "source_name", "left")
+        done = done.join(failed, "source_name", "left") if failed is not None else done.withColumn("_failed", F.lit(None).cast("boolean"))
+        self.store.write(_states(done.select("source_name", "size", F.col("mtime").cast("double").alias("mtime"), whole.alias("complete"), F.coalesce("messages", F.lit(0)).cast("long").alias("messages"), F.lit(False).alias("removed")), m), "sources", m)
+        self.store.commit(m)
+        plan.unpersist()
         narrow.unpersist()
-        return {k: totals.get(k, 0) for k in ("added", "kept", "removed")}
-
-    def _counts(self, batch: int) -> DataFrame:
-        """Messages of each source once this batch counts."""
-        rows, gone = self._read("messages"), self._read("gone")
-        if rows is None:
-            return self.spark.createDataFrame([], "source_name string, messages long")
-        if gone is not None:
-            gone = gone.groupBy("id").agg(F.max("batch").alias("_gone"))
-            rows = rows.select("source_name", "id", "batch").join(gone, "id", "left").where("_gone is null or batch >= _gone")
-        return rows.groupBy(F.col("source_name").cast("string").alias("source_name")).agg(F.count("*").alias("messages"))
+        return {"added": totals.get("added", 0) + totals.get("renewed", 0), "kept": totals.get("kept", 0), "removed": totals.get("removed", 0) + totals.get("renewed", 0)}
 
     def remove(self, source: str) -> int:
-        rows = self.messages()
-        n = 0 if rows is None else rows.where(F.col("source_name") == source).count()
-        for table in reversed(self.TABLES):
-            self._delete(f"{table}/source_name={source}")
+        """Take a source and all its messages out of the index."""
+        m = self._begin()
+        rows = self._alive("messages", m)
+        if rows is None:
+            return 0
+        n = self._write_gone(rows.where(F.col("source_name") == source), m)
+        state = self.spark.createDataFrame([(source, 0, 0.0, True, 0, True)], "source_name string, size long, mtime double, complete boolean, messages long, removed boolean")
+        self.store.write(_states(state, m), "sources", m)
+        self.store.commit(m)
         return n
 
     def prune(self, present: DataFrame) -> list[str]:
         """Remove sources that are not among those present; their names."""
-        rows = self._read("sources")
-        gone = [] if rows is None else [r["source_name"] for r in rows.select("source_name").distinct().join(present, "source_name", "left_anti").collect()]
+        rows = self.sources()
+        gone = [] if rows is None else [r["source_name"] for r in rows.select("source_name").join(present, "source_name", "left_anti").collect()]
         for name in gone:
             self.remove(name)
         return gone
 
     def clear(self) -> None:
-        for table in reversed(self.TABLES):
-            self._delete(table)
-
-    def search(self, query: str, live: bool = False) -> DataFrame:
-        return search(self.postings(), self.messages(), query, live)
-
-    def ranked(self, query: str, live: bool = False, limit: int = 500, offset: int = 0) -> DataFrame:
-        return ranked(self.postings(), self.messages(), query, live, limit, offset)
-
-    def resolve(self, hits: DataFrame, listing: DataFrame) -> DataFrame:
-        """The listing rows of hits as they are now, by source and key; hits whose message is gone are left out."""
-        keyed = numbered(listing.withColumn("key0", message_key(listing.columns))).drop("key0")
-        return keyed.join(hits.select("source_name", "key"), ["source_name", "key"], "left_semi")
+        """An empty index; its batches go on."""
+        m = self.store.current()
+        if m.version:
+            self.store.commit(Manifest(m.version, m.batch, totals={"form": SCHEMA}))
+            self.store.vacuum(1)
 
     def optimize(self) -> None:
-        """Rewrite the postings of the messages that are there in the order of tokens, as of the last batch."""
-        rows = self.postings()
+        """Every table as one segment of what is there, in the order of tokens where it has any."""
+        m = self._begin()
+        rows = self._alive("messages", m)
         if rows is None:
             return
-        staged, batch = f"{self.path}/staged-postings", self._batch()
-        kept = rows.join(self.messages().select("id"), "id", "left_semi").withColumn("batch", F.lit(batch))
-        kept.repartitionByRange("source_name", "token", "id").sortWithinPartitions("source_name", "token", "id").write.mode("overwrite").partitionBy("source_name", "batch").parquet(staged)
-        path, system = self._files()
-        # The old table steps aside before the new one takes its name; neither step leaves half a table.
-        system.rename(path(f"{self.path}/postings"), path(f"{self.path}/postings-old"))
-        system.rename(path(staged), path(f"{self.path}/postings"))
-        self._delete("postings-old")
-
-    def statistics(self) -> DataFrame:
-        rows = self.messages()
-        atts = F.coalesce(F.sum("att_count"), F.lit(0)) if "att_count" in rows.columns else F.lit(0)
-        return rows.agg(F.count_distinct("source_name").alias("sources"), F.count("*").alias("messages"), atts.alias("attachments"))
+        new = Manifest(m.version, m.batch, totals={"form": SCHEMA})
+        batch = F.lit(m.batch).cast("long")
+        stored = self.store.write(rows.withColumn("batch", batch), "messages", new)
+        n, words = stored.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        new.totals |= {"messages": n, "words": words}
+        kept = self._alive("postings", m)
+        if kept is not None:
+            kept = self.store.write(kept.withColumn("batch", batch).repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "postings", new)
+            self.store.write(dictionary(kept, n, self.block).repartitionByRange("token").sortWithinPartitions("token"), "terms", new)
+        states = latest(self.store.read("sources", m), ["source_name"]).where("not removed").drop("batch")
+        self.store.write(_states(states, m), "sources", new)
+        self.store.commit(new)
+
+
+def _states(rows: DataFrame, m: Manifest) -> DataFrame:
+    return rows.select("source_name", "size", "mtime", "complete", "messages", "removed", F.lit(m.batch).cast("long").alias("batch"))
+
+
+class Blocks:
+    """The best documents of a query of single words, by the bounds of the dictionary's blocks."""
+
+    def __init__(self, index: Index, m: Manifest, q: Query):
+        self.index, self.m, self.q = index, m, q
+        self.n, self.mean = m.totals["messages"], m.totals["words"] / max(1, m.totals["messages"])
+        words = [t.words[0] for t in q.positive]
+        rows = index.store.read("terms", m).where(F.col("token").isin(words))
+        sums = {r["token"]: r for r in rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS]).collect()}  # a row a word
+        self.df = [sums[w][counted_as(t)] if w in sums else 0 for w, t in zip(words, q.positive, strict=True)]
+        self.blocks = rows.where("level is not null")
+        #: The finest level of each batch: a row a segment and word.
+        self.level: dict[int, int] = {}
+        for r in self.blocks.select("batch", "level").distinct().collect():
+            self.level[r["batch"]] = max(r["level"], self.level.get(r["batch"], 0))
+
+    def _idf(self, df: int) -> float:
+        idf = math.log((self.n - df + 0.5) / (df + 0.5))
+        return idf if idf > 0 else 1e-6
+
+    def ranges(self) -> DataFrame:
+        """(batch, range, bound): ranges of ids at their batch's finest level that may hold all words, and no score exceeds its bound."""
+        finest = self._finest()
+        found: DataFrame | None = None
+        for i, t in enumerate(self.q.positive):
+            fold = F.pow(F.lit(2.0), finest - F.col("level")).cast("long")
+            f, short = F.col("top"), F.col("short")
+            bound = F.lit(self._idf(self.df[i])) * f * (K1 + 1) / (f + K1 * (1 - B + B * short / self.mean))
+            rows = self.blocks.where(F.col("token") == t.words[0]).select("batch", bound.alias(f"b{i}"), F.explode(F.sequence(F.col("range") * fold, (F.col("range") + 1) * fold - 1)).alias("range"))
+            found = rows if found is None else found.join(rows, ["batch", "range"])
+        return found.select("batch", "range", reduce(lambda a, b: a + b, [F.col(f"b{i}") for i in range(len(self.q.positive))]).alias("bound"))
+
+    def _finest(self) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in self.level.items() for x in pair]), F.col("batch").cast("int"))
+
+    def scored(self, within: Callable[[DataFrame], DataFrame], order: str) -> DataFrame:
+        """(id, order, score) of the documents in these ranges that match the whole query."""
+        table = within(self.index._alive("postings", self.m))
+        best: DataFrame | None = None
+        for i, t in enumerate(self.q.positive):
+            rows = table.where((F.col("token") == t.words[0]) & in_columns(t)).select("id", frequency(t).alias(f"tf{i}"), *([] if i else ["length"]))
+            best = rows if best is None else best.join(rows, "id")
+        for t in self.q.negative:
+            best = best.join(lookup(table, t), "id", "left_anti")
+        count = range(len(self.q.positive))
+        score = scan.bm25([F.col(f"tf{i}") for i in count], [F.lit(d) for d in self.df], F.col("length"), F.lit(self.n), F.lit(self.mean))
+        best = best.select("id", score.alias("score"))
+        if order != "id" or self.q.folder or self.q.source or self.q.after or self.q.before or self.q.has_att is not None:
+            messages = self.index._alive("messages", self.m)
+            columns = dict.fromkeys(["id", order, *[c for c in FILTERED if c in messages.columns]])
+            best = best.join(messages.where(scan.filters(self.q, messages.columns)).select(*columns), "id")
+        return best.select(*dict.fromkeys(["id", order, "score"]))
+
+    def _pushed(self, ranges: list) -> Callable[[DataFrame], DataFrame]:
+        """Rows in these ranges, as bounds of ids that the scan can use; neighbours are one."""
+        spans: dict[int, list[list[int]]] = {}
+        for batch, r in sorted((x["batch"], x["range"]) for x in ranges):
+            mine = spans.setdefault(batch, [])
+            if mine and mine[-1][1] == r:
+                mine[-1][1] = r + 1
+            else:
+                mine.append([r, r + 1])
+        tests = [F.lit(False)]
+        for batch, each in spans.items():
+            bits = BITS - self.level[batch]
+            for lo, hi in each:
+                test = (F.col("batch") == batch) & (F.col("id") >= f"{lo << bits:0{BITS // 4}x}")
+                tests.append(test & (F.col("id") < f"{hi << bits:0{BITS // 4}x}") if hi << bits < 1 << BITS else test)
+        return lambda rows: rows.where(reduce(lambda a, b: a | b, tests))
+
+    def _joined(self, ranges: DataFrame, n: int) -> Callable[[DataFrame], DataFrame]:
+        ranges = ranges.select("batch", "range")
+        ranges = F.broadcast(ranges) if n <= SMALL else ranges
+        at = F.floor(place() / F.pow(F.lit(2.0), F.lit(BITS) - self._finest())).cast("long")
+        return lambda rows: rows.withColumn("range", at).join(ranges, ["batch", "range"], "left_semi").drop("range")
+
+    def kept(self, k: int) -> tuple[DataFrame, int, int]:
+        """The ranges that can hold one of the best k, how many they are, and how many there are at all."""
+        ranges = self.ranges().persist()
+        total = ranges.count()
+        if total <= FIRST:
+            return ranges, total, total
+        first = ranges.orderBy(F.desc("bound")).limit(FIRST).collect()
+        # The k-th of the scores in the most promising ranges: k numbers at most.
+        scores = [r["score"] for r in self.scored(self._pushed(first), "id").orderBy("score").limit(k).select("score").collect()]
+        if len(scores) < k:
+            return ranges, total, total
+        kept = ranges.where(F.col("bound") >= -scores[-1] * (1 - 1e-9))
+        return kept, kept.count(), total
+
+    def best(self, k: int, order: str) -> DataFrame:
+        """(id, order, score) of documents with the best k among them."""
+        if not self.level or not all(self.df):
+            return self.scored(lambda rows: rows.limit(0), order)
+        kept, n, _ = self.kept(k)
+        return self.scored(self._pushed(kept.collect()) if n <= PUSHED else self._joined(kept, n), order)

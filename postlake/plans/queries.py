@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, message
 from ..functions import text as T
+from ..functions.storage import shared_path
 from ..operators import filters, index, search, stats
 from ..operators.filters import RowFilter
 from ..streaming import windows
@@ -20,7 +18,6 @@ from .views import ATTACHMENTS, DOCS, LISTING, NORMS, attachments, docs, listing
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-_indexes: dict[tuple[str, str], index.Index] = {}
 
 
 def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -371,45 +368,95 @@ def search_snippet_phrase(spark, d):
 @_add("postings_size", f"WITH {TOKENS} SELECT token, count(DISTINCT id) AS docs, count(*) AS positions FROM tok WHERE token <> '' GROUP BY token")
 def postings_size(spark, d):
     table = index.postings(docs(spark, d).select("id", "body"))
-    return table.groupBy("token").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("positions"))
+    return table.groupBy("token").agg(F.count("*").alias("docs"), F.sum(F.size("places")).alias("positions"))
 
 
-def _stored(spark, d) -> index.Index:
-    """An index of the documents, built once for an application and a folder of tables."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _indexes:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.realpath(tempfile.mkdtemp())
-        found = index.Index(spark, f"{shared.rstrip('/')}/mail-index-{uuid.uuid4().hex}")
-        rows = docs(spark, d).withColumns({"nid": F.col("id"), "date": F.lit(None).cast("timestamp"), "att_count": F.lit(0).cast("long"), "doc": F.col("id")}).drop("id")
-        found.update(rows, stats.fingerprints(rows).select("source_name", "size", F.lit(0.0).alias("mtime")))
-        _indexes[key] = found
-    return _indexes[key]
+def _mail(spark, d) -> DataFrame:
+    """The documents as rows that an index takes."""
+    return docs(spark, d).withColumns({"nid": F.col("id"), "date": F.lit(None).cast("timestamp"), "to": F.col("id").cast("string"), "att_count": F.lit(0).cast("long"), "doc": F.col("id")}).drop("id")
+
+
+def _prints(rows: DataFrame) -> DataFrame:
+    return stats.fingerprints(rows).select("source_name", "size", F.lit(0.0).alias("mtime"))
+
+
+def _indexed(spark, d) -> index.Index:
+    """A new index of all documents."""
+    found, rows = index.Index(spark, shared_path(spark, "mail-index")), _mail(spark, d)
+    found.update(rows, _prints(rows))
+    return found
+
+
+@_add("index_build", f"WITH {TOKENS} SELECT (SELECT count(*) FROM docs) AS messages, (SELECT count(*) FROM docs WHERE body IS NOT NULL) AS bodies, count(DISTINCT token) AS tokens, count(*) AS positions FROM tok WHERE token <> ''")
+def index_build(spark, d):
+    """The whole build, and what lies in its tables: messages, and the tokens and positions of bodies."""
+    idx, body = _indexed(spark, d), list(search.WEIGHTS).index("body")
+    places = idx.postings().select("token", F.size(F.filter("places", lambda p: F.shiftright(p, index.COLUMN) == body)).alias("n")).where("n > 0")
+    messages = idx.messages().agg(F.count("*").alias("messages"), F.count("body").alias("bodies"))
+    totals = places.agg(F.count_distinct("token").alias("tokens"), F.sum("n").alias("positions"))
+    return messages.join(totals)  # one row each
 
 
 @_add("index_search", f"WITH {NORMS} SELECT {H} FROM norms WHERE {ANY.format(' licensed under the ')} AND {ANY.format(' publ')} AND NOT {ANY.format(' moron ')} AND contains(lower(folder), 'en')")
 def index_search(spark, d):
-    return _stored(spark, d).search('"licensed under the" -moron in:en publ', live=True).select(F.col("doc").alias("id"), *HIT[1:])
+    return _indexed(spark, d).search('"licensed under the" -moron in:en publ', live=True).select(F.col("doc").alias("id"), *HIT[1:])
 
 
 @_add("index_ranked", _bm25(("licensed",), ("public",)))
 def index_ranked(spark, d):
-    idx = _stored(spark, d)
-    found = index.ranked(idx.postings(), idx.messages(), "licensed public", limit=20, order="doc")
+    """Document frequencies from the dictionary, and the scores of the blocks that can hold the best."""
+    found = _indexed(spark, d).ranked("licensed public", limit=20, order="doc")
     return found.select(F.col("doc").alias("id"), *HIT[1:], F.round("score", 6).alias("score"))
 
 
+@_add("index_terms", f"WITH {TOKENS}, kept AS (SELECT DISTINCT tok.id, token FROM tok JOIN docs ON docs.id = tok.id WHERE token <> '' AND folder IS DISTINCT FROM 'en') SELECT token, count(*) AS df FROM kept WHERE starts_with(token, 'l') GROUP BY token")
+def index_terms(spark, d):
+    """Words of bodies by prefix with their document frequencies, after a run that has lost the English messages."""
+    rows = _mail(spark, d).drop("subject", "sender", "to")
+    idx, prints = index.Index(spark, shared_path(spark, "mail-index")), _prints(rows)
+    idx.update(rows, prints)
+    idx.update(rows.where("not folder <=> 'en'"), prints)
+    return idx.terms("l")
+
+
 @_add("index_update", f"WITH {DOCS} SELECT 'added' AS change, count(*) AS n FROM docs WHERE id % 10 = 3 AND source_name IS NOT NULL UNION ALL SELECT 'kept', count(*) FROM docs WHERE id % 10 > 3 UNION ALL SELECT 'removed', count(*) FROM docs WHERE id % 10 < 3")
 def index_update(spark, d):
     """A second run over sources that have lost some messages and got others."""
-    rows = docs(spark, d).withColumns({"nid": F.col("id"), "date": F.lit(None).cast("timestamp"), "to": F.col("id").cast("string")}).drop("id")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.realpath(tempfile.mkdtemp())
-    idx = index.Index(spark, f"{shared.rstrip('/')}/mail-index-{uuid.uuid4().hex}")
-    prints = stats.fingerprints(rows).select("source_name", "size", F.lit(0.0).alias("mtime"))
+    rows = _mail(spark, d)
+    idx, prints = index.Index(spark, shared_path(spark, "mail-index")), _prints(rows)
     idx.update(rows.where("nid % 10 != 3"), prints)
     totals = idx.update(rows.where("nid % 10 >= 3"), prints)
     return spark.createDataFrame(list(totals.items()), "change string, n long")
 
 
+_LESS = f"WITH {{0}} SELECT {H} FROM norms WHERE {ANY.format(' licensed ')} AND {{1}}"
+
+
+@_add("index_remove", _LESS.format(NORMS, "source_name <> 'src1'"))
+def index_remove(spark, d):
+    """Two sources in a run of their own each, compacted; the later one goes, and a third comes: none of the others' is lost."""
+    rows = _mail(spark, d)
+    idx = index.Index(spark, shared_path(spark, "mail-index"))
+    for part in ("source_name not in ('src1', 'src2')", "source_name = 'src1'"):
+        idx.update(rows.where(part), _prints(rows.where(part)))
+    idx.optimize()
+    idx.remove("src1")
+    last = rows.where("source_name = 'src2'")
+    idx.update(last, _prints(last))
+    return idx.search("licensed").select(F.col("doc").alias("id"), *HIT[1:])
+
+
+@_add("index_compact", _LESS.format(NORMS, "folder IS DISTINCT FROM 'en'"))
+def index_compact(spark, d):
+    """Compaction after an update that has removed messages."""
+    rows = _mail(spark, d)
+    idx, prints = index.Index(spark, shared_path(spark, "mail-index")), _prints(rows)
+    idx.update(rows.where("not folder <=> 'fr'"), prints)
+    idx.update(rows.where("not folder <=> 'en'"), prints)
+    idx.optimize()
+    return idx.search("licensed").select(F.col("doc").alias("id"), *HIT[1:])
+
+
 # Text functions
 
 def _html_sql() -> str:

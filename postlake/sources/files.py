@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tree import read_tree
+from .tree import PLACE, read_tree
 
 MAILDIR = r"/(cur|new)/[^/]+$"
 FLAGS = r"[:!;]2,([A-Za-z]*)$"
@@ -65,7 +65,8 @@ def read_files(spark: SparkSession, root: str, head_only: bool = False) -> DataF
     """Raw messages of all message files at or under the root, in the shape that `mime.messages` and `mime.heads` take.
 
     Maildir: S is read, new mail is unread, T (trashed) and empty files are left out. Folders follow directories.
-    head_only: no file is read beyond its header block. nid is the place in the listing.
+    head_only: no file is read beyond its header block. nid is the place in the listing, in the upper bits as for the
+    messages of an mbox, so that both kinds of one listing share no number.
     """
     rows = files(spark, root, "head" if head_only else "true").where("length > 0")
     rows = rows.where("kind in ('maildir', 'eml', 'emlx')")
@@ -77,7 +78,7 @@ def read_files(spark: SparkSession, root: str, head_only: bool = False) -> DataF
     below = F.when(F.contains(parent, F.lit(f"/{base}/")), F.substring_index(parent, f"/{base}/", -1)).otherwise("")
     folder = F.regexp_replace(F.regexp_replace(below, "/$", ""), r"(^|/)(cur|new)$", "")
     folder = F.regexp_replace(F.regexp_replace(folder, r"\.mbox(/Data.*|/Messages)?", ""), r"^\.", "")
-    return rows.select(F.lit(base).alias("source_name"), folder.alias("folder"), F.col("number").alias("nid"), "kind", F.col("content").alias("raw"), read.alias("flag_read"), F.col("length").alias("size"), "error", "path")
+    return rows.select(F.lit(base).alias("source_name"), folder.alias("folder"), F.shiftleft("number", PLACE).alias("nid"), "kind", F.col("content").alias("raw"), read.alias("flag_read"), F.col("length").alias("size"), "error", "path")
 
 
 def contents(rows: DataFrame, root: str) -> DataFrame:

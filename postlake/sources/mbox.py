@@ -23,12 +23,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .tree import BYTES, MARK, MOST_HEAD, ROWS, listed
+from .tree import BYTES, MARK, MOST_HEAD, PLACE, ROWS, listed
 
 SCHEMA = "path string, number long, offset long, end long, size long, raw binary"
 READ, SPLIT, FILES = 1 << 20, 256 << 20, 500
-#: Bits of a message number that hold its place in the file (a terabyte); the file's place in the listing is above them.
-PLACE = 40
 SEPARATOR = re.compile(rb"\n\r?\nFrom ")
 #: Rows that are broadcast at most.
 SMALL = 1 << 16
