@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch; a longer row is a batch of its own.
@@ -248,6 +248,20 @@ class ChunkCoder:
         return np.concatenate(items), np.cumsum(np.concatenate(counts))
 
 
+def valid(column: str | Column) -> Column:
+    """Text with invalid UTF-8 replaced by U+FFFD, the rule of all operators that read characters."""
+    return F.make_valid_utf8((F.col(column) if isinstance(column, str) else column).cast("string"))
+
+
+def valid_texts(column: pa.Array) -> pa.Array:
+    """The same for texts that travel with other columns."""
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array([None if b is None else b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()], pa.string())
+    return column
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 

@@ -71,9 +71,9 @@ def _compare(run: pa.Table, threshold: float, exact: bool) -> dict | None:
     bucket, pair = run["bucket"][0].as_py(), run["pair"][0].as_py()
     t, node, block = bucket >> 32, run["node"].to_numpy(), run["block"].to_numpy()
     load = np.frombuffer(b"".join(run["load"].to_pylist()), np.uint8).reshape(n, -1)
-    rows, error = load[:, :4].copy().view("<u4")[:, 0].astype(np.int64), load[:, 4:8].copy().view("<f4")[:, 0]
-    tags = load[:, 8 : 8 + 4 * t].copy().view("<u4")
-    near_unit = decoded(load[:, 8 + 4 * t :])
+    rows, error = load[:, :8].copy().view("<i8")[:, 0], load[:, 8:12].copy().view("<f4")[:, 0]
+    tags = load[:, 12 : 12 + 4 * t].copy().view("<u4")
+    near_unit = decoded(load[:, 12 + 4 * t :])
     unit = np.frombuffer(b"".join(run["vec"].to_pylist()), np.float64).reshape(n, -1) if exact else None
     added, root, doubtful, any_link = np.zeros(n, np.int64), node.copy(), np.zeros(n, bool), np.zeros(n, bool)
     linked = np.zeros((n, n), bool)
@@ -167,9 +167,9 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, seed: int = 0)
             tag = np.frombuffer(b"".join(batch["tags"].to_pylist()), "<u4").reshape(n, tables).astype(np.int64)
             found = {"node": pa.array(np.repeat(batch["node"].to_numpy(), tables)), "bucket": pa.array((np.arange(tables)[None, :] << 32 | tag).ravel())}
             if loaded:
-                count = np.minimum(batch["rows"].to_numpy(), 2**32 - 1).astype("<u4").tobytes()
+                count = batch["rows"].to_numpy().astype("<i8").tobytes()
                 parts = zip(batch["code"].to_pylist(), batch["tags"].to_pylist(), strict=True)
-                found["load"] = pa.array([count[4 * i : 4 * i + 4] + c[:4] + g[: 4 * t] + c[4:] for i, (c, g) in enumerate(parts) for t in range(tables)], pa.binary())
+                found["load"] = pa.array([count[8 * i : 8 * i + 8] + c[:4] + g[: 4 * t] + c[4:] for i, (c, g) in enumerate(parts) for t in range(tables)], pa.binary())
             return found
 
         return run
@@ -191,7 +191,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, seed: int = 0)
 
     def loaded(batch: pa.RecordBatch) -> dict:
         parts = zip(batch["bucket"].to_pylist(), batch["rows"].to_pylist(), batch["code"].to_pylist(), batch["tags"].to_pylist(), strict=True)
-        load = [min(n, 2**32 - 1).to_bytes(4, "little") + c[:4] + g[: 4 * (b >> 32)] + c[4:] for b, n, c, g in parts]
+        load = [n.to_bytes(8, "little") + c[:4] + g[: 4 * (b >> 32)] + c[4:] for b, n, c, g in parts]
         return {c: batch[c] for c in ("node", "bucket", "pair", "block", "vec")} | {"load": pa.array(load, pa.binary())}
 
     again = over_batches(again, loaded, "node long, bucket long, pair long, block long, vec binary, load binary")

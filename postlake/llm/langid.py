@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, over_batches, prepare
+from .common import id_crc, over_batches, prepare, valid_texts
 
 PROFILE = 300
 SAMPLE = 20_000
@@ -90,7 +90,7 @@ def learn(documents: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
 
     def counted(batch: pa.RecordBatch) -> dict:
         by: dict[str, list] = {}
-        for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
+        for text, lang in zip(valid_texts(batch["text"]).to_pylist(), batch["lang"].to_pylist(), strict=True):
             by.setdefault(lang, []).append(text)
         langs, grams, counts = [], [], []
         for lang, texts in by.items():
@@ -117,7 +117,7 @@ def identify(documents: DataFrame, profiles: dict[str, np.ndarray], columns: lis
     wanted = documents.select(*columns, *[text] * (text not in columns))
 
     def predicted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [ranker.predict(t) for t in batch[text].to_pylist()]
+        found = [ranker.predict(t) for t in valid_texts(batch[text]).to_pylist()]
         arrays = [batch[c] for c in columns] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
         return pa.RecordBatch.from_arrays(arrays, names=[*columns, "lang_pred", "score"])
 

@@ -28,7 +28,6 @@ FRAME = SIDE * SIDE
 KEY_EVERY = 12
 RATE = 25
 CHUNK_FRAMES = 64
-DEPTH = 16
 #: Boxes that hold boxes (fixed values of the format).
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"}
 
@@ -80,10 +79,13 @@ def write(payload: bytes) -> bytes:
     return brand + movie(offsets) + struct.pack(">I4sQ", 1, b"mdat", 16 + len(payload)) + payload
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None, depth: int = 0, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path, start and end of content) of every box, nested ones after their parent."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def boxes(data: bytes) -> Iterator[tuple[tuple, int, int]]:
+    """(path, start and end of content) of every box, nested ones after their parent, at any depth."""
+    start, end, path, outer = 0, len(data), (), []
+    while start + 8 <= end or outer:
+        if start + 8 > end:  # back to where the box around ends
+            start, (end, path) = end, outer.pop()
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1:
@@ -93,9 +95,11 @@ def boxes(data: bytes, start: int = 0, end: int | None = None, depth: int = 0, p
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} at {start} has a bad size")
         yield (*path, kind), start + head, start + size
-        if kind in CONTAINERS and depth < DEPTH:
-            yield from boxes(data, start + head, start + size, depth + 1, (*path, kind))
-        start += size
+        if kind in CONTAINERS:
+            outer.append((end, path))
+            start, end, path = start + head, start + size, (*path, kind)
+        else:
+            start += size
 
 
 def _table(data: bytes, at: int, kind: str, columns: int = 1) -> np.ndarray:
@@ -181,11 +185,11 @@ def store(documents: DataFrame) -> DataFrame:
     spark = prepare(documents.sparkSession)
 
     def build(batch: pa.RecordBatch) -> dict:
-        data = [(t or "").encode() for t in batch["text"].to_pylist()]
+        data = [t or b"" for t in batch["text"].to_pylist()]
         return {"doc_id": batch["doc_id"], "n_bytes": pa.array([len(d) for d in data], pa.int64()), "media": pa.array([write(payload_of(d)) for d in data], pa.binary())}
 
     path = new_path(spark, "media")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     over_batches(rows, build, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCoder, blocks, checked, grouped, mix64, narrowed, over_batches, prepare, release, runs, settle, split_hot, views, words
+from .common import ChunkCoder, blocks, checked, grouped, mix64, narrowed, over_batches, prepare, release, runs, settle, split_hot, valid, views, words
 from .components import components
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 42, 6, 0.8
@@ -184,7 +184,7 @@ def sketches(documents: DataFrame) -> DataFrame:
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    rows = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), valid("text").alias("text"))
     return rows.withColumn("row_key", F.coalesce("doc_id", F.xxhash64("text")))
 
 
@@ -434,7 +434,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     kept = settle(kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_copies"))
     rows = documents.toDF(*[f"column{i}" for i in range(len(names))])
     doc_id, text = (F.col(f"column{names.index(c)}") for c in ("doc_id", "text"))
-    rows = rows.withColumns({"_row": doc_id.cast("long"), "_text": F.unhex(F.md5(text.cast("string")))})
+    rows = rows.withColumns({"_row": doc_id.cast("long"), "_text": F.unhex(F.md5(valid(text)))})
     rows = rows.join(kept, F.col("_row").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
     # Rows that stay are nearly all alone under their id and text; only the others are shuffled as a whole.
     alone, several = rows.where(text.isNull() | (F.col("_copies") == 1)), rows.where("_copies > 1").dropDuplicates(["_id", "_key"])

@@ -5,7 +5,8 @@ input, so the encoding follows it and runs once). Each task writes its range as
 with the number of its part and the ids before each document in it, so that files can be read stripe by
 stripe in parallel and a lookup by doc_id skips files, stripes and row groups by their statistics and filters.
 
-Null text counts as empty; a null doc_id comes first; rows that repeat a doc_id keep one order in the file.
+Null text counts as empty; a null doc_id comes first; rows that repeat a doc_id stand in the order of a
+hash of their texts, by which they may also be parted. Invalid UTF-8 is read as U+FFFD.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, over_batches, prepare
+from .common import new_path, over_batches, prepare, valid
 from .tokens import encoder, vocabulary
 
 END = 2
@@ -31,8 +32,9 @@ def write_ids(documents: DataFrame, path: str, vocabulary_path: str | None = Non
     """part, doc_id, before (ids of the part's earlier documents) and ids of every document, as ORC at the path."""
     prepare(documents.sparkSession)
     vocab = vocabulary_path or vocabulary()
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text").alias("text"))
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]  # rows of one id are dealt by their texts
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def encode(batches):
         from pyspark import TaskContext

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCoder, over_batches, prepare
+from .common import ChunkCoder, over_batches, prepare, valid
 
 MARK = "▁"
 #: Fixed values of the format: piece types and model types.
@@ -229,7 +229,7 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
         same = [np.array_equal(ids[i:j], o) for i, j, o in zip(at[:-1], at[1:], theirs, strict=True)]
         return {"doc_id": batch["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), "decoded": pa.array(decoded, pa.string()), "round_trip": pa.array([d == t for d, t in zip(decoded, plain, strict=True)], pa.bool_()), "parity": pa.array(same, pa.bool_())}
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text").alias("text"))
     return over_batches(rows, run, "doc_id long, ids array<int>, decoded string, round_trip boolean, parity boolean")
 
 

@@ -14,8 +14,8 @@ scored with the tokens of the other fold, so that neither is fitted to segments
 then holds the tokens of both. If a fold lacks one of the classes, all rows are scored with the tokens of all.
 
 Labels are learned from at most SAMPLE labelled documents in the order of a hash of their ids, from their whole
-texts; a document of several labels is toxic if one of them says so. All telling tokens of these documents are
-kept: those of positive score, and those that occur FEW times or more with a score under -DRIFT; a token lowers a
+texts; a document of several labels is toxic if one of them says so, and of rows that repeat a labelled id one text
+learns (the first by hash). The telling tokens of these documents are kept, the TERMS strongest at most: those of positive score, and those that occur FEW times or more with a score under -DRIFT; a token lowers a
 segment by LOWEST at most, since a strongly negative one would hide what follows it. Every text is scored whole.
 Null and empty texts have no segment and get the score of no evidence.
 """
@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCoder, id_crc, over_batches, prepare, words
+from .common import ChunkCoder, id_crc, over_batches, prepare, release, settle, valid, valid_texts, words
 
-SAMPLE = 20_000
+SAMPLE, TERMS = 20_000, 1 << 18
 PRIOR, Z, DRIFT, FEW, LOWEST = 0.5, 1.0, 1.0, 5, -3.0
 SIGNIFICANT, MOST = 3.0, 30.0
 EULER = 0.5772156649015329
@@ -118,7 +118,8 @@ def _scores(counts: DataFrame) -> dict[str, float] | None:
     odds = F.log((F.col("toxic") + a) / (total("toxic") - F.col("toxic"))) - F.log((F.col("clean") + a) / (total("clean") - F.col("clean")))
     bound = odds - Z * F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a)) - DRIFT
     telling = counts.select("token", bound.alias("score"), (F.col("clean") + F.col("toxic")).alias("n")).where(f"n > 0 and (score > 0 or (n >= {FEW} and score < -{DRIFT}))")
-    return {r["token"]: max(r["score"], LOWEST) for r in telling.collect()}  # tokens of at most SAMPLE documents
+    telling = telling.orderBy(F.desc(F.abs("score")), "token").limit(TERMS)
+    return {r["token"]: max(r["score"], LOWEST) for r in telling.collect()}
 
 
 def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -126,8 +127,9 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     spark = prepare(documents.sparkSession)
     each = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     each = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int"))
-    # At most `sample` rows of three numbers.
-    marked = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(each), "doc_id")
+    # At most `sample` rows of three numbers are broadcast, and one text for each of them is kept.
+    marked = documents.where("text is not null").select("doc_id", valid("text").alias("text")).join(F.broadcast(each), "doc_id")
+    marked = settle(marked.groupBy("doc_id", "toxic", "fold").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
 
     def counted(batch: pa.RecordBatch) -> dict:
         by: dict[str, list[int]] = {}
@@ -142,6 +144,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     folds = [_scores(counts.select("token", F.col(f"clean{i}").alias("clean"), F.col(f"toxic{i}").alias("toxic"))) for i in (0, 1)] if both is not None else []
     counts.unpersist()
     if both is None:
+        release(marked)
         return Model({})
     model = Model(both)
     others = [Model(both), Model(both)] if None in folds else [Model(folds[1]), Model(folds[0])]  # a fold's tokens score the other
@@ -173,6 +176,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
             m.scale, m.location = scale, (float(rest.mean() - EULER * scale), slope)
     fit = in_folds(lambda m, texts: [(min(f[0], MOST), f[1]) for f in m.evidence(texts)], ["best", "total"])
     model.weights = _logistic(fit[:, 1:], (fit[:, 0] > 0).astype(float))
+    release(marked)
     return model
 
 
@@ -190,7 +194,7 @@ def score(documents: DataFrame, model: Model, columns: list[str], text: str = "t
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = held.value
-        found = m.evidence(batch[text])
+        found = m.evidence(valid_texts(batch[text]))
         spans = [[{"start": a, "end": b, "x": x} for a, b, x in f[2]] for f in found]
         arrays = [batch[c] for c in columns] + [pa.array([m.score(*f[:2]) for f in found], pa.float64()), pa.array(spans, pa.list_(passage))]
         return pa.RecordBatch.from_arrays(arrays, names=[*columns, "score", "passages"])
