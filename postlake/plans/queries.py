@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, message
 from ..functions import text as T
 from ..functions.storage import shared_path
-from ..operators import filters, index, search, stats
+from ..operators import filters, folders, index, search, stats
 from ..operators.filters import RowFilter
 from ..streaming import windows
 from .views import ATTACHMENTS, DOCS, LISTING, NORMS, attachments, docs, listing, table
@@ -227,6 +227,38 @@ def orphans(spark, d):
     return rows.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").join(reachable, "source", "left_anti").select("doc_id", "source")
 
 
+#: Customers as folders: each third one below its third, some on cycles of two, some under a folder that isn't there.
+FOLDERS = """folders AS (SELECT c_custkey AS folder_id, CASE WHEN c_custkey = 1 THEN NULL WHEN c_custkey % 50 = 10 THEN c_custkey + 1 WHEN c_custkey % 50 = 11 THEN c_custkey - 1
+WHEN c_custkey % 50 = 20 THEN -c_custkey ELSE greatest(1, c_custkey // 3) END AS parent_id, c_name AS name FROM customer),
+walked AS (SELECT folder_id, name AS path, 0 AS depth FROM folders WHERE parent_id IS NULL UNION ALL SELECT f.folder_id, path || '/' || name, depth + 1 FROM walked w JOIN folders f ON f.parent_id = w.folder_id)"""
+
+
+def _folders(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    parent = F.when(k == 1, None).when(k % 50 == 10, k + 1).when(k % 50 == 11, k - 1).when(k % 50 == 20, -k).otherwise(F.greatest(F.lit(1), F.floor(k / 3)))
+    return table(spark, d, "customer").select(k.alias("folder_id"), parent.cast("long").alias("parent_id"), F.col("c_name").alias("name"))
+
+
+def _filed(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("nid"), F.col("o_custkey").alias("folder_id"), F.floor("o_totalprice").cast("long").alias("size"))
+
+
+@_add("folder_tree", f"WITH RECURSIVE {FOLDERS} SELECT f.folder_id, name, path, depth FROM folders f LEFT JOIN walked w ON w.folder_id = f.folder_id")
+def folder_tree(spark, d):
+    return folders.tree(_folders(spark, d))
+
+
+@_add("orphaned_messages", f"WITH RECURSIVE {FOLDERS} SELECT o_orderkey AS nid, coalesce(path, '(orphaned messages)') AS folder FROM orders LEFT JOIN walked ON folder_id = o_custkey")
+def orphaned_messages(spark, d):
+    """The listing with the messages of lost folders in one of their own."""
+    return folders.with_orphans(_filed(spark, d), folders.tree(_folders(spark, d))).select("nid", "folder")
+
+
+@_add("folder_totals", f"WITH RECURSIVE {FOLDERS}, filed AS (SELECT coalesce(path, '(orphaned messages)') AS folder, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders LEFT JOIN walked ON folder_id = o_custkey), parts AS (SELECT size, string_split(folder, '/') AS p FROM filed) SELECT array_to_string(p[1:i], '/') AS folder, count(*) AS messages, CAST(sum(size) AS BIGINT) AS size FROM (SELECT size, p, unnest(range(1, len(p) + 1)) AS i FROM parts) GROUP BY 1")
+def folder_totals(spark, d):
+    return folders.totals(_filed(spark, d), folders.tree(_folders(spark, d)))
+
+
 @_add("dedupe_exact", f"WITH {DOCS} SELECT min(id) AS id, sha1(body) AS hash, count(*) AS copies FROM docs GROUP BY 2")
 def dedupe_exact(spark, d):
     return docs(spark, d).groupBy(F.sha1("body").alias("hash")).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
