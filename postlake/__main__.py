@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from .functions.dates import listing_bound
 from .operators import filters, search, stats
 from .operators.index import Index
 from .sinks import messages as sink
+from .sinks.export import log_lines, summary
 from .sources import extract, files, mbox, mime
 from .sources.tree import listed
 
@@ -69,7 +71,7 @@ TERM = "\x00"
 
 def terms(argv: list[str]) -> list[str]:
     """A word such as -newsletter is an excluded term, also where an option begins with its letter."""
-    known = {"-n", "--limit", "--json", "--export", "-h", "--help"}
+    known = {"-n", "--limit", "--json", "--export", "--format", "-h", "--help"}
     return [TERM + w if w.startswith("-") and w.partition("=")[0] not in known else w for w in argv]
 
 
@@ -100,6 +102,7 @@ def main(argv: list[str]) -> int:
     c.add_argument("-n", "--limit", type=int, default=200)
     c.add_argument("--json", action="store_true")
     c.add_argument("--export", default="")
+    c.add_argument("--format", default="json", choices=["json", "eml", "mbox", "txt", "html"])
     a = p.parse_args(terms(argv) if argv[:1] == ["find"] else argv)
     for text in (getattr(a, "since", None), getattr(a, "until", None)):
         if text and not listing_bound(text):
@@ -132,18 +135,39 @@ def main(argv: list[str]) -> int:
 
 
 def export(rows: DataFrame, a: argparse.Namespace) -> None:
+    per_source = len(dict.fromkeys(getattr(a, "sources", []))) > 1
     if a.format == "mbox":
         sink.write_mbox(rows, a.out)
         return
     if a.format == "attachments":
         kept = filters.wanted_attachments(mime.attachments(rows), a.extensions, () if a.attachment_kind == "all" else (a.attachment_kind,), a.skip_inline)
-        content = kept.select(F.concat(F.col("nid").cast("string"), F.lit("/"), F.col("att_no").cast("string"), F.lit(" "), sink.sanitize(F.col("filename"))).alias("path"), F.col("data").alias("content"))
+        folder = F.concat(F.col("nid").cast("string"), F.lit("/"), F.col("att_no").cast("string"), F.lit(" "), sink.sanitize(F.col("filename")))
+        content = kept.select((F.concat(sink.sanitize(F.col("source_name")), F.lit("/"), folder) if per_source else folder).alias("path"), F.col("data").alias("content"))
     else:
         make = {"eml": sink.as_eml, "txt": sink.as_text, "html": sink.as_html}[a.format]
-        content = make(sink.output_paths(rows, a.format))
-        sink.write_index(content.drop("raw"), a.out)
-    done = sink.write_files(content, a.out).agg(F.count("*").alias("files"), F.count("error").alias("failed")).first()
-    print(f"{done['files'] - done['failed']} exported, {done['failed']} failed")
+        content = make(sink.output_paths(rows, a.format, per_source=per_source))
+        sink.write_index(content.drop("raw", "html", "attachments"), a.out)
+    log = sink.write_files(content, a.out)
+    for r in log_lines(log).limit(20).collect():  # the rest is in the log
+        print(f"warning: {r['line']}", file=sys.stderr)
+    done = summary(log).first()
+    print(f"{done['exported']} exported, {done['failed']} failed")
+
+
+#: What an index keeps of where a message lies, so that hits can be read from their sources.
+PLACE = {"path": "string", "offset": "long", "kind": "string", "flag_read": "boolean"}
+
+
+def stored(new: DataFrame, uri: str) -> DataFrame:
+    """Whole messages of listing rows as the index stores them, with their places."""
+    places = new.select("source_name", "nid", F.lit(uri).alias("uri"), *PLACE)
+    return indexed(mime.messages(files.contents(new, uri))).join(places, ["source_name", "nid"])
+
+
+def whole(hits: DataFrame) -> DataFrame:
+    """The messages of hits as they are in their sources now; of those that are gone there is a row with an error."""
+    uris = [r["uri"] for r in hits.select("uri").distinct().collect()]  # sources of at most the limit of hits
+    return reduce(DataFrame.unionByName, [mime.messages(files.contents(hits.where(F.col("uri") == u), u)) for u in uris])
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -169,7 +193,7 @@ def index(spark: SparkSession, a: argparse.Namespace) -> int:
         places = raw.select("source_name", "nid", "path", "offset" if "offset" in raw.columns else F.lit(None).cast("long").alias("offset"), "kind", "flag_read", F.col("error").isNotNull().alias("unread"))
         listing = mime.heads(raw).join(places, ["source_name", "nid"])
         prints = spark.createDataFrame([(name, size, mtime)], "source_name string, size long, mtime double")
-        print(uri, idx.update(listing, prints, a.force, texts=lambda new, uri=uri: indexed(mime.messages(files.contents(new, uri)))))
+        print(uri, idx.update(listing, prints, a.force, texts=lambda new, uri=uri: stored(new, uri)))
     if a.prune and not failed:
         present = spark.createDataFrame([(u.rstrip("/").rpartition("/")[2],) for u in a.sources], "source_name string")
         print("removed", *idx.prune(present))
@@ -183,8 +207,10 @@ def index(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def find(spark: SparkSession, a: argparse.Namespace, query: str) -> int:
     hits = search.with_snippets(Index(spark, a.db).ranked(query, limit=a.limit), query).persist()
-    if a.export:
+    if a.export and a.format == "json":
         sink.hits_json(hits).select("json").write.mode("overwrite").text(a.export)
+    elif a.export and hits.take(1):
+        export(whole(hits), argparse.Namespace(format=a.format, out=a.export))
     out = sink.hits_json(hits).collect() if a.json else hits.select("date", "sender", "subject", "folder", "matched_in", "snippet").collect()  # at most the limit
     for r in out:
         print(r["json"] if a.json else "  ".join(str(v or "") for v in r))

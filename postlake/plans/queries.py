@@ -651,6 +651,15 @@ def export_index(spark, d):
     return index_rows(listing(spark, d))
 
 
+@_add("export_log", f"WITH {DOCS} SELECT folder || '/' || id || '.txt' AS path, CAST(strlen(body) AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS error FROM docs")
+def export_log(spark, d):
+    """Every document as a file of its own, staged, committed and moved to its place; the log."""
+    from ..sinks.messages import write_files
+
+    rows = docs(spark, d).select(F.concat("folder", F.lit("/"), F.col("id").cast("string"), F.lit(".txt")).alias("path"), F.col("body").alias("content"))
+    return write_files(rows, shared_path(spark, "export"))
+
+
 @_add("header_blocks", _listing_sql("SELECT nid, 'From: ' || sender || chr(10) || 'Date: ' || strftime(date, '%Y-%m-%d %H:%M:%S') || chr(10) || 'Subject: ' || subject AS head FROM listing"))
 def header_blocks(spark, d):
     from ..sinks.messages import header_block

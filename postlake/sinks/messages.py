@@ -1,7 +1,7 @@
 """Messages, listings, reports and hits as files.
 
 Content is made by column expressions, and Spark's writers store it; a message file is a row of (path, content)
-that `write_files` puts at its place from inside the tasks through the file system that the path names.
+that an export puts at its place (see `export`).
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ def base_name(columns: list[str]) -> Column:
     return sanitize(F.concat(stamp, F.lit(" "), first_of(F.col("subject"), F.lit("(no subject)"))), 140)
 
 
-def output_paths(rows: DataFrame, ext: str, order: str = "nid") -> DataFrame:
-    """`path` of each message under its folder; later ones of the same name (whatever its case) get (2), (3) ..."""
+def output_paths(rows: DataFrame, ext: str, order: str = "nid", per_source: bool = False) -> DataFrame:
+    """`path` of each message under its folder (per_source: in one of its source's); later ones of the same name (whatever its case) get (2), (3) ..."""
     folder = F.array_join(F.transform(F.split("folder", "/"), lambda p: sanitize(p)), "/")
+    folder = F.concat(sanitize(F.col("source_name")), F.lit("/"), folder) if per_source else folder
     named = rows.withColumn("_base", F.concat(folder, F.lit("/"), base_name(rows.columns)))
     named = ordinal(named.withColumn("_low", F.lower("_base")), ["_low"], order, "_n").withColumn("_n", F.col("_n") + 1)
     number = F.when(F.col("_n") > 1, F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise("")
@@ -43,18 +44,82 @@ def _html(c: Column) -> Column:
     return c
 
 
+def _base64(data: Column, width: int = 0) -> Column:
+    text = F.regexp_replace(F.base64(data), r"\s", "")
+    return F.regexp_replace(text, "(.{%d})" % width, "$1\r\n") if width else text
+
+
+def inlined(html: Column, attachments: Column) -> Column:
+    """HTML whose pictures by content id are data URIs."""
+    pictures = F.filter(attachments, lambda a: (a["cid"] != "") & a["data"].isNotNull())
+    return F.aggregate(pictures, html, lambda page, a: F.replace(page, F.concat(F.lit("cid:"), a["cid"]), F.concat(F.lit("data:"), a["mime"], F.lit(";base64,"), _base64(a["data"]))))
+
+
+def _inside(html: Column) -> Column:
+    """What stands in the body of a document, behind its style sheets; other markup as it is."""
+    body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body\s*>", 1)
+    styles = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<style[^>]*>.*?</style\s*>"), F.lit(0)), "")
+    return F.when(body != "", F.concat(styles, body)).otherwise(F.regexp_replace(html, r"(?i)</?(?:html|head|body)(?:\s[^>]*)?>", ""))
+
+
 def as_html(rows: DataFrame) -> DataFrame:
-    page = F.concat(F.lit("<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>"), _html(F.coalesce("subject", F.lit(""))), F.lit("</title></head><body><pre>"), _html(header_block(rows.columns)), F.lit("</pre><hr><pre>"), _html(F.coalesce("body", F.lit(""))), F.lit("</pre></body></html>"))
-    return rows.withColumn("content", page)
+    """A page of its own for each message: its header lines, its attachments by name and size, and its HTML with pictures in it, or else its text."""
+    shown = F.concat(F.lit("<pre>"), _html(F.coalesce("body", F.lit(""))), F.lit("</pre>"))
+    names = F.lit("")
+    if "attachments" in rows.columns:
+        seen = F.filter(F.coalesce("attachments", F.array().cast(rows.schema["attachments"].dataType)), lambda a: ~F.coalesce(a["hidden"], F.lit(False)))
+        each = F.transform(seen, lambda a: F.concat(F.lit("<li>"), _html(F.coalesce(a["filename"], F.lit(""))), F.lit(" ("), human_size(a["size"]), F.lit(")</li>")))
+        names = F.when(F.size(each) > 0, F.concat(F.lit("<ul>"), F.array_join(each, ""), F.lit("</ul>"))).otherwise("")
+    if "html" in rows.columns:
+        page = inlined(F.col("html"), F.col("attachments")) if "attachments" in rows.columns else F.col("html")
+        shown = F.when(F.trim(F.coalesce("html", F.lit(""))) != "", _inside(F.coalesce(page, F.col("html")))).otherwise(shown)
+    head = F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), _html(F.coalesce("subject", F.lit(""))), F.lit("</title></head><body><pre>"), _html(header_block(rows.columns)), F.lit("</pre>"))
+    return rows.withColumn("content", F.concat(head, names, F.lit("<hr>"), shown, F.lit("</body></html>")))
+
+
+def _bytes(*parts: Column | str) -> Column:
+    return F.concat(*[F.encode(F.lit(p), "utf-8") if isinstance(p, str) else p for p in parts])
+
+
+def _attached(a: Column, boundary: Column) -> Column:
+    """One attachment as a part: an embedded message as it is, anything else in base64."""
+    name = F.replace(F.url_encode(F.coalesce(a["filename"], F.lit(""))), F.lit("+"), F.lit("%20"))
+    inline = F.coalesce(a["is_inline"] | a["hidden"], F.lit(False))
+    kind = F.when(a["is_embedded"], "message/rfc822").otherwise(F.coalesce(F.nullif(a["mime"], F.lit("")), F.lit("application/octet-stream")))
+    lines = F.concat_ws(
+        "\r\n", F.concat(F.lit("--"), boundary), F.concat(F.lit("Content-Type: "), kind), F.concat(F.lit("Content-Disposition: "), F.when(inline, "inline").otherwise("attachment"), F.when(name != "", F.concat(F.lit("; filename*=UTF-8''"), name)).otherwise("")),
+        F.when(F.coalesce(a["cid"], F.lit("")) != "", F.concat(F.lit("Content-ID: <"), a["cid"], F.lit(">"))), F.concat(F.lit("Content-Transfer-Encoding: "), F.when(a["is_embedded"], "8bit").otherwise("base64")),
+    )
+    data = F.coalesce(a["data"], F.lit(b""))
+    return _bytes(F.encode(lines, "utf-8"), "\r\n\r\n", F.when(a["is_embedded"], data).otherwise(F.encode(_base64(data, 76), "utf-8")), "\r\n")
 
 
 def as_eml(rows: DataFrame) -> DataFrame:
-    """The stored bytes where there are some, else a plain message of the listing's fields."""
+    """The stored bytes where there are some, else a message made of the listing's fields, its text and HTML, and its attachments."""
     word = lambda c: F.when(F.coalesce(F.col(c), F.lit("")).rlike("^[\\x20-\\x7e]*$"), F.col(c)).otherwise(F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode(F.col(c), "utf-8")), F.lit("?=")))
     lines = [F.concat(F.lit(f"{label}: "), word(c)) for label, c in (("From", "sender"), ("To", "to"), ("Subject", "subject")) if c in rows.columns]
+    for label, c in (("Message-ID", "message_id"), ("In-Reply-To", "in_reply_to"), ("References", "refs")):
+        if c in rows.columns:
+            lines.append(F.when(F.coalesce(F.col(c), F.lit("")).rlike("^[\\x20-\\x7e]+$"), F.concat(F.lit(f"{label}: "), F.col(c))))
     date = F.concat(F.lit("Date: "), F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
-    body = F.regexp_replace(F.base64(F.encode(F.coalesce("body", F.lit("")), "utf-8")), "\r?\n", "\r\n")
-    made = F.encode(F.concat(F.concat_ws("\r\n", *lines, date, F.lit("MIME-Version: 1.0"), F.lit("Content-Type: text/plain; charset=utf-8"), F.lit("Content-Transfer-Encoding: base64")), F.lit("\r\n\r\n"), body, F.lit("\r\n")), "utf-8")
+    head = F.encode(F.concat(F.concat_ws("\r\n", *lines, date, F.lit("MIME-Version: 1.0")), F.lit("\r\n")), "utf-8")
+
+    def text(kind: str, c: Column) -> Column:
+        return _bytes(f"Content-Type: text/{kind}; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n", F.encode(_base64(F.encode(F.coalesce(c, F.lit("")), "utf-8"), 76), "utf-8"), "\r\n")
+
+    plain = text("plain", F.col("body"))
+    mark = F.concat(F.lit("=_"), F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("source_name", "nid", "subject", "date") if c in rows.columns], F.length(F.coalesce("body", F.lit(""))).cast("string"))))
+    content = plain
+    if "html" in rows.columns:
+        inner = F.encode(F.concat(mark, F.lit("a")), "utf-8")
+        both = _bytes("Content-Type: multipart/alternative; boundary=\"", inner, "\"\r\n\r\n--", inner, "\r\n", plain, "--", inner, "\r\n", text("html", F.col("html")), "--", inner, "--\r\n")
+        content = F.when(F.trim(F.coalesce("html", F.lit(""))) != "", both).otherwise(plain)
+    if "attachments" in rows.columns and rows.schema["attachments"].dataType.typeName() == "array":
+        outer = F.encode(mark, "utf-8")
+        first = _bytes("Content-Type: multipart/mixed; boundary=\"", outer, "\"\r\n\r\n--", outer, "\r\n", content)
+        whole = _bytes(F.aggregate("attachments", first, lambda made, a: F.concat(made, _attached(a, mark))), "--", outer, "--\r\n")
+        content = F.when(F.size("attachments") > 0, whole).otherwise(content)
+    made = F.concat(head, content)
     return rows.withColumn("content", F.coalesce("raw", made) if "raw" in rows.columns else made)
 
 
@@ -77,29 +142,10 @@ def write_mbox(rows: DataFrame, path: str) -> None:
 
 
 def write_files(rows: DataFrame, root: str) -> DataFrame:
-    """Write (path, content) under the root from the tasks; (path, error) of every row, a null error where it is written."""
-    import os
-
-    import pyarrow as pa
-
-    def put(batches):
-        from pyarrow import fs
-
-        for batch in batches:
-            paths, errors = batch["path"].to_pylist(), []
-            system, base = fs.FileSystem.from_uri(root)
-            for path, content in zip(paths, batch["content"].to_pylist(), strict=True):
-                try:
-                    target = f"{base.rstrip('/')}/{path}"
-                    system.create_dir(os.path.dirname(target), recursive=True)
-                    with system.open_output_stream(target) as out:
-                        out.write(content or b"")
-                    errors.append(None)
-                except OSError as e:
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "error": pa.array(errors, pa.string())})
-
-    return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(put, "path string, error string")
+    """Write (path, content) below the root, each file as a whole or not at all; path, size and error of every row (see `export`)."""
+    from .export import export
+
+    return export(rows, root)
 
 
 def index_rows(rows: DataFrame) -> DataFrame:

@@ -205,6 +205,11 @@ def test_the_command_indexes_a_folder_of_both_kinds(spark, tmp_path, capsys):
     for i in (0, 19, 100, 101, 102):
         assert [r["subject"] for r in idx.search(f"word{i}").collect()] == [f"Subject {i}"]
     assert run(f"file://{root}") == 0 and "unchanged" in capsys.readouterr().out
+    for form, out in (("eml", "hits"), ("html", "pages")):
+        assert command.main(["find", db, "shared", "--export", f"file://{tmp_path}/{out}", "--format", form]) == 0
+    exported = {f.read_bytes() for f in (tmp_path / "hits").rglob("*.eml")}
+    assert len(exported) == 23 and exported >= {mail(0), mail(19)} and "23 exported, 0 failed" in capsys.readouterr().out
+    assert len(list((tmp_path / "pages").rglob("*.html"))) == 23
     (root / "m03.eml").unlink()
     assert run(f"file://{root}") == 0 and found(idx, "word3") == 0 and found(idx, "shared") == 22
     other = tmp_path / "other"
