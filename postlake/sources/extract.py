@@ -1,7 +1,9 @@
 """Text of attachments: Office documents, OpenDocument, ZIP archives, RTF, PDF, mail, HTML and plain text.
 
 What an attachment is, and everything about text formats, are column expressions; only formats whose bytes must
-be opened go through Python, in Arrow batches. Attachments over MOST bytes and broken ones give an empty text.
+be opened go through Python, in Arrow batches. Broken attachments give an empty text; those over MOST bytes, and members of
+archives that unpack to more than MEMBER bytes or lie in archives nested deeper than NESTED, aren't opened, which keeps
+a task's memory bounded against archives made to burst (a stated limit of extraction, not of messages).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.text import extension, html_to_text
 
-MOST, MEMBER, DEPTH = 60 << 20, 16 << 20, 3
+MOST, MEMBER, NESTED = 60 << 20, 16 << 20, 3
 #: What bytes 128 to 159 are in cp1252, where it has something; the others stay as they are.
 WINDOWS = {i: bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)}
 #: Where the formats keep their text.
@@ -72,7 +74,7 @@ def _archive(data: bytes, kind: str, depth: int) -> str:
         if kind in OFFICE:
             numbers = lambda n: [int(x) for x in re.findall(r"\d+", n)]
             return "\n".join(_xml(z.read(n)) for n in sorted(filter(re.compile(OFFICE[kind]).search, names), key=lambda n: (n.rpartition("/")[0], numbers(n))))
-        return "\n".join(f"{n}\n{opened(z.read(n), _named(n), depth + 1)}".strip() for n in names) if depth < 2 else ""
+        return "\n".join(f"{n}\n{opened(z.read(n), _named(n), depth + 1)}".strip() for n in names) if depth < NESTED else ""
 
 
 def _named(name: str) -> str:
@@ -118,7 +120,7 @@ def pdf_text(data: bytes) -> str:
     out = []
     for m in re.finditer(rb"stream\r?\n(.*?)endstream", data, re.S):
         try:
-            body = zlib.decompressobj().decompress(m[1], MEMBER)
+            body = zlib.decompressobj().decompress(m[1])  # a stream that is cut off gives what there is
         except zlib.error:
             body = m[1]
         for block in re.findall(rb"\bBT\b(.*?)\bET\b", body, re.S):
@@ -157,7 +159,7 @@ def opened(data: bytes, kind: str, depth: int = 0) -> str:
         if kind in (*OFFICE, "zip"):
             return _archive(data, kind, depth)
         if kind == "eml":
-            return mail_text(data, depth) if depth < DEPTH else ""
+            return mail_text(data, depth) if depth < NESTED else ""
         if kind in ("text", "html"):
             s = data.decode("utf-8", "replace")
             return html.unescape(re.sub(r"(?s)<(script|style).*?</\1>|<[^>]+>", " ", s)) if kind == "html" else s
@@ -199,12 +201,29 @@ def attachment_text(data: Column, name: Column, mime: Column | None = None) -> C
     )
 
 
-def with_attachment_text(messages: DataFrame) -> DataFrame:
-    """Messages whose `attachments` is the text the index holds: a bullet and the name before each text."""
-    a = messages.select("source_name", "nid", F.posexplode("attachments").alias("i", "a"))
-    text = attachment_text(F.col("a.data"), F.col("a.filename"), F.col("a.mime"))
-    a = a.select("source_name", "nid", "i", F.col("a.filename").alias("filename"), text.alias("text")).where("text != ''")
-    piece = F.struct("i", F.concat(F.lit("• "), "filename", F.lit("\n"), "text").alias("t"))
+def with_attachment_text(messages: DataFrame, depth: int | None = None, total: int | None = None) -> DataFrame:
+    """Messages whose `attachments` is the text the index holds: a bullet and the name before each text.
+
+    Attached messages are rows of their own (see `embedded`), at any depth unless one is given: their headers, body and
+    attachments follow the bullet of their attachment. `att_count` and `att_names` take in what they hold.
+    """
+    from . import embedded
+
+    path = F.array().cast("array<int>")
+    inside = embedded.levels(messages, depth, total)
+    each = [m.select("source_name", "nid", "path", F.posexplode("attachments").alias("i", "a")) for m in (messages.withColumn("path", path), *inside)]
+    a = reduce(DataFrame.unionByName, each)
+    text = F.when(embedded.is_mail(F.col("a")), "").otherwise(attachment_text(F.col("a.data"), F.col("a.filename"), F.col("a.mime")))
+    a = a.select("source_name", "nid", F.concat("path", F.array("i")).alias("path"), F.col("a.filename").alias("filename"), text.alias("text"), embedded.is_mail(F.col("a")).alias("mail"))
+    rows = a.where("text != ''").select("source_name", "nid", "path", F.concat(F.lit("• "), "filename", F.lit("\n"), "text").alias("t"))
+    head = lambda m: F.array_join(F.filter(F.array("subject", "sender", "to", "body"), lambda c: F.coalesce(c, F.lit("")) != ""), "\n")
+    for m in inside:
+        rows = rows.unionByName(m.select("source_name", "nid", "path", F.concat(F.lit("• "), F.coalesce(F.nullif(F.col("subject"), F.lit("")), F.lit("message")), F.lit("\n"), head(m)).alias("t")))
     # A group is one message's attachments.
-    joined = a.groupBy("source_name", "nid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"]), "\n").alias("_text"))
-    return messages.drop("attachments").join(joined, ["source_name", "nid"], "left").withColumn("attachments", F.coalesce("_text", F.lit(""))).drop("_text")
+    joined = rows.groupBy("source_name", "nid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "t"))), lambda p: p["t"]), "\n").alias("_text"))
+    out = messages.drop("attachments").join(joined, ["source_name", "nid"], "left").withColumn("attachments", F.coalesce("_text", F.lit(""))).drop("_text")
+    if not inside:
+        return out
+    below = a.where(F.size("path") > 1).groupBy("source_name", "nid").agg(F.count("*").alias("_more"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "filename"))), lambda p: p["filename"]), " ").alias("_names"))
+    out = out.join(below, ["source_name", "nid"], "left")
+    return out.withColumns({"att_count": F.col("att_count") + F.coalesce("_more", F.lit(0)), "att_names": F.trim(F.concat_ws(" ", "att_names", "_names"))}).drop("_more", "_names")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .tree import BYTES, MARK, MOST_HEAD, PLACE, ROWS, listed
+from .tree import BYTES, END_OF_HEAD, MARK, PLACE, ROWS, listed
 
 SCHEMA = "path string, number long, offset long, end long, size long, raw binary"
 READ, SPLIT, FILES = 1 << 20, 256 << 20, 500
@@ -89,10 +89,10 @@ def stated_end(text: Text, body: int, size: int) -> int | None:
     return last + blank
 
 
-def messages(f, start: int, end: int, size: int, whole: bool, most: int | None = None) -> Iterator[tuple[int, int, int, bytes]]:
+def messages(f, start: int, end: int, size: int, whole: bool, content: str = "full") -> Iterator[tuple[int, int, int, bytes]]:
     """(place, end, size, bytes) of the message behind each separator in start..end; whole: without those that another covers.
 
-    most: so many bytes of a message at most.
+    content: whole messages (`full`), their header blocks (`head`) or nothing of them (`none`).
     """
     text = Text(f, max(0, start - 3))
     text.fill(0)
@@ -110,7 +110,11 @@ def messages(f, start: int, end: int, size: int, whole: bool, most: int | None =
         raw = text.slice(body, stop)
         if raw.endswith((b"\n\n", b"\n\r\n")):  # the empty line before the next separator isn't the message's
             raw = raw[: -2 if raw.endswith(b"\r\n") else -1]
-        yield at, stop, len(raw), raw if most is None else raw[:most]
+        if content != "full":
+            head = END_OF_HEAD.search(raw) if content == "head" else None
+            yield at, stop, len(raw), b"" if content == "none" else raw[: head.end()] if head else raw
+        else:
+            yield at, stop, len(raw), raw
         at = following
 
 
@@ -145,13 +149,12 @@ class MboxReader(DataSourceReader):
         from pyarrow import fs
 
         system, _ = fs.FileSystem.from_uri(part.uri)
-        most = {"full": None, "head": MOST_HEAD, "none": 0}[self.content]
         rows, held = [], 0
         for path, number, size, start, end in part.parts:
             with system.open_input_file(path) as f:
                 if f.read(MARK) != b"From ":
                     continue
-                for at, stop, length, raw in messages(f, start, end, size, size <= self.split, most):
+                for at, stop, length, raw in messages(f, start, end, size, size <= self.split, self.content):
                     rows.append((path, number, at, stop, length, raw))
                     held += len(raw)
                     if len(rows) == ROWS or held >= BYTES:

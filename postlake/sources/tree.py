@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, number long, modificationTime timestamp, length long, content binary, error string"
-#: Bytes of a message that a listing reads first, and at most; bytes that tell an mbox.
-HEAD, MOST_HEAD, MARK = 16 << 10, 64 << 10, 5
+#: Bytes of a message that a listing reads at a time until its header block ends; bytes that tell an mbox.
+HEAD, MARK = 16 << 10, 5
+END_OF_HEAD = re.compile(rb"\r?\n\r?\n")
 #: Bits of a message number that hold its place in the file (a terabyte); the file's place in the listing is above them.
 PLACE = 40
 #: Rows and bytes of a batch.
@@ -50,8 +51,14 @@ def listed(uri: str) -> tuple:
 
 
 def head_of(f) -> bytes:
-    data = f.read(HEAD)
-    return data if re.search(rb"\r?\n\r?\n", data) else data + f.read(MOST_HEAD - len(data))
+    """The header block of a message, however long it is."""
+    data = b""
+    while more := f.read(max(HEAD, len(data))):
+        at = max(0, len(data) - 3)
+        data += more
+        if END_OF_HEAD.search(data, at):
+            break
+    return data
 
 
 @dataclass

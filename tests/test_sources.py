@@ -115,7 +115,7 @@ def test_mbox_headers_only(spark, tmp_path):
     parts = [message(i, docx=i % 2 == 0).replace(b"\nFrom ", b"\n>From ") + b"x" * 100_000 + b"\n" for i in range(1, 5)]
     (tmp_path / "Big.mbox").write_bytes(separated(parts))
     raw = mbox.read_mbox(spark, f"file://{tmp_path}/Big.mbox", head_only=True)
-    assert raw.selectExpr("max(octet_length(raw))").first()[0] == 64 << 10
+    assert raw.selectExpr("max(octet_length(raw))").first()[0] < 1000
     rows = mime.heads(raw).orderBy("nid").collect()
     whole = mime.messages(mbox.read_mbox(spark, f"file://{tmp_path}/Big.mbox")).orderBy("nid").collect()
     for c in ("subject", "sender", "to", "recipients", "date", "size", "is_read", "message_id"):
