@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.storage import shared_path
 from ..operators import filters, folders, index, search, stats
 from ..operators.filters import RowFilter
-from ..sources import embedded, extract, mime
+from ..sources import embedded, extract, mime, vcards
 from ..streaming import windows
 from .views import ATTACHMENTS, DOCS, LISTING, NORMS, attachments, docs, listing, table
 
@@ -547,6 +547,19 @@ def contact_cards(spark, d):
     return people.select("nid", card.alias("card"))
 
 
+@_add("contacts_read", "SELECT c_custkey, c_name AS display_name, c_mktsegment AS company, 'cust' || c_custkey || '@example.com' AS email1, CAST(c_nationkey AS VARCHAR) AS business_phone, '' AS home_phone, 'note; of ' || c_name || ',' || chr(10) || c_mktsegment AS notes FROM customer")
+def contacts_read(spark, d):
+    """Every customer written as a card and read back."""
+    from ..sinks.contacts import email_columns, phone_columns, vcard
+
+    phone = F.array(F.struct(F.lit("work").alias("kind"), F.col("c_nationkey").cast("string").alias("number")))
+    note = F.concat(F.lit("note; of "), "c_name", F.lit(",\n"), "c_mktsegment")
+    card = vcard({"display_name": F.col("c_name"), "company": F.col("c_mktsegment"), "phones": phone, "emails": F.array(F.concat(F.lit("cust"), F.col("c_custkey").cast("string"), F.lit("@example.com"))), "notes": note}, revision=None)
+    c = table(spark, d, "customer").select("c_custkey", vcards.contact(card).alias("c"))
+    phones, emails = phone_columns(F.col("c.phones")), email_columns(F.col("c.emails"))
+    return c.select("c_custkey", "c.display_name", "c.company", emails["email1"].alias("email1"), *[phones[k].alias(k) for k in ("business_phone", "home_phone")], "c.notes")
+
+
 @_add("output_paths", _listing_sql("SELECT nid, CASE WHEN n > 1 THEN base || ' (' || n || ')' ELSE base END || '.eml' AS path FROM (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY nid) AS n FROM (SELECT nid, folder || '/' || strftime(date, '%Y-%m-%d %H%M%S') || ' ' || sender AS base FROM listing))"))
 def output_paths(spark, d):
     from ..sinks.messages import output_paths as paths
