@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions.dates import listing_bound
 from .operators import filters, search, stats
 from .operators.index import Index
+from .operators.runs import Cancelled, watched
 from .sinks import messages as sink
 from .sinks.export import log_lines, summary
 from .sources import extract, files, mbox, mime
@@ -109,10 +110,21 @@ def main(argv: list[str]) -> int:
             print(f"not a date: {text}", file=sys.stderr)
             return 2
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    if a.command == "index":
-        return index(spark, a)
+    if a.command in ("index", "export"):
+        # Both may take long: they show how far they are, and an interrupt leaves a state from which they go on.
+        work = (lambda: index(spark, a)) if a.command == "index" else (lambda: listing(spark, a))
+        try:
+            return watched(spark, work, a.command, lambda p: print(f"\r{p.done} of {p.tasks} tasks", end="", file=sys.stderr, flush=True), every=2.0)
+        except Cancelled:
+            print("stopped", file=sys.stderr)
+            return 130
     if a.command == "find":
         return find(spark, a, " ".join(w.removeprefix(TERM) for w in a.query))
+    return listing(spark, a)
+
+
+def listing(spark: SparkSession, a: argparse.Namespace) -> int:
+    """The commands over messages themselves: list, stats, export."""
     # Lists read no message beyond its header block, unless bodies or attachments are asked for.
     heads = a.command == "list" and not a.search_bodies and a.attachment_kind == "all"
     rows = open_sources(spark, a.sources, heads)
@@ -191,9 +203,9 @@ def index(spark: SparkSession, a: argparse.Namespace) -> int:
         # Keys come from header blocks; whole messages are read of those that are new. What couldn't be opened this time
         # is no message and removes none.
         places = raw.select("source_name", "nid", "path", "offset" if "offset" in raw.columns else F.lit(None).cast("long").alias("offset"), "kind", "flag_read", F.col("error").isNotNull().alias("unread"))
-        listing = mime.heads(raw).join(places, ["source_name", "nid"])
+        heads = mime.heads(raw).join(places, ["source_name", "nid"])
         prints = spark.createDataFrame([(name, size, mtime)], "source_name string, size long, mtime double")
-        print(uri, idx.update(listing, prints, a.force, texts=lambda new, uri=uri: stored(new, uri)))
+        print(uri, idx.update(heads, prints, a.force, texts=lambda new, uri=uri: stored(new, uri)))
     if a.prune and not failed:
         present = spark.createDataFrame([(u.rstrip("/").rpartition("/")[2],) for u in a.sources], "source_name string")
         print("removed", *idx.prune(present))
