@@ -354,13 +354,18 @@ def _snippets(words: tuple[str, ...]) -> str:
     holds = lambda a, b: f"contains(' ' || array_to_string(tokens[{a}:{b}], ' ') || ' ', '{needle}')"
     length = "CASE " + " ".join(f"WHEN {holds('i', f'i + {m - 1}')} THEN {m}" for m in range(1, k + 1)) + " END"
     begins = holds("i", f"i + {k - 1}") + (f" AND NOT {holds('i + 1', f'i + {k - 1}')}" if k > 1 else "")
+    key = lambda score, order, start: f"(({score}) * 1000000 + 999999 - ({order})) * 10000000 + {start}"
     reach = lambda i, past: f"len(list_filter(range(greatest({i} - {k} + 1, 1), {i} + 1), lambda j: j + spans[j] > {i} + {past})) > 0"
     return f""", cut AS (SELECT *, {found} AS matched_in, CASE {found} WHEN 'body' THEN 24 ELSE 12 END AS size_, list_filter(string_split_regex(CASE {found} WHEN 'body' THEN body WHEN 'subject' THEN subject ELSE sender END, '\\s+'), lambda w: {plain} <> '') AS words FROM best),
 parted AS (SELECT *, list_transform(words, lambda w: {plain}) AS tokens FROM cut),
 spanned AS (SELECT *, list_transform(range(1, len(tokens) + 1), lambda i: CASE WHEN {begins} THEN {length} ELSE 0 END) AS spans FROM parted),
-placed AS (SELECT *, coalesce(list_position(list_transform(spans, lambda s: s > 0), true), 0) AS first, len(words) AS n_ FROM spanned),
-begun AS (SELECT *, greatest(1, least(first - size_ // 2, n_ - size_ + 1)) AS start FROM placed),
-shown AS (SELECT *, CASE WHEN first > 0 THEN CASE WHEN start > 1 THEN '…' ELSE '' END || array_to_string(list_transform(range(start, least(start + size_ - 1, n_) + 1), lambda i:
+placed AS (SELECT *, list_filter(range(1, len(words) + 1), lambda i: spans[i] > 0) AS found_, len(words) AS n_,
+list_filter(range(1, len(words) + 1), lambda p: p = 1 OR (regexp_matches(words[p - 1], '[.:]$') AND regexp_matches(words[p], '^[\\p{{L}}\\p{{N}}\\p{{Co}}]'))) AS sentences FROM spanned),
+counted_ AS (SELECT *, list_transform(found_, lambda i: len(list_filter(found_, lambda j: j >= i AND j < i + size_))) AS own, list_transform(found_, lambda i: list_max(list_filter(found_, lambda j: j >= i AND j < i + size_))) AS last_,
+list_transform(found_, lambda i: list_max(list_filter(sentences, lambda p: p <= i))) AS around FROM placed),
+begun AS (SELECT *, list_max(list_concat(list_transform(found_, lambda i, o: {key('999 + own[o]', '2 * o', f'greatest(1, least(i - CAST(trunc((size_ - (last_[o] + spans[last_[o]] - i)) / 2.0) AS BIGINT), n_ - size_ + 1))')}),
+list_transform(found_, lambda i, o: CASE WHEN n_ > size_ AND around[o] < i THEN {key("(CASE WHEN len(list_filter(found_, lambda j: j >= around[o] AND j < around[o] + size_)) > 0 THEN 999 ELSE 0 END + len(list_filter(found_, lambda j: j >= around[o] AND j < around[o] + size_)) + CASE WHEN around[o] = 1 THEN 120 ELSE 100 END)", '2 * o + 1', 'around[o]')} ELSE 0 END))) % 10000000 AS start FROM counted_),
+shown AS (SELECT *, CASE WHEN len(found_) > 0 THEN CASE WHEN start > 1 THEN '…' ELSE '' END || array_to_string(list_transform(range(start, least(start + size_ - 1, n_) + 1), lambda i:
 CASE WHEN spans[i] > 0 AND (i = 1 OR NOT {reach('(i - 1)', 1)}) THEN '[' ELSE '' END || words[i] || CASE WHEN {reach('i', 0)} AND NOT {reach('i', 1)} THEN ']' ELSE '' END), ' ')
 || CASE WHEN start + size_ <= n_ THEN '…' ELSE '' END ELSE '' END AS snippet FROM begun)"""
 

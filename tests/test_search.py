@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 import sqlite3
 
 import pytest
@@ -74,9 +76,30 @@ def test_snippets_mark_matches(texts, query, want):
     assert search.with_snippets(search.find(texts, query), query).first()["snippet"] == want
 
 
+def test_snippets_are_the_fragments_that_sqlite_chooses(spark):
+    rng = random.Random(3)
+    texts = []
+    for n in (0, 3, 11, 12, 13, 24, 25, 40, 90, 300):
+        for _ in range(5):
+            words = [rng.choice(["alpha", "beta", "gamma", "delta"]) if rng.random() < 0.06 else f"w{rng.randrange(9)}" for _ in range(n)]
+            texts.append(" ".join(w + rng.choice(["", "", "", "", ".", ":", ",", "!"]) for w in words))
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(x)")
+    db.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", list(enumerate(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string").repartition(4).cache()
+    for query in ("alpha", "alpha beta", '"alpha beta"', "alpha gamma delta", '"w1 w2" alpha', "w1"):
+        parsed = search.parse(query)
+        fts = " AND ".join('"' + " ".join(t.words) + '"' for t in parsed.positive)
+        for size in (12, 24):
+            want = dict(db.execute(f"SELECT rowid, snippet(t, 0, '[', ']', '…', {size}) FROM t WHERE t MATCH ?", (fts,)).fetchall())
+            got = {r["id"]: r["s"] for r in search.find(df, query).select("id", search.snippet(F.col("body"), parsed, size).alias("s")).collect()}
+            strip = lambda s: re.sub(r"[.:,!\[\]]", "", s)  # where marks stand beside punctuation is the reader's taste
+            assert {i: strip(s) for i, s in got.items()} == {i: strip(s) for i, s in want.items()}, (query, size)
+
+
 def test_snippet_of_words_with_several_tokens(spark):
     df = spark.createDataFrame([(1, " ".join([*["x"] * 40, "a|b-c", "-", "d", *["y"] * 40]))], "id long, body string")
-    assert search.with_snippets(df, '"b c d"').first()["snippet"] == "…" + "x " * 12 + "[a|b-c d] " + "y " * 9 + "y…"
+    assert search.with_snippets(df, '"b c d"').first()["snippet"] == "…" + "x " * 11 + "[a|b-c d] " + "y " * 10 + "y…"
     assert search.with_snippets(df, "zz").first()["snippet"] == "" and search.with_snippets(df.withColumn("body", F.lit("")), "d").first()["snippet"] == ""
 
 
