@@ -138,6 +138,7 @@ def listing(spark: SparkSession, a: argparse.Namespace) -> int:
         reports = stats.compute(rows, mime.attachments(rows).select("nid", "filename", "is_inline", "size"))
         if a.out:
             sink.write_reports(reports, a.out)
+            sink.write_report_page(reports, f"{a.out}/report.html")
         for name, df in reports.items():
             print(f"\n{name}")
             df.show(100, False)

@@ -6,6 +6,9 @@ that an export puts at its place (see `export`).
 
 from __future__ import annotations
 
+import html
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,6 +178,34 @@ def report_text(report: DataFrame) -> DataFrame:
     return report.select(F.concat_ws("  ", *cells).alias("line"))
 
 
+def report_page(reports: dict[str, DataFrame], title: str = "Statistics") -> DataFrame:
+    """The lines of one HTML page with a table for each report, in their order; a bar shows a row's share of the most messages."""
+    style = "<style>body{font-family:sans-serif}td,th{text-align:left;padding:2px 8px}.n{background:#4a7ebb;height:10px}</style>"
+    parts = []
+    for i, (name, df) in enumerate(reports.items()):
+        cells = [human_size(F.col(c)) if c == "size" else _html(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns]
+        row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells])
+        counted = next((c for c in ("messages", "n", "count") if c in df.columns), None)
+        if counted:
+            most = df.agg(F.max(F.col(counted).cast("double")).alias("m")).scalar()
+            row = F.concat(row, F.lit('<td><div class="n" style="width:'), F.coalesce(F.round(F.col(counted) * 200 / most, 0), F.lit(0)).cast("int").cast("string"), F.lit('px"></div></td>'))
+        head = f"<h2>{html.escape(name)}</h2><table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in df.columns) + "</tr>"
+        lines = df.select(F.lit(i).alias("part"), F.monotonically_increasing_id().alias("place"), F.concat(row, F.lit("</tr>")).alias("line"))  # in the report's order
+        parts += [lines, _lines(df, [(i, -1, head), (i, 1 << 62, "</table>")])]
+    first = f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{html.escape(title)}</title>{style}</head><body><h1>{html.escape(title)}</h1>"
+    some = next(iter(reports.values()))
+    return reduce(DataFrame.unionByName, [*parts, _lines(some, [(-1, 0, first), (len(reports), 0, "</body></html>")])]).orderBy("part", "place")
+
+
+def _lines(df: DataFrame, rows: list[tuple[int, int, str]]) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, "part int, place long, line string")
+
+
+def write_report_page(reports: dict[str, DataFrame], path: str) -> None:
+    """The page as one file: reports are a few rows each, or one a folder."""
+    report_page(reports).coalesce(1).sortWithinPartitions("part", "place").select("line").write.mode("overwrite").text(path)
+
+
 def hits_json(hits: DataFrame) -> DataFrame:
     """One JSON object a hit, with the keys of the command line's output."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in hits.columns else F.lit("")

@@ -92,6 +92,16 @@ def test_rebuilt_messages_keep_attachments_html_and_ids(spark, tmp_path):
     assert "<hr><pre></pre></body>" in pages[2] and "<hr><pre>x</pre>" in pages[3]
 
 
+def test_the_report_page_holds_every_report_in_order(spark, rows, tmp_path):
+    reports = {"folders <all>": rows.groupBy("folder").agg(F.count("*").alias("messages"), F.sum("size").alias("size")).orderBy(F.desc("messages")), "none": rows.limit(0).select("subject")}
+    sink.write_report_page(reports, f"file://{tmp_path}/page")
+    page = next(tmp_path.glob("page/part-*")).read_text()
+    lines = page.splitlines()
+    assert lines[0].startswith("<!DOCTYPE html>") and lines[-1] == "</body></html>" and "<h2>folders &lt;all&gt;</h2>" in lines[1]
+    assert lines[2].startswith("<tr><td>Inbox/A:B</td><td>2</td><td>30 B</td>") and 'width:200px' in lines[2] and 'width:100px' in lines[3]
+    assert lines[4:] == ["</table>", "<h2>none</h2><table><tr><th>subject</th></tr>", "</table>", "</body></html>"]
+
+
 # Exports
 
 FILES = [(f"d{i % 3}/f{i}.txt", bytes([i]) * i) for i in range(40)]
