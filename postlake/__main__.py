@@ -173,7 +173,7 @@ PLACE = {"path": "string", "offset": "long", "kind": "string", "flag_read": "boo
 
 def stored(new: DataFrame, uri: str) -> DataFrame:
     """Whole messages of listing rows as the index stores them, with their places."""
-    places = new.select("source_name", "nid", F.lit(uri).alias("uri"), *PLACE)
+    places = new.select("source_name", "nid", F.lit(uri.rstrip("/")).alias("uri"), *PLACE)
     return indexed(mime.messages(files.contents(new, uri))).join(places, ["source_name", "nid"])
 
 
@@ -183,8 +183,16 @@ def whole(hits: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [mime.messages(files.contents(hits.where(F.col("uri") == u), u)) for u in uris])
 
 
+def label(idx: Index, uri: str) -> str:
+    """The name of a source in the index: its last component, or its whole path where another place has that name already."""
+    base, rows = uri.rstrip("/").rpartition("/")[2], idx.messages()
+    if rows is None or "uri" not in rows.columns:
+        return base
+    return pathname(uri).rstrip("/") if rows.where((F.col("source_name") == base) & (F.col("uri") != uri.rstrip("/"))).take(1) else base
+
+
 def index(spark: SparkSession, a: argparse.Namespace) -> int:
-    idx, failed = Index(spark, a.db), 0
+    idx, failed, present = Index(spark, a.db), 0, []
     if a.clear:
         idx.clear()
     if a.remove:
@@ -197,19 +205,20 @@ def index(spark: SparkSession, a: argparse.Namespace) -> int:
             print(f"warning: {e}", file=sys.stderr)
             failed += 1
             continue
-        name, size, mtime = uri.rstrip("/").rpartition("/")[2], sum(s for s, _ in state), max((t or 0 for _, t in state), default=0) / 1e6
+        name, size, mtime = label(idx, uri), sum(s for s, _ in state), max((t or 0 for _, t in state), default=0) / 1e6
+        present.append((name,))
         if not a.force and idx.is_current(name, size, mtime):
             print(uri, "unchanged")
             continue
         # Keys come from header blocks; whole messages are read of those that are new. What couldn't be opened this time
         # is no message and removes none.
+        raw = raw.withColumn("source_name", F.lit(name))
         places = raw.select("source_name", "nid", "path", "offset" if "offset" in raw.columns else F.lit(None).cast("long").alias("offset"), "kind", "flag_read", F.col("error").isNotNull().alias("unread"))
         heads = mime.heads(raw).join(places, ["source_name", "nid"])
         prints = spark.createDataFrame([(name, size, mtime)], "source_name string, size long, mtime double")
         print(uri, idx.update(heads, prints, a.force, texts=lambda new, uri=uri: stored(new, uri)))
     if a.prune and not failed:
-        present = spark.createDataFrame([(u.rstrip("/").rpartition("/")[2],) for u in a.sources], "source_name string")
-        print("removed", *idx.prune(present))
+        print("removed", *idx.prune(spark.createDataFrame(present, "source_name string")))
     if a.optimize:
         idx.optimize()
     if a.stats and idx.messages() is not None:

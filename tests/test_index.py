@@ -220,3 +220,19 @@ def test_the_command_indexes_a_folder_of_both_kinds(spark, tmp_path, capsys):
     assert run(f"file://{root}", "--prune") == 0 and found(idx, "word7") == 1
     assert run("--remove", "mail") == 0 and idx.messages().count() == 0
     assert run(f"file://{tmp_path}/nowhere") == 1
+
+
+def test_sources_of_one_name_at_two_places_are_two(spark, tmp_path):
+    db = f"file://{tmp_path}/idx"
+    for place, i in (("one", 1), ("two", 2)):
+        (tmp_path / place / "mail").mkdir(parents=True)
+        (tmp_path / place / "mail" / "x.eml").write_bytes(mail(i))
+    uris = [f"file://{tmp_path}/{place}/mail" for place in ("one", "two")]
+    assert command.main(["index", db, *uris]) == 0
+    idx = index.Index(spark, db)
+    assert found(idx, "word1") == 1 and found(idx, "word2") == 1
+    assert {r["source_name"] for r in idx.sources().collect()} == {"mail", f"{tmp_path}/two/mail"}
+    (tmp_path / "two" / "mail" / "y.eml").write_bytes(mail(3))
+    assert command.main(["index", db, uris[1], uris[0] + "/", "--prune"]) == 0
+    assert found(idx, "shared") == 3
+    assert command.main(["index", db, uris[0], "--prune"]) == 0 and found(idx, "shared") == 1
