@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -101,13 +102,25 @@ def over_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | d
     """Run f on every Arrow batch, inside the tasks; a dict of columns may be returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = f(batch)
-            yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
+        try:
+            for batch in batches:
+                out = f(batch)
+                yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """At the end of a task, return the worker's freed memory to the system: Spark keeps workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A settled table of narrow rows, marked for a broadcast if it has few rows; else it is joined by a shuffle."""
     return F.broadcast(small) if small.count() <= rows else small

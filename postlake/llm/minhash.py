@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCoder, blocks, checked, grouped, mix64, narrowed, over_batches, prepare, release, runs, settle, split_hot, valid, views, words
+from .common import ChunkCoder, blocks, checked, give_back, grouped, mix64, narrowed, over_batches, prepare, release, runs, settle, split_hot, valid, views, words
 from .components import components
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 42, 6, 0.8
@@ -252,6 +252,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 for i in range(lo, hi, TRIED):
                     keep[i : min(i + TRIED, hi)] = near_ones(pivot, sets[i : min(i + TRIED, hi)])
             yield batch.filter(pa.array(keep)).select(["a", "b", "ca", "cb"])
+        give_back()
 
     rows = pivots.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     return rows.drop("part").mapInArrow(near, "a long, b long, ca long, cb long")
@@ -344,6 +345,7 @@ def _over_runs(rows: DataFrame, f: Callable[[pa.Table], dict | None], schema: st
         for found in map(f, runs(batches, ("bucket", "pair"))):
             if found:
                 yield pa.RecordBatch.from_pydict(found)
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
