@@ -418,17 +418,32 @@ def _prints(rows: DataFrame) -> DataFrame:
     return stats.fingerprints(rows).select("source_name", "size", F.lit(0.0).alias("mtime"))
 
 
-def _indexed(spark, d) -> index.Index:
+#: The index of the documents as they are, for the queries that only read it: by application and by the table's files.
+_built: dict[tuple, index.Index] = {}
+
+
+def _state(spark, d) -> tuple:
+    """What tells whether the table is still the one that was indexed: its files, their sizes and times."""
+    files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return (spark.sparkContext.applicationId, *sorted(tuple(map(str, r)) for r in files.collect()))  # a row a file
+
+
+def _build(spark, d) -> index.Index:
     """A new index of all documents."""
     found, rows = index.Index(spark, shared_path(spark, "mail-index")), _mail(spark, d)
     found.update(rows, _prints(rows))
+    _built[_state(spark, d)] = found
     return found
 
 
+def _indexed(spark, d) -> index.Index:
+    return _built.get(_state(spark, d)) or _build(spark, d)
+
+
 @_add("index_build", f"WITH {TOKENS} SELECT (SELECT count(*) FROM docs) AS messages, (SELECT count(*) FROM docs WHERE body IS NOT NULL) AS bodies, count(DISTINCT token) AS tokens, count(*) AS positions FROM tok WHERE token <> ''")
 def index_build(spark, d):
     """The whole build, and what lies in its tables: messages, and the tokens and positions of bodies."""
-    idx, body = _indexed(spark, d), list(search.WEIGHTS).index("body")
+    idx, body = _build(spark, d), list(search.WEIGHTS).index("body")
     places = idx.postings().select("token", F.size(F.filter("places", lambda p: F.shiftright(p, index.COLUMN) == body)).alias("n")).where("n > 0")
     messages = idx.messages().agg(F.count("*").alias("messages"), F.count("body").alias("bodies"))
     totals = places.agg(F.count_distinct("token").alias("tokens"), F.sum("n").alias("positions"))
