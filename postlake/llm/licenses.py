@@ -146,16 +146,17 @@ def scan(documents: DataFrame, threshold: float = THRESHOLD, templates: list[tup
     def of_template(t: Column) -> Column:
         at = F.transform(F.filter("places", lambda p: F.array_contains(t["bigrams"], p["x"])), lambda p: p["at"])
 
-        def from_start(t: Column, at: Column, a: Column) -> Column:
-            within = F.filter(at, lambda e: (e >= a) & (e < a + t["longest"]))
+        def from_start(t: Column, at: Column, a: Column, i: Column) -> Column:
+            # Places are in order and apart, so a run's are among the next `longest` ones: work grows with the text alone.
+            within = F.filter(F.slice(at, i + 1, t["longest"]), lambda e: e < a + t["longest"])
             ends = F.concat(F.array(F.least(a + t["run"], F.size("b")) - 1), F.filter(within, lambda e: e >= a + t["run"]))
             run = lambda e: F.array_distinct(F.slice("b", a + 1, e - a + 1))
             return F.when(
-                F.size(within) >= t["lo"],
+                F.get(at, i + F.ceil(t["lo"]).cast("int") - 1) < a + t["longest"],  # as many places as the lower bound asks for
                 F.transform(ends, lambda e: F.struct(dice(run(e), t).alias("dice"), (-t["i"]).alias("minus"), (-a).alias("start"), (-e).alias("end"))),
             ).otherwise(F.array())
 
-        return F.flatten(_let(at, lambda at: F.transform(at, lambda a: from_start(t, at, a))))
+        return F.flatten(_let(at, lambda at: F.transform(at, lambda a, i: from_start(t, at, a, i))))
 
     rows = rows.select("doc_id", "hits", "whole", F.reverse(F.array_sort(F.filter(F.flatten(F.transform(possible, of_template)), lambda s: s["dice"] >= threshold))).alias("runs"))
     # Of runs that share words the best stays; start and end are negative places of bigrams, which reach one word further.

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on awkward tables."""
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -623,3 +624,14 @@ def test_pipeline(spark, odd, nothing, small):
     assert empty.count() == 0
     assert p.run(spark, small).select(F.sum("length")).first()[0] > 0
     assert len(queries.queries()) == 13
+
+
+def test_license_windows_among_many_repeats(spark):
+    """A text full of one word pair of a template: its runs are found, and the work grows with the text alone."""
+    name, text = max(licenses.TEMPLATES, key=lambda t: len(t[1]))
+    pair = licenses.template_bigrams(text)[0]
+    words = " ".join(re.sub(r"[\W_]+", " ", text.lower()).split())
+    many = f"{pair} x " * 4000
+    docs = spark.createDataFrame([(1, many), (2, f"{many}{words} x {many}"), (3, " x ".join(licenses.template_bigrams(text)) + " x " + many)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_matches"], r["licenses"]) for r in licenses.scan(docs).collect()}
+    assert got == {1: (0, ""), 2: (1, name), 3: (0, "")}
