@@ -12,6 +12,9 @@ each block has its number of documents, whole and by columns, the greatest weigh
 sums over blocks are exact document frequencies: a removal adds rows of negative counts. Frequency and length bound the
 score of every document of a block from above under any statistics, so the best k are found by scoring the most promising
 blocks first and then only those that can still reach the k-th score.
+
+`pairs` are postings of adjacent words where either is common in its batch, as `common` notes; phrases are answered from
+them instead of whole lists of common words (see `phrases`).
 """
 
 from __future__ import annotations
@@ -28,12 +31,14 @@ from pyspark.sql import functions as F
 
 from ..functions.order import ordinal
 from ..functions.text import normalized
+from . import phrases
 from . import search as scan
+from .phrases import Pairs, Part
 from .search import B, K1, WEIGHTS, Query, Term, parse
 from .snapshots import Manifest, Store, latest
 
 #: Of the tables' form; an index of another form is cleared and built anew.
-SCHEMA = 3
+SCHEMA = 4
 #: Ids and tokens that are broadcast at most.
 SMALL = 1 << 16
 #: Documents in a block of the dictionary, about; bits of an id that blocks are cut by.
@@ -75,13 +80,15 @@ COLUMN = 32
 PORTION = 4 << 20
 
 
-def postings(texts: DataFrame, id_column: str = "id", keep: Iterable[str] = ()) -> DataFrame:
+def postings(texts: DataFrame, id_column: str = "id", keep: Iterable[str] = (), common: Iterable[str] | None = None) -> DataFrame:
     """(token, id, f, cols, places): one row for each token of a document; and what of the document to keep.
 
     f is the token's weighted frequency, cols the set of its columns as bits, places its columns and positions. All of a
-    document is one row, so its tokens are put in order where it is and nothing is shuffled.
+    document is one row, so its tokens are put in order where it is and nothing is shuffled. With common, the tokens are
+    the pairs of adjacent words of a column where either is among these words, and the places are those of second words.
     """
     there = [c for c in WEIGHTS if c in texts.columns]
+    words = None if common is None else list(common)
     numbers, weights = [list(WEIGHTS).index(c) for c in there], np.array(list(WEIGHTS.values()))
     rows = texts.select(F.col(id_column).alias("id"), *keep, *[F.trim(normalized(F.col(c))).alias(f"_n{i}") for i, c in zip(numbers, there, strict=True)])
     kept = {f.name: f.dataType.simpleString() for f in rows.schema if not f.name.startswith("_n")}
@@ -98,8 +105,15 @@ def postings(texts: DataFrame, id_column: str = "id", keep: Iterable[str] = ())
             found.append(pc.list_flatten(lists))
         coded = pa.chunked_array(found).combine_chunks().dictionary_encode()
         code, doc, col, spot = coded.indices.to_numpy(), np.concatenate(docs), np.concatenate(cols), np.concatenate(places)
-        empty = pc.index(coded.dictionary, "").as_py()  # what an empty text is split into
-        order = np.argsort(doc * max(1, len(coded.dictionary)) + code, kind="stable")  # columns and positions stay in order
+        names = coded.dictionary
+        if words is not None:
+            known = pc.is_in(names, pa.array(words, names.type)).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero((doc[1:] == doc[:-1]) & (col[1:] == col[:-1]) & (known[code[1:]] | known[code[:-1]]))
+            met, both = np.unique(code[at].astype(np.int64) * len(names) + code[at + 1], return_inverse=True)
+            names = pc.binary_join_element_wise(names.take(pa.array(met // max(1, len(names)))), names.take(pa.array(met % max(1, len(names)))), pa.scalar(" ", names.type))
+            code, doc, col, spot = both, doc[at], col[at], spot[at + 1]
+        empty = pc.index(names, "").as_py()  # what an empty text is split into
+        order = np.argsort(doc * max(1, len(names)) + code, kind="stable")  # columns and positions stay in order
         order = order[code[order] != empty] if empty >= 0 else order
         code, doc, col, spot = code[order], doc[order], col[order], spot[order]
         starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])[: len(code)])
@@ -107,7 +121,7 @@ def postings(texts: DataFrame, id_column: str = "id", keep: Iterable[str] = ())
         f = np.add.reduceat(weights[col], starts) if len(starts) else np.empty(0)
         mask = np.bitwise_or.reduceat(np.int32(1) << col, starts) if len(starts) else np.empty(0, np.int32)
         own = [batch[c].take(pa.array(doc[starts])) for c in kept]
-        return pa.RecordBatch.from_arrays([*own, coded.dictionary.take(pa.array(code[starts])).cast(pa.string()), pa.array(f), pa.array(mask), by_token], names=[*kept, "token", "f", "cols", "places"])
+        return pa.RecordBatch.from_arrays([*own, names.take(pa.array(code[starts])).cast(pa.string()), pa.array(f), pa.array(mask), by_token], names=[*kept, "token", "f", "cols", "places"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -193,42 +207,72 @@ def counted_as(term: Term) -> str | None:
     return "n" if len(ids) == len(WEIGHTS) else "att" if ids == ATT else f"c{ids[0]}" if len(ids) == 1 else None
 
 
-def hits(table: DataFrame, term: Term) -> DataFrame:
-    """(id, p): the documents that have the term in its columns, and the places of its last word."""
+def _parts(table: DataFrame, term: Term, pairs: Pairs | None) -> list[list[tuple[Part, DataFrame]]]:
+    """The lists that answer a term, by sets of batches; each with the rows of its list."""
+    found = []
+    for batches, parts in (pairs or Pairs()).covers(term):
+        rows = []
+        for p in parts:
+            lists = pairs.rows if p.paired else table
+            lists = lists.where(F.col("batch").isin(batches)) if batches is not None else lists
+            rows.append((p, lists.where((F.startswith("token", F.lit(p.token)) if p.begun else F.col("token") == p.token) & in_columns(term))))
+        found.append(rows)
+    return found
+
+
+def _later(shift: int) -> Column:
+    return F.transform("p", lambda x: x + shift)
+
+
+def _all_places(parts: list[tuple[Part, DataFrame]], term: Term) -> DataFrame:
+    """(id, p): documents where all lists meet, and the places of the phrase's last word."""
     found: DataFrame | None = None
-    for n, word in enumerate(term.words):
-        begun = term.prefix and n == len(term.words) - 1
-        rows = table.where((F.startswith("token", F.lit(word)) if begun else F.col("token") == word) & in_columns(term))
-        rows = rows.select("id", (F.col("places") if len(term.columns) == len(WEIGHTS) else F.filter("places", lambda p: _in(p, term))).alias("p"))
-        if begun:  # several tokens of a document may begin so; a group is bounded by the document
+    for p, rows in parts:
+        shift = len(term.words) - 1 - p.last
+        rows = rows.select("id", (F.col("places") if len(term.columns) == len(WEIGHTS) else F.filter("places", lambda x: _in(x, term))).alias("p"))
+        if p.begun:  # several tokens of a document may begin so; a group is bounded by the document
             rows = rows.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("p"))
+        rows = rows.select("id", _later(shift).alias("p")) if shift else rows
         if found is not None:
-            rows = rows.withColumnRenamed("p", "q").join(found, "id")
-            rows = rows.select("id", F.array_intersect(F.transform("p", lambda x: x + 1), F.col("q")).alias("p")).where(F.size("p") > 0)
+            rows = rows.withColumnRenamed("p", "q").join(found, "id").select("id", F.array_intersect("p", "q").alias("p")).where(F.size("p") > 0)
         found = rows
     return found
 
 
-def lookup(table: DataFrame, term: Term) -> DataFrame:
-    """Ids of the documents that have the term, from the postings; a single word needs no places."""
-    if len(term.words) == 1:
-        word = term.words[0]
-        rows = table.where((F.startswith("token", F.lit(word)) if term.prefix else F.col("token") == word) & in_columns(term)).select("id")
-        return rows.distinct() if term.prefix else rows
-    return hits(table, term).select("id").distinct()
+def _union(each: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), each)  # of sets of batches, which share no document
 
 
-def frequencies(table: DataFrame, term: Term, name: str) -> DataFrame:
+def hits(table: DataFrame, term: Term, pairs: Pairs | None = None) -> DataFrame:
+    """(id, p): the documents that have the term in its columns, and the places of its last word."""
+    return _union([_all_places(parts, term) for parts in _parts(table, term, pairs)])
+
+
+def lookup(table: DataFrame, term: Term, pairs: Pairs | None = None) -> DataFrame:
+    """Ids of the documents that have the term, from the postings; a single list needs no places."""
+    found = []
+    for parts in _parts(table, term, pairs):
+        begun = parts[0][0].begun
+        found.append((parts[0][1] if len(parts) == 1 else _all_places(parts, term)).select("id"))
+        found[-1] = found[-1].distinct() if len(parts) == 1 and begun else found[-1]
+    return _union(found)
+
+
+def frequencies(table: DataFrame, term: Term, name: str, pairs: Pairs | None = None) -> DataFrame:
     """(id, name): the weighted frequency of the term in each document that has it."""
-    if len(term.words) == 1 and not term.prefix:
-        return table.where((F.col("token") == term.words[0]) & in_columns(term)).select("id", frequency(term).alias(name))
-    return hits(table, term).select("id", weighed(F.col("p")).alias(name))
+    found = []
+    for parts in _parts(table, term, pairs):
+        if len(parts) == 1 and not parts[0][0].begun:
+            found.append(parts[0][1].select("id", frequency(term).alias(name)))
+        else:
+            found.append(_all_places(parts, term).select("id", weighed(F.col("p")).alias(name)))
+    return _union(found)
 
 
 FILTERED = ("date", "folder", "source_name", "source_path", "att_count")
 
 
-def ranked(table: DataFrame, messages: DataFrame, query: str | Query, live: bool = False, limit: int = 500, offset: int = 0, order: str = "id") -> DataFrame:
+def ranked(table: DataFrame, messages: DataFrame, query: str | Query, live: bool = False, limit: int = 500, offset: int = 0, order: str = "id", pairs: Pairs | None = None) -> DataFrame:
     """The best messages with `score`, as `search.ranked` gives them, from postings alone; messages need `length`.
 
     No text is read but that of the rows returned: statistics are scalar subqueries over postings and lengths.
@@ -236,15 +280,15 @@ def ranked(table: DataFrame, messages: DataFrame, query: str | Query, live: bool
     q = parse(query, live) if isinstance(query, str) else query
     if not q.positive:
         newest = [F.desc_nulls_last("date")] if "date" in messages.columns else []
-        return search(table, messages, q).withColumn("score", F.lit(0.0)).orderBy(*newest, order).offset(offset).limit(limit)
+        return search(table, messages, q, pairs=pairs).withColumn("score", F.lit(0.0)).orderBy(*newest, order).offset(offset).limit(limit)
     there = messages.select("id")
     best, df = messages.select(*dict.fromkeys(["id", order, *[c for c in FILTERED if c in messages.columns], "length"])).where(scan.filters(q, messages.columns)), []
     for i, term in enumerate(q.positive):
-        found = frequencies(table, term, f"tf{i}").join(there, "id", "left_semi")
+        found = frequencies(table, term, f"tf{i}", pairs).join(there, "id", "left_semi")
         df.append(found.agg(F.count("*").alias("n")).scalar())
         best = best.join(found, "id")
     for term in q.negative:
-        best = best.join(lookup(table, term), "id", "left_anti")
+        best = best.join(lookup(table, term, pairs), "id", "left_anti")
     total = messages.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean")).alias("t")).scalar()
     best = best.withColumns({"_t": total} | {f"_df{i}": n for i, n in enumerate(df)})
     score = scan.bm25([F.col(f"tf{i}") for i in range(len(df))], [F.col(f"_df{i}") for i in range(len(df))], F.col("length"), F.col("_t.n"), F.col("_t.mean"))
@@ -257,24 +301,24 @@ def _shown(best: DataFrame, messages: DataFrame, limit: int, offset: int, order:
     return messages.join(F.broadcast(best), "id").orderBy("score", order)  # at most `limit` ids
 
 
-def search(table: DataFrame, messages: DataFrame, query: str | Query, live: bool = False) -> DataFrame:
+def search(table: DataFrame, messages: DataFrame, query: str | Query, live: bool = False, pairs: Pairs | None = None) -> DataFrame:
     """Messages that match by postings: semi joins for terms, an anti join for excluded ones."""
     q = parse(query, live) if isinstance(query, str) else query
     rows = messages.where(scan.filters(q, messages.columns))
     for term in q.positive:
-        rows = rows.join(lookup(table, term), "id", "left_semi")
+        rows = rows.join(lookup(table, term, pairs), "id", "left_semi")
     for term in q.negative:
-        rows = rows.join(lookup(table, term), "id", "left_anti")
+        rows = rows.join(lookup(table, term, pairs), "id", "left_anti")
     return rows
 
 
 class Index:
     """The tables under a folder. One writer at a time."""
 
-    TABLES = ("messages", "postings", "terms", "gone", "sources")
+    TABLES = ("messages", "postings", "pairs", "common", "terms", "gone", "sources")
 
-    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK):
-        self.spark, self.path, self.block = spark, path.rstrip("/"), block
+    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK, least: int = phrases.LEAST):
+        self.spark, self.path, self.block, self.least = spark, path.rstrip("/"), block, least
         self.store = Store(spark, path)
         m = self.store.current()
         if m.version and m.totals.get("form") != SCHEMA:
@@ -328,15 +372,31 @@ class Index:
         rows = rows.where(F.startswith("token", F.lit(prefix))) if prefix else rows
         return rows.groupBy("token").agg(F.sum("n").alias("df")).where("df > 0")
 
+    def _pairs(self, q: Query, m: Manifest) -> Pairs | None:
+        """What a query's phrases are answered from; None without a phrase."""
+        terms = [t for t in (*q.positive, *q.negative) if len(t.words) > 1]
+        noted = self.store.read("common", m) if terms else None
+        if noted is None:
+            return None
+        words = sorted({w for t in terms for w in t.words})
+        pairs = Pairs(self._alive("pairs", m))
+        for r in noted.where(F.col("token").isNull() | F.col("token").isin(words)).collect():  # a row a batch and common word of the query
+            pairs.common.setdefault(r["batch"], set()).update([r["token"]] if r["token"] is not None else [])
+        if any(len(parts) > 1 for t in terms for _, parts in pairs.covers(t)):
+            counts = self.store.read("terms", m).where(F.col("token").isin(words)).groupBy("token").agg(F.sum("n").alias("df"))
+            pairs.df = {r["token"]: r["df"] for r in counts.collect()}  # a row a word of the query
+        return pairs
+
     def search(self, query: str, live: bool = False) -> DataFrame:
-        return search(self.postings(), self.messages(), query, live)
+        q, m = parse(query, live), self.store.current()
+        return search(self._alive("postings", m), self._alive("messages", m).drop("batch"), q, live, self._pairs(q, m))
 
     def ranked(self, query: str, live: bool = False, limit: int = 500, offset: int = 0, order: str = "id") -> DataFrame:
         """The best messages with `score`; queries of single words read the blocks that can hold them, others whole lists."""
         q, m = parse(query, live), self.store.current()
         messages = self._alive("messages", m)
         if not q.positive or not all(map(counted_as, q.positive)) or not m.totals.get("messages"):
-            return ranked(self._alive("postings", m), messages.drop("batch"), q, live, limit, offset, order)
+            return ranked(self._alive("postings", m), messages.drop("batch"), q, live, limit, offset, order, self._pairs(q, m))
         best = Blocks(self, m, q).best(limit + offset, order)
         return _shown(best, messages.drop("batch"), limit, offset, order)
 
@@ -361,7 +421,19 @@ class Index:
         found = self.store.write(postings(stored, keep=("batch", "length")), "staged", aside)
         found = self.store.write(found.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "postings", m)
         self.store.drop(aside)
-        self.store.write(dictionary(found, n, self.block).repartitionByRange("token").sortWithinPartitions("token"), "terms", m)
+        terms = self.store.write(dictionary(found, n, self.block).repartitionByRange("token").sortWithinPartitions("token"), "terms", m)
+        self._write_pairs(stored, terms, m, n)
+
+    def _write_pairs(self, stored: DataFrame, terms: DataFrame, m: Manifest, n: int) -> None:
+        """The common words of messages just written, and the postings of their pairs."""
+        most = terms.groupBy("token").agg(F.sum("n").alias("df")).where(F.col("df") >= max(self.least, n * phrases.SHARE)).orderBy(F.desc("df"), "token").limit(phrases.COMMON)
+        common = [r["token"] for r in most.collect()]
+        self.store.write(self.spark.createDataFrame([(m.batch, w) for w in (None, *common)], "batch long, token string").coalesce(1), "common", m)
+        if common:
+            aside = Manifest()
+            found = self.store.write(postings(stored, keep=("batch", "length"), common=common), "staged", aside)
+            self.store.write(found.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "pairs", m)
+            self.store.drop(aside)
 
     def _write_gone(self, removed: DataFrame, m: Manifest) -> int:
         """Take messages (rows of `messages` with their texts) out of the index; how many."""
@@ -462,7 +534,8 @@ class Index:
         kept = self._alive("postings", m)
         if kept is not None:
             kept = self.store.write(kept.withColumn("batch", batch).repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "postings", new)
-            self.store.write(dictionary(kept, n, self.block).repartitionByRange("token").sortWithinPartitions("token"), "terms", new)
+            terms = self.store.write(dictionary(kept, n, self.block).repartitionByRange("token").sortWithinPartitions("token"), "terms", new)
+            self._write_pairs(stored, terms, new, n)
         states = latest(self.store.read("sources", m), ["source_name"]).where("not removed").drop("batch")
         self.store.write(_states(states, m), "sources", new)
         self.store.commit(new)

@@ -462,6 +462,13 @@ def index_ranked(spark, d):
     return found.select(F.col("doc").alias("id"), *HIT[1:], F.round("score", 6).alias("score"))
 
 
+@_add("index_phrase", _bm25(("of", "the")))
+def index_phrase(spark, d):
+    """A phrase of common words: one list of pairs has its documents and their frequencies."""
+    found = _indexed(spark, d).ranked('"of the"', limit=20, order="doc")
+    return found.select(F.col("doc").alias("id"), *HIT[1:], F.round("score", 6).alias("score"))
+
+
 @_add("index_terms", f"WITH {TOKENS}, kept AS (SELECT DISTINCT tok.id, token FROM tok JOIN docs ON docs.id = tok.id WHERE token <> '' AND folder IS DISTINCT FROM 'en') SELECT token, count(*) AS df FROM kept WHERE starts_with(token, 'l') GROUP BY token")
 def index_terms(spark, d):
     """Words of bodies by prefix with their document frequencies, after a run that has lost the English messages."""
