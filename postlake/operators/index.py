@@ -2,16 +2,18 @@
 
 `messages`, `postings`, `terms`, `gone` and `sources` are tables of immutable segments, and a manifest names the live
 ones (see `snapshots`): an update, a removal or a compaction writes its segments and then takes effect as a whole or
-not at all. Postings hold a row for each token and document, with its places in the columns, in the order of token and
-document, so that a word or a prefix reads the row groups whose bounds hold it, and a word of every document is spread
-over files; ranking needs no places and doesn't read them. Nothing is gathered per token.
-
-`terms` is the dictionary. A segment's documents of a token are cut into blocks of about BLOCK documents by ranges of
-their ids (2^level equal ranges of the hash; the blocks of a rarer word are unions of those of a more frequent one);
-each block has its number of documents, whole and by columns, the greatest weighted frequency and the least length. The
-sums over blocks are exact document frequencies: a removal adds rows of negative counts. Frequency and length bound the
-score of every document of a block from above under any statistics, so the best k are found by scoring the most promising
-blocks first and then only those that can still reach the k-th score.
+not at all. Each message written gets a number (batch, file and row), and postings know messages by it. A row of the
+postings is a token and a run of messages that were read together, with their offsets, weighted frequencies, columns,
+lengths and places in two arrays; runs are cut by portions of text and, for a frequent token, into blocks of about BLOCK
+messages, so no row grows with the index. Rows lie in the order of tokens in the file of the task that read their messages,
+so that a word or a prefix reads the pages whose bounds hold it, and a word of every document is spread over files; ranking
+needs no places and doesn't read them. They are made once; nothing is shuffled, or written aside.
+
+A row has the greatest frequency and the least length of its documents; `terms`, the dictionary, has the numbers of documents
+by token, whole and by columns, exactly: a removal adds rows of negative counts. Frequency
+and length bound the score of every document of a row from above under any statistics, so the best k are found by scoring
+the most promising stretches first and then only those that can still reach the k-th score. The stretches of different
+words are aligned: 2^level units of BLOCK messages from where the portion begins.
 
 `pairs` are postings of adjacent words where either is common in its batch, as `common` notes; phrases are answered from
 them instead of whole lists of common words (see `phrases`).
@@ -38,12 +40,14 @@ from .search import B, K1, WEIGHTS, Query, Term, parse
 from .snapshots import Manifest, Store, latest
 
 #: Of the tables' form; an index of another form is cleared and built anew.
-SCHEMA = 4
+SCHEMA = 5
 #: Ids and tokens that are broadcast at most.
 SMALL = 1 << 16
-#: Documents in a block of the dictionary, about; bits of an id that blocks are cut by.
-BLOCK, BITS = 256, 32
-#: Blocks that are scored first; id ranges that are pushed to the scan (more are joined).
+#: Documents in a row of postings of a frequent word, about.
+BLOCK = 256
+#: Bits of a message's number for the file that it was written to, and for the row there; the batch is above them.
+FILES, ROWS = 19, 24
+#: Stretches that are scored first; those that are pushed to the scan (more are joined).
 FIRST, PUSHED = 64, 128
 
 
@@ -77,7 +81,7 @@ POSTINGS = "token string, f double, cols int, places array<bigint>"
 #: Bits of a place that hold the position in its column; the column's number is above them.
 COLUMN = 32
 #: Bytes of text whose tokens are put in order at a time; a longer text is a portion of its own.
-PORTION = 4 << 20
+PORTION = 16 << 20
 
 
 def postings(texts: DataFrame, id_column: str = "id", keep: Iterable[str] = (), common: Iterable[str] | None = None) -> DataFrame:
@@ -87,36 +91,15 @@ def postings(texts: DataFrame, id_column: str = "id", keep: Iterable[str] = (),
     document is one row, so its tokens are put in order where it is and nothing is shuffled. With common, the tokens are
     the pairs of adjacent words of a column where either is among these words, and the places are those of second words.
     """
-    there = [c for c in WEIGHTS if c in texts.columns]
+    rows, numbers, kept = _normalized(texts, id_column, keep)
     words = None if common is None else list(common)
-    numbers, weights = [list(WEIGHTS).index(c) for c in there], np.array(list(WEIGHTS.values()))
-    rows = texts.select(F.col(id_column).alias("id"), *keep, *[F.trim(normalized(F.col(c))).alias(f"_n{i}") for i, c in zip(numbers, there, strict=True)])
-    kept = {f.name: f.dataType.simpleString() for f in rows.schema if not f.name.startswith("_n")}
+    weights = np.array(list(WEIGHTS.values()))
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        docs, cols, places, found = [], [], [], []
-        for i in numbers:
-            lists = pc.split_pattern(batch[f"_n{i}"].cast(pa.large_string()).fill_null(""), " ")
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(sizes)
-            docs.append(np.repeat(np.arange(batch.num_rows), sizes))
-            cols.append(np.full(int(sizes.sum()), i, np.int32))
-            places.append(np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes) + (i << COLUMN))
-            found.append(pc.list_flatten(lists))
-        coded = pa.chunked_array(found).combine_chunks().dictionary_encode()
-        code, doc, col, spot = coded.indices.to_numpy(), np.concatenate(docs), np.concatenate(cols), np.concatenate(places)
-        names = coded.dictionary
-        if words is not None:
-            known = pc.is_in(names, pa.array(words, names.type)).to_numpy(zero_copy_only=False)
-            at = np.flatnonzero((doc[1:] == doc[:-1]) & (col[1:] == col[:-1]) & (known[code[1:]] | known[code[:-1]]))
-            met, both = np.unique(code[at].astype(np.int64) * len(names) + code[at + 1], return_inverse=True)
-            names = pc.binary_join_element_wise(names.take(pa.array(met // max(1, len(names)))), names.take(pa.array(met % max(1, len(names)))), pa.scalar(" ", names.type))
-            code, doc, col, spot = both, doc[at], col[at], spot[at + 1]
-        empty = pc.index(names, "").as_py()  # what an empty text is split into
+        code, doc, col, spot, names = _coded(batch, numbers, words)
         order = np.argsort(doc * max(1, len(names)) + code, kind="stable")  # columns and positions stay in order
-        order = order[code[order] != empty] if empty >= 0 else order
         code, doc, col, spot = code[order], doc[order], col[order], spot[order]
-        starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])[: len(code)])
+        starts = _starts(code, doc)
         by_token = pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)).astype(np.int32)), pa.array(spot))
         f = np.add.reduceat(weights[col], starts) if len(starts) else np.empty(0)
         mask = np.bitwise_or.reduceat(np.int32(1) << col, starts) if len(starts) else np.empty(0, np.int32)
@@ -125,17 +108,138 @@ def postings(texts: DataFrame, id_column: str = "id", keep: Iterable[str] = (),
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch[f"_n{i}"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in numbers))
-            lo = 0
-            while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PORTION, side="right")))
+            for lo, hi in _portions(batch, numbers):
                 yield of(batch.slice(lo, hi - lo))
-                lo = hi
 
     schema = ", ".join(f"`{c}` {k}" for c, k in kept.items()) + ", " + POSTINGS
     return rows.mapInArrow(run, schema).select("token", "id", "f", "cols", "places", *keep)
 
 
+def _normalized(texts: DataFrame, id_column: str, keep: Iterable[str]) -> tuple[DataFrame, list[int], dict[str, str]]:
+    """Texts with their normalised columns, the numbers of these, and what else there is with its types."""
+    there = [c for c in WEIGHTS if c in texts.columns]
+    numbers = [list(WEIGHTS).index(c) for c in there]
+    rows = texts.select(F.col(id_column).alias("id"), *keep, *[F.trim(normalized(F.col(c))).alias(f"_n{i}") for i, c in zip(numbers, there, strict=True)])
+    return rows, numbers, {f.name: f.dataType.simpleString() for f in rows.schema if not f.name.startswith("_n")}
+
+
+def _portions(batch: pa.RecordBatch, numbers: list[int], cuts: Iterable[int] = ()) -> Iterable[tuple[int, int]]:
+    """Where portions of a batch begin and end: at PORTION bytes of text, and at these rows."""
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch[f"_n{i}"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in numbers))
+    lo = 0
+    for stop in (*cuts, batch.num_rows):
+        while lo < stop:
+            hi = min(stop, max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PORTION, side="right"))))
+            yield lo, hi
+            lo = hi
+
+
+def _coded(batch: pa.RecordBatch, numbers: list[int], words: list[str] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Each token of a batch: its code, row, column and place; and the tokens by code. With words, the pairs that hold one."""
+    docs, cols, places, found = [], [], [], []
+    for i in numbers:
+        lists = pc.split_pattern(batch[f"_n{i}"].cast(pa.large_string()).fill_null(""), " ")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        docs.append(np.repeat(np.arange(batch.num_rows), sizes))
+        cols.append(np.full(int(sizes.sum()), i, np.int32))
+        places.append(np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes) + (i << COLUMN))
+        found.append(pc.list_flatten(lists))
+    coded = pa.chunked_array(found).combine_chunks().dictionary_encode()
+    code, doc, col, spot = coded.indices.to_numpy(), np.concatenate(docs), np.concatenate(cols), np.concatenate(places)
+    names = coded.dictionary
+    if words is not None:
+        known = pc.is_in(names, pa.array(words, names.type)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero((doc[1:] == doc[:-1]) & (col[1:] == col[:-1]) & (known[code[1:]] | known[code[:-1]]))
+        met, both = np.unique(code[at].astype(np.int64) * len(names) + code[at + 1], return_inverse=True)
+        names = pc.binary_join_element_wise(names.take(pa.array(met // max(1, len(names)))), names.take(pa.array(met % max(1, len(names)))), pa.scalar(" ", names.type))
+        code, doc, col, spot = both, doc[at], col[at], spot[at + 1]
+    empty = pc.index(names, "").as_py()  # what an empty text is split into
+    if empty >= 0:
+        some = code != empty
+        code, doc, col, spot = code[some], doc[some], col[some], spot[some]
+    return code, doc, col, spot, names
+
+
+def _starts(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])[: len(code)])
+
+
+ATT = [i for i, c in enumerate(WEIGHTS) if c in ("attachments", "att_names")]
+#: The counts of a row of postings: documents, those with the token in each column, and in either column of attachments.
+COUNTS = ["n", *[f"c{i}" for i in range(len(WEIGHTS))], "att"]
+PACKED = "token string, base bigint, unit int, lo int, hi int, top int, short int, data array<int>, places array<int>"
+#: What data has of each document, one list behind the other; bits of a packed place that hold the position.
+DATA, PACKED_AT = ("off", "f", "cols", "length", "end"), 28
+
+
+def packed(stored: DataFrame, block: int = BLOCK, common: Iterable[str] | None = None) -> DataFrame:
+    """The rows of `postings`, or with common of `pairs`, of messages as written (num, batch, length and texts).
+
+    base: the number of the portion's first message; lo, hi: the units (of so many messages) that the row is of; data: the
+    documents' distances from base, weighted frequencies (whole numbers, as the weights are), columns, lengths, and where
+    their places end in places. Few columns and narrow ones: most rows have one document.
+    """
+    rows, numbers, _ = _normalized(stored, "num", ("length",))
+    words = None if common is None else list(common)
+    weights = np.array(list(WEIGHTS.values()))
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        code, doc, col, spot, names = _coded(batch, numbers, words)
+        order = np.argsort(code.astype(np.int64) * batch.num_rows + doc, kind="stable")  # columns and positions stay in order
+        code, doc, col, spot = code[order], doc[order], col[order], spot[order]
+        starts = _starts(code, doc)
+        some = len(starts) > 0
+        over = lambda f, x, at: f.reduceat(x, at) if some else x[:0]
+        f, mask = over(np.add, weights[col], starts), over(np.bitwise_or, np.int32(1) << col, starts)
+        code, doc, ends = code[starts], doc[starts], np.append(starts[1:], len(code))
+        # Units of a row of each token: so many that about `block` documents have it, and a power of two.
+        units, df = -(-batch.num_rows // block), np.bincount(code, minlength=len(names))
+        wide = 2 ** np.floor(np.log2(np.maximum(1, units * block / np.maximum(1, df)))).astype(np.int64)
+        wide = np.where(df <= block, 1 << max(0, units - 1).bit_length(), wide)[code]
+        part = doc // block // wide
+        cuts = _starts(code, part)
+        bounds = np.append(cuts, len(code)).astype(np.int32)
+        length = batch["length"].to_numpy(zero_copy_only=False)[doc]
+        n, first = np.diff(bounds), starts[cuts] if some else starts
+        row = np.repeat(np.arange(len(cuts)), n)
+        if len(spot) and int((spot & (1 << COLUMN) - 1).max()) >> PACKED_AT:
+            raise ValueError(f"a text of more than {1 << PACKED_AT} words")
+        data, at = np.empty(len(DATA) * len(code), np.int32), (np.arange(len(code)) - bounds[:-1][row]) + len(DATA) * bounds[:-1][row].astype(np.int64)
+        for k, x in enumerate((doc, f, mask, length, ends - first[row])):
+            data[at + k * n[row]] = x
+        same = lambda x, kind: pa.array(np.full(len(cuts), x), kind)
+        places = (spot >> COLUMN << PACKED_AT) + (spot & (1 << COLUMN) - 1)
+        one = {
+            "token": names.take(pa.array(code[cuts])).cast(pa.string()), "base": same(batch["id"][0].as_py(), pa.int64()), "unit": same(block, pa.int32()),
+            "lo": pa.array((part * wide)[cuts], pa.int32()), "hi": pa.array(np.minimum((part + 1) * wide, units)[cuts], pa.int32()),
+            "top": pa.array(over(np.maximum, f, cuts).astype(np.int32)), "short": pa.array(over(np.minimum, length, cuts), pa.int32()),
+            "data": pa.ListArray.from_arrays(pa.array(bounds * len(DATA)), pa.array(data)), "places": pa.ListArray.from_arrays(pa.array(np.append(first, len(spot)).astype(np.int32)), pa.array(places, pa.int32())),
+        }
+        return pa.RecordBatch.from_arrays(list(one.values()), names=list(one))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            num = batch["id"].to_numpy(zero_copy_only=False)
+            for lo, hi in _portions(batch, numbers, np.flatnonzero(num[1:] != num[:-1] + 1) + 1):
+                yield of(batch.slice(lo, hi - lo))
+
+    return rows.mapInArrow(run, PACKED)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(token, batch, base, unit, off, id, f, cols, length, places): one row for each token of a message, which id is the number of."""
+    n = F.floor(F.size("data") / len(DATA)).cast("int")
+    each = rows.select("token", "base", "unit", "data", "places", n.alias("_n"), F.posexplode(F.slice("data", F.lit(1), n)).alias("_i", "off"))
+    of = {c: F.get("data", F.col("_i") + F.col("_n") * k) for k, c in enumerate(DATA)}
+    begun = F.when(F.col("_i") == 0, 0).otherwise(F.get("data", F.col("_i") + F.col("_n") * DATA.index("end") - 1))
+    place = lambda p: F.shiftleft(F.shiftright(p, PACKED_AT).cast("bigint"), COLUMN) + p.bitwiseAND((1 << PACKED_AT) - 1)
+    return each.select(
+        "token", F.shiftright("base", FILES + ROWS).alias("batch"), "base", "unit", "off", (F.col("base") + F.col("off")).alias("id"), of["f"].cast("double").alias("f"), of["cols"].alias("cols"),
+        of["length"].alias("length"), F.transform(F.slice("places", begun + 1, of["end"] - begun), place).alias("places"),
+    )
+
+
 def length(texts: DataFrame) -> Column:
     """The tokens of all indexed columns, as ranking counts them."""
 
@@ -165,38 +269,22 @@ def in_columns(term: Term) -> Column:
     return F.col("cols").bitwiseAND(sum(1 << i for i, c in enumerate(WEIGHTS) if c in term.columns)) != 0
 
 
-ATT = [i for i, c in enumerate(WEIGHTS) if c in ("attachments", "att_names")]
-#: The dictionary's counts: documents, those with the token in each column, and in either column of attachments.
-COUNTS = ["n", *[f"c{i}" for i in range(len(WEIGHTS))], "att"]
-
-
-def _counts(sign: int = 1) -> list[Column]:
-    bits = {"n": F.lit(1)} | {f"c{i}": F.shiftright("cols", i).bitwiseAND(1) for i in range(len(WEIGHTS))}
-    bits["att"] = (F.col("cols").bitwiseAND(sum(1 << i for i in ATT)) != 0).cast("int")
-    return [(F.sum(bits[c]) * sign).cast("long").alias(c) for c in COUNTS]
-
-
-def place(id_column: str = "id") -> Column:
-    """The first BITS bits of an id."""
-    return F.conv(F.substring(id_column, 1, BITS // 4), 16, 10).cast("long")
-
-
-def dictionary(table: DataFrame, documents: int, block: int = BLOCK) -> DataFrame:
-    """The blocks of postings that have `batch` and `length`; documents: how many there are."""
-    finest = min(BITS - 1, max(0, math.ceil(math.log2(max(1, documents / block)))))
-    # At most one row for each of the finest ranges, so no token is more rows than these.
-    rows = table.withColumn("fine", F.shiftright(place(), BITS - finest)).groupBy("token", "batch", "fine").agg(*_counts(), F.max("f").alias("top"), F.min("length").alias("short"))
-    df = rows.groupBy("token").agg(F.sum("n").alias("_df"))
-    level = F.greatest(F.lit(0), F.least(F.lit(finest), F.ceil(F.log2(F.col("_df") / block)))).cast("int")
-    rows = rows.join(df, "token").withColumn("level", level)
-    rows = rows.withColumn("range", F.expr(f"shiftright(fine, {finest} - level)"))
-    return rows.groupBy("token", "batch", "level", "range").agg(*[F.sum(c).alias(c) for c in COUNTS], F.max("top").alias("top"), F.min("short").alias("short"))
+def dictionary(rows: DataFrame, batch: int, sign: int = 1) -> DataFrame:
+    """The counts of tokens in rows of postings; sign -1: what takes them back."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for part in batches:
+            sizes = pc.list_value_length(part["data"]).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(sizes):
+                continue
+            n, data = sizes // len(DATA), pc.list_flatten(part["data"]).to_numpy(zero_copy_only=False)
+            starts = np.cumsum(n) - n
+            cols = data[np.arange(int(n.sum())) - np.repeat(starts, n) + np.repeat(np.cumsum(sizes) - sizes + DATA.index("cols") * n, n)]
+            bits = [np.ones(len(cols), np.int64), *[cols >> i & 1 for i in range(len(WEIGHTS))], (cols & sum(1 << i for i in ATT)) != 0]
+            yield pa.RecordBatch.from_arrays([part["token"], *[pa.array(np.add.reduceat(x.astype(np.int64), starts)) for x in bits]], names=["token", *COUNTS])
 
-def taken_back(table: DataFrame) -> DataFrame:
-    """Rows of the dictionary that take the documents of these postings from the counts; they are no blocks."""
-    none = {"level": F.lit(None).cast("int"), "range": F.lit(None).cast("long"), "top": F.lit(None).cast("double"), "short": F.lit(None).cast("int")}
-    return table.groupBy("token", "batch").agg(*_counts(-1)).withColumns(none).select("token", "batch", "level", "range", *COUNTS, "top", "short")
+    counts = rows.select("token", "data").mapInArrow(run, "token string, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return counts.groupBy("token").agg(*[(F.sum(c) * sign).alias(c) for c in COUNTS]).withColumn("batch", F.lit(batch).cast("long"))
 
 
 def counted_as(term: Term) -> str | None:
@@ -301,6 +389,11 @@ def _shown(best: DataFrame, messages: DataFrame, limit: int, offset: int, order:
     return messages.join(F.broadcast(best), "id").orderBy("score", order)  # at most `limit` ids
 
 
+def _named(found: DataFrame) -> DataFrame:
+    """Messages under their own ids again."""
+    return found.drop("id").withColumnRenamed("_id", "id")
+
+
 def search(table: DataFrame, messages: DataFrame, query: str | Query, live: bool = False, pairs: Pairs | None = None) -> DataFrame:
     """Messages that match by postings: semi joins for terms, an anti join for excluded ones."""
     q = parse(query, live) if isinstance(query, str) else query
@@ -326,24 +419,39 @@ class Index:
 
     # What readers see
 
-    def _alive(self, name: str, m: Manifest) -> DataFrame | None:
-        """The rows of a table whose message no later batch has removed."""
+    def _alive(self, name: str, m: Manifest, within: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame | None:
+        """The rows of a table whose message no later batch has removed; of postings a row a message (within: which of their rows)."""
         rows, gone = self.store.read(name, m), self.store.read("gone", m)
+        key = "num" if name == "messages" else "id"
+        rows = unpacked(within(rows)) if rows is not None and key == "id" else rows
         if rows is None or gone is None:
             return rows
-        gone = gone.groupBy("id").agg(F.max("batch").alias("_gone"))
-        gone = F.broadcast(gone) if m.totals.get("gone", 0) <= SMALL else gone
-        return rows.join(gone, "id", "left").where("_gone is null or batch >= _gone").drop("_gone")
+        gone = gone.select(F.col("num").alias(key))
+        return rows.join(F.broadcast(gone) if m.totals.get("gone", 0) <= SMALL else gone, key, "left_anti")
 
     def messages(self) -> DataFrame | None:
         """All messages that are in the index now."""
         rows = self._alive("messages", self.store.current())
-        return rows.drop("batch") if rows is not None else None
+        return rows.drop("batch", "num") if rows is not None else None
 
     def postings(self) -> DataFrame | None:
         """The postings of these messages."""
         return self._alive("postings", self.store.current())
 
+    def occurrences(self, column: str) -> DataFrame:
+        """(token, n): how often each word is in a column of these messages; without removals, rows are counted as they lie."""
+        m, i = self.store.current(), list(WEIGHTS).index(column)
+        if self.store.read("gone", m) is not None:
+            rows, at = self.postings(), COLUMN
+        else:
+            rows, at = self.store.read("postings", m), PACKED_AT
+        counted = rows.select("token", F.size(F.filter("places", lambda p: F.shiftright(p, at) == i)).alias("n"))
+        return counted.groupBy("token").agg(F.sum("n").alias("n")).where("n > 0")
+
+    def _numbered(self, m: Manifest) -> DataFrame:
+        """The messages under their numbers, as postings know them."""
+        return self._alive("messages", m).drop("batch").withColumnRenamed("id", "_id").withColumnRenamed("num", "id")
+
     def sources(self) -> DataFrame | None:
         """The state of each source at its last update."""
         rows = self.store.read("sources", self.store.current())
@@ -389,16 +497,16 @@ class Index:
 
     def search(self, query: str, live: bool = False) -> DataFrame:
         q, m = parse(query, live), self.store.current()
-        return search(self._alive("postings", m), self._alive("messages", m).drop("batch"), q, live, self._pairs(q, m))
+        return _named(search(self._alive("postings", m), self._numbered(m), q, live, self._pairs(q, m)))
 
     def ranked(self, query: str, live: bool = False, limit: int = 500, offset: int = 0, order: str = "id") -> DataFrame:
         """The best messages with `score`; queries of single words read the blocks that can hold them, others whole lists."""
         q, m = parse(query, live), self.store.current()
-        messages = self._alive("messages", m)
+        messages, order = self._numbered(m), "_id" if order == "id" else order
         if not q.positive or not all(map(counted_as, q.positive)) or not m.totals.get("messages"):
-            return ranked(self._alive("postings", m), messages.drop("batch"), q, live, limit, offset, order, self._pairs(q, m))
+            return _named(ranked(self._alive("postings", m), messages, q, live, limit, offset, order, self._pairs(q, m)))
         best = Blocks(self, m, q).best(limit + offset, order)
-        return _shown(best, messages.drop("batch"), limit, offset, order)
+        return _named(_shown(best, messages, limit, offset, order))
 
     def resolve(self, hits: DataFrame, listing: DataFrame) -> DataFrame:
         """The listing rows of hits as they are now, by source and key; hits whose message is gone are left out."""
@@ -414,14 +522,23 @@ class Index:
         m.totals["form"] = SCHEMA
         return m
 
+    def _write_messages(self, rows: DataFrame, m: Manifest) -> DataFrame:
+        """Messages with their numbers, which are those of a file in order."""
+        at = F.monotonically_increasing_id()
+        file, row = F.shiftright(at, 33), at.bitwiseAND((1 << 33) - 1)
+        num = F.lit(m.batch << FILES + ROWS).cast("long") + F.shiftleft(file, ROWS) + row
+        fits = (file < 1 << FILES) & (row < 1 << ROWS) & F.lit(m.batch < 1 << 63 - FILES - ROWS)
+        num = F.when(fits, num).otherwise(F.raise_error(F.lit("too many messages in a file, or files or batches, for their numbers")).cast("long"))
+        return self.store.write(rows.withColumns({"batch": F.lit(m.batch).cast("long"), "num": num}), "messages", m)
+
+    def _write_lists(self, rows: DataFrame, table: str, m: Manifest) -> DataFrame:
+        """Rows of postings in the order of tokens, in a file where their messages were read: nothing is shuffled."""
+        return self.store.write(rows.sortWithinPartitions("token", "base", "lo"), table, m)
+
     def _write_terms(self, stored: DataFrame, m: Manifest, n: int) -> None:
-        """The postings of messages just written, and their blocks."""
-        # A range exchange samples its input; written aside, the texts are parted once.
-        aside = Manifest()
-        found = self.store.write(postings(stored, keep=("batch", "length")), "staged", aside)
-        found = self.store.write(found.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "postings", m)
-        self.store.drop(aside)
-        terms = self.store.write(dictionary(found, n, self.block).repartitionByRange("token").sortWithinPartitions("token"), "terms", m)
+        """The postings of messages just written, and their dictionary."""
+        found = self._write_lists(packed(stored, self.block), "postings", m)
+        terms = self.store.write(dictionary(found, m.batch).repartitionByRange("token").sortWithinPartitions("token"), "terms", m)
         self._write_pairs(stored, terms, m, n)
 
     def _write_pairs(self, stored: DataFrame, terms: DataFrame, m: Manifest, n: int) -> None:
@@ -430,17 +547,13 @@ class Index:
         common = [r["token"] for r in most.collect()]
         self.store.write(self.spark.createDataFrame([(m.batch, w) for w in (None, *common)], "batch long, token string").coalesce(1), "common", m)
         if common:
-            aside = Manifest()
-            found = self.store.write(postings(stored, keep=("batch", "length"), common=common), "staged", aside)
-            self.store.write(found.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "pairs", m)
-            self.store.drop(aside)
+            self._write_lists(packed(stored, self.block, common), "pairs", m)
 
     def _write_gone(self, removed: DataFrame, m: Manifest) -> int:
         """Take messages (rows of `messages` with their texts) out of the index; how many."""
-        texts = removed.select("id", "batch", "length", *[c for c in WEIGHTS if c in removed.columns])
-        gone = self.store.write(removed.select("id", "length", F.lit(m.batch).cast("long").alias("batch")), "gone", m)
+        gone = self.store.write(removed.select("id", "num", "length", F.lit(m.batch).cast("long").alias("batch")), "gone", m)
         n, words = gone.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        self.store.write(taken_back(postings(texts, keep=("batch", "length"))).repartitionByRange("token").sortWithinPartitions("token"), "terms", m)
+        self.store.write(dictionary(packed(removed, self.block), m.batch, -1).repartitionByRange("token").sortWithinPartitions("token"), "terms", m)
         for k, v in (("gone", n), ("messages", -n), ("words", -words)):
             m.totals[k] = m.totals.get(k, 0) + v
         return n
@@ -479,7 +592,7 @@ class Index:
             if texts is not None:
                 new = new.select("source_name", "nid", "key", "id", *[c for c in ("path", "offset", "size", "kind", "flag_read", "folder") if c in new.columns])
                 new = texts(new).join(new.select("source_name", "nid", "key", "id"), ["source_name", "nid"])
-            stored = self.store.write(new.withColumn("length", length(new)).withColumn("batch", F.lit(m.batch).cast("long")), "messages", m)
+            stored = self._write_messages(new.withColumn("length", length(new)), m)
             n, words = stored.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
             self._write_terms(stored, m, n)
             for k, v in (("messages", n), ("words", words)):
@@ -527,15 +640,11 @@ class Index:
         if rows is None:
             return
         new = Manifest(m.version, m.batch, totals={"form": SCHEMA})
-        batch = F.lit(m.batch).cast("long")
-        stored = self.store.write(rows.withColumn("batch", batch), "messages", new)
+        stored = self._write_messages(rows, new)
         n, words = stored.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         new.totals |= {"messages": n, "words": words}
-        kept = self._alive("postings", m)
-        if kept is not None:
-            kept = self.store.write(kept.withColumn("batch", batch).repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "postings", new)
-            terms = self.store.write(dictionary(kept, n, self.block).repartitionByRange("token").sortWithinPartitions("token"), "terms", new)
-            self._write_pairs(stored, terms, new, n)
+        if self.store.read("postings", m) is not None:
+            self._write_terms(stored, new, n)
         states = latest(self.store.read("sources", m), ["source_name"]).where("not removed").drop("batch")
         self.store.write(_states(states, m), "sources", new)
         self.store.commit(new)
@@ -546,7 +655,7 @@ def _states(rows: DataFrame, m: Manifest) -> DataFrame:
 
 
 class Blocks:
-    """The best documents of a query of single words, by the bounds of the dictionary's blocks."""
+    """The best documents of a query of single words, by the bounds of the postings' rows."""
 
     def __init__(self, index: Index, m: Manifest, q: Query):
         self.index, self.m, self.q = index, m, q
@@ -555,71 +664,62 @@ class Blocks:
         rows = index.store.read("terms", m).where(F.col("token").isin(words))
         sums = {r["token"]: r for r in rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS]).collect()}  # a row a word
         self.df = [sums[w][counted_as(t)] if w in sums else 0 for w, t in zip(words, q.positive, strict=True)]
-        self.blocks = rows.where("level is not null")
-        #: The finest level of each batch: a row a segment and word.
-        self.level: dict[int, int] = {}
-        for r in self.blocks.select("batch", "level").distinct().collect():
-            self.level[r["batch"]] = max(r["level"], self.level.get(r["batch"], 0))
+        self.blocks = index.store.read("postings", m)
 
     def _idf(self, df: int) -> float:
         idf = math.log((self.n - df + 0.5) / (df + 0.5))
         return idf if idf > 0 else 1e-6
 
     def ranges(self) -> DataFrame:
-        """(batch, range, bound): ranges of ids at their batch's finest level that may hold all words, and no score exceeds its bound."""
-        finest = self._finest()
+        """(base, range, bound): units of messages that may hold all words, and no score exceeds its bound."""
         found: DataFrame | None = None
         for i, t in enumerate(self.q.positive):
-            fold = F.pow(F.lit(2.0), finest - F.col("level")).cast("long")
             f, short = F.col("top"), F.col("short")
             bound = F.lit(self._idf(self.df[i])) * f * (K1 + 1) / (f + K1 * (1 - B + B * short / self.mean))
-            rows = self.blocks.where(F.col("token") == t.words[0]).select("batch", bound.alias(f"b{i}"), F.explode(F.sequence(F.col("range") * fold, (F.col("range") + 1) * fold - 1)).alias("range"))
-            found = rows if found is None else found.join(rows, ["batch", "range"])
-        return found.select("batch", "range", reduce(lambda a, b: a + b, [F.col(f"b{i}") for i in range(len(self.q.positive))]).alias("bound"))
+            rows = self.blocks.where(F.col("token") == t.words[0]).select("base", bound.alias(f"b{i}"), F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("range"))
+            found = rows if found is None else found.join(rows, ["base", "range"])
+        return found.select("base", "range", reduce(lambda a, b: a + b, [F.col(f"b{i}") for i in range(len(self.q.positive))]).alias("bound"))
 
-    def _finest(self) -> Column:
-        return F.element_at(F.create_map(*[F.lit(x) for pair in self.level.items() for x in pair]), F.col("batch").cast("int"))
-
-    def scored(self, within: Callable[[DataFrame], DataFrame], order: str) -> DataFrame:
-        """(id, order, score) of the documents in these ranges that match the whole query."""
-        table = within(self.index._alive("postings", self.m))
+    def scored(self, within: Callable[[str], DataFrame], order: str) -> DataFrame:
+        """(id, order, score) of the documents within these ranges that match the whole query; within gives a word's postings."""
         best: DataFrame | None = None
         for i, t in enumerate(self.q.positive):
-            rows = table.where((F.col("token") == t.words[0]) & in_columns(t)).select("id", frequency(t).alias(f"tf{i}"), *([] if i else ["length"]))
+            rows = within(t.words[0]).where(in_columns(t)).select("id", frequency(t).alias(f"tf{i}"), *([] if i else ["length"]))
             best = rows if best is None else best.join(rows, "id")
         for t in self.q.negative:
-            best = best.join(lookup(table, t), "id", "left_anti")
+            best = best.join(lookup(self.index._alive("postings", self.m), t), "id", "left_anti")
         count = range(len(self.q.positive))
         score = scan.bm25([F.col(f"tf{i}") for i in count], [F.lit(d) for d in self.df], F.col("length"), F.lit(self.n), F.lit(self.mean))
         best = best.select("id", score.alias("score"))
         if order != "id" or self.q.folder or self.q.source or self.q.after or self.q.before or self.q.has_att is not None:
-            messages = self.index._alive("messages", self.m)
+            messages = self.index._numbered(self.m)
             columns = dict.fromkeys(["id", order, *[c for c in FILTERED if c in messages.columns]])
             best = best.join(messages.where(scan.filters(self.q, messages.columns)).select(*columns), "id")
         return best.select(*dict.fromkeys(["id", order, "score"]))
 
-    def _pushed(self, ranges: list) -> Callable[[DataFrame], DataFrame]:
-        """Rows in these ranges, as bounds of ids that the scan can use; neighbours are one."""
+    def _postings(self, word: str, of: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        rows = self.index._alive("postings", self.m, lambda rows: of(rows.where(F.col("token") == word)))
+        return rows.withColumn("range", F.floor(F.col("off") / F.col("unit")).cast("int"))
+
+    def _pushed(self, ranges: list) -> Callable[[str], DataFrame]:
+        """Postings in these ranges, by tests that the scan can use; neighbours are one."""
         spans: dict[int, list[list[int]]] = {}
-        for batch, r in sorted((x["batch"], x["range"]) for x in ranges):
-            mine = spans.setdefault(batch, [])
+        for base, r in sorted((x["base"], x["range"]) for x in ranges):
+            mine = spans.setdefault(base, [])
             if mine and mine[-1][1] == r:
                 mine[-1][1] = r + 1
             else:
                 mine.append([r, r + 1])
-        tests = [F.lit(False)]
-        for batch, each in spans.items():
-            bits = BITS - self.level[batch]
-            for lo, hi in each:
-                test = (F.col("batch") == batch) & (F.col("id") >= f"{lo << bits:0{BITS // 4}x}")
-                tests.append(test & (F.col("id") < f"{hi << bits:0{BITS // 4}x}") if hi << bits < 1 << BITS else test)
-        return lambda rows: rows.where(reduce(lambda a, b: a | b, tests))
-
-    def _joined(self, ranges: DataFrame, n: int) -> Callable[[DataFrame], DataFrame]:
-        ranges = ranges.select("batch", "range")
+        either = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
+        every = [(base, lo, hi) for base, each in spans.items() for lo, hi in each]
+        rows = either([(F.col("base") == base) & (F.col("lo") < hi) & (F.col("hi") > lo) for base, lo, hi in every])
+        docs = either([(F.col("base") == base) & (F.col("range") >= lo) & (F.col("range") < hi) for base, lo, hi in every])
+        return lambda word: self._postings(word, lambda table: table.where(rows)).where(docs)
+
+    def _joined(self, ranges: DataFrame, n: int) -> Callable[[str], DataFrame]:
+        ranges = ranges.select("base", "range")
         ranges = F.broadcast(ranges) if n <= SMALL else ranges
-        at = F.floor(place() / F.pow(F.lit(2.0), F.lit(BITS) - self._finest())).cast("long")
-        return lambda rows: rows.withColumn("range", at).join(ranges, ["batch", "range"], "left_semi").drop("range")
+        return lambda word: self._postings(word).join(ranges, ["base", "range"], "left_semi")
 
     def kept(self, k: int) -> tuple[DataFrame, int, int]:
         """The ranges that can hold one of the best k, how many they are, and how many there are at all."""
@@ -637,7 +737,7 @@ class Blocks:
 
     def best(self, k: int, order: str) -> DataFrame:
         """(id, order, score) of documents with the best k among them."""
-        if not self.level or not all(self.df):
-            return self.scored(lambda rows: rows.limit(0), order)
+        if self.blocks is None or not all(self.df):
+            return self.scored(lambda word: self._postings(word).limit(0), order)
         kept, n, _ = self.kept(k)
         return self.scored(self._pushed(kept.collect()) if n <= PUSHED else self._joined(kept, n), order)

@@ -153,6 +153,31 @@ def test_the_dictionary_counts_exactly(spark, tmp_path):
     same_as_texts(idx, "common rare")
 
 
+def test_postings_are_runs_of_messages(spark, tmp_path):
+    a = rows_of(spark, "a", 300).withColumns({"attachments": F.when(F.col("nid") % 3 == 0, F.concat(F.lit("common "), "body")), "att_names": F.when(F.col("nid") % 5 < 3, F.lit("common beta"))})
+    idx = index.Index(spark, f"file://{tmp_path}/idx", block=32)
+    idx.update(a.where("nid < 250"), prints(a))
+    idx.update(a, prints(a))
+    m = idx.store.current()
+    of = dict(idx.store.read("messages", m).select("num", "id").collect())
+    texts, kept = idx.messages(), ("token", "id", "f", "cols", "places")
+    plain = lambda rows, name: sorted((r["token"], name(r["id"]), r["f"], r["cols"], sorted(r["places"])) for r in rows.select(*kept).collect())
+    assert len(of) == 300 and plain(idx.postings(), of.get) == plain(index.postings(texts), str)
+    words = [r["token"] for r in idx.store.read("common", m).where("token is not null").distinct().collect()]
+    assert words and {r["token"] for r in idx.store.read("pairs", m).collect()} <= {r["token"] for r in index.postings(texts, common=words).collect()}
+    # A frequent word is a row for about 32 messages, not for each; a rare one is a row for each portion at most.
+    files = len(idx.store.read("postings", m).inputFiles())
+    rows = {r["token"]: r["count"] for r in idx.store.read("postings", m).groupBy("token").count().collect()}
+    assert rows["common"] <= 300 / 16 + files and rows["rare"] <= files
+    att = {r["token"]: (r["n"], r["att"]) for r in idx.store.read("terms", m).groupBy("token").agg(F.sum("n").alias("n"), F.sum("att").alias("att")).collect()}
+    assert att["common"] == (300, sum(i % 3 == 0 or i % 5 < 3 for i in range(300)))
+    sums = lambda rows: {r["token"]: r["n"] for r in rows.collect()}
+    before = sums(idx.occurrences("att_names"))
+    assert before == {"common": 180, "beta": 180}
+    idx.update(a.where("nid % 5 != 0"), prints(a))
+    assert sums(idx.occurrences("att_names")) == {"common": 120, "beta": 120}
+
+
 def test_blocks_under_the_kth_score_are_skipped(spark, tmp_path, monkeypatch):
     rows = spark.range(4000).selectExpr("id as nid", "'a' as source_name", "'f' as folder", "concat('s', id) as subject", "'' as sender", "cast(null as timestamp) as date", "1L as size", "'' as to", "concat(repeat('common ', if(id % 997 = 5, 9, 1)), repeat('filler ', 20 + cast(id % 7 as int)), if(id % 2 = 0, 'even', 'odd')) as body")
     idx = index.Index(spark, f"file://{tmp_path}/idx", block=8)
