@@ -15,6 +15,8 @@ def _folded(card: pd.Series) -> pd.Series:
     """Lines over 75 octets are continued after a blank; characters stay whole."""
 
     def fold(line: str) -> str:
+        if len(line) <= 75 and len(line.encode()) <= 75:
+            return line
         out, used = [], 0
         for ch in line:
             n = len(ch.encode())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,24 +44,34 @@ def _kind(line: Column) -> Column:
     return F.array_join(F.when(F.size(others) > 0, others).otherwise(types), ",")
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """A function of a value that is computed once, however often the function has it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def contact(card: Column) -> Column:
     """A struct of the card's fields, those that `vcard` takes; what is absent is empty."""
 
     def of(lines: Column) -> Column:
-        named = lambda name: F.filter(lines, lambda s: F.upper(F.regexp_extract(s, NAME, 1)) == name)
-        first = lambda name: F.coalesce(_value(F.get(named(name), F.lit(0))), F.lit(""))
+        named = lambda name: F.filter(lines, lambda s: s["name"] == name)
+        first = lambda name: F.coalesce(_value(F.get(named(name), F.lit(0))["line"]), F.lit(""))
+        return _once(F.struct(parts(first("N"), ";").alias("n"), parts(first("ORG"), ";").alias("o")), lambda x: fields_of(named, first, x["n"], x["o"]))
+
+    def fields_of(named, first, name: Column, org: Column) -> Column:
         nth = lambda values, i: F.coalesce(F.get(values, F.lit(i)), F.lit(""))
-        name, org = parts(first("N"), ";"), parts(first("ORG"), ";")
         fields = {"display_name": unescaped(first("FN"))} | {k: nth(name, i) for i, k in enumerate(("surname", "given", "middle", "prefix", "suffix"))}
         fields |= {"nickname": unescaped(first("NICKNAME")), "company": nth(org, 0), "department": nth(org, 1), "title": unescaped(first("TITLE")), "profession": unescaped(first("ROLE"))}
-        fields["phones"] = F.transform(named("TEL"), lambda s: F.struct(_kind(s).alias("kind"), unescaped(_value(s)).alias("number")))
-        fields["emails"] = F.transform(named("EMAIL"), lambda s: unescaped(_value(s)))
-        fields["birthday"] = F.try_to_date(F.regexp_replace(F.substring(first("BDAY"), 1, 10), r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3"), "yyyy-MM-dd")
+        fields["phones"] = F.transform(named("TEL"), lambda s: F.struct(_kind(s["line"]).alias("kind"), unescaped(_value(s["line"])).alias("number")))
+        fields["emails"] = F.transform(named("EMAIL"), lambda s: unescaped(_value(s["line"])))
+        born = first("BDAY")
+        fields["birthday"] = F.when(F.size(named("BDAY")) > 0, F.try_to_date(F.regexp_replace(F.substring(born, 1, 10), r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3"), "yyyy-MM-dd"))
         fields["categories"] = F.filter(parts(first("CATEGORIES"), ","), lambda x: x != "")
         fields["notes"] = unescaped(first("NOTE"))
         return F.struct(*[c.alias(k) for k, c in fields.items()])
 
-    return F.element_at(F.transform(F.array(unfolded(card)), of), 1)
+    # The names of lines are taken out once, not for each field.
+    named = F.transform(unfolded(card), lambda s: F.struct(F.upper(F.regexp_extract(s, NAME, 1)).alias("name"), s.alias("line")))
+    return _once(named, of)
 
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:

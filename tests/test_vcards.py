@@ -42,3 +42,10 @@ def test_phones_fill_the_table(spark):
     found = cards(spark).select(vcards.contact(F.col("card")).alias("c")).where("c.surname = 'Lovelace'")
     r = found.select(*[p.alias(k) for k, p in phone_columns(F.col("c.phones")).items()]).first()
     assert (r["business_phone"], r["business_phone2"], r["home_phone"], r["business_fax"], r["mobile_phone"], r["pager"], r["home_phone2"]) == ("1", "3", "2", "4", "+44 5;6", "7", "")
+
+
+def test_cards_of_one_small_file_are_many_tasks(spark, small):
+    from postlake.plans import queries as mail
+
+    assert mail.table(spark, small, "customer").rdd.getNumPartitions() == 1
+    assert mail.queries()["contacts_read"](spark, small).rdd.getNumPartitions() >= 8
