@@ -8,11 +8,12 @@ from __future__ import annotations
 import datetime as dt
 import email
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from email.header import decode_header, make_header
 from email.utils import getaddresses, parsedate_to_datetime
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -119,6 +120,22 @@ def _read_flag() -> Column:
     return F.coalesce(F.col("flag_read"), F.when(F.col("status") != "", F.contains("status", F.lit("R"))), F.when(F.col("mozilla_status") != "", moz.bitwiseAND(1) != 0), F.lit(True))
 
 
+#: Bytes of messages that a worker has parsed at a time, about; a larger one is parsed by itself.
+PORTION = 4 << 20
+
+
+def portions(raw: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where portions of a batch of messages begin and end."""
+    lo, held = 0, 0
+    for i, n in enumerate(pc.binary_length(raw).to_pylist()):
+        if i > lo and held + (n or 0) > PORTION:
+            yield lo, i
+            lo, held = i, 0
+        held += n or 0
+    if lo < len(raw):
+        yield lo, len(raw)
+
+
 def _parsed(raw: DataFrame, part: Callable[[bytes], bytes] = lambda data: data) -> DataFrame:
     """Raw messages with the fields of PARSED; part: what of a message is parsed."""
     keep = ["source_name", "folder", "nid", "kind", "raw", "flag_read"]
@@ -128,17 +145,21 @@ def _parsed(raw: DataFrame, part: Callable[[bytes], bytes] = lambda data: data)
     parsed = to_arrow_schema(StructType.fromDDL(PARSED))
     empty, columns = dict.fromkeys(parsed.names), raw.columns
 
+    def of(batch):
+        rows = []
+        for kind, data, error in zip(batch["kind"].to_pylist(), batch["raw"].to_pylist(), batch["_error"].to_pylist(), strict=True):
+            try:
+                rows.append(empty | {"subject": f"(unreadable: {error})", "error": error} if error or data is None else parse(part(emlx_payload(data) if kind == "emlx" else data)))
+            except Exception as e:  # whatever a broken message brings about
+                reason = f"{type(e).__name__}: {e}"[:300]
+                rows.append(empty | {"subject": f"(unreadable: {reason})", "error": reason})
+        arrays = [pa.array([r[f.name] for r in rows], f.type) for f in parsed]
+        return pa.RecordBatch.from_arrays([batch[c] for c in columns] + arrays, names=columns + parsed.names)
+
     def run(batches):
         for batch in batches:
-            rows = []
-            for kind, data, error in zip(batch["kind"].to_pylist(), batch["raw"].to_pylist(), batch["_error"].to_pylist(), strict=True):
-                try:
-                    rows.append(empty | {"subject": f"(unreadable: {error})", "error": error} if error or data is None else parse(part(emlx_payload(data) if kind == "emlx" else data)))
-                except Exception as e:  # whatever a broken message brings about
-                    reason = f"{type(e).__name__}: {e}"[:300]
-                    rows.append(empty | {"subject": f"(unreadable: {reason})", "error": reason})
-            arrays = [pa.array([r[f.name] for r in rows], f.type) for f in parsed]
-            yield pa.RecordBatch.from_arrays([batch[c] for c in columns] + arrays, names=columns + parsed.names)
+            for lo, hi in portions(batch["raw"]):
+                yield of(batch.slice(lo, hi - lo))
 
     return raw.mapInArrow(run, schema)
 

@@ -188,3 +188,13 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
         q = index_stream(new_files(spark, f"file://{inbox}"), listed, idx, f"file://{tmp_path}/check")
         q.awaitTermination()
     assert idx.messages().count() == 2 and idx.search("bulk 002").count() == 1
+
+
+def test_messages_are_parsed_in_portions_of_bounded_bytes():
+    import pyarrow as pa
+
+    from postlake.sources import mime
+
+    raw = pa.array([b"x" * n if n is not None else None for n in (1, mime.PORTION, None, 5, 3 * mime.PORTION, 7, mime.PORTION - 7, 0)], pa.binary())
+    assert list(mime.portions(raw)) == [(0, 1), (1, 3), (3, 4), (4, 5), (5, 8)]
+    assert list(mime.portions(raw.slice(5))) == [(0, 3)] and list(mime.portions(raw.slice(0, 0))) == []
