@@ -6,10 +6,14 @@ A message that can't be parsed is a row with its reason in `error`; it never fai
 from __future__ import annotations
 
 import datetime as dt
-import email
+import io
 import re
 from collections.abc import Callable, Iterator
+from email.feedparser import BufferedSubFile, FeedParser
+from email.generator import BytesGenerator
 from email.header import decode_header, make_header
+from email.message import Message
+from email.policy import Compat32
 from email.utils import getaddresses, parsedate_to_datetime
 
 import pyarrow as pa
@@ -31,6 +35,10 @@ PARSED = (
 CHARSETS = {"unicode-1-1-utf-7": "utf-7", "x-unknown": "utf-8", "unknown-8bit": "utf-8", "ansi_x3.110-1983": "latin-1", "cp-850": "cp850"}
 
 
+#: Where a message's date may stand, the first one first.
+DATES = ("Date", "Delivery-Date", "X-Original-Date", "Resent-Date", "Received")
+
+
 def decoded(data: bytes, charset: str | None = None) -> str:
     for name in (CHARSETS.get((charset or "").lower(), charset), "utf-8", "cp1252"):
         try:
@@ -48,10 +56,11 @@ def header(message, name: str) -> str:
     raw = str(value)
     if re.search("[\udc80-\udcff]", raw):
         raw = decoded(raw.encode("utf-8", "surrogateescape"))
-    try:
-        raw = str(make_header(decode_header(raw)))
-    except (LookupError, UnicodeDecodeError, ValueError):
-        pass
+    if "=?" in raw:  # what begins an encoded word
+        try:
+            raw = str(make_header(decode_header(raw)))
+        except (LookupError, UnicodeDecodeError, ValueError):
+            pass
     return re.sub(r"\s*[\r\n]+\s*", " ", raw).strip()
 
 
@@ -59,6 +68,8 @@ def when(message, *names: str) -> dt.datetime | None:
     """The first of these headers that holds a date, in UTC; Received ends with one after a semicolon."""
     for name in names:
         value = (message.get(name) or "").rpartition(";")[2].strip()
+        if not value:
+            continue
         try:
             found = parsedate_to_datetime(value)
             return found.replace(tzinfo=dt.UTC) if found.tzinfo is None else found.astimezone(dt.UTC)
@@ -67,10 +78,81 @@ def when(message, *names: str) -> dt.datetime | None:
     return None
 
 
+class Plain(Compat32):
+    """Writes headers as the standard policy does; one that folding leaves as it is isn't taken apart."""
+
+    AS_IT_IS = re.compile(r"[!-~]+(?: [!-~]+)*").fullmatch
+
+    def fold_binary(self, name: str, value: str) -> bytes:
+        if isinstance(value, str) and len(name) + 2 + len(value) < 76 and self.AS_IT_IS(value) and name.isascii():
+            return f"{name}: {value}{self.linesep}".encode()
+        return super().fold_binary(name, value)
+
+
+class Writer(BytesGenerator):
+    """Writes the lines of a body at once."""
+
+    def _write_lines(self, lines: str) -> None:
+        if lines:
+            self.write(re.sub("\r\n|\r|\n", self._NL, lines))
+
+
+def written(message: Message) -> bytes:
+    """The bytes that the standard library's `as_bytes` gives."""
+    out = io.BytesIO()
+    Writer(out, mangle_from_=False, policy=Plain()).flatten(message)
+    return out.getvalue()
+
+
+class Part(Message):
+    """A message that finds out its content type once; the parser and the writer ask for it many times."""
+
+    _kind: str | None = None
+
+    def set_raw(self, name: str, value: str) -> None:
+        self._kind = None
+        super().set_raw(name, value)
+
+    def set_default_type(self, ctype: str) -> None:
+        self._kind = None
+        super().set_default_type(ctype)
+
+    def get_content_type(self) -> str:
+        if self._kind is None:
+            self._kind = super().get_content_type()
+        return self._kind
+
+
+class Lines(BufferedSubFile):
+    """The parser's lines. Only a boundary or an empty line can end a part, so others are tested against none."""
+
+    def readline(self):
+        if self._lines and self._lines[0][:1] not in "-\r\n":
+            return self._lines.popleft()
+        return super().readline()
+
+    def __next__(self):
+        if self._lines and self._lines[0][:1] not in "-\r\n":
+            return self._lines.popleft()
+        return super().__next__()
+
+
+def read(raw: bytes) -> Message:
+    """The message that the standard library's parser gives."""
+    parser = FeedParser(Part)
+    parser._input = Lines()
+    parser.feed(raw.decode("ascii", "surrogateescape"))
+    return parser.close()
+
+
 def parse(raw: bytes) -> dict:
-    m = email.message_from_bytes(raw)
-    people = [(kind, name, addr) for kind in ("To", "Cc", "Bcc") for name, addr in getaddresses([header(m, kind)]) if name or addr]
-    name, addr = (getaddresses([header(m, "From") or header(m, "Sender")]) or [("", "")])[0]
+    m = read(raw)
+    named = {k.lower() for k in m.keys()}
+    # Most of these headers are missing in most messages.
+    field = lambda name: header(m, name) if name.lower() in named else ""
+    people = [(kind, name, addr) for kind in ("To", "Cc", "Bcc") if (value := field(kind)) for name, addr in getaddresses([value]) if name or addr]
+    sender = field("From") or field("Sender")
+    name, addr = (getaddresses([sender]) or [("", "")])[0] if sender else ("", "")
     plain, html, atts = [], [], []
     for part in leaves(m):
         kind, filename = part.get_content_type(), header_filename(part)
@@ -78,7 +160,7 @@ def parse(raw: bytes) -> dict:
         if kind in ("text/plain", "text/html") and not filename and part.get_content_disposition() != "attachment":
             (plain if kind == "text/plain" else html).append(decoded(part.get_payload(decode=True) or b"", part.get_content_charset()))
             continue
-        data = part.get_payload(0).as_bytes() if embedded and part.is_multipart() else part.get_payload(decode=True) or b""
+        data = written(part.get_payload(0)) if embedded and part.is_multipart() else part.get_payload(decode=True) or b""
         cid = (part.get("Content-ID") or "").strip(" <>")
         inner = header(part.get_payload(0), "Subject") if embedded and part.is_multipart() else ""
         atts.append({"filename": filename or (f"{inner or 'message'}.eml" if embedded else ""), "mime": kind, "cid": cid, "is_inline": part.get_content_disposition() == "inline", "is_embedded": embedded, "size": len(data), "data": data})
@@ -86,10 +168,10 @@ def parse(raw: bytes) -> dict:
     for a in atts:
         a["hidden"] = bool(a["cid"]) and f"cid:{a['cid']}" in page
     return {
-        "subject": header(m, "Subject"), "sender_name": name, "sender_email": addr, "recipients": [dict(zip(("kind", "name", "email"), p, strict=True)) for p in people],
-        "date": when(m, "Date", "Delivery-Date", "X-Original-Date", "Resent-Date", "Received"), "message_id": header(m, "Message-ID"), "in_reply_to": header(m, "In-Reply-To"),
-        "refs": header(m, "References"), "status": header(m, "Status"), "mozilla_status": header(m, "X-Mozilla-Status"), "priority": header(m, "Importance") or header(m, "X-Priority"),
-        "content_type": header(m, "Content-Type"), "plain": "\n\n".join(plain), "html": page, "attachments": atts, "error": None,
+        "subject": field("Subject"), "sender_name": name, "sender_email": addr, "recipients": [dict(zip(("kind", "name", "email"), p, strict=True)) for p in people],
+        "date": when(m, *(n for n in DATES if n.lower() in named)), "message_id": field("Message-ID"), "in_reply_to": field("In-Reply-To"),
+        "refs": field("References"), "status": field("Status"), "mozilla_status": field("X-Mozilla-Status"), "priority": field("Importance") or field("X-Priority"),
+        "content_type": field("Content-Type"), "plain": "\n\n".join(plain), "html": page, "attachments": atts, "error": None,
     }
 
 
@@ -102,6 +184,8 @@ def leaves(part):
 
 
 def header_filename(part) -> str:
+    if "content-disposition" not in part and "name" not in str(part.get("content-type", "")).lower():
+        return ""
     try:
         return re.sub(r"[\r\n]+", "", str(make_header(decode_header(part.get_filename() or ""))))
     except (LookupError, UnicodeDecodeError, ValueError):

@@ -77,3 +77,31 @@ def test_text_counts_and_names_take_in_what_is_inside(messages):
 def test_totals(messages):
     rows = {r["nid"]: (r["attachments"], r["embedded"], r["size"]) for r in embedded.totals(messages).collect()}
     assert rows[0] == (0, 0, 0) and rows[1] == (5, 3, 8) and rows[2] == (8, 7, 8) and rows[3][:2] == (1, 1)
+
+
+def test_reading_and_writing_are_the_standard_librarys():
+    import email
+
+    odd = [
+        b"", b"\r", b"-", b"Subject: =?utf-8?q?caf=C3=A9?= x\r\nX: a  b\r\n\ty \r\nY: " + b"word " * 40 + b"\r\n\r\nFrom me\r\nold\rmac\n\x0c", b"Subject: \xe9\xff\nDate:\nReceived: x; Mon, 1 Jan 2024 10:00:00 +0100\n\n-\n--\n",
+        b'Content-Type: multipart/digest; boundary="a"\r\n\r\n--a\r\n\r\nSubject: in\r\n\r\nx\r\n--a--\r\nafter', b'Content-Type: multipart/mixed; boundary="a"\n\n--a\nContent-Type: message/delivery-status\n\nA: b\n\nC: d\n\n--a\nContent-Type: multipart/mixed\n\n--b\n--a--',
+        deep(3).as_bytes(), mail("a", mail("b", ("é.txt", b"yak"))).as_bytes(),
+    ]
+    for data in odd:
+        want, got = email.message_from_bytes(data), mime.read(data)
+        assert [(type(d), d.args, p.get_content_type(), p.items(), p.get_payload() if not p.is_multipart() else None) for p in got.walk() for d in (*p.defects, Exception())] == [(type(d), d.args, p.get_content_type(), p.items(), p.get_payload() if not p.is_multipart() else None) for p in want.walk() for d in (*p.defects, Exception())], data
+        assert mime.written(got) == want.as_bytes() == mime.written(want), data
+
+
+def test_a_body_line_costs_no_test_of_boundaries():
+    """Lines that can end no part pass by the tests that every enclosing message adds."""
+    asked = []
+
+    def ends(line):
+        asked.append(line)
+        return line.startswith("--")
+
+    lines = mime.Lines()
+    lines.push("plain\n" * 1000 + "-dash\n\n--end\n")
+    lines.push_eof_matcher(ends)
+    assert len(list(lines)) == 1002 and asked == ["-dash\n", "\n", "--end\n"]
