@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,10 +37,16 @@ def attachments(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("nid"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), ext).alias("filename"), (F.col("l_returnflag") == "R").alias("is_inline"), F.floor("l_extendedprice").cast("long").alias("size"))
 
 
+def _address() -> Column:
+    """The first mail address of the text. It begins where a run of its characters does, so no other place is tried."""
+    found = F.regexp_extract("text", "(?<![A-Za-z0-9_.+-])([A-Za-z0-9_.+-]++@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)+)", 1)
+    return F.when(~F.contains("text", F.lit("@")), "").otherwise(found)
+
+
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.col("source").alias("source_name"), F.col("lang").alias("folder"), F.substring_index("text", "\n", 1).alias("subject"),
-        F.col("text").alias("body"), F.regexp_extract("text", "([A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)+)", 1).alias("sender"), F.col("n_chars").alias("size"),
+        F.col("text").alias("body"), _address().alias("sender"), F.col("n_chars").alias("size"),
     )
 
 

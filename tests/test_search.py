@@ -177,3 +177,36 @@ def test_words_that_look_like_options_are_terms():
     from postlake.__main__ import TERM, terms
 
     assert terms(["find", "db", "invoice", "-newsletter", "-n", "5", "--json"]) == ["find", "db", "invoice", TERM + "-newsletter", "-n", "5", "--json"]
+
+
+def test_ranking_reads_whole_texts_once_and_then_those_of_the_best_rows(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(i):
+        seen.add(1)
+        return "of the " * (i % 7 + 1) + "x " * (i % 11) + f"w{i}"
+
+    texts = spark.range(0, 400, 1, 8).select("id", counted("id").alias("body"))
+    search.with_snippets(search.ranked(texts, '"of the" -w399', limit=5), '"of the"').write.format("noop").mode("overwrite").save()
+    assert 400 <= seen.value <= 400 + 4 * 5
+
+
+def test_ranked_rows_may_share_or_lack_their_number(spark):
+    rows = [(None if i % 5 == 0 else i % 3, "blue " * (i % 4) + "sky " * (i % 6), ("a", "b")[i % 2]) for i in range(60)]
+    texts = spark.createDataFrame(rows, "id long, body string, folder string")
+    every = search.ranked(texts, "blue in:a", limit=1000).collect()
+    assert sorted(r["body"] for r in every) == sorted(b for _, b, f in rows if "blue" in b and f == "a")
+    for limit, offset in ((1, 0), (4, 3), (7, 10), (5, 1000)):
+        got = search.ranked(texts, "blue in:a", limit=limit, offset=offset).collect()
+        assert [(r["id"], r["score"]) for r in got] == [(r["id"], r["score"]) for r in every[offset : offset + limit]]
+    assert search.ranked(texts, "green").collect() == [] and search.ranked(texts.limit(0), "blue").collect() == []
+
+
+@pytest.mark.parametrize("text", ["", None, "none", "a@b", "x a.b+c@d-e.f.g, h@i.jk", "@a.b@c.d", "..x@y.z", "é-q@w.e", "ab@c d@e.f", "a@b@c.d"])
+def test_the_first_address_of_a_text(spark, tmp_path, text):
+    from postlake.plans.views import docs
+
+    spark.createDataFrame([(1, text, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = docs(spark, str(tmp_path)).select("sender", F.regexp_extract("body", "([A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)+)", 1).alias("want")).first()
+    assert found["sender"] == found["want"]
