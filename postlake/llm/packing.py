@@ -43,31 +43,35 @@ def cuts(sizes: np.ndarray, grain: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
-    """The window 0..k-1 of each size, by multiway differencing."""
-    after = np.full(len(sizes), -1)  # the pieces of a window are a linked list
-    heap = []
-    for i in np.lexsort((np.arange(len(sizes)), -sizes)):
-        sums, first, last = np.zeros(k, np.int64), np.full(k, -1), np.full(k, -1)
-        sums[0], first[0], last[0] = sizes[i], i, i
-        heap.append((-int(sizes[i]), len(heap), sums, first, last))
+    """The window 0..k-1 of each size, by multiway differencing.
+
+    Sums are negative, so that the largest window is the first. A merge keeps only the order of its windows; the
+    windows of the sizes follow from the last merge back to the first.
+    """
+    heap, merges = [], []
+    for i in np.lexsort((np.arange(len(sizes)), -sizes)).tolist():
+        sums = np.zeros(k, np.int64)
+        sums[0] = -sizes[i]
+        heap.append((-int(sizes[i]), len(heap), sums, i))
     heapq.heapify(heap)
-    turn = len(heap)
+    n = turn = len(heap)
     while len(heap) > 1:
-        (_, _, s1, f1, l1), (_, _, s2, f2, l2) = heapq.heappop(heap), heapq.heappop(heap)
-        s2, f2, l2 = s2[::-1], f2[::-1], l2[::-1]
-        both = (f1 >= 0) & (f2 >= 0)
-        after[l1[both]] = f2[both]
-        sums, first, last = s1 + s2, np.where(f1 >= 0, f1, f2), np.where(f2 >= 0, l2, l1)
-        order = np.argsort(-sums, kind="stable")
-        sums, first, last = sums[order], first[order], last[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), turn, sums, first, last))
+        _, _, s1, a = heapq.heappop(heap)
+        _, _, s2, b = heap[0]
+        sums = s1 + s2[::-1]
+        order = sums.argsort(kind="stable")
+        sums = sums[order]
+        heapq.heapreplace(heap, (int(sums[0] - sums[-1]), turn, sums, turn))
+        merges.append((a, b, order))
         turn += 1
-    window = np.empty(len(sizes), np.int64)
-    for w, i in enumerate(heap[0][3]):
-        while i >= 0:
-            window[i] = w
-            i = after[i]
-    return window
+    # Sizes are the nodes below n, the merges those after them.
+    windows = {heap[0][3]: np.arange(k)}
+    for i in range(len(merges) - 1, -1, -1):
+        a, b, order = merges[i]
+        of = np.empty(k, np.int64)
+        of[order] = windows.pop(n + i)
+        windows[a], windows[b] = of, of[::-1]
+    return np.array([windows[i][0] for i in range(n)], np.int64)
 
 
 def pack(sizes: np.ndarray, capacity: int = WINDOW, k: int | None = None) -> np.ndarray | None:

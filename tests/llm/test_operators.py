@@ -635,3 +635,27 @@ def test_license_windows_among_many_repeats(spark):
     docs = spark.createDataFrame([(1, many), (2, f"{many}{words} x {many}"), (3, " x ".join(licenses.template_bigrams(text)) + " x " + many)], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_matches"], r["licenses"]) for r in licenses.scan(docs).collect()}
     assert got == {1: (0, ""), 2: (1, name), 3: (0, "")}
+
+
+def test_differencing_merges_as_lists_of_sizes_do():
+    def plain(sizes, k):
+        heap = [(-s, t, [s] + [0] * (k - 1), [[i]] + [[] for _ in range(k - 1)]) for t, (s, i) in enumerate(sorted(((s, i) for i, s in enumerate(sizes)), key=lambda x: (-x[0], x[1])))]
+        turn = len(heap)
+        while len(heap) > 1:
+            heap.sort(key=lambda x: x[:2])
+            (_, _, s1, m1), (_, _, s2, m2) = heap[:2]
+            both = sorted(zip([a + b for a, b in zip(s1, s2[::-1], strict=True)], [a + b for a, b in zip(m1, m2[::-1], strict=True)], strict=True), key=lambda x: -x[0])
+            heap = [*heap[2:], (both[-1][0] - both[0][0], turn, [x[0] for x in both], [x[1] for x in both])]
+            turn += 1
+        return {i: w for w, m in enumerate(heap[0][3]) for i in m}
+
+    rng = np.random.default_rng(3)
+    for n, k, most in ((1, 1, 9), (1, 4, 9), (9, 2, 3), (40, 7, 2048), (60, 20, 5)):
+        sizes = rng.integers(1, most, n)
+        assert dict(enumerate(packing.difference(sizes, k).tolist())) == plain(sizes.tolist(), k)
+
+
+def test_decoding_joins_pieces_that_hold_blanks_and_markers_of_bytes():
+    model = sentencepieces.rebuilt(sentencepieces.model_path())
+    assert not any(sentencepieces.MARK.encode() in b for b in model.bytes)
+    assert model.joined([b" a", b" b", b"\xe2", b"\x96", b"\x81", b"c", b"\xe2", b" d"]) == "a b c� d"
