@@ -133,7 +133,7 @@ class Rebuilt:
         self.tokenizer.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         ordinary = [x for x, _, t in p.pieces if t in (NORMAL, USER)]
         self.separable = not any("\n" in x or re.search(f"[^{MARK}]{MARK}", x) for x in ordinary)
-        self.bytes = [bytes([int(x[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else x.encode() for x, _, t in p.pieces]
+        self.bytes = [bytes([int(x[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else x.replace(MARK, " ").encode() for x, _, t in p.pieces]
         self.simple = not p.charsmap and not p.remove_extra and p.escape and p.dummy_prefix
         self.coder = ChunkCoder(self._learn, "<u4", self._parted, kept=1 << 19)
 
@@ -191,7 +191,11 @@ class Rebuilt:
         return self.coder.encode(texts)
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
+        return self.joined(list(map(self.bytes.__getitem__, ids.tolist())))
+
+    def joined(self, pieces: list[bytes]) -> str:
+        """The text of pieces from `bytes`; a marker may still come about from single bytes."""
+        text = b"".join(pieces).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.proto.dummy_prefix and text.startswith(" ") else text
 
 
@@ -224,9 +228,13 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
         ids, at = model.encode(texts)
         ids = ids.view(np.int32)
         plain = texts.to_pylist()
-        decoded = [model.decode(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        # Lists of a whole batch, so that a text costs slices of them and no arrays.
+        flat, ends = ids.tolist(), at.tolist()
+        pieces = list(map(model.bytes.__getitem__, flat))
+        decoded = [model.joined(pieces[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        del pieces
         theirs = _other(path).encode(plain, num_threads=1)
-        same = [np.array_equal(ids[i:j], o) for i, j, o in zip(at[:-1], at[1:], theirs, strict=True)]
+        same = [flat[i:j] == o for i, j, o in zip(ends[:-1], ends[1:], theirs, strict=True)]
         return {"doc_id": batch["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), "decoded": pa.array(decoded, pa.string()), "round_trip": pa.array([d == t for d, t in zip(decoded, plain, strict=True)], pa.bool_()), "parity": pa.array(same, pa.bool_())}
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text").alias("text"))
