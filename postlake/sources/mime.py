@@ -123,6 +123,14 @@ class Part(Message):
         return self._kind
 
 
+class Outer(Part):
+    """A message whose attached messages stay lines as they stand; each is parsed when its turn comes."""
+
+    def get_content_maintype(self) -> str:
+        kind = self.get_content_type()
+        return "application" if kind == "message/rfc822" else kind.partition("/")[0]
+
+
 class Lines(BufferedSubFile):
     """The parser's lines. Only a boundary or an empty line can end a part, so others are tested against none."""
 
@@ -137,16 +145,28 @@ class Lines(BufferedSubFile):
         return super().__next__()
 
 
-def read(raw: bytes) -> Message:
-    """The message that the standard library's parser gives."""
-    parser = FeedParser(Part)
+def read(raw: bytes, kind: type[Message] = Part, head: bool = False) -> Message:
+    """The message that the standard library's parser gives; of kind Outer only to the first level of attached messages.
+
+    head: only its headers are taken apart.
+    """
+    parser = FeedParser(kind)
     parser._input = Lines()
+    if head:
+        parser._set_headersonly()
     parser.feed(raw.decode("ascii", "surrogateescape"))
     return parser.close()
 
 
+def attached_subject(data: bytes) -> str:
+    """The subject of an attached message, from its header block alone."""
+    block = header_block_of(data)
+    return header(read(block, head=True), "Subject") if b"subject" in block.lower() else ""
+
+
 def parse(raw: bytes) -> dict:
-    m = read(raw)
+    """The fields of a message. Those attached to it are bytes as they stand there, and their parts aren't looked at."""
+    m = read(raw, Outer)
     named = {k.lower() for k in m.keys()}
     # Most of these headers are missing in most messages.
     field = lambda name: header(m, name) if name.lower() in named else ""
@@ -160,10 +180,9 @@ def parse(raw: bytes) -> dict:
         if kind in ("text/plain", "text/html") and not filename and part.get_content_disposition() != "attachment":
             (plain if kind == "text/plain" else html).append(decoded(part.get_payload(decode=True) or b"", part.get_content_charset()))
             continue
-        data = written(part.get_payload(0)) if embedded and part.is_multipart() else part.get_payload(decode=True) or b""
+        data = part._payload.encode("ascii", "surrogateescape") if embedded else part.get_payload(decode=True) or b""
         cid = (part.get("Content-ID") or "").strip(" <>")
-        inner = header(part.get_payload(0), "Subject") if embedded and part.is_multipart() else ""
-        atts.append({"filename": filename or (f"{inner or 'message'}.eml" if embedded else ""), "mime": kind, "cid": cid, "is_inline": part.get_content_disposition() == "inline", "is_embedded": embedded, "size": len(data), "data": data})
+        atts.append({"filename": filename or (f"{attached_subject(data) or 'message'}.eml" if embedded else ""), "mime": kind, "cid": cid, "is_inline": part.get_content_disposition() == "inline", "is_embedded": embedded, "size": len(data), "data": data})
     page = "\n".join(html)
     for a in atts:
         a["hidden"] = bool(a["cid"]) and f"cid:{a['cid']}" in page
@@ -220,14 +239,15 @@ def portions(raw: pa.Array) -> Iterator[tuple[int, int]]:
         yield lo, len(raw)
 
 
-def _parsed(raw: DataFrame, part: Callable[[bytes], bytes] = lambda data: data) -> DataFrame:
-    """Raw messages with the fields of PARSED; part: what of a message is parsed."""
+def _parsed(raw: DataFrame, part: Callable[[bytes], bytes] = lambda data: data, whole: bool = True) -> DataFrame:
+    """Raw messages with the fields of PARSED; part: what of a message is parsed; whole: the raw bytes are kept."""
     keep = ["source_name", "folder", "nid", "kind", "raw", "flag_read"]
     raw = raw.withColumns({c: F.lit(None).cast(t) for c, t in (("size", "long"), ("error", "string")) if c not in raw.columns})
-    raw = raw.select(*keep, F.col("size").alias("_size"), F.col("error").alias("_error"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in raw.schema) + ", " + PARSED
+    raw = raw.select(*keep, F.coalesce("size", F.octet_length("raw").cast("long")).alias("_size"), F.col("error").alias("_error"))
+    columns = [c for c in raw.columns if whole or c != "raw"]
+    schema = ", ".join(f"{c} {raw.schema[c].dataType.simpleString()}" for c in columns) + ", " + PARSED
     parsed = to_arrow_schema(StructType.fromDDL(PARSED))
-    empty, columns = dict.fromkeys(parsed.names), raw.columns
+    empty = dict.fromkeys(parsed.names)
 
     def of(batch):
         rows = []
@@ -257,22 +277,23 @@ def _listed(m: DataFrame) -> dict[str, Column]:
     level = F.lower("priority")
     return {
         "subject": F.concat(F.when(deleted, "(deleted) ").otherwise(""), F.coalesce("subject", F.lit(""))), "sender": F.coalesce(name, F.lit("")), "sender_email": F.coalesce(address, F.lit("")),
-        "to": F.coalesce(F.array_join(shown, "; "), F.lit("")), "recipients": recipients_text(), "date": F.col("date"), "size": F.coalesce("_size", F.octet_length("raw"), F.lit(0)).cast("long"), "is_read": _read_flag(),
+        "to": F.coalesce(F.array_join(shown, "; "), F.lit("")), "recipients": recipients_text(), "date": F.col("date"), "size": F.coalesce("_size", F.lit(0).cast("long")), "is_read": _read_flag(),
         "importance": F.when(level.rlike("^(high|1|2)"), 2).when(level.rlike("^(low|4|5)"), 0).otherwise(1), "message_class": F.lit("IPM.Note"),
     }
 
 
-def messages(raw: DataFrame) -> DataFrame:
+def messages(raw: DataFrame, whole: bool = True) -> DataFrame:
     """Listing fields, bodies, recipients and attachments of raw messages.
 
     raw has source_name, folder, nid, kind, raw, flag_read (null if the container doesn't say), and may have size and error.
+    whole: with the raw bytes, which needn't travel where nobody reads them.
     """
-    m = _parsed(raw)
+    m = _parsed(raw, whole=whole)
     return m.select(
         "source_name", "folder", "nid", *[c.alias(k) for k, c in _listed(m).items()],
         F.coalesce(F.exists("attachments", lambda a: ~a["hidden"]), F.lit(False)).alias("has_attachments"), F.coalesce(F.size("attachments"), F.lit(0)).cast("long").alias("att_count"),
         F.coalesce(F.array_join(F.filter(F.transform("attachments", lambda a: a["filename"]), lambda n: n != ""), " "), F.lit("")).alias("att_names"),
-        "message_id", "in_reply_to", "refs", body_text(F.when(F.trim("plain") != "", F.col("plain")).otherwise(html_to_text(F.col("html")))).alias("body"), "html", "attachments", "raw", "error",
+        "message_id", "in_reply_to", "refs", body_text(F.when(F.trim("plain") != "", F.col("plain")).otherwise(html_to_text(F.col("html")))).alias("body"), "html", "attachments", *(["raw"] if whole else []), "error",
     )
 
 

@@ -105,3 +105,14 @@ def test_a_body_line_costs_no_test_of_boundaries():
     lines.push("plain\n" * 1000 + "-dash\n\n--end\n")
     lines.push_eof_matcher(ends)
     assert len(list(lines)) == 1002 and asked == ["-dash\n", "\n", "--end\n"]
+
+
+def test_attached_messages_stay_bytes_until_their_turn(monkeypatch):
+    """A message takes its own parts apart, not those of what is attached to it, and hands that on as it stands."""
+    inner = b"Subject:  in \r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\n\r\none\r\n--b\r\n\r\ntwo\r\n--b--"
+    made, kind = [], mime.Outer
+    monkeypatch.setattr(mime, "Outer", lambda *a, **b: made.append(1) or kind(*a, **b))
+    found = mime.parse(b"Content-Type: multipart/mixed; boundary=a\r\n\r\n--a\r\nContent-Type: message/rfc822\r\n\r\n" + inner + b"\r\n--a--\r\n")
+    (a,) = found["attachments"]
+    assert a["data"] == inner and a["size"] == len(inner) and a["is_embedded"] and a["filename"] == "in.eml" and len(made) <= 3  # the parser makes one to try
+    assert mime.parse(inner)["plain"] == "one\n\ntwo" and mime.parse(inner)["subject"] == "in"
