@@ -63,7 +63,7 @@ def filtered(rows: DataFrame, a: argparse.Namespace) -> DataFrame:
 
 
 def indexed(rows: DataFrame) -> DataFrame:
-    return extract.with_attachment_text(rows).drop("raw", "html")
+    return extract.with_attachment_text(rows.drop("raw", "html"))
 
 
 #: Marks words of a query that look like options.

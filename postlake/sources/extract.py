@@ -14,6 +14,7 @@ import io
 import re
 import zipfile
 import zlib
+from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
@@ -201,29 +202,34 @@ def attachment_text(data: Column, name: Column, mime: Column | None = None) -> C
     )
 
 
-def with_attachment_text(messages: DataFrame, depth: int | None = None, total: int | None = None) -> DataFrame:
+def with_attachment_text(messages: DataFrame, depth: int | None = None, total: int | None = None, always: Iterable[str] = ()) -> DataFrame:
     """Messages whose `attachments` is the text the index holds: a bullet and the name before each text.
 
     Attached messages are rows of their own (see `embedded`), at any depth unless one is given: their headers, body and
-    attachments follow the bullet of their attachment. `att_count` and `att_names` take in what they hold.
+    attachments follow the bullet of their attachment. `att_count` and `att_names` take in what they hold. always: which
+    of an attached message's subject, sender, to and body take a line where they are empty as well. Messages are parsed
+    once: they are settled as they come, so leave out columns that nobody reads. They may share ids, or have none.
     """
     from . import embedded
 
-    path = F.array().cast("array<int>")
-    inside = embedded.levels(messages, depth, total)
-    each = [m.select("source_name", "nid", "path", F.posexplode("attachments").alias("i", "a")) for m in (messages.withColumn("path", path), *inside)]
-    a = reduce(DataFrame.unionByName, each)
-    text = F.when(embedded.is_mail(F.col("a")), "").otherwise(attachment_text(F.col("a.data"), F.col("a.filename"), F.col("a.mime")))
-    a = a.select("source_name", "nid", F.concat("path", F.array("i")).alias("path"), F.col("a.filename").alias("filename"), text.alias("text"), embedded.is_mail(F.col("a")).alias("mail"))
-    rows = a.where("text != ''").select("source_name", "nid", "path", F.concat(F.lit("• "), "filename", F.lit("\n"), "text").alias("t"))
-    head = lambda m: F.array_join(F.filter(F.array("subject", "sender", "to", "body"), lambda c: F.coalesce(c, F.lit("")) != ""), "\n")
+    always, tops = set(always), embedded.settled(messages.withColumn("_top", F.monotonically_increasing_id()))
+    top = tops.select(F.lit("").alias("source_name"), F.lit("").alias("folder"), F.col("_top").alias("nid"), "attachments")
+    inside = embedded.levels(top, depth, total, ["subject", "sender", "to", "body"])
+    each = [m.select("nid", "path", F.posexplode("attachments").alias("i", "a")) for m in (top.withColumn("path", F.array().cast("array<int>")), *inside)]
+    a, mail = reduce(DataFrame.unionByName, each), embedded.is_mail(F.col("a"))
+    # Functions in Python get every row, so messages go without their bytes.
+    a = a.select("nid", F.concat("path", F.array("i")).alias("path"), F.col("a.filename").alias("filename"), F.col("a.mime").alias("mime"), F.when(~mail, F.col("a.data")).alias("data"))
+    a = a.select("nid", "path", "filename", attachment_text(F.col("data"), F.col("filename"), F.col("mime")).alias("text"))
+    rows = a.select("nid", "path", F.when(F.size("path") > 1, F.coalesce("filename", F.lit(""))).alias("name"), F.when(F.col("text") != "", F.concat(F.lit("• "), "filename", F.lit("\n"), "text")).alias("t"))
+    shown = lambda c: F.coalesce(F.col(c), F.lit("")) if c in always else F.nullif(F.col(c), F.lit(""))
+    text = F.concat_ws("\n", F.concat(F.lit("• "), F.coalesce(shown("subject"), F.lit("message"))), *map(shown, ("subject", "sender", "to", "body")))
     for m in inside:
-        rows = rows.unionByName(m.select("source_name", "nid", "path", F.concat(F.lit("• "), F.coalesce(F.nullif(F.col("subject"), F.lit("")), F.lit("message")), F.lit("\n"), head(m)).alias("t")))
-    # A group is one message's attachments.
-    joined = rows.groupBy("source_name", "nid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "t"))), lambda p: p["t"]), "\n").alias("_text"))
-    out = messages.drop("attachments").join(joined, ["source_name", "nid"], "left").withColumn("attachments", F.coalesce("_text", F.lit(""))).drop("_text")
-    if not inside:
-        return out
-    below = a.where(F.size("path") > 1).groupBy("source_name", "nid").agg(F.count("*").alias("_more"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "filename"))), lambda p: p["filename"]), " ").alias("_names"))
-    out = out.join(below, ["source_name", "nid"], "left")
-    return out.withColumns({"att_count": F.col("att_count") + F.coalesce("_more", F.lit(0)), "att_names": F.trim(F.concat_ws(" ", "att_names", "_names"))}).drop("_more", "_names")
+        rows = rows.unionByName(m.select("nid", "path", F.lit(None).cast("string").alias("name"), text.alias("t")))
+    # A group is one message's attachments, in the order of their paths.
+    found = rows.groupBy(F.col("nid").alias("_top")).agg(F.array_sort(F.collect_list(F.struct("path", "name", "t"))).alias("_all"), F.count("name").alias("_more"))
+    joined = lambda c, by: F.array_join(F.filter(F.transform("_all", lambda p: p[c]), lambda x: x.isNotNull()), by)
+    found = found.select("_top", "_more", joined("t", "\n").alias("_text"), joined("name", " ").alias("_names"))
+    out = tops.drop("attachments").join(found, "_top", "left").withColumn("attachments", F.coalesce("_text", F.lit("")))
+    if inside:
+        out = out.withColumns({"att_count": F.col("att_count") + F.coalesce("_more", F.lit(0)), "att_names": F.trim(F.concat_ws(" ", "att_names", "_names"))})
+    return out.drop("_top", "_more", "_text", "_names")

@@ -116,3 +116,26 @@ def test_attached_messages_stay_bytes_until_their_turn(monkeypatch):
     (a,) = found["attachments"]
     assert a["data"] == inner and a["size"] == len(inner) and a["is_embedded"] and a["filename"] == "in.eml" and len(made) <= 3  # the parser makes one to try
     assert mime.parse(inner)["plain"] == "one\n\ntwo" and mime.parse(inner)["subject"] == "in"
+
+
+def test_messages_that_share_an_id_or_have_none_keep_what_is_theirs(messages):
+    same = messages.where("nid in (1, 3)").withColumn("nid", F.when(F.col("subject") == "a", 7).otherwise(7))
+    none = messages.where("nid = 1").withColumns({"nid": F.lit(None).cast(messages.schema["nid"].dataType), "source_name": F.lit(None).cast("string")})
+    rows = extract.with_attachment_text(same.unionByName(none)).collect()
+    assert sorted((r["subject"], r["nid"], r["att_count"], "giraffe" in r["attachments"], "zebra" in r["attachments"]) for r in rows if r["nid"]) == [("a", 7, 5, False, True), ("file", 7, 1, True, False)]
+    assert [(r["att_count"], "zebra" in r["attachments"]) for r in rows if not r["nid"]] == [(5, True)]
+
+
+def test_queries_of_odd_documents(spark, tmp_path):
+    """Empty and missing values, and ids that are repeated or missing, as the SQL has them."""
+    import duckdb
+
+    from postlake.plans import queries
+
+    rows = [(1, "text", "en", "src1"), (2, "", "en", "src1"), (3, " \n\t ", "en", "src2"), (4, None, "en", "src2"), (5, "a", None, "src1"), (6, "b", "fr", None), (7, "c", "", "src1"), (8, "d", "fr", ""), (9, "e", "en", "src1"), (9, "f", "en", "src1"), (9, "f", "en", "src1"), (None, "g", "en", "src3"), (None, "h", "en", "src3"), (10, "é", "dé", "srç"), (11, "i", "en", "=?utf-8?q?x?=")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("embedded_text", "embedded_messages"):
+        df = queries.queries()[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(db.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()[name]})").fetchall(), key=repr), name
