@@ -9,6 +9,9 @@ messages, so no row grows with the index. Rows lie in the order of tokens in the
 so that a word or a prefix reads the pages whose bounds hold it, and a word of every document is spread over files; ranking
 needs no places and doesn't read them. They are made once; nothing is shuffled, or written aside.
 
+A message keeps its normalised texts (NORMS) beside the others, for writers: postings, pairs, what a removal takes back and
+a compaction all read these, so a text is normalised once. Readers of the index don't see them.
+
 A row has the greatest frequency and the least length of its documents; `terms`, the dictionary, has the numbers of documents
 by token, whole and by columns, exactly: a removal adds rows of negative counts. Frequency
 and length bound the score of every document of a row from above under any statistics, so the best k are found by scoring
@@ -40,9 +43,9 @@ from .search import B, K1, WEIGHTS, Query, Term, parse
 from .snapshots import Manifest, Store, latest
 
 #: Of the tables' form; an index of another form is cleared and built anew.
-SCHEMA = 5
-#: Ids and tokens that are broadcast at most.
-SMALL = 1 << 16
+SCHEMA = 6
+#: Ids and tokens that are broadcast at most, and numbers of messages, which are 8 bytes each.
+SMALL, NUMBERS = 1 << 16, 1 << 22
 #: Documents in a row of postings of a frequent word, about.
 BLOCK = 256
 #: Bits of a message's number for the file that it was written to, and for the row there; the batch is above them.
@@ -51,6 +54,11 @@ FILES, ROWS = 19, 24
 FIRST, PUSHED = 64, 128
 
 
+def narrow(rows: DataFrame, n: int) -> DataFrame:
+    """Numbers to be joined to messages: broadcast up to NUMBERS, else the side that is hashed, so that no texts are sorted."""
+    return F.broadcast(rows) if n <= NUMBERS else rows.hint("shuffle_hash")
+
+
 def message_key(columns: list[str], store: bool = False) -> Column:
     """The identity of a message in its source before numbering of duplicates.
 
@@ -117,10 +125,19 @@ def postings(texts: DataFrame, id_column: str = "id", keep: Iterable[str] = (),
 
 def _normalized(texts: DataFrame, id_column: str, keep: Iterable[str]) -> tuple[DataFrame, list[int], dict[str, str]]:
     """Texts with their normalised columns, the numbers of these, and what else there is with its types."""
-    there = [c for c in WEIGHTS if c in texts.columns]
-    numbers = [list(WEIGHTS).index(c) for c in there]
-    rows = texts.select(F.col(id_column).alias("id"), *keep, *[F.trim(normalized(F.col(c))).alias(f"_n{i}") for i, c in zip(numbers, there, strict=True)])
-    return rows, numbers, {f.name: f.dataType.simpleString() for f in rows.schema if not f.name.startswith("_n")}
+    own = norms(texts)
+    rows = texts.select(F.col(id_column).alias("id"), *keep, *[c.alias(k) for k, c in own.items()])
+    return rows, [NORMS.index(k) for k in own], {f.name: f.dataType.simpleString() for f in rows.schema if f.name not in NORMS}
+
+
+#: The normalised texts of the indexed columns.
+NORMS = [f"_n{i}" for i in range(len(WEIGHTS))]
+
+
+def norms(texts: DataFrame) -> dict[str, Column]:
+    """The normalised texts of the indexed columns that there are; as they are kept, where they are."""
+    there = [(k, c) for k, c in zip(NORMS, WEIGHTS, strict=True) if c in texts.columns]
+    return {k: F.col(k) if k in texts.columns else F.trim(normalized(F.col(c))) for k, c in there}
 
 
 def _portions(batch: pa.RecordBatch, numbers: list[int], cuts: Iterable[int] = ()) -> Iterable[tuple[int, int]]:
@@ -161,6 +178,14 @@ def _coded(batch: pa.RecordBatch, numbers: list[int], words: list[str] | None) -
     return code, doc, col, spot, names
 
 
+def _ordered(keys: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of keys below `most`: one sort of keys with their places behind them, where these fit into 63 bits."""
+    bits = max(1, len(keys)).bit_length()
+    if most << bits >= 1 << 63:
+        return np.argsort(keys, kind="stable")
+    return np.sort(keys << bits | np.arange(len(keys))) & (1 << bits) - 1
+
+
 def _starts(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])[: len(code)])
 
@@ -186,7 +211,7 @@ def packed(stored: DataFrame, block: int = BLOCK, common: Iterable[str] | None =
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         code, doc, col, spot, names = _coded(batch, numbers, words)
-        order = np.argsort(code.astype(np.int64) * batch.num_rows + doc, kind="stable")  # columns and positions stay in order
+        order = _ordered(code.astype(np.int64) * batch.num_rows + doc, len(names) * batch.num_rows)  # columns and positions stay in order
         code, doc, col, spot = code[order], doc[order], col[order], spot[order]
         starts = _starts(code, doc)
         some = len(starts) > 0
@@ -242,12 +267,9 @@ def unpacked(rows: DataFrame) -> DataFrame:
 
 def length(texts: DataFrame) -> Column:
     """The tokens of all indexed columns, as ranking counts them."""
-
-    def count(c: Column) -> Column:
-        parted = F.trim(normalized(c))
-        return F.when(parted == "", 0).otherwise(F.length(parted) - F.length(F.replace(parted, F.lit(" "), F.lit(""))) + 1)
-
-    return reduce(lambda a, b: a + b, [count(F.col(c)) for c in WEIGHTS if c in texts.columns], F.lit(0))
+    # A blank is a byte; the text stands twice, so have it normalised before.
+    count = lambda c: F.when(c == "", 0).otherwise(F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
+    return reduce(lambda a, b: a + b, map(count, norms(texts).values()), F.lit(0))
 
 
 def _in(place: Column, term: Term) -> Column:
@@ -283,10 +305,40 @@ def dictionary(rows: DataFrame, batch: int, sign: int = 1) -> DataFrame:
             bits = [np.ones(len(cols), np.int64), *[cols >> i & 1 for i in range(len(WEIGHTS))], (cols & sum(1 << i for i in ATT)) != 0]
             yield pa.RecordBatch.from_arrays([part["token"], *[pa.array(np.add.reduceat(x.astype(np.int64), starts)) for x in bits]], names=["token", *COUNTS])
 
-    counts = rows.select("token", "data").mapInArrow(run, "token string, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return _summed(rows.select("token", "data").mapInArrow(run, COUNTED), batch, sign)
+
+
+COUNTED = "token string, " + ", ".join(f"{c} bigint" for c in COUNTS)
+
+
+def _summed(counts: DataFrame, batch: int, sign: int) -> DataFrame:
     return counts.groupBy("token").agg(*[(F.sum(c) * sign).alias(c) for c in COUNTS]).withColumn("batch", F.lit(batch).cast("long"))
 
 
+def counts_of(stored: DataFrame, batch: int, sign: int = 1) -> DataFrame:
+    """What `dictionary` gives of the postings of messages as written, from their texts alone: a row a token and portion."""
+    rows, numbers, _ = _normalized(stored, "num", ())
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        code, doc, col, _, names = _coded(batch, numbers, None)
+        met = np.unique((code.astype(np.int64) * batch.num_rows + doc) * len(WEIGHTS) + col)  # a token in a column of a message
+        pair, col = met // len(WEIGHTS), met % len(WEIGHTS)
+        starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+        mask = np.bitwise_or.reduceat(np.int64(1) << col, starts) if len(starts) else met
+        code = pair[starts] // max(1, batch.num_rows)
+        bits = [np.ones(len(code), np.int64), *[mask >> i & 1 for i in range(len(WEIGHTS))], (mask & sum(1 << i for i in ATT)) != 0]
+        each = [np.bincount(code, weights=x, minlength=len(names)).astype(np.int64) for x in bits]
+        some = np.flatnonzero(each[0])
+        return pa.RecordBatch.from_arrays([names.take(pa.array(some)).cast(pa.string()), *[pa.array(x[some]) for x in each]], names=["token", *COUNTS])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in _portions(batch, numbers):
+                yield of(batch.slice(lo, hi - lo))
+
+    return _summed(rows.mapInArrow(run, COUNTED), batch, sign)
+
+
 def counted_as(term: Term) -> str | None:
     """The dictionary's column that counts the documents of a single word in a term's columns."""
     if len(term.words) > 1 or term.prefix:
@@ -427,12 +479,12 @@ class Index:
         if rows is None or gone is None:
             return rows
         gone = gone.select(F.col("num").alias(key))
-        return rows.join(F.broadcast(gone) if m.totals.get("gone", 0) <= SMALL else gone, key, "left_anti")
+        return rows.join(narrow(gone, m.totals.get("gone", 0)), key, "left_anti")
 
     def messages(self) -> DataFrame | None:
         """All messages that are in the index now."""
         rows = self._alive("messages", self.store.current())
-        return rows.drop("batch", "num") if rows is not None else None
+        return rows.drop("batch", "num", *NORMS) if rows is not None else None
 
     def postings(self) -> DataFrame | None:
         """The postings of these messages."""
@@ -450,7 +502,7 @@ class Index:
 
     def _numbered(self, m: Manifest) -> DataFrame:
         """The messages under their numbers, as postings know them."""
-        return self._alive("messages", m).drop("batch").withColumnRenamed("id", "_id").withColumnRenamed("num", "id")
+        return self._alive("messages", m).drop("batch", *NORMS).withColumnRenamed("id", "_id").withColumnRenamed("num", "id")
 
     def sources(self) -> DataFrame | None:
         """The state of each source at its last update."""
@@ -553,7 +605,7 @@ class Index:
         """Take messages (rows of `messages` with their texts) out of the index; how many."""
         gone = self.store.write(removed.select("id", "num", "length", F.lit(m.batch).cast("long").alias("batch")), "gone", m)
         n, words = gone.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        self.store.write(dictionary(packed(removed, self.block), m.batch, -1).repartitionByRange("token").sortWithinPartitions("token"), "terms", m)
+        self.store.write(counts_of(removed, m.batch, -1).repartitionByRange("token").sortWithinPartitions("token"), "terms", m)
         for k, v in (("gone", n), ("messages", -n), ("words", -words)):
             m.totals[k] = m.totals.get(k, 0) + v
         return n
@@ -571,27 +623,31 @@ class Index:
         if "unread" in listing.columns:
             failed = listing.where("unread").select("source_name").distinct().withColumn("_failed", F.lit(True))
             listing = listing.where("not coalesce(unread, false)").drop("unread")
-        narrow = listing.select("source_name", "nid", message_key(listing.columns).alias("key0")).persist()
-        keyed = numbered(narrow).select("source_name", "nid", "key", F.lit(True).alias("_here"))
+        keys = listing.select("source_name", "nid", message_key(listing.columns).alias("key0")).persist()
+        keyed = numbered(keys).select("source_name", "nid", "key", F.lit(True).alias("_here"))
         names = fingerprints.select("source_name").distinct()
         old = self._alive("messages", m)
-        none = keyed.limit(0).select("source_name", "key", F.lit("").alias("id"))
-        there = none if old is None else old.join(names, "source_name", "left_semi").select("source_name", "key", "id")
+        none = keyed.limit(0).select("source_name", "key", F.lit(0).cast("long").alias("num"))
+        there = none if old is None else old.join(names, "source_name", "left_semi").select("source_name", "key", "num")
         plan = keyed.join(there.withColumn("_there", F.lit(True)), ["source_name", "key"], "full")
         plan = plan.join(failed, "source_name", "left") if failed is not None else plan.withColumn("_failed", F.lit(None).cast("boolean"))
         whole = F.lit(complete) & F.col("_failed").isNull()
         change = F.when(F.col("_there").isNull(), "added").when(F.col("_here").isNull(), F.when(whole, "removed").otherwise("kept")).otherwise(F.lit("renewed" if force else "kept"))
-        plan = plan.select("source_name", "nid", "key", "id", change.alias("change")).persist()
+        plan = plan.select("source_name", "nid", "key", "num", change.alias("change")).persist()
         totals = {r["change"]: r["n"] for r in plan.groupBy("change").agg(F.count("*").alias("n")).collect()}
         out, into = plan.where("change in ('removed', 'renewed')"), plan.where("change in ('added', 'renewed')")
-        if totals.get("removed") or totals.get("renewed"):
-            self._write_gone(old.join(out.select("id"), "id", "left_semi"), m)
-        if totals.get("added") or totals.get("renewed"):
-            new = listing.drop("key").join(into.select("source_name", "nid", "key"), ["source_name", "nid"])
+        renewed = totals.get("renewed", 0)
+        if totals.get("removed") or renewed:
+            self._write_gone(old.join(narrow(out.select("num"), totals.get("removed", 0) + renewed), "num", "left_semi"), m)
+        if totals.get("added") or renewed:
+            keyed = into.select("source_name", "nid", "key")
+            keyed = keyed if totals.get("added", 0) + renewed <= SMALL else keyed.hint("shuffle_hash")  # else Spark would sort the texts
+            new = listing.drop("key").join(keyed, ["source_name", "nid"])
             new = new.withColumn("id", F.md5(F.concat_ws("\x00", "source_name", "key")))
             if texts is not None:
                 new = new.select("source_name", "nid", "key", "id", *[c for c in ("path", "offset", "size", "kind", "flag_read", "folder") if c in new.columns])
                 new = texts(new).join(new.select("source_name", "nid", "key", "id"), ["source_name", "nid"])
+            new = new.withColumns(norms(new))
             stored = self._write_messages(new.withColumn("length", length(new)), m)
             n, words = stored.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
             self._write_terms(stored, m, n)
@@ -603,8 +659,8 @@ class Index:
         self.store.write(_states(done.select("source_name", "size", F.col("mtime").cast("double").alias("mtime"), whole.alias("complete"), F.coalesce("messages", F.lit(0)).cast("long").alias("messages"), F.lit(False).alias("removed")), m), "sources", m)
         self.store.commit(m)
         plan.unpersist()
-        narrow.unpersist()
-        return {"added": totals.get("added", 0) + totals.get("renewed", 0), "kept": totals.get("kept", 0), "removed": totals.get("removed", 0) + totals.get("renewed", 0)}
+        keys.unpersist()
+        return {"added": totals.get("added", 0) + renewed, "kept": totals.get("kept", 0), "removed": totals.get("removed", 0) + renewed}
 
     def remove(self, source: str) -> int:
         """Take a source and all its messages out of the index."""

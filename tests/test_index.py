@@ -261,3 +261,50 @@ def test_sources_of_one_name_at_two_places_are_two(spark, tmp_path):
     assert command.main(["index", db, uris[1], uris[0] + "/", "--prune"]) == 0
     assert found(idx, "shared") == 3
     assert command.main(["index", db, uris[0], "--prune"]) == 0 and found(idx, "shared") == 1
+
+
+def test_a_text_is_normalised_once(spark, tmp_path):
+    """Postings, pairs, removals and compactions read the normalised texts that a message keeps; readers don't see them."""
+    idx = index.Index(spark, f"file://{tmp_path}/i")
+    rows = rows_of(spark, "a", 40).withColumn("body", F.format_string("Wörd  w%d, É", F.col("nid") % 7))
+    idx.update(rows, prints(rows))
+    stored = idx.store.read("messages", idx.store.current())
+    for df in (index.packed(stored), index.counts_of(stored, 1), stored.select(index.length(stored))):
+        assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["_n3"] for r in stored.select("_n3").collect()} == {f"word w{i} e" for i in range(7)}
+    assert stored.where(index.length(stored) != F.col("length")).count() == 0
+    assert not set(index.NORMS) & {*idx.messages().columns, *idx.search("word").columns}
+    idx.optimize()
+    again = idx.store.read("messages", idx.store.current())
+    assert again.select("id", *[c for c in index.NORMS if c in again.columns]).exceptAll(stored.select("id", *[c for c in index.NORMS if c in stored.columns])).count() == 0
+
+
+def test_counts_from_texts_are_those_of_postings(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i, "a b" if i % 2 else "", f"a{i % 3} a", "b b c" * (i % 4), None if i % 5 else "c") for i in range(1000)], "num long, batch long, subject string, sender string, body string, attachments string")
+    stored = rows.withColumns(index.norms(rows))
+    stored = stored.withColumn("length", index.length(stored).cast("int"))
+    want = sorted(map(tuple, index.dictionary(index.packed(stored), 3, -1).collect()))
+    assert sorted(map(tuple, index.counts_of(stored, 3, -1).collect())) == want and len(want) > 5
+    assert index.counts_of(stored.limit(0), 3).count() == 0
+
+
+def test_keys_in_order():
+    import numpy as np
+
+    keys = np.random.default_rng(1).integers(0, 50, 1000)
+    for most in (50, 1 << 60):  # the second leaves no room for places
+        assert (index._ordered(keys, most) == np.argsort(keys, kind="stable")).all()
+    assert len(index._ordered(keys[:0], 1)) == 0
+
+
+def test_many_removals_sort_no_texts(spark, tmp_path, monkeypatch):
+    """Beyond what is broadcast, the narrow side of a join is hashed, and the messages aren't sorted."""
+    monkeypatch.setattr(index, "SMALL", 0)
+    monkeypatch.setattr(index, "NUMBERS", 0)
+    idx, rows = index.Index(spark, f"file://{tmp_path}/i"), rows_of(spark, "a", 40)
+    idx.update(rows, prints(rows))
+    assert idx.update(rows.where("nid % 2 = 0"), prints(rows)) == {"added": 0, "kept": 20, "removed": 20}
+    plan = idx._alive("messages", idx.store.current())._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    idx.optimize()
+    assert found(idx, "common") == 20 and {r["token"]: r["df"] for r in idx.terms("common").collect()} == {"common": 20}
